@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk
+from . import bpe, simhash, topk, toxicity
+from .shared import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,23 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return out.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -63,7 +81,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+    return {"op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

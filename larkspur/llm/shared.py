@@ -96,10 +96,10 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word ``[^\\x20\\x09-\\x0D]+``, and the number of words of each text. No word crosses texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (by default ``[^\\x20\\x09-\\x0D]+``), and the number of words of each text. No word crosses texts."""
     inside = np.zeros(len(data) + 1, dtype=bool)
-    np.logical_not(IS_SPACE[data], out=inside[:-1])
+    np.logical_not(separators[data], out=inside[:-1])
     breaks = np.zeros(len(data) + 1, dtype=bool)
     breaks[offsets] = True
     before = np.zeros(len(data) + 1, dtype=bool)
