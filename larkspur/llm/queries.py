@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk, toxicity
+from . import bpe, langid, simhash, topk, toxicity
 from .shared import fold
 
 
@@ -36,6 +36,15 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    return langid.fit(table(spark, sf_dir, "documents").where(fold("doc_id", 5) != 0))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text"), language_model(spark, sf_dir))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     return toxicity.fit(table(spark, sf_dir, "documents"), labels)
@@ -81,7 +90,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+    return {"op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
