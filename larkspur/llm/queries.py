@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, topk, toxicity
+from . import bpe, langid, ngram_lm, simhash, topk, toxicity
 from .shared import fold
 
 
@@ -36,6 +36,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    out = ngram_lm.score(docs, ngram_lm.train(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
     return langid.fit(table(spark, sf_dir, "documents").where(fold("doc_id", 5) != 0))
 
@@ -90,7 +97,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
