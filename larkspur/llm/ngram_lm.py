@@ -38,7 +38,7 @@ from .shared import chunks, cut, mixed, mounted, new_path, word_hashes
 START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens that a task sorts at once, tokens of a bucket, tokens of a piece that is scored at once (bytes), and the share of the text that makes a context frequent.
-RUN_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, PIECE_BYTES, FREQUENT = 4_000_000, 4_000_000, 16, 4 << 20, 1 / 1024
+RUN_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, PIECE_BYTES, FREQUENT = 1_500_000, 2_000_000, 16, 2 << 20, 1 / 1024
 
 
 def token_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
