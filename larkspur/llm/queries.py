@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_lm, simhash, topk, toxicity
+from . import bpe, decontamination, langid, ngram_lm, simhash, topk, toxicity
 from .shared import fold
 
 
@@ -91,13 +91,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
