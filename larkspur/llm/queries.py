@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, ngram_lm, repeats, simhash, topk, toxicity
+from . import bpe, decontamination, html_extraction, langid, ngram_lm, repeats, simhash, topk, toxicity, warc
 from .shared import fold
 
 
@@ -25,6 +25,74 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_extraction.main_text(pages.select("page_id", "url", "html"), html_extraction.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A crawl of ``pages`` as captures: a full response of each page at the moment page_id, and two revisits.
+
+    The first revisit (record 3 page_id + 1) comes a million moments later with the page's entity tag, the second one
+    (record 3 page_id + 2) halfway through the first crawl with a date of the last change only.
+    """
+    page = F.col("page_id")
+    tag, changed = F.md5(F.col("html").cast("binary")), F.concat(F.lit("day "), (page % 7).cast("string"))
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    none = F.lit(None).cast("string")
+
+    def record(kind: int, ts, etag, last_modified, headers, body):
+        return F.struct((page * 3 + kind).alias("record_id"), ts.cast("long").alias("ts"), F.lit(kind > 0).alias("revisit"), etag.alias("etag"), last_modified.alias("last_modified"), headers.alias("headers"), body.alias("body"))
+
+    records = F.array(
+        record(0, page, tag, changed, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), text("d", page), F.lit("etag"), tag), F.col("html")),
+        record(1, page + 1_000_000, tag, none, F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text("r", page)), none),
+        record(2, page + 50, none, changed, F.create_map(F.lit("expires"), text("e", page)), none),
+    )
+    return pages.select("url", F.explode(records).alias("r")).select("url", none.alias("digest"), "r.*")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("record_id", "url_key", "response_id", "response_ts", "verdict", F.array_join(pairs, ";").alias("headers"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+_URL_SQL = r"""
+  regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\.|:80$|:443$', '', 'g')
+  || regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END
+"""
+OP8_SQL = f"""
+WITH q AS (
+  SELECT *, list_filter(list_sort(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&')),
+    lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ({", ".join(f"'{t}'" for t in warc.TRACKING)})) AS kept FROM pages
+), p AS (
+  SELECT page_id, {_URL_SQL} AS url_key, md5(html) AS tag, 'day ' || (page_id % 7) AS changed, html FROM q
+), revisits AS (
+  SELECT page_id * 3 + 1 AS record_id, url_key, page_id + 1000000 AS ts, tag, CAST(NULL AS VARCHAR) AS changed, 'date=r' || page_id AS own, page_id FROM p
+  UNION ALL
+  SELECT page_id * 3 + 2, url_key, page_id + 50, NULL, changed, 'expires=e' || page_id, page_id FROM p
+), ranked AS (
+  SELECT r.record_id, r.url_key, r.tag, r.changed, r.own, r.page_id, o.page_id AS old, o.tag AS old_tag, o.changed AS old_changed,
+         row_number() OVER (PARTITION BY r.record_id ORDER BY o.page_id DESC NULLS LAST) AS k
+  FROM revisits r LEFT JOIN p o ON o.url_key = r.url_key AND o.page_id < r.ts
+), judged AS (
+  SELECT *, CASE WHEN old IS NULL THEN 'unresolved'
+                 WHEN coalesce(tag = old_tag, changed = old_changed) IS NULL THEN 'unchecked'
+                 WHEN coalesce(tag = old_tag, changed = old_changed) THEN 'confirmed' ELSE 'changed' END AS verdict
+  FROM ranked WHERE k = 1
+)
+SELECT record_id, url_key, old * 3 AS response_id, old AS response_ts, verdict,
+       CASE WHEN verdict <> 'confirmed' THEN own
+            WHEN own LIKE 'date=%' THEN 'content-type=text/html;' || own || ';etag=' || old_tag
+            ELSE 'content-type=text/html;date=d' || old || ';etag=' || old_tag || ';' || own END AS headers,
+       CASE WHEN verdict = 'confirmed' THEN old_tag END AS body_md5
+FROM judged
+"""
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -106,8 +174,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe}
+    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_warc": op8_warc, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op4_topk": OP4_SQL, "op8_warc": OP8_SQL}
