@@ -36,7 +36,7 @@ from .shared import chunks, cut, mixed, powers, prefix_sums, span_hashes, text_b
 
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts in a shard on average, and contexts of one anchor hash beyond which they are dealt by window.
-SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 4096
+SHARD_BYTES, HOT_CONTEXTS = 1 << 20, 2048
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -71,21 +71,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
 
 
 def suffix_order(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order, by doubling; and the ranks by the first 8, 16, ... bytes. ``left``: bytes up to the context's end.
+    """Suffixes in order, by doubling; and the ranks by the first 4, 8, ... bytes. ``left``: bytes up to the context's end.
 
     The end of a context comes before any byte; equal rests of contexts are in the order of their positions.
     """
-    n = len(codes)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # seven bytes of nine bits; the end of a context is 0
+    n, place = len(codes), np.arange(len(codes), dtype=np.uint64)
+    packed = n < 1 << 21  # then two ranks and a position fit into one integer, which sorts several times as fast
+    key, size = np.zeros(n, np.uint64), 4
+    for k in range(size):  # nine bits each; the end of a context is 0
         shifted = np.zeros(n, np.uint64)
         shifted[: n - k] = codes[k:].astype(np.uint64) + np.uint64(1)
         key = (key << np.uint64(9)) | np.where(left > k, shifted, np.uint64(0))
-    levels, size = [], 7
-    longest = int(left.max())
+    levels, longest = [], int(left.max())
     while True:
-        order = np.argsort(key, kind="stable")
-        change = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        if packed:
+            ordered = np.sort(key << np.uint64(21) | place)
+            order, ordered = (ordered & np.uint64((1 << 21) - 1)).astype(np.int64), ordered >> np.uint64(21)
+        else:
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+        change = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(change)
         levels.append((size, rank))
@@ -94,7 +99,7 @@ def suffix_order(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[
         ahead = np.zeros(n, np.uint64)
         ahead[: n - size] = rank[size:]
         ahead[left <= size] = 0
-        key = rank.astype(np.uint64) << np.uint64(32) | ahead
+        key = rank.astype(np.uint64) << np.uint64(21 if packed else 32) | ahead
         size *= 2
 
 
@@ -109,7 +114,7 @@ def match_lengths(a: np.ndarray, b: np.ndarray, codes: np.ndarray, left: np.ndar
             same = ok.copy()
             same[ok] = rank[x[ok]] == rank[y[ok]]
             out[same] += size
-    for _ in range(7):
+    for _ in range(3):
         ok = np.flatnonzero(out < most)
         ok = ok[codes[a[ok] + out[ok]] == codes[b[ok] + out[ok]]]
         out[ok] += 1
@@ -243,7 +248,7 @@ def _contexts(wanted: DataFrame, length: int) -> DataFrame:
     return wanted.mapInArrow(run, "hash long, context long, ask boolean, bytes binary")
 
 
-OUTPUT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.BinaryType()))
+OUTPUT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.BinaryType()), ("kept_text", T.StringType()))
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -260,6 +265,12 @@ def _marked(data: np.ndarray, x: dict[str, np.ndarray], own: slice, offset: int,
     return np.cumsum(change[:-1]) > 0
 
 
+def _whole(own: np.ndarray, gone: np.ndarray) -> str:
+    """The kept bytes as text; a character of which a part goes, goes whole."""
+    edge = _ranges(~gone)
+    return "".join(own[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(edge[::2], edge[1::2]))
+
+
 def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
     schema = T.StructType([*[joined.schema[c] for c in kept], *[T.StructField(n, k) for n, k in OUTPUT]])
     at, said_at, keep = joined.columns.index("_text"), joined.columns.index("said"), [joined.columns.index(c) for c in kept]
@@ -283,16 +294,16 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
                         gone = np.zeros(len(own), bool)
                     edge = _ranges(gone)
                     spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2])]
-                    for column, value in zip(columns, (len(own), int(gone.sum()), spans, own[~gone].tobytes())):
+                    for column, value in zip(columns, (len(own), int(gone.sum()), spans, own[~gone].tobytes(), _whole(own, gone))):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), _ARROW_SPANS, pa.binary())
+                kinds = (pa.int64(), pa.int64(), _ARROW_SPANS, pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*kept, *[n for n, _ in OUTPUT]])
 
     return joined.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, the removed ``spans`` of bytes and the ``kept`` bytes of each text."""
+    """``docs`` with ``n_bytes``, ``n_removed``, the removed ``spans`` of bytes, and the ``kept`` bytes of each text, as they are and as whole characters."""
     keyed = _keys(docs, text)
     rows = cut(_all_anchors(keyed.select("_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("text")), length), "anchors")
     counted = rows.groupBy("hash", "context").agg(F.sum("n").alias("n"))

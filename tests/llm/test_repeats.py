@@ -29,11 +29,13 @@ def check(spark, texts, length=400, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
     df = spark.createDataFrame([(i, t, 3) for i, t in zip(ids, texts)], "doc_id long, text string, n_bytes int")
     out = repeats.remove_repeats(df, length)
-    assert out.columns == ["doc_id", "text", "n_bytes", "n_removed", "spans", "kept"]
+    assert out.columns == ["doc_id", "text", "n_bytes", "n_removed", "spans", "kept", "kept_text"]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out.collect())
     assert got == Counter((i, *w) for i, w in zip(ids, brute(texts, length)))
     for r in out.collect():
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
+        data, cuts = (r.text or "").encode(), [0, *(x for s in r.spans for x in (s.start, s.end)), r.n_bytes]
+        assert r.kept_text == "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(cuts[::2], cuts[1::2]))
 
 
 def test_matching_statistics_by_all_pairs():
