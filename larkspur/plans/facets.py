@@ -52,5 +52,5 @@ def price_histogram(rows: DataFrame, value: str = "price", buckets: int = 24) ->
     edge = lambda i: F.when(i >= buckets, F.col("high")).when(i <= 0, F.col("low")).otherwise(F.col("low") * F.exp(step * i))
     guess = F.when(step > 0, F.least(F.floor(F.log(F.col(value) / F.col("low")) / step), F.lit(buckets - 1))).otherwise(0)
     joined = priced.select(value).crossJoin(F.broadcast(ends)).withColumn("i", guess)  # one row of two numbers
-    exact = F.when(F.col(value) < edge(F.col("i")), F.col("i") - 1).when((F.col("i") < buckets - 1) & (F.col(value) >= edge(F.col("i") + 1)), F.col("i") + 1).otherwise(F.col("i"))
+    exact = F.when(F.col("low") == F.col("high"), 0).when(F.col(value) < edge(F.col("i")), F.col("i") - 1).when((F.col("i") < buckets - 1) & (F.col(value) >= edge(F.col("i") + 1)), F.col("i") + 1).otherwise(F.col("i"))
     return joined.select(exact.cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -453,6 +454,15 @@ def session_windows(spark, folder):
     return flows.sessions(price_changes(spark, folder), "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(f"WITH {CHANGES_SQL}, s AS (SELECT *, lag(round_even(price * 100, 0)) OVER (PARTITION BY item ORDER BY at, seq) AS b FROM changes) SELECT item, seq, price FROM s WHERE b IS NULL OR b <> round_even(price * 100, 0)")
+def streaming_equals_batch(spark, folder):
+    """The change log by a stream over the event files, one file a batch: the rows of the batch form."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    read = lambda df: df.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("value").alias("price"), F.col("event_type").alias("type"))
+    log = flows.stream_changes(spark, f"{folder}/event[s].parquet", schema, read, f"{flows.shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}")
+    return log.select("item", "seq", "price")
+
+
 @query("""SELECT conv_id, heading, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM
   (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS heading FROM conversations) GROUP BY conv_id, heading""")
 def thread_positional_groups(spark, folder):

@@ -43,7 +43,7 @@ def search_feed(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def linked_data(html: Column) -> Column:
     """The first offer of a page's JSON-LD product: an object or the first of a list."""
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), 1)
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
     one = lambda s: F.from_json(s, f"name STRING, offers {OFFER}")["offers"]
     many = lambda s: F.get(F.from_json(s, f"name STRING, offers ARRAY<{OFFER}>")["offers"], F.lit(0))
     found = F.transform(scripts, lambda s: F.when(F.get_json_object(s, "$.offers[0]").isNotNull(), many(s)).otherwise(one(s)))

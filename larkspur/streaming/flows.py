@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,11 @@ from ..functions.columns import cents
 from ..operators.state import change_log
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/larkspur-{os.getuid()}/streams").rstrip("/")
+
+
 def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
     """Counts and sums by window and type; with ``late``, windows close that long after the latest event."""
     rows = events.withWatermark("at", late) if late else events
@@ -47,7 +53,8 @@ def keep_changes(state_path: str, log_path: str) -> Callable[[DataFrame, int], N
 def stream_changes(spark: SparkSession, source: str, schema, read: Callable[[DataFrame], DataFrame], work: str, files: int = 1) -> DataFrame:
     """Runs the change log over the files of ``source`` as they come, and returns the log when all are read.
 
-    Files have to come in the order of their events; the log is the batch form's.
+    Files have to come in the order of their events; the log is the batch form's. A single file is given as a pattern
+    (``event[s].parquet``), as a stream reads folders.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     sink = keep_changes(f"{work}/state", f"{work}/log")
