@@ -184,3 +184,23 @@ def delivered(rows: DataFrame, shipping: DataFrame, source: str, price: str, fee
     total = F.col(price) + F.coalesce("shipping", F.lit(0.0)) + (0.0 if fee is None else fee)
     complete = F.col("shipping").isNotNull() & F.lit(fee is not None)
     return out.withColumn("delivered", F.when(F.col(price) > 0, F.bround(total, 2))).withColumn("complete", F.when(F.col(price) > 0, complete))
+
+
+def near_bits(rows: DataFrame, key: str, bits: str, distance: int, bands: int = 8) -> DataFrame:
+    """Pairs ``a < b`` of 64-bit hashes at most ``distance`` bits apart, equal hashes taken together first.
+
+    Of ``bands`` bands one differs in no more than ``distance / bands`` bits; a hash meets, band by band, the values within
+    that many bits of its own. Copies are one hash with many keys, and are paired again at the end.
+    """
+    width, near = 64 // bands, distance // bands
+    masks = [m for m in range(1 << width) if bin(m).count("1") <= near]
+    hashes = rows.select(F.col(bits).alias("h")).distinct()
+    cut = F.array(*[F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(bands)])
+    homes = hashes.select("h", F.posexplode(cut).alias("band", "value"))
+    visits = homes.select(F.col("h").alias("o"), "band", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    apart = F.bit_count(F.col("h").bitwiseXOR(F.col("o")))
+    pairs = homes.join(visits, ["band", "value"]).where((F.col("h") < F.col("o")) & (apart <= distance)).select("h", "o", apart.alias("distance")).distinct()
+    both = pairs.union(hashes.select("h", F.col("h").alias("o"), F.lit(0).alias("distance")))
+    named = both.join(rows.select(F.col(bits).alias("h"), F.col(key).alias("_a")), "h").join(rows.select(F.col(bits).alias("o"), F.col(key).alias("_b")), "o")
+    named = named.where((F.col("h") != F.col("o")) | (F.col("_a") < F.col("_b")))
+    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql.window import Window
 
 from .functions import columns as C
 from .functions.ranks import nearest_ranks
-from .operators import market, matching, state
-from .plans import facets
+from .operators import collection, market, matching, reference, state
+from .plans import facets, orders
 from .plans.filters import FilterSpec, page, search_with_dimension
 from .sources import feeds
 from .sources.tables import CHANGES_SQL, DOCS_SQL, LISTINGS_SQL, labelled_documents, listings, price_changes, table
@@ -616,6 +617,162 @@ def typical_span(spark, folder):
     return nearest_ranks(listings(spark, folder), ["kind"], "price", {"p02": 0.02, "p98": 0.98})
 
 
+# ----------------------------------------------------------------------------------- readers and reference tables
+
+
+@query(f"""WITH {LISTINGS_SQL} SELECT source, sum(price) FILTER (size > 10)::DECIMAL(18, 2)::DOUBLE AS cost, sum(quantity) FILTER (size > 10) AS value, count(*) FILTER (size > 10) AS paired, count(*) FILTER (size <= 10) AS unpaired
+  FROM listings GROUP BY 1""".replace("sum(price) FILTER (size > 10)::DECIMAL(18, 2)::DOUBLE", "sum(CAST(price AS DECIMAL(18, 2))) FILTER (size > 10)::DOUBLE"))
+def paired_totals(spark, folder):
+    rows = listings(spark, folder).select("source", F.when(F.col("size") > 10, F.col("price").cast("decimal(18,2)")).alias("price"), "quantity")
+    return collection.paired_totals(rows, ["source"], "price", "quantity").withColumn("cost", F.col("cost").cast("double"))
+
+
+@query("""WITH t AS (SELECT user_id AS item, max(ts) AS recorded_at FROM events WHERE user_id % 3 <> 0 GROUP BY 1), v AS (SELECT user_id AS item, count(*) AS n FROM events GROUP BY 1)
+  SELECT item, n, TIMESTAMP '2024-02-05' AS recorded_at FROM v WHERE item NOT IN (SELECT item FROM t WHERE recorded_at > TIMESTAMP '2024-02-05' - INTERVAL 7 DAY)""")
+def snapshots_due(spark, folder):
+    changes = price_changes(spark, folder)
+    taken = changes.where("item % 3 <> 0").groupBy("item").agg(F.max("at").alias("recorded_at"))
+    return collection.snapshots_due(changes.groupBy("item").agg(F.count("*").alias("n")), taken, "item", datetime(2024, 2, 5))
+
+
+@query(f"""WITH {LISTINGS_SQL}, w AS (SELECT p_partkey AS model FROM part WHERE p_size = 1),
+  u AS (SELECT model, 'departed' AS basis, item, -epoch_us(coalesce(sold_at, delisted_at))::DOUBLE AS o FROM listings WHERE {DEPARTED} UNION ALL SELECT model, 'shelf', item, price FROM listings WHERE {SHELF} AND price > 0)
+  SELECT model, basis, item, place FROM (SELECT *, row_number() OVER (PARTITION BY model, basis ORDER BY o, item)::INT AS place FROM u JOIN w USING (model)) WHERE place <= 5""")
+def comparables(spark, folder):
+    wanted = table(spark, folder, "part").where("p_size = 1").select(F.col("p_partkey").alias("model"))
+    return collection.comparables(listings(spark, folder), wanted, "model", 5).select("model", "basis", "item", "place")
+
+
+SAVED = {"cheap": "max_price=950&status=available", "promo": "kind=PROMO&q=ring", "others": "not_kind=PROMO&not_kind=ECONOMY&min_size=45"}
+
+
+@query(f"""WITH {LISTINGS_SQL}, m AS (SELECT 'cheap' AS search, item FROM listings WHERE price <= 950 AND active AND NOT sold UNION ALL SELECT 'promo', item FROM listings WHERE kind = 'PROMO' AND contains(lower(title), 'ring')
+  UNION ALL SELECT 'others', item FROM listings WHERE kind NOT IN ('PROMO', 'ECONOMY') AND size >= 45) SELECT search, item FROM m WHERE NOT (search = 'promo' AND item IN (SELECT item FROM listings WHERE quantity > 25))""")
+def saved_search_news(spark, folder):
+    rows = listings(spark, folder)
+    matches = collection.saved_matches(rows, {k: FilterSpec.from_query_string(q) for k, q in SAVED.items()})
+    return collection.untold(matches, rows.where("quantity > 25").select(F.lit("promo").alias("search"), "item"))
+
+
+@query(f"""WITH {LISTINGS_SQL}, o AS (SELECT size % 10 AS reader, source, sum(CAST(price AS DECIMAL(18, 2))) AS goods, sum(CASE WHEN source % 4 > 0 THEN source + 1.0 ELSE 0.0 END) AS sent, count(*) AS n, bool_or(source % 4 = 0) AS open
+    FROM listings WHERE quantity = 7 AND active AND NOT sold AND price > 0 GROUP BY ALL)
+  SELECT reader, sum(n)::BIGINT AS items, sum(goods)::DOUBLE AS goods, round_even(sum(goods)::DOUBLE + sum(sent + CASE WHEN goods >= 5000 THEN 0 ELSE 20 END), 2)::DOUBLE AS delivered, NOT bool_or(open) AS complete FROM o GROUP BY 1""")
+def wish_totals(spark, folder):
+    rows = listings(spark, folder).withColumn("price", F.col("price").cast("decimal(18,2)"))
+    wishes = rows.where("quantity = 7").select((F.col("size") % 10).alias("reader"), "item")
+    shipping = rows.select("source").distinct().select("source", F.when(F.col("source") % 4 > 0, F.col("source") + 1.0).alias("shipping"))
+    out = collection.wish_totals(wishes, rows, shipping, 20.0, 5000.0)
+    return out.withColumn("goods", F.col("goods").cast("double"))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS accessory, s_acctbal AS price, s_suppkey % 3 = 0 AS in_stock, unnest([s_nationkey, (s_nationkey + 1) % 25]) AS model FROM supplier),
+  f AS (SELECT c_custkey AS owned, accessory, min(price) AS price, bool_or(in_stock) AS in_stock FROM customer JOIN l ON c_nationkey = model WHERE c_custkey % 20 = 0 GROUP BY ALL)
+  SELECT owned, accessory, place FROM (SELECT *, row_number() OVER (PARTITION BY owned ORDER BY in_stock DESC, price, accessory)::INT AS place FROM f) WHERE place <= 4""")
+def fits_owned(spark, folder):
+    owned = table(spark, folder, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("owned"), F.col("c_nationkey").alias("model"))
+    key = F.col("s_nationkey")
+    accessories = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("accessory"), F.col("s_acctbal").alias("price"), (F.col("s_suppkey") % 3 == 0).alias("in_stock"), F.array(key, (key + 1) % 25).alias("lines"))
+    return collection.fits(owned, accessories, 4).select("owned", "accessory", "place")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES ('red widget', 'w'), ('ring', 'r'), ('anvil', 'a')) t(spelling, value)) SELECT DISTINCT p_partkey, value FROM part JOIN s ON contains(' ' || p_name || ' ', ' ' || spelling || ' ')""")
+def targeted_rematch(spark, folder):
+    spellings = spark.createDataFrame([("red widget", "w"), ("ring", "r"), ("anvil", "a")], "spelling string, value string")
+    return reference.mentions(table(spark, folder, "part"), "p_partkey", "p_name", spellings)
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_size > 25), c AS (SELECT p_name, count(*) AS sightings FROM part WHERE p_size <= 25 GROUP BY 1) SELECT p_name, sightings FROM c WHERE sightings >= 2 AND lower(p_name) NOT IN (SELECT n FROM k)""".replace("p_size > 25", "p_size > 25 AND p_brand = 'Brand#1'"))
+def proposed_names(spark, folder):
+    part = table(spark, folder, "part")
+    return reference.propose(part.where("p_size <= 25"), part.where("p_size > 25 and p_brand = 'Brand#1'"), "p_name", 2)
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'LAND ' || n_nationkey ELSE n_name END AS name, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ',old' ELSE 'old' END AS aliases FROM nation""")
+def primary_rename(spark, folder):
+    rows = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.array(F.lit("old")).alias("aliases"))
+    names = rows.where("n_nationkey % 4 = 0").select("n_nationkey", F.concat(F.lit("LAND "), "n_nationkey").alias("new"))
+    return reference.rename(rows, names, "n_nationkey").select("n_nationkey", "name", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def undo_restores(spark, folder):
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    log = reference.logged(rows.where("s_suppkey % 3 = 0"), "s_suppkey", "edit", 1)
+    edited = rows.where("s_suppkey % 6 <> 0").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 3 == 0, F.lit(None)).otherwise(F.col("s_acctbal")))
+    return reference.reverted(edited, log, "s_suppkey", 1)
+
+
+@query("""SELECT CASE WHEN s_suppkey % 10 = 3 THEN 's' || (s_suppkey + 1000) ELSE 's' || s_suppkey END AS k, s_acctbal FROM supplier""")
+def rekey_adoption(spark, folder):
+    rows = table(spark, folder, "supplier")
+    known = rows.select(F.concat(F.lit("s"), "s_suppkey").alias("k"), "s_acctbal", F.col("s_suppkey").alias("first_seen"))
+    gone = rows.where("s_suppkey % 10 = 3").select(F.concat(F.lit("s"), (F.col("s_suppkey") + 1000).cast("string")).alias("k"), F.array(F.concat(F.lit("s"), "s_suppkey")).alias("replaces"))
+    here = rows.where("s_suppkey % 10 <> 3").select(F.concat(F.lit("s"), "s_suppkey").alias("k"), F.array(F.lit("s1"), F.lit("s4")).alias("replaces"))
+    return reference.rekeyed(known, gone.union(here), "k").select("k", "s_acctbal")
+
+
+@query("SELECT o.o_orderkey, least(o.o_orderdate, p.o_orderdate) AS first_seen FROM orders o LEFT JOIN orders p ON o.o_orderkey // 10 * 10 = p.o_orderkey AND o.o_orderkey % 10 <> 0")
+def first_seen_inheritance(spark, folder):
+    key = F.col("o_orderkey")
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias("first_seen"), F.when(key % 10 != 0, (F.floor(key / 10) * 10).cast("long")).alias("parent"))
+    return reference.inherit_first_seen(rows, "o_orderkey", "parent").select("o_orderkey", "first_seen")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size < 4 ORDER BY p_size, p_partkey LIMIT 40")
+def queue_by_attempts(spark, folder):
+    return reference.queue(table(spark, folder, "part"), "p_size", 4, 40, "p_partkey").select("p_partkey", "p_size")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 6 HOUR THEN 'failed' WHEN event_type = 'error' THEN 'running' ELSE 'success' END AS status,
+  CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 6 HOUR THEN TIMESTAMP '2024-01-15' WHEN event_type <> 'error' THEN ts END AS finished_at FROM events""")
+def run_reaping(spark, folder):
+    failed = F.col("event_type") == "error"
+    runs = table(spark, folder, "events").select("event_id", F.when(failed, "running").otherwise("success").alias("status"), F.col("ts").alias("started_at"), F.when(~failed, F.col("ts")).alias("finished_at"))
+    return reference.reaped(runs, datetime(2024, 1, 15), 6).select("event_id", "status", "finished_at")
+
+
+@query("SELECT p_brand, CAST(row_number() OVER (ORDER BY CAST(substr(p_brand, 7) AS INT)) AS INTEGER) AS place FROM (SELECT DISTINCT p_brand FROM part)")
+def natural_sort(spark, folder):
+    brands = table(spark, folder, "part").select("p_brand").distinct()  # a handful of values
+    return brands.select("p_brand", F.row_number().over(Window.orderBy(orders.natural(F.col("p_brand")))).alias("place"))
+
+
+@query("SELECT p_name FROM (SELECT DISTINCT p_name FROM part WHERE contains(p_name, 'r')) ORDER BY CASE WHEN starts_with(p_name, 'r') THEN 0 ELSE 1 END, p_name LIMIT 10")
+def prefix_ranking(spark, folder):
+    names = table(spark, folder, "part").select("p_name").distinct().where(F.col("p_name").contains("r"))
+    return names.orderBy(*orders.prefix_first(F.col("p_name"), "r")).limit(10)
+
+
+@query("SELECT page_id, regexp_extract(regexp_extract(url, '//([^/:?#]+)', 1), '([^.]+[.][^.]+)$', 1) AS domain FROM pages")
+def registrable_domains(spark, folder):
+    return table(spark, folder, "pages").select("page_id", C.registrable_domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS INT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_properties(spark, folder):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, folder, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END))::HUGEINT AS bits FROM embeddings WHERE vec_id < 200)
+  SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM b a JOIN b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 16""".replace(" WHERE vec_id < 200", ""))
+def near_duplicate_bits(spark, folder):
+    """Pictures' 64-bit hashes (here: signs of vectors) within a distance: by eight bands, as two bits a band leave one within two.
+
+    16 differing bits over 8 bands leave a band with at most 2: each hash goes to all band values within two bits of its own
+    on one side, and to its own on the other.
+    """
+    bit = lambda i: F.when(F.element_at("embedding", i + 1) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    hashes = table(spark, folder, "embeddings").select("vec_id", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("bits"))
+    return matching.near_bits(hashes, "vec_id", "bits", 16)
+
+
+@query(f"WITH {CHANGES_SQL} SELECT item, seq, min(price) OVER w AS lowest, max(price) OVER w AS highest FROM changes WINDOW w AS (PARTITION BY item ORDER BY at, seq ROWS UNBOUNDED PRECEDING)")
+def cumulative_extremes(spark, folder):
+    upto = Window.partitionBy("item").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return price_changes(spark, folder).select("item", "seq", F.min("price").over(upto).alias("lowest"), F.max("price").over(upto).alias("highest"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
