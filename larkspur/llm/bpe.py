@@ -23,12 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import chunks
+from .shared import bounded_batches, chunks
 
 #: Fixed value: how byte-level vocabularies split a text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps encoded; memory stays bounded and the result is the same with any number.
-CACHED = 300_000
+CACHED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -121,6 +121,7 @@ def _codec(file: Broadcast) -> Codec:
 
 def _vocabulary(df: DataFrame, path: str) -> Broadcast:
     """The file is a parameter of fixed size (under 2 MB), so it is broadcast; executors need no copy of it."""
+    bounded_batches(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -139,10 +140,13 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file)
-        for batch in batches:
-            for part in chunks(batch, at, 8 << 20):
-                made = pa.array([codec.encode(x or "") for x in part.column(at).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], made], [*kept, ids])
+        try:
+            for batch in batches:
+                for part in chunks(batch, at):
+                    made = pa.array([codec.encode(x or "") for x in part.column(at).to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], made], [*kept, ids])
+        finally:
+            codec.cache.clear()
 
     return df.mapInArrow(run, schema)
 
@@ -157,7 +161,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file)
         for batch in batches:
-            for part in chunks(batch, at, 8 << 20):
+            for part in chunks(batch, at):
                 made = pa.array([codec.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], made], [*kept, text])
 

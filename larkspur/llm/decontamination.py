@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
 
 BUCKETS, RANK, EXTRA, ROUNDS, BLOCK_ITEMS = 1 << 17, 256, 8, 2, 4096
 #: Words are letters (capitals of ASCII and Latin-1 in lower case), digits and everything outside ASCII; punctuation separates.
@@ -293,6 +293,7 @@ def _items(benchmark: DataFrame, part: int, parts: int) -> list[tuple[int, np.nd
 def annotate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """``docs`` with ``matches``: the items (item_id, text) of ``benchmark`` that contaminate each text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     idf = inverse_frequencies(docs, text)
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     benchmark = cut(benchmark, "benchmark")

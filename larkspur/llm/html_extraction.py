@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks
+from .shared import bounded_batches, chunks
 
 # Element names of the HTML standard by their role.
 BLOCKS = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -407,6 +407,7 @@ def fit(pages: DataFrame, sample: int = 200, written: int = 900, seed: int = 7,
 
 def main_text(pages: DataFrame, trees: Trees, source: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of ``source`` in the column ``into``."""
+    bounded_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c.lower() != into.lower()]
     at, keep = pages.columns.index(source), [pages.columns.index(c) for c in kept]
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(into, T.StringType())])

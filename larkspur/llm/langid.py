@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
 
 UNDETERMINED = "und"
 #: Word bytes: ASCII letters, the apostrophe and everything outside ASCII.
@@ -137,6 +137,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def fit(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) -> Model:
     """The model of the texts of ``docs`` (doc_id, text and the language's column)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
@@ -174,6 +175,7 @@ def fit(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) ->
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
     at, keep = docs.columns.index(text), [docs.columns.index(c) for c in kept]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

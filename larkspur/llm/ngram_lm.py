@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, cut, mixed, mounted, new_path, word_hashes
+from .shared import bounded_batches, chunks, cut, give_back, mixed, mounted, new_path, word_hashes
 
 START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens that a task sorts at once, tokens of a bucket, tokens of a piece that is scored at once (bytes), and the share of the text that makes a context frequent.
-RUN_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, PIECE_BYTES, FREQUENT = 1_500_000, 2_000_000, 16, 2 << 20, 1 / 1024
+RUN_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, PIECE_BYTES, FREQUENT = 1_200_000, 1_500_000, 16, 2 << 20, 1 / 1024
 
 
 def token_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +176,7 @@ def _merge(runs: DataFrame, folder: str) -> DataFrame:
         of_u, of_v = at[: len(u)], at[len(u) :]
         sums = [np.bincount(of_u, weights=w, minlength=len(token)) for w in (counts, counts > 0, counts == 1, counts == 2, counts == 3, counts == 4)]
         sums.append(np.bincount(of_v, minlength=len(token)))
+        give_back()
         return pa.table({"token": pa.array(token.view(np.int64))} | {n: pa.array(x.astype(np.int64)) for n, x in zip(SUMS, sums)})
 
     parts = runs.groupBy("bucket").applyInArrow(bucket, "token long, " + ", ".join(f"{n} long" for n in SUMS))
@@ -198,6 +199,7 @@ def _discount(count: Column, d: tuple[float, float, float]) -> Column:
 def train(texts: DataFrame, text: str = "text") -> Model:
     """Counts and writes the model of all rows of ``texts``."""
     spark = texts.sparkSession
+    bounded_batches(spark)
     texts = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     folder = mounted(new_path(spark, "lm"))
     buckets = _plan(texts)
@@ -303,6 +305,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 columns = [part.column(0), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.total)), pa.array(base), pa.array(value), pa.array(10.0 ** np.minimum(-value / sizes, 300))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, cut, mixed, powers, prefix_sums, span_hashes, text_bytes
+from .shared import bounded_batches, chunks, cut, give_back, mixed, powers, prefix_sums, span_hashes, text_bytes
 
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts in a shard on average, and contexts of one anchor hash beyond which they are dealt by window.
@@ -161,6 +161,7 @@ def _index(length: int):
         first[ends - sizes] = True
         repeats = matching_statistics(codes, left, first) >= length
         found = [_ranges(repeats[e - s : e]) if ask else [] for s, e, ask in zip(sizes.tolist(), ends.tolist(), table.column("ask").to_pylist())]
+        give_back()
         return pa.table({"hash": table.column("hash"), "context": table.column("context"), "ranges": pa.array(found, pa.list_(pa.int32()))})
 
     return shard
@@ -304,6 +305,7 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, the removed ``spans`` of bytes, and the ``kept`` bytes of each text, as they are and as whole characters."""
+    bounded_batches(docs.sparkSession)
     keyed = _keys(docs, text)
     rows = cut(_all_anchors(keyed.select("_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("text")), length), "anchors")
     counted = rows.groupBy("hash", "context").agg(F.sum("n").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,11 +52,38 @@ def mounted(uri: str) -> str:
     return unquote(parts.path)
 
 
+#: Texts may be long: so many rows make an Arrow batch at most, which bounds the memory of both sides of a worker.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more (or unlimited)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % parts
 
 
+#: Bytes of text after which a worker gives freed memory back to the system.
+TRIM_BYTES = 32 << 20
+_since_trim = 0
+
+
+def give_back() -> None:
+    """Returns the memory that this worker has freed but holds: workers are reused, and their leftovers would add up."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only the GNU library has it
+        return
+
+
 def chunks(batch: pa.RecordBatch, text: int = 0, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes in the text column each, one row at least."""
     if not batch.num_rows:
@@ -67,6 +94,11 @@ def chunks(batch: pa.RecordBatch, text: int = 0, limit: int = CHUNK_BYTES) -> It
         end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + limit, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    global _since_trim
+    _since_trim += int(sizes[-1])
+    if _since_trim >= TRIM_BYTES:
+        _since_trim = 0
+        give_back()
 
 
 def text_offsets(column: pa.Array) -> np.ndarray:

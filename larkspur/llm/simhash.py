@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, chunks, cut, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, text_bytes, word_spans
 
 BLOCK = 31
 #: Bit masks of the code's five parity checks: check j covers the positions 1..31 whose number has bit j set.
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
                 made = pa.array(shingle_fingerprints(part.column(1), width).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), made], ["doc_id", "fingerprint"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint long")
 

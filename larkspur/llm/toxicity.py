@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
 
 #: Token bytes: letters, digits, the apostrophe and everything outside ASCII; all others separate tokens.
 SEPARATORS = np.ones(256, dtype=bool)
@@ -228,6 +228,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Model:
     """The model of ``labels`` (doc_id and a 0/1 column) on the texts of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = cut(_teaching(docs, labels, label, settings), "toxicity")
     counts = cut(_counts(rows, settings), "toxicity")
     known = _log_odds(counts, settings).toPandas().sort_values("token", key=lambda c: c.to_numpy().view(np.uint64))
@@ -266,6 +267,7 @@ _ARROW_PASSAGE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()),
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``passages`` (byte spans of the text in UTF-8, with their E-values)."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("toxicity", "passages")]
     at, keep = docs.columns.index(text), [docs.columns.index(c) for c in kept]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("toxicity", T.DoubleType()), T.StructField("passages", PASSAGE)])
