@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest_ranks(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float], times: str | None = None) -> DataFrame:
     """``keys, n`` and for each fraction the value at index ``round(f * (n - 1))`` of the sorted values (halves to even).
 
-    Null values take no part. A group without a value has no row.
+    ``times``: how many rows a row stands for. Null values take no part. A group without a value has no row.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("_c"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.select(*keys, value, "_c", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(group).alias("n"))
@@ -28,7 +28,7 @@ def nearest_ranks(rows: DataFrame, keys: list[str], value: str, fractions: dict[
     return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
-def spread(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
+def spread(rows: DataFrame, keys: list[str], source: str, times: str | None = None) -> DataFrame:
     """``keys, sources, top_share``: number of sources of a group, and the share of the largest (3 digits)."""
-    by_source = rows.groupBy(*keys, source).agg(F.count("*").alias("_c"))
+    by_source = rows.groupBy(*keys, source).agg((F.sum(times) if times else F.count("*")).alias("_c"))
     return by_source.groupBy(*keys).agg(F.count(source).alias("sources"), F.bround(F.max("_c") / F.sum("_c"), 3).alias("top_share"))

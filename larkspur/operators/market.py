@@ -26,9 +26,10 @@ def for_sale(listings: DataFrame) -> DataFrame:
 
 def bands(rows: DataFrame, dimension: str, fractions: dict[str, float] = SHELF, least: int = MIN_SAMPLE) -> DataFrame:
     """Price band of each value of a dimension: size, percentiles, number of sources, the largest source's share."""
-    rows = rows.where(F.col(dimension).isNotNull() & (F.col(dimension).cast("string") != ""))
-    ranks = nearest_ranks(rows, [dimension], "price", fractions).where(F.col("n") >= least)
-    shares = spread(rows.where(F.col("price").isNotNull()), [dimension], "source")
+    rows = rows.where(F.col(dimension).isNotNull() & (F.col(dimension).cast("string") != "") & F.col("price").isNotNull())
+    counts = rows.groupBy(dimension, "source", "price").agg(F.count("*").alias("_n"))  # one pass over the rows feeds both
+    ranks = nearest_ranks(counts, [dimension], "price", fractions, "_n").where(F.col("n") >= least)
+    shares = spread(counts, [dimension], "source", "_n")
     out = ranks.join(shares, dimension)
     return out.select(F.col(dimension).alias("value"), F.col("n").alias("listings"), *fractions, "sources", "top_share", (F.col("top_share") >= CONCENTRATED).alias("concentrated"))
 

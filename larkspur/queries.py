@@ -57,17 +57,17 @@ def bands_sql(dimension: str, where: str, fractions: dict[str, float]) -> str:
 
 @query(bands_sql("kind", SHELF, market.SHELF))
 def market_bands(spark, folder):
-    return market.bands(market.for_sale(listings(spark, folder)), "kind")
+    return market.bands(market.for_sale(listings(spark, folder, "source", "kind", "price", "sold", "active")), "kind")
 
 
 @query(bands_sql("brand", SHELF, market.SHELF))
 def market_bands_by_brand(spark, folder):
-    return market.bands(market.for_sale(listings(spark, folder)), "brand")
+    return market.bands(market.for_sale(listings(spark, folder, "source", "brand", "price", "sold", "active")), "brand")
 
 
 @query(bands_sql("model", SHELF, market.SHELF))
 def market_bands_by_model(spark, folder):
-    return market.bands(market.for_sale(listings(spark, folder)), "model")
+    return market.bands(market.for_sale(listings(spark, folder, "source", "model", "price", "sold", "active")), "model")
 
 
 @query(f"""WITH {LISTINGS_SQL}, s AS (SELECT model, count(*) AS n FROM listings WHERE {SHELF} GROUP BY 1)
@@ -81,7 +81,7 @@ DEPARTED = "price > 0 AND coalesce(sold_at, delisted_at) > first_seen"
 
 @query(bands_sql("brand", DEPARTED, market.QUARTILES))
 def departure_bands(spark, folder):
-    return market.bands(market.departed(listings(spark, folder)), "brand", market.QUARTILES)
+    return market.bands(market.departed(listings(spark, folder, "source", "brand", "price", "first_seen", "sold_at", "delisted_at")), "brand", market.QUARTILES)
 
 
 WATCHING_SQL = "watching AS (SELECT source, min(first_seen) + INTERVAL 30 DAY AS since FROM listings GROUP BY 1)"
@@ -101,7 +101,7 @@ def watching(rows: DataFrame) -> DataFrame:
   s AS (SELECT brand, count(*) AS sources, round_even(max(c) / sum(c), 3) AS top_share FROM (SELECT brand, source, count(*) AS c FROM d GROUP BY ALL) GROUP BY 1)
   SELECT brand AS value, sold, round_even(a, 1) AS fast_days, round_even(b, 1) AS median_days, round_even(c, 1) AS slow_days, sources, top_share FROM b JOIN s USING (brand)""")
 def time_to_sell(spark, folder):
-    rows = listings(spark, folder)
+    rows = listings(spark, folder, "source", "brand", "first_seen", "sold_at", "delisted_at")
     return market.time_to_sell(rows, watching(rows), "brand")
 
 
@@ -127,7 +127,7 @@ POSITION_SQL = """c AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY price
 
 @query(f"WITH {LISTINGS_SQL}, {POSITION_SQL} SELECT item, price, peers, cheaper, dearer, cheaper_than, position FROM p")
 def price_position(spark, folder):
-    rows = listings(spark, folder).where("active and price is not null")
+    rows = listings(spark, folder, "item", "model", "price", "active").where("active and price is not null")
     return market.price_position(rows, ["model"]).select("item", "price", "peers", "cheaper", "dearer", "cheaper_than", "position")
 
 
@@ -137,7 +137,7 @@ def price_position(spark, folder):
   SELECT model, source, price, min(item) AS item, count(*) AS offers, max(cheaper_than) AS cheaper_than, round(max(discount), 6) AS discount, max(vendors) AS vendors, max(median) AS median
   FROM d WHERE cheaper_than >= 80 AND NOT sold AND discount BETWEEN 20 AND 65 AND vendors >= 2 GROUP BY 1, 2, 3""")
 def hot_deals(spark, folder):
-    rows = listings(spark, folder).where("active and price is not null")
+    rows = listings(spark, folder, "item", "source", "model", "price", "sold", "active").where("active and price is not null")
     return market.hot_deals(rows, ["model"]).withColumn("discount", F.round("discount", 6))
 
 
@@ -145,7 +145,7 @@ def hot_deals(spark, folder):
   m AS (SELECT a.model, a.source, median(b.price) AS median FROM (SELECT DISTINCT model, source FROM shelf) a JOIN shelf b ON a.model = b.model AND a.source <> b.source GROUP BY ALL HAVING count(*) >= 5)
   SELECT source, model, item, price, median FROM shelf JOIN m USING (model, source)""")
 def others_median_ratio(spark, folder):
-    return market.others_median(listings(spark, folder))
+    return market.others_median(listings(spark, folder, "item", "source", "model", "price", "sold", "active"))
 
 
 _ARRIVALS = ", ".join(f"count(*) FILTER (seen AND age >= 0 AND age < 28 AND isodow(first_seen) = {d + 1}) AS arrivals_{d}" for d in range(7))
@@ -160,7 +160,7 @@ _ARRIVALS = ", ".join(f"count(*) FILTER (seen AND age >= 0 AND age < 28 AND isod
     round_even(median({DAYS.format("gone", "first_seen")}) FILTER (seen AND gone > first_seen), 1) AS sell_days, {_ARRIVALS} FROM x GROUP BY 1)
   SELECT c.*, compared, price_vs_market FROM c LEFT JOIN q USING (source)""")
 def shop_scorecard(spark, folder):
-    rows = listings(spark, folder)
+    rows = listings(spark, folder, "item", "source", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at")
     return market.scorecards(rows, watching(rows), NOW)
 
 
@@ -243,7 +243,7 @@ def _value_sql(name: str, where: str, keys: str) -> str:
   FROM w LEFT JOIN a ON w.model = a.model AND w.grade = a.grade LEFT JOIN b ON w.model = b.model AND w.grade = b.grade LEFT JOIN c ON w.model = c.model LEFT JOIN d ON w.model = d.model
   WHERE coalesce(a.n, b.n, c.n, d.n) IS NOT NULL""")
 def valuation_fallback(spark, folder):
-    return market.valuation(listings(spark, folder))
+    return market.valuation(listings(spark, folder, "source", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at", "grade"))
 
 
 # ------------------------------------------------------------------------------------------ search and facets
@@ -296,7 +296,7 @@ def conditional_kind_counts(spark, folder):
   b AS (SELECT a.i, a.edge AS lo, z.edge AS hi FROM edges a JOIN edges z ON z.i = a.i + 1)
   SELECT i::INT AS bucket, count(*) AS n FROM p JOIN b ON price >= lo AND (price < hi OR i = 23) GROUP BY 1""")
 def price_histogram_log(spark, folder):
-    return facets.price_histogram(listings(spark, folder))
+    return facets.price_histogram(listings(spark, folder, "price"))
 
 
 @query(f"WITH {LISTINGS_SQL} SELECT item, title, price FROM listings WHERE active AND NOT sold AND kind IN ('PROMO', 'ECONOMY') AND price >= 1000 ORDER BY price, item LIMIT 50 OFFSET 50")
