@@ -229,24 +229,33 @@ def moves(listings: DataFrame, dimension: str, since: datetime, now: datetime, l
 def similar(queries: DataFrame, listings: DataFrame, limit: int = 8, reserve: int = 2) -> DataFrame:
     """Items like each query item: the same model and kind, the model alone, the kind and country, the kind alone.
 
-    ``queries`` is a stated, small set of items. Each band keeps its cheapest ``limit + reserve`` rows per query by a
-    window that stops at that number; the closest band leaves up to ``reserve`` places to wider ones that have rows.
+    The cheapest rows of each group are found once, before any query meets them: a few for each (kind, model, country), of
+    these for each (model, kind), and twice as many for each (kind, country), so that enough are left when the query's own
+    model is taken out. The closest band leaves up to ``reserve`` places to wider ones that have rows.
     """
     q = queries.select(F.col("item").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ("model", "kind", "country")])
     pool = listings.where(F.col("active") & ~F.col("sold")).select("item", "model", "kind", "country", "price")
-    same_kind = pool.join(q, pool.kind == q.q_kind)
-    rung = F.when(F.col("model") == F.col("q_model"), 1).when(F.col("country") == F.col("q_country"), 3).otherwise(4)
-    same_model = pool.join(q, (pool.model == q.q_model)).where(F.col("kind") != F.col("q_kind")).withColumn("rung", F.lit(2))
-    rows = same_kind.withColumn("rung", rung).unionByName(same_model).where("item != query").select("query", "item", "rung", "price")
-    cheapest = Window.partitionBy("query", "rung").orderBy(F.col("price").asc_nulls_last(), "item")
-    rows = rows.withColumn("k", F.row_number().over(cheapest)).where(F.col("k") <= limit + reserve)
-    nearest = F.min("rung").over(Window.partitionBy("query"))
-    rows = rows.withColumn("first", nearest)
-    wider = F.sum((F.col("rung") > F.col("first")).cast("int")).over(Window.partitionBy("query"))
-    rows = rows.withColumn("keep", F.lit(limit) - F.least(F.lit(reserve), wider))
-    late = ((F.col("rung") == F.col("first")) & (F.col("k") > F.col("keep"))).cast("int")
-    order = Window.partitionBy("query").orderBy(late, "rung", "k")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query", "place", "item", "rung", "price")
+    few = limit + reserve + 1  # the query itself may be among them
+
+    def cheapest(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.col("price").asc_nulls_last(), "item")
+        return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
+
+    capped = cheapest(pool, ["kind", "model", "country"], few)
+    by_model = cheapest(capped, ["model", "kind"], few)
+    by_place = cheapest(capped, ["kind", "country"], 2 * few)
+    own = by_model.join(q, F.col("model") == F.col("q_model")).withColumn("rung", F.when(F.col("kind").eqNullSafe(F.col("q_kind")), 1).otherwise(2))
+    other = by_place.join(q, F.col("kind") == F.col("q_kind")).where(~F.col("model").eqNullSafe(F.col("q_model")) | F.col("q_model").isNull())
+    other = other.withColumn("rung", F.when(F.col("country") == F.col("q_country"), 3).otherwise(4))
+    rows = own.unionByName(other).where("item != query").select("query", "item", "rung", "price")
+    order = Window.partitionBy("query", "rung").orderBy(F.col("price").asc_nulls_last(), "item")
+    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit + reserve)
+    whole = Window.partitionBy("query")
+    rows = rows.withColumn("first", F.min("rung").over(whole))
+    wider = F.sum((F.col("rung") > F.col("first")).cast("int")).over(whole)
+    late = ((F.col("rung") == F.col("first")) & (F.col("k") > F.lit(limit) - F.least(F.lit(reserve), F.col("wider")))).cast("int")
+    place = F.row_number().over(whole.orderBy("late", "rung", "k"))
+    return rows.withColumn("wider", wider).withColumn("late", late).withColumn("place", place).where(F.col("place") <= limit).select("query", "place", "item", "rung", "price")
 
 
 def valuation(listings: DataFrame, dimension: str = "model", least: int = MIN_SAMPLE) -> DataFrame:

@@ -227,7 +227,7 @@ def monthly_moves(spark, folder):
   o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY (rung = first AND k > 8 - least(2, wider))::INT, rung, k)::INT AS place FROM w)
   SELECT query, place, item, rung, price FROM o WHERE place <= 8""")
 def similar_banded(spark, folder):
-    rows = listings(spark, folder)
+    rows = listings(spark, folder, "item", "source", "model", "kind", "country", "price", "sold", "active")
     cheapest = rows.where("active and not sold").groupBy("source").agg(F.min(F.struct("price", "item", "model", "kind", "country")).alias("x")).select("x.*")
     return market.similar(cheapest, rows)
 
@@ -533,15 +533,16 @@ def mode_with_fallback(spark, folder):
     return matching.usual(table(spark, folder, "part"), "p_brand", "p_size", yields=10)
 
 
-@query("""WITH t AS (SELECT DISTINCT conv_id, turn, role, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: len(w) >= 3))) AS words FROM conversations),
+@query("""WITH t AS (SELECT page_id, regexp_extract(url, '//([^/?#]+)', 1) AS host,
+    list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '([a-z0-9]+)', 1), lambda w: len(w) >= 3))) AS words FROM pages),
   d AS (SELECT DISTINCT words FROM t), n AS (SELECT count(*) AS n FROM d), f AS (SELECT w, ln(any_value(n) / count(*)) / ln(greatest(any_value(n), 2)) AS r FROM (SELECT unnest(words) AS w FROM d), n GROUP BY 1),
-  a AS (SELECT conv_id * 100 + turn AS k, role, words FROM t WHERE turn % 2 = 0), g AS (SELECT conv_id * 100 + turn AS k, role, words FROM t WHERE turn % 2 = 1),
-  p AS (SELECT a.k, g.k AS donor, list_intersect(a.words, g.words) AS shared_words, least(len(a.words), len(g.words)) AS small FROM a JOIN g ON a.role <> g.role),
-  s AS (SELECT k, donor, any_value(len(shared_words)) AS shared, any_value(small) AS small, sum(r) AS score FROM (SELECT *, unnest(shared_words) AS w FROM p) JOIN f USING (w) GROUP BY 1, 2)
-  SELECT k, arg_min(donor, (-round_even(score, 9), donor)) AS donor, round_even(max(score), 6) AS score FROM s WHERE shared >= 2 AND score >= 1.5 AND shared / small >= 0.34 GROUP BY 1""")
+  a AS (SELECT * FROM t WHERE page_id % 2 = 0), g AS (SELECT * FROM t WHERE page_id % 2 = 1),
+  p AS (SELECT a.page_id, g.page_id AS donor, list_intersect(a.words, g.words) AS shared_words, least(len(a.words), len(g.words)) AS small FROM a JOIN g ON a.host <> g.host),
+  s AS (SELECT page_id, donor, any_value(len(shared_words)) AS shared, any_value(small) AS small, sum(r) AS score FROM (SELECT *, unnest(shared_words) AS w FROM p) JOIN f USING (w) GROUP BY 1, 2)
+  SELECT page_id, arg_min(donor, (-round_even(score, 9), donor)) AS donor, round_even(max(score), 6) AS score FROM s WHERE shared >= 2 AND score >= 1.5 AND shared / small >= 0.34 GROUP BY 1""")
 def idf_best_donor(spark, folder):
-    rows = table(spark, folder, "conversations").withColumn("k", F.col("conv_id") * 100 + F.col("turn"))
-    return matching.best_donors(rows, "k", "role", "text", F.col("turn") % 2 == 0, F.col("turn") % 2 == 1)
+    rows = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return matching.best_donors(rows, "page_id", "host", "title", F.col("page_id") % 2 == 0, F.col("page_id") % 2 == 1)
 
 
 @query(f"WITH {DOCS_SQL} SELECT name, count(DISTINCT doc_id) AS sightings FROM (SELECT doc_id, regexp_extract(text, '([A-Z][a-z]+ License)', 1) AS name FROM docs) WHERE name <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
