@@ -253,7 +253,7 @@ OUTPUT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.Ar
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _marked(data: np.ndarray, x: dict[str, np.ndarray], own: slice, offset: int, size: int, said: dict, length: int) -> np.ndarray:
+def _marked(x: dict[str, np.ndarray], own: slice, offset: int, size: int, said: dict, length: int) -> np.ndarray:
     """Which bytes of a text go."""
     change = np.zeros(size + 1, np.int32)
     for h, c, s, n in zip(x["hash"][own].view(np.int64).tolist(), x["context"][own].view(np.int64).tolist(), (x["start"][own] - offset).tolist(), x["starts"][own].tolist()):
@@ -280,19 +280,22 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, at):
                 data, offsets = text_bytes(part.column(at))
-                x = anchors(data, offsets, length)
-                bounds = np.searchsorted(x["text"], np.arange(part.num_rows + 1))
                 columns = [[] for _ in OUTPUT]
+                asked = np.flatnonzero(part.column(said_at).is_valid().to_numpy(zero_copy_only=False))
+                x = anchors(*text_bytes(part.column(at).take(pa.array(asked))), length)  # texts with decisions only
+                place = np.searchsorted(x["text"], np.arange(len(asked) + 1))
+                shift = np.concatenate([[0], np.cumsum(np.diff(offsets)[asked])])
+                number = {int(i): k for k, i in enumerate(asked)}
                 for i, said in enumerate(part.column(said_at).to_pylist()):
                     own = data[offsets[i] : offsets[i + 1]]
+                    gone = np.zeros(len(own), bool)
                     if said:
                         decided: dict = {}
                         for s in said:  # a context's windows may come in several parts; no ranges: all of it
                             old = decided.get((s["hash"], s["context"]))
                             decided[s["hash"], s["context"]] = s["ranges"] if old is None else (old + s["ranges"] if old and s["ranges"] else [])
-                        gone = _marked(own, x, slice(bounds[i], bounds[i + 1]), int(offsets[i]), len(own), decided, length)
-                    else:
-                        gone = np.zeros(len(own), bool)
+                        k = number[i]
+                        gone = _marked(x, slice(place[k], place[k + 1]), int(shift[k]), len(own), decided, length)
                     edge = _ranges(gone)
                     spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2])]
                     for column, value in zip(columns, (len(own), int(gone.sum()), spans, own[~gone].tobytes(), _whole(own, gone))):
