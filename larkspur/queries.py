@@ -512,18 +512,18 @@ def serial_range_lookup(spark, folder):
     return matching.in_ranges(points, ranges, ["p_brand"], "l_partkey", 64).select("l_orderkey", "l_linenumber", "l_partkey", "range_id")
 
 
-@query("""WITH e AS (SELECT p_brand, p_partkey, p_retailprice FROM part WHERE p_size % 3 = 0), p AS (SELECT p_brand, p_partkey FROM part WHERE p_size % 3 <> 0)
+@query("""WITH e AS (SELECT p_brand, p_partkey, p_retailprice FROM part WHERE p_type = 'PROMO'), p AS (SELECT p_brand, p_partkey FROM part WHERE p_type <> 'PROMO')
   SELECT p_brand, p_partkey, (SELECT max(p_partkey) FROM e WHERE e.p_brand = p.p_brand AND e.p_partkey < p.p_partkey) AS below_at, (SELECT min(p_partkey) FROM e WHERE e.p_brand = p.p_brand AND e.p_partkey > p.p_partkey) AS above_at,
    (SELECT arg_max(p_retailprice, p_partkey) FROM e WHERE e.p_brand = p.p_brand AND e.p_partkey < p.p_partkey) AS below, (SELECT arg_min(p_retailprice, p_partkey) FROM e WHERE e.p_brand = p.p_brand AND e.p_partkey > p.p_partkey) AS above FROM p""")
 def bracketing_neighbours(spark, folder):
     part = table(spark, folder, "part")
-    points = part.where("p_size % 3 <> 0").select("p_brand", "p_partkey", F.col("p_partkey").alias("point"))
-    return matching.bracket(points, part.where("p_size % 3 = 0").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice").drop("point")
+    points = part.where("p_type <> 'PROMO'").select("p_brand", "p_partkey", F.col("p_partkey").alias("point"))
+    return matching.bracket(points, part.where("p_type = 'PROMO'").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice").drop("point")
 
 
-@query(f"WITH {LISTINGS_SQL} SELECT title AS title, min(kind) AS value, count(*) AS rows, count(DISTINCT source) AS sources FROM listings WHERE size = 7 GROUP BY 1 HAVING min(kind) = max(kind) AND count(*) >= 5 AND count(DISTINCT source) >= 2")
+@query(f"WITH {LISTINGS_SQL} SELECT title || size AS k, min(kind) AS value, count(*) AS rows, count(DISTINCT source) AS sources FROM listings GROUP BY 1 HAVING min(kind) = max(kind) AND count(*) >= 5 AND count(DISTINCT source) >= 2")
 def unanimous_vote(spark, folder):
-    return matching.unanimous(listings(spark, folder).where("size = 7"), "title", "kind", "source")
+    return matching.unanimous(listings(spark, folder, "title", "size", "kind", "source").withColumn("k", F.concat("title", "size")), "k", "kind", "source")
 
 
 @query("""WITH c AS (SELECT p_brand, p_size AS v, count(*) AS n FROM part GROUP BY ALL), a AS (SELECT p_brand, sum(n)::BIGINT AS total, arg_max(v, (n, -v)) AS top, max(n) AS n FROM c GROUP BY 1),
@@ -533,16 +533,16 @@ def mode_with_fallback(spark, folder):
     return matching.usual(table(spark, folder, "part"), "p_brand", "p_size", yields=10)
 
 
-@query("""WITH t AS (SELECT page_id, regexp_extract(url, '//([^/?#]+)', 1) AS host,
+@query("""WITH t AS (SELECT page_id, url, regexp_extract(url, '//([^/?#]+)', 1) AS host,
     list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '([a-z0-9]+)', 1), lambda w: len(w) >= 3))) AS words FROM pages),
   d AS (SELECT DISTINCT words FROM t), n AS (SELECT count(*) AS n FROM d), f AS (SELECT w, ln(any_value(n) / count(*)) / ln(greatest(any_value(n), 2)) AS r FROM (SELECT unnest(words) AS w FROM d), n GROUP BY 1),
-  a AS (SELECT * FROM t WHERE page_id % 2 = 0), g AS (SELECT * FROM t WHERE page_id % 2 = 1),
+  a AS (SELECT * FROM t WHERE contains(url, '?')), g AS (SELECT * FROM t WHERE NOT contains(url, '?')),
   p AS (SELECT a.page_id, g.page_id AS donor, list_intersect(a.words, g.words) AS shared_words, least(len(a.words), len(g.words)) AS small FROM a JOIN g ON a.host <> g.host),
   s AS (SELECT page_id, donor, any_value(len(shared_words)) AS shared, any_value(small) AS small, sum(r) AS score FROM (SELECT *, unnest(shared_words) AS w FROM p) JOIN f USING (w) GROUP BY 1, 2)
   SELECT page_id, arg_min(donor, (-round_even(score, 9), donor)) AS donor, round_even(max(score), 6) AS score FROM s WHERE shared >= 2 AND score >= 1.5 AND shared / small >= 0.34 GROUP BY 1""")
 def idf_best_donor(spark, folder):
-    rows = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return matching.best_donors(rows, "page_id", "host", "title", F.col("page_id") % 2 == 0, F.col("page_id") % 2 == 1)
+    rows = table(spark, folder, "pages").select("page_id", "url", F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return matching.best_donors(rows, "page_id", "host", "title", F.col("url").contains("?"), ~F.col("url").contains("?"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT name, count(DISTINCT doc_id) AS sightings FROM (SELECT doc_id, regexp_extract(text, '([A-Z][a-z]+ License)', 1) AS name FROM docs) WHERE name <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
@@ -573,11 +573,11 @@ def weight_lows(spark, folder):
     return matching.lows_by_weight(offers, wanted, "kind", "weight", "each")
 
 
-@query("""WITH v AS (SELECT p_brand, p_partkey AS variant, p_size::DOUBLE AS size FROM part WHERE p_partkey % 40 = 0), r AS (SELECT p_partkey, p_brand, p_size::DOUBLE AS size FROM part)
+@query("""WITH v AS (SELECT p_brand, p_partkey AS variant, p_size::DOUBLE AS size FROM part WHERE p_type = 'ECONOMY'), r AS (SELECT p_partkey, p_brand, p_size::DOUBLE AS size FROM part)
   SELECT r.p_partkey, min(variant) AS variant FROM r JOIN v ON r.p_brand = v.p_brand AND abs(r.size - v.size) <= 2 GROUP BY 1 HAVING count(*) = 1""")
 def variant_link(spark, folder):
-    part = table(spark, folder, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"))
-    variants = part.where("p_partkey % 40 = 0").select("p_brand", F.col("p_partkey").alias("variant"), "size")
+    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("size"))
+    variants = part.where("p_type = 'ECONOMY'").select("p_brand", F.col("p_partkey").alias("variant"), "size")
     return matching.within_tolerance(part, variants, ["p_brand"], "size", 2.0).select("p_partkey", "variant")
 
 
@@ -636,12 +636,12 @@ def snapshots_due(spark, folder):
     return collection.snapshots_due(changes.groupBy("item").agg(F.count("*").alias("n")), taken, "item", datetime(2024, 2, 5))
 
 
-@query(f"""WITH {LISTINGS_SQL}, w AS (SELECT p_partkey AS model FROM part WHERE p_size = 1),
+@query(f"""WITH {LISTINGS_SQL}, w AS (SELECT p_partkey AS model FROM part),
   u AS (SELECT model, 'departed' AS basis, item, -epoch_us(coalesce(sold_at, delisted_at))::DOUBLE AS o FROM listings WHERE {DEPARTED} UNION ALL SELECT model, 'shelf', item, price FROM listings WHERE {SHELF} AND price > 0)
   SELECT model, basis, item, place FROM (SELECT *, row_number() OVER (PARTITION BY model, basis ORDER BY o, item)::INT AS place FROM u JOIN w USING (model)) WHERE place <= 5""")
 def comparables(spark, folder):
-    wanted = table(spark, folder, "part").where("p_size = 1").select(F.col("p_partkey").alias("model"))
-    return collection.comparables(listings(spark, folder), wanted, "model", 5).select("model", "basis", "item", "place")
+    wanted = table(spark, folder, "part").select(F.col("p_partkey").alias("model"))
+    return collection.comparables(listings(spark, folder, "item", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"), wanted, "model", 5).select("model", "basis", "item", "place")
 
 
 SAVED = {"cheap": "max_price=950&status=available", "promo": "kind=PROMO&q=ring", "others": "not_kind=PROMO&not_kind=ECONOMY&min_size=45"}
@@ -656,21 +656,21 @@ def saved_search_news(spark, folder):
 
 
 @query(f"""WITH {LISTINGS_SQL}, o AS (SELECT size % 10 AS reader, source, sum(CAST(price AS DECIMAL(18, 2))) AS goods, sum(CASE WHEN source % 4 > 0 THEN source + 1.0 ELSE 0.0 END) AS sent, count(*) AS n, bool_or(source % 4 = 0) AS open
-    FROM listings WHERE quantity = 7 AND active AND NOT sold AND price > 0 GROUP BY ALL)
-  SELECT reader, sum(n)::BIGINT AS items, sum(goods)::DOUBLE AS goods, round_even(sum(goods)::DOUBLE + sum(sent + CASE WHEN goods >= 5000 THEN 0 ELSE 20 END), 2)::DOUBLE AS delivered, NOT bool_or(open) AS complete FROM o GROUP BY 1""")
+    FROM listings WHERE active AND NOT sold AND price > 0 GROUP BY ALL)
+  SELECT reader, sum(n)::BIGINT AS items, sum(goods)::DOUBLE AS goods, round_even(sum(goods)::DOUBLE + sum(sent + CASE WHEN goods >= 50000 THEN 0 ELSE 20 END), 2)::DOUBLE AS delivered, NOT bool_or(open) AS complete FROM o GROUP BY 1""")
 def wish_totals(spark, folder):
     rows = listings(spark, folder).withColumn("price", F.col("price").cast("decimal(18,2)"))
-    wishes = rows.where("quantity = 7").select((F.col("size") % 10).alias("reader"), "item")
+    wishes = rows.select((F.col("size") % 10).alias("reader"), "item")
     shipping = rows.select("source").distinct().select("source", F.when(F.col("source") % 4 > 0, F.col("source") + 1.0).alias("shipping"))
-    out = collection.wish_totals(wishes, rows, shipping, 20.0, 5000.0)
+    out = collection.wish_totals(wishes, rows, shipping, 20.0, 50000.0)
     return out.withColumn("goods", F.col("goods").cast("double"))
 
 
 @query("""WITH l AS (SELECT s_suppkey AS accessory, s_acctbal AS price, s_suppkey % 3 = 0 AS in_stock, unnest([s_nationkey, (s_nationkey + 1) % 25]) AS model FROM supplier),
-  f AS (SELECT c_custkey AS owned, accessory, min(price) AS price, bool_or(in_stock) AS in_stock FROM customer JOIN l ON c_nationkey = model WHERE c_custkey % 20 = 0 GROUP BY ALL)
+  f AS (SELECT c_custkey AS owned, accessory, min(price) AS price, bool_or(in_stock) AS in_stock FROM customer JOIN l ON c_nationkey = model GROUP BY ALL)
   SELECT owned, accessory, place FROM (SELECT *, row_number() OVER (PARTITION BY owned ORDER BY in_stock DESC, price, accessory)::INT AS place FROM f) WHERE place <= 4""")
 def fits_owned(spark, folder):
-    owned = table(spark, folder, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("owned"), F.col("c_nationkey").alias("model"))
+    owned = table(spark, folder, "customer").select(F.col("c_custkey").alias("owned"), F.col("c_nationkey").alias("model"))
     key = F.col("s_nationkey")
     accessories = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("accessory"), F.col("s_acctbal").alias("price"), (F.col("s_suppkey") % 3 == 0).alias("in_stock"), F.array(key, (key + 1) % 25).alias("lines"))
     return collection.fits(owned, accessories, 4).select("owned", "accessory", "place")
