@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,16 @@ def conditional(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 def price_histogram(rows: DataFrame, value: str = "price", buckets: int = 24) -> DataFrame:
     """Counts in log-spaced buckets from the lowest to the highest value, the last one closed; one bucket if they are equal.
 
-    The ends are one aggregate; the rows then find their bucket by arithmetic, and are corrected against the edges.
+    The ends are one aggregate (two numbers); the rows then find their bucket by arithmetic, corrected against the edges.
     """
     priced = rows.where(F.col(value) > 0)
-    ends = priced.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    step = F.log(F.col("high") / F.col("low")) / buckets
-    edge = lambda i: F.when(i >= buckets, F.col("high")).when(i <= 0, F.col("low")).otherwise(F.col("low") * F.exp(step * i))
-    guess = F.when(step > 0, F.least(F.floor(F.log(F.col(value) / F.col("low")) / step), F.lit(buckets - 1))).otherwise(0)
-    joined = priced.select(value).crossJoin(F.broadcast(ends)).withColumn("i", guess)  # one row of two numbers
-    exact = F.when(F.col("low") == F.col("high"), 0).when(F.col(value) < edge(F.col("i")), F.col("i") - 1).when((F.col("i") < buckets - 1) & (F.col(value) >= edge(F.col("i") + 1)), F.col("i") + 1).otherwise(F.col("i"))
-    return joined.select(exact.cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    low, high = priced.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        return priced.select(F.lit(0).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    step = math.log(high / low) / buckets
+    edges = F.array(*[F.lit(float(low)), *[F.lit(low * math.exp(step * i)) for i in range(1, buckets)], F.lit(float(high))])
+    guess = F.greatest(F.lit(0), F.least(F.floor(F.log(F.col(value) / low) / step).cast("int"), F.lit(buckets - 1)))
+    under, over = F.col(value) < F.get(edges, F.col("i")), (F.col("i") < buckets - 1) & (F.col(value) >= F.get(edges, F.col("i") + 1))
+    placed = priced.select(value, guess.alias("i"))
+    exact = F.when(under, F.col("i") - 1).when(over, F.col("i") + 1).otherwise(F.col("i"))
+    return placed.select(exact.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
