@@ -274,7 +274,7 @@ def _whole(own: np.ndarray, gone: np.ndarray) -> str:
 
 def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
     schema = T.StructType([*[joined.schema[c] for c in kept], *[T.StructField(n, k) for n, k in OUTPUT]])
-    at, said_at, keep = joined.columns.index("_text"), joined.columns.index("said"), [joined.columns.index(c) for c in kept]
+    at, said_at, keep = joined.columns.index("_text"), joined.columns.index("_said"), [joined.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
 
     whole = here.where("n > 1").select("_k1", "_k2", "hash", "context", F.array().cast("array<int>").alias("ranges"))
     partly = here.where("n = 1").join(answers, ["hash", "context"]).select("_k1", "_k2", "hash", "context", "ranges")
-    said = whole.union(partly).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("said"))
+    said = whole.union(partly).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("_said"))
     kept = [c for c in docs.columns if c.lower() not in {n for n, _ in OUTPUT}]
     joined = keyed.select(*kept, "_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("_text")).join(said, ["_k1", "_k2"], "left")
     return _apply(joined, kept, length)
