@@ -51,8 +51,8 @@ def untold(matches: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def wish_totals(wishes: DataFrame, listings: DataFrame, shipping: DataFrame, fee: float, waived_from: float) -> DataFrame:
-    """By reader: what the wished items cost at the door. A source's fee is due once an order, and not from a sum on."""
-    rows = wishes.join(listings.select("item", "source", "price", "active", "sold"), "item").join(shipping, "source", "left")
+    """By reader: what the wished items cost at the door. A source's fee is due once an order, and not from a sum on; a wish counts once."""
+    rows = wishes.select("reader", "item").distinct().join(listings.select("item", "source", "price", "active", "sold"), "item").join(shipping, "source", "left")
     live = rows.where(F.col("active") & ~F.col("sold") & (F.col("price") > 0))
     orders = live.groupBy("reader", "source").agg(F.sum("price").alias("goods"), F.sum(F.coalesce("shipping", F.lit(0.0))).alias("sent"), F.count("*").alias("n"), F.max(F.col("shipping").isNull()).alias("open"))
     due = F.when(F.col("goods") >= waived_from, 0.0).otherwise(fee)
