@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -18,15 +20,19 @@ CHUNK_BYTES = 1 << 19
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/larkspur-{os.getuid()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/larkspur-{os.getuid()}/checkpoints").rstrip("/")
+
+
+_own: set[str] = set()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder, which goes when the application ends (other stores than mounted ones keep it for their own clean-up)."""
+    own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _own and urlparse(own).scheme in ("", "file"):
+        _own.add(own)
+        atexit.register(shutil.rmtree, mounted(own), ignore_errors=True)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
