@@ -86,8 +86,8 @@ def test_measures(spark):
 
 
 def test_offers(spark):
-    got = one(spark, "Take 15% off! Use code SURPLUS15 today, just for you", R.offer)
-    assert tuple(got) == ("15% off", "SURPLUS15", True)
+    got = one(spark, "Take 15% off! Use code AUTUMN15 today, just for you", R.offer)
+    assert tuple(got) == ("15% off", "AUTUMN15", True)
     assert one(spark, "New arrivals. Code of conduct", R.offer) is None
     sent = F.lit(datetime(2024, 12, 20, 12)).cast("timestamp")
     end = lambda t: spark.createDataFrame([(t,)], "t string").select(F.date_format(R.offer_end(F.col("t"), sent), "yyyy-MM-dd HH:mm")).first()[0]
