@@ -13,12 +13,18 @@ anchor: 34 small rows for each distinct fingerprint, spread over 2^27 anchors, a
 Copies share a fingerprint and are collapsed before; a fingerprint has at most 2,080 neighbours within two bits,
 so links stay linear in the number of distinct fingerprints.
 
-Similar texts (``similar_classes``) are those whose shingle vectors have the angle that a similarity of 0.8 gives, or
-less. They differ in up to a sixth of all bits, too many for a guarantee by pigeonhole, so the sketch is longer (512
-bits) and the anchors are the points of random blocks of it (each a code of radius 0): k bits a block, so that unlike texts
-seldom meet, and as many blocks as it takes for a pair at the limit to meet in one with ``CATCH`` = 90 %. Their number
-grows as the 0.23rd power of the texts. At an anchor every sketch is compared with one centre (another one in each
-block), not with all others, so a group of thousands of near copies makes a star for each block; whole sketches decide.
+Similar texts (``similar_classes``) are those whose sets of distinct shingle hashes have a Jaccard similarity of 0.8 or
+more, each pair decided on the sets themselves. Texts of one set are collapsed. Pairs come from two sources:
+
+* Stars: minima of the hashes, three at a time, are anchors, and every set is compared with one centre at each. They
+  lose pairs, but find groups of near copies in a number of comparisons that is linear in the group.
+* Prefixes, which lose none: with all shingles in one order, two sets of that similarity share one of the first
+  n - ceil(0.8 n) + 1 shingles of each. Sets that share one are compared, unless stars have already put them into one
+  component, or their sizes or the shingle's places rule the similarity out. Shingles that a sample of the sets shows to
+  be frequent come last in the order, so boilerplate is hardly ever in a prefix. A cell of the prefixes is a join key.
+
+Before the sets are compared, 512 parity bits of each rule out most unlike ones: they differ in no more bits than the
+sets do in shingles.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any other; a text with fewer words
 than a shingle is one shingle; repeated rows are returned each; a null doc_id keeps its row, but never names a
@@ -37,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, bounded_batches, chunks, cut, mixed, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, mixed, prefix_sums, span_hashes, text_bytes, word_spans
 
 BLOCK = 31
 #: Bit masks of the code's five parity checks: check j covers the positions 1..31 whose number has bit j set.
@@ -45,16 +51,13 @@ CHECKS = [sum(1 << (p - 1) for p in range(1, BLOCK + 1) if p >> j & 1) for j in
 FAMILIES = (0, 1)
 
 
-def shingle_fingerprints(column: pa.Array, width: int, words: int = 1) -> np.ndarray:
-    """The fingerprint of each text of a batch; with more ``words``, a row of fingerprints by hashes derived from the first."""
-    import xxhash
-
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts with one space after each, the start and end of each shingle in them, and the number of shingles of each text."""
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, counts = word_spans(data, offsets)
-    out = np.zeros((len(counts), words), np.uint64)
     if not len(starts):
-        return out[:, 0] if words == 1 else out
+        return np.zeros(0, np.uint8), starts, ends, np.zeros(len(counts), np.int64)
     # words one after the other with one space after each
     sizes = ends - starts
     inside = np.zeros(len(data) + 1, np.int8)
@@ -66,21 +69,30 @@ def shingle_fingerprints(column: pa.Array, width: int, words: int = 1) -> np.nda
     word_start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     word_end = word_start + sizes
 
-    shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    number = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     first_word = np.cumsum(counts) - counts
-    begin = np.cumsum(shingles) - shingles
-    first = np.repeat(first_word - begin, shingles) + np.arange(int(shingles.sum()))
-    last = first + np.repeat(np.minimum(width, counts) - 1, shingles)
+    begin = np.cumsum(number) - number
+    first = np.repeat(first_word - begin, number) + np.arange(int(number.sum()))
+    last = first + np.repeat(np.minimum(width, counts) - 1, number)
+    return joined, word_start[first], word_end[last], number
+
+
+def shingle_fingerprints(column: pa.Array, width: int) -> np.ndarray:
+    """The fingerprint of each text of a batch."""
+    import xxhash
+
+    joined, starts, ends, number = shingles(column, width)
+    out = np.zeros(len(number), np.uint64)
+    if not len(starts):
+        return out
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.array([digest(raw[s:e], 42) for s, e in zip(word_start[first].tolist(), word_end[last].tolist())], np.uint64)
-    has = shingles > 0
-    for k in range(words):
-        own = mixed(hashes + np.uint64(k * 0xD1B54A32D192ED03 & (2**64 - 1))) if k else hashes
-        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, begin[has], axis=0, dtype=np.int32)
-        ones = votes * 2 > shingles[has, None]
-        out[has, k] = np.packbits(ones, axis=1, bitorder="little").copy().view("<u8").ravel()
-    return out[:, 0] if words == 1 else out
+    hashes = np.array([digest(raw[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64)
+    has = number > 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, (np.cumsum(number) - number)[has], axis=0, dtype=np.int32)
+    ones = votes * 2 > number[has, None]
+    out[has] = np.packbits(ones, axis=1, bitorder="little").copy().view("<u8").ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,79 +173,201 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-SKETCH = [f"w{k}" for k in range(8)]
-#: Chance that a pair at the limit of similarity meets at an anchor.
-CATCH = 0.9
+#: Parity bits of a set of shingles.
+PARITY = [f"w{k}" for k in range(8)]
+#: Stars: so many anchors for each set, of so many minima each.
+ANCHORS, MINIMA = 6, 3
+#: Sets that show which shingles are frequent, and the number of them that a frequent one is in.
+SAMPLE, FREQUENT = 20_000, 3
+
 
+def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in rising order, one text after the other; and their number for each text."""
+    joined, starts, ends, number = shingles(column, width)
+    hashes = span_hashes(prefix_sums(joined), starts, ends)
+    text = np.repeat(np.arange(len(number)), number)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.bincount(text[new], minlength=len(number))
 
-def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, w0 .. w7``: a sketch of 512 bits for every row of ``docs``."""
+
+def set_rows(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text, id, size, w0 .. w7`` for every row of ``docs``: a hash of its shingle set, the set's size and parity bits."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * len(PARITY)
         for batch in batches:
             for part in chunks(batch, 1):
-                made = shingle_fingerprints(part.column(1), width, len(SKETCH)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(made[:, k].copy()) for k in range(len(SKETCH))]], ["doc_id", *SKETCH])
+                hashes, number = shingle_sets(part.column(1), width)
+                edge = np.concatenate([[0], np.cumsum(number)])
+                ids = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), 42) for a, b in zip(edge, edge[1:])], np.uint64)
+                at = np.repeat(np.arange(len(number)), number) * bits + (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+                odd = (np.bincount(at, minlength=len(number) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+                words = np.packbits(odd, axis=1, bitorder="little").copy().view("<i8")
+                made = [pa.array(ids.view(np.int64)), pa.array(number.astype(np.int32)), *[pa.array(words[:, k].copy()) for k in range(len(PARITY))]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text", "id", "size", *PARITY])
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{w} long" for w in SKETCH))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, id long, size int, " + ", ".join(f"{w} long" for w in PARITY))
+
+
+def star_pairs(sets: DataFrame, width: int) -> DataFrame:
+    """``a, b``: each set (``id, text``) with one centre at each of its anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1):
+                hashes, number = shingle_sets(part.column(1), width)
+                has = number > 0
+                if not has.any():
+                    continue
+                begin, ids = (np.cumsum(number) - number)[has], part.column(0).filter(pa.array(has))
+                for k in range(ANCHORS):
+                    anchor = np.full(len(begin), k, np.uint64)
+                    for j in range(k * MINIMA, (k + 1) * MINIMA):
+                        anchor = mixed(anchor + np.minimum.reduceat(mixed(hashes + np.uint64((j + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))), begin))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64))], ["id", "anchor"])
+
+    rows = sets.select("id", "text").mapInArrow(run, "id long, anchor long")
+    centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    meet = rows.join(centres.select("anchor", F.col("c.id").alias("b")), "anchor").where(F.col("id") != F.col("b"))
+    return meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def frequent_shingles(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes that FREQUENT or more sets of a bounded sample have, in rising order, and the number of those sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part.column(0), width)[0].view(np.int64))], ["shingle"])
+
+    share = math.ceil((1 << 20) * min(1, SAMPLE / max(1, sets.count())))
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("text")
+    found = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order].astype(np.int32)
+
+
+def prefix_rows(sets: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``shingle, id, label, size, place`` of the shingles in the prefix of each set (``id, label, text``)."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, width))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, often = shared.value
+        for batch in batches:
+            for part in chunks(batch, 2):
+                hashes, number = shingle_sets(part.column(2), width)
+                n = np.zeros(len(hashes), np.int32)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                    n = np.where(frequent[at] == hashes, often[at], 0)
+                text = np.repeat(np.arange(len(number)), number)
+                order = np.lexsort((hashes, n, text))
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(number) - number, number)
+                prefix = number - np.ceil(similarity * number - 1e-9).astype(np.int64) + 1
+                own = np.flatnonzero(place < prefix[text])
+                at = pa.array(text[own])
+                made = [pa.array(hashes[order][own].view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(number[text[own]].astype(np.int32)), pa.array(place[own].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, ["shingle", "id", "label", "size", "place"])
 
-def angle(similarity: float) -> float:
-    """Expected share of differing bits at a similarity (of sets of equal size)."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return sets.select("id", "label", "text").mapInArrow(run, PREFIX)
 
 
-def blocks(texts: int, share: float) -> np.ndarray:
-    """The bit positions of each block, for so many texts and a share of differing bits at the limit."""
-    bits = math.ceil(math.log2(max(texts, 16))) + 2  # so that most anchors have few unlike texts, and centres serve their own kind
-    number = math.ceil(math.log(1 - CATCH) / math.log(1 - 0.9 * (1 - share) ** bits))
-    rng = np.random.default_rng(6)
-    return np.stack([rng.choice(64 * len(SKETCH), bits, replace=False) for _ in range(number)])
+PREFIX = "shingle long, id long, label long, size int, place int"
 
 
-def anchor_points(distinct: DataFrame, positions: np.ndarray) -> DataFrame:
-    """``id, w0, anchor``: a row for each distinct sketch and block."""
+def mixed_cells(rows: DataFrame) -> DataFrame:
+    """The rows of the shingles that sets of more than one label have; one pass over sorted rows, with one shingle's rows at a time in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last shingle, while they have one label
+        own, one, mixed_before = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            last = np.append(first[1:], len(shingle)) - 1
+            several = label[first] != label[last]
+            goes_on = own == int(shingle[0])
+            if goes_on and (mixed_before or one != int(label[last[0]])):
+                several[0] = True
+                yield from held
+                held = []
+            keep = np.repeat(several, last - first + 1)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+            if not goes_on or len(first) > 1:
+                own, one, held = int(shingle[first[-1]]), int(label[first[-1]]), []
+            mixed_before = bool(several[-1])
+            if not mixed_before:
+                held.append(batch.slice(int(first[-1])))
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(run, PREFIX)
+
+
+def prefix_pairs(cells: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all sets of different labels that may have the similarity and share a shingle of their prefixes."""
+    number = cells.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    main = number.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main"))
+    # the largest component of a cell is only met, so its own pairs are not made
+    others = cells.join(main, "shingle").where("label != main").select("shingle", "main", *[F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "place")])
+    once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("_id"))
+    sizes = F.least("size", "_size") >= F.greatest("size", "_size") * similarity - 1e-6
+    most = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
+    places = most >= (F.col("size") + F.col("_size")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = cells.join(others, "shingle").where((F.col("label") != F.col("_label")) & once & sizes & places)
+    return pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets (``id, text, size, w0 .. w7``) have the similarity."""
+    marks = sets.select("id", "size", *PARITY)
+    both = pairs.join(marks.withColumnRenamed("id", "a"), "a").join(marks.select(F.col("id").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("size", *PARITY)]), "b")
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in PARITY[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
+    left = cut(both.where(apart <= (F.col("size") + F.col("_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"), "pairs")
+    wanted = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    texts = cut(sets.select("id", "text").join(wanted, "id", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.int64(1) << np.arange(positions.shape[1], dtype=np.int64)
         for batch in batches:
-            words = np.stack([batch.column(k + 1).to_numpy() for k in range(len(SKETCH))], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-            for k, own in enumerate(positions):
-                value = mixed((bits[:, own].astype(np.int64) @ place).view(np.uint64) + np.uint64(k << 44))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value.view(np.int64))], ["id", "w0", "anchor"])
-
-    return distinct.select("id", *SKETCH).mapInArrow(run, "id long, w0 long, anchor long")
-
-
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of distinct sketches (``id, w0 .. w7``) within the angle of a similarity."""
-    share = angle(similarity)
-    rows = anchor_points(distinct, blocks(distinct.count(), share))
-    first = F.struct(F.xxhash64("anchor", "id").alias("o"), "id", "w0")
-    centres = rows.groupBy("anchor").agg(F.min(first).alias("c"), F.count("*").alias("n")).where("n > 1")
-    centres = centres.select("anchor", F.col("c.id").alias("b"), F.col("c.w0").alias("v0"))
-    apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("v0")))
-    # the first 64 bits tell most unlike texts (32 bits apart, give or take 4) from like ones
-    meet = rows.join(centres, "anchor").where((F.col("id") != F.col("b")) & (apart <= math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))))
-    pairs = meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    left = pairs.join(distinct.select(F.col("id").alias("a"), *SKETCH), "a")
-    both = left.join(distinct.select(F.col("id").alias("b"), *[F.col(w).alias(f"_{w}") for w in SKETCH]), "b")
-    distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in SKETCH[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
-    return both.where(distance <= round(64 * len(SKETCH) * share)).select("a", "b")
+            for outer in chunks(batch, 2):
+                for part in chunks(outer, 3):
+                    (x, nx), (y, ny) = shingle_sets(part.column(2), width), shingle_sets(part.column(3), width)
+                    ex, ey = (np.concatenate([[0], np.cumsum(n)]) for n in (nx, ny))
+                    shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(ex, ex[1:], ey, ey[1:])], np.int64)
+                    keep = pa.array(shared >= similarity * (nx + ny - shared) - 1e-9)
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+
+    rows = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_links(sets: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``a, b``: pairs of sets (``id, text, size, w0 .. w7``) of that Jaccard similarity, enough to reach every such pair over them."""
+    stars = cut(similar_pairs(star_pairs(sets, width), sets, width, similarity), "stars")
+    label = components(stars).withColumnRenamed("id", "of")
+    labelled = sets.join(label, sets.id == label.of, "left").select("id", F.coalesce("label", "id").alias("label"), "text")
+    cells = cut(mixed_cells(prefix_rows(labelled, width, similarity)), "cells")
+    return stars.union(similar_pairs(prefix_pairs(cells, similarity), sets, width, similarity))
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, component_id`` for every row: the smallest doc_id of the texts that are similar, directly or over others."""
-    named = sketches(docs, width, doc_id, text).select("doc_id", F.xxhash64(*SKETCH).alias("id"), *SKETCH)
-    prints = cut(named, "sketches")
-    distinct = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first_doc"), *[F.first(w).alias(w) for w in SKETCH]), "sketches")
-    label = components(similar_links(distinct, similarity)).withColumnRenamed("id", "of")
+    rows = set_rows(docs, width, doc_id, text)
+    prints = cut(rows.select("doc_id", "id"), "sets")
+    one = [F.first(c).alias(c) for c in ("text", "size", *PARITY)]
+    distinct = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), *one), "sets")
+    label = components(similar_links(distinct, width, similarity)).withColumnRenamed("id", "of")
     of = distinct.join(label, distinct.id == label.of, "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
     smallest = of.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    return prints.select("doc_id", "id").join(of.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return prints.join(of.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

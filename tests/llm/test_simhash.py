@@ -108,3 +108,44 @@ def test_similar_texts_are_found_and_others_left(spark):
     assert all(family[got[i]] == family[i] for i in got)  # no clean document is taken for another's copy
     copies = [i for i, g in family.items() if first[g] != i]
     assert sum(got[i] == first[family[i]] for i in copies) >= 0.97 * len(copies)
+
+
+def grams(text, width=5):
+    words = re.findall("[^\x20\x09-\x0d]+", text.lower())
+    return frozenset(" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+
+
+def check_similar(spark, docs):
+    """The classes are those of all pairs of 0.8 or more; returns the number of such pairs."""
+    sets = [grams(t) for _, t in docs]
+    links = [(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 5 * len(x & y) >= 4 * len(x | y)]
+    smallest = list(range(len(docs)))
+    for _ in docs:
+        before = list(smallest)
+        for a, b in links:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+        if smallest == before:
+            break
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(frame).collect()}
+    assert got == {docs[k][0]: docs[s][0] for k, s in enumerate(smallest)}
+    return len(links)
+
+
+def changed(rng, words, times, vocabulary):
+    out = list(words)
+    for k in rng.sample(range(len(out)), times):
+        out[k] = rng.choice(vocabulary)
+    return out
+
+
+def test_similar_texts_of_a_hot_source_are_all_found(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    boilerplate, near, docs = some(200), some(150), []
+    for g in range(150):  # two thirds of each is the boilerplate; pairs from 0.7 to 0.9
+        text = boilerplate + some(100)
+        docs += [text, text[:200] + changed(rng, text[200:], rng.randrange(3, 9), vocabulary)]
+    docs += [changed(rng, near, rng.randrange(4), vocabulary) for _ in range(150)]
+    assert check_similar(spark, [(k, " ".join(t)) for k, t in enumerate(docs)]) > 200
