@@ -149,3 +149,16 @@ def test_similar_texts_of_a_hot_source_are_all_found(spark):
         docs += [text, text[:200] + changed(rng, text[200:], rng.randrange(3, 9), vocabulary)]
     docs += [changed(rng, near, rng.randrange(4), vocabulary) for _ in range(150)]
     assert check_similar(spark, [(k, " ".join(t)) for k, t in enumerate(docs)]) > 200
+
+
+def test_repeated_line_does_not_decide(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    line, docs = some(10) * 100, []
+    for g in range(20):
+        docs.append(some(200) + line)
+    for g in range(60):  # around the limit
+        text = some(200)
+        docs += [text, changed(rng, text, rng.randrange(3, 7), vocabulary)]
+    assert check_similar(spark, [(k, " ".join(t)) for k, t in enumerate(docs)]) > 20
