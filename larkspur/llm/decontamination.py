@@ -4,7 +4,10 @@
 2. Benchmark items are split into passages; their TF-IDF rows are factored by a randomised SVD: tasks multiply their
    rows by a random matrix and its images (partial sums are added up by a shuffle), and the driver orthonormalises
    the result, whose size is bounded by BUCKETS x RANK.
-3. Every document is read in overlapping windows. A window that cannot reach the cosine limit with any passage, by
+3. Every document is read in overlapping windows. A window is a candidate by its cosine with a passage, or by the share
+   of the passage's own squared weight that it covers, whatever else is in the window: the words of an item that many
+   documents carry are cheap, and the other words of the window would outweigh them. A window that cannot reach the
+   covered share with any passage, by each word's largest share in one, nor the cosine limit, by
    its weight in the benchmark's rare words and in its common ones (for each part the smaller of the bound by Cauchy
    and Schwarz and of the sum with each word's largest weight in a passage), is passed over without loss; the others are folded into the latent space and compared with all passages. Cosines are corrected
    for the part of a passage that the factors hold.
@@ -43,6 +46,8 @@ SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0
 class Settings:
     windows: tuple[int, ...] = (32, 64)  # words; a passage is looked for in the smallest window that holds it
     cosine: float = 0.35
+    covered: float = 0.45  # or this share of the passage's own squared weight, a quarter below what ``paraphrase`` keeps
+    floor: float = 0.1  # least idf, so that words which all documents carry still count
     common: float = 0.01  # share of documents from which on a word counts as common (for the bound only)
     exact: float = 0.8
     paraphrase: float = 0.6
@@ -157,11 +162,13 @@ class Index:
     shared: dict[int, float]  # for each window size the largest common part of a passage
     at: np.ndarray  # bucket -> row of ``vectors``, or -1
     most: np.ndarray  # for each row the largest weight in a passage
+    most_share: np.ndarray  # for each row the largest weight in a passage, over the passage's length
     vectors: np.ndarray
     items: list[tuple[int, np.ndarray]]  # item_id and its words
     passage_item: np.ndarray
     passage_range: np.ndarray
     passage_window: np.ndarray
+    passage_length: np.ndarray  # of the TF-IDF row before scaling
     latent: np.ndarray  # passages x rank, divided by the squared length that the factors hold
 
 
@@ -177,9 +184,13 @@ def build(spark, items: list[tuple[int, np.ndarray]], idf: np.ndarray, settings:
     used = np.unique(np.concatenate([r for r, _ in rows])).astype(np.int64)
     at = np.full(BUCKETS, -1, np.int32)
     at[used] = np.arange(len(used))
-    most = np.zeros(len(used))
-    for bucket, weight in rows:
+    most, most_share = np.zeros(len(used)), np.zeros(len(used))
+    length = np.ones(len(rows))
+    for k, (bucket, weight) in enumerate(rows):
+        raw = np.unique(bucket_of(items[of[k]][1][slice(*ranges[k])]), return_counts=True)[1] * idf[bucket]
+        length[k] = max(math.sqrt(float((raw * raw).sum())), 1e-6)
         np.maximum.at(most, at[np.array(bucket)], weight)
+        np.maximum.at(most_share, at[np.array(bucket)], np.array(weight) / length[k])
     frame = spark.createDataFrame(rows, "bucket array<int>, weight array<float>").repartition(8)
     vectors = factors(frame, len(rows), at, len(used))
     latent = np.stack([np.array(w, np.float32) @ vectors[at[np.array(b)]] for b, w in rows])
@@ -193,7 +204,7 @@ def build(spark, items: list[tuple[int, np.ndarray]], idf: np.ndarray, settings:
     limit = -math.log(settings.common)
     part = np.array([math.sqrt(sum(x * x for b, x in zip(*row) if idf[b] <= limit)) for row in rows])
     shared = {w: float(part[window == w].max()) for w in set(window.tolist())}
-    return Index(idf, words, maybe, limit, shared, at, most, vectors, items, np.array(of), ranges, window, latent)
+    return Index(idf, words, maybe, limit, shared, at, most, most_share, vectors, items, np.array(of), ranges, window, length, latent)
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -228,6 +239,7 @@ def _candidates(index: Index, settings: Settings, hashes: np.ndarray, counts: np
     energy = sums(np.arange(len(hashes)), square)
     is_common = w[inside] <= index.limit
     parts = [(chosen, sums(chosen, square[chosen]), sums(chosen, w[chosen] * index.most[row[chosen]])) for chosen in (inside[~is_common], inside[is_common])]
+    reach = sums(inside, w[inside] * index.most_share[row[inside]])
     first = np.cumsum(counts) - counts
     for size in settings.windows:
         own = np.flatnonzero(index.passage_window == size)
@@ -240,13 +252,15 @@ def _candidates(index: Index, settings: Settings, hashes: np.ndarray, counts: np
         end = np.minimum(start + size, (first + counts)[text])
         total = energy[end] - energy[start]
         bound = sum(np.minimum(most * np.sqrt(np.maximum(a[end] - a[start], 0)), b[end] - b[start]) for most, (_, a, b) in zip((1.0, index.shared[size]), parts))
-        near = np.flatnonzero((bound * 1.0001 + 1e-6 >= settings.cosine * np.sqrt(np.maximum(total, 0))) & (total > 0))
+        may = (bound * 1.0001 + 1e-6 >= settings.cosine * np.sqrt(np.maximum(total, 0))) | ((reach[end] - reach[start]) * 1.0001 + 1e-6 >= settings.covered)
+        near = np.flatnonzero(may & (total > 0))
         for i in near.tolist():
             a, b = start[i], end[i]
             some = np.flatnonzero(row[a:b] >= 0) + a
             q = w[some] @ index.vectors[row[some]]
-            cosine = index.latent[own] @ q / math.sqrt(total[i])
-            for p in np.flatnonzero(cosine >= settings.cosine).tolist():
+            dot = index.latent[own] @ q
+            cosine = dot / math.sqrt(total[i])
+            for p in np.flatnonzero((cosine >= settings.cosine) | (dot >= settings.covered * index.passage_length[own])).tolist():
                 yield int(text[i]), int(a - first[text[i]]), int(own[p]), float(cosine[p])
 
 
@@ -294,7 +308,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     """``docs`` with ``matches``: the items (item_id, text) of ``benchmark`` that contaminate each text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    idf = inverse_frequencies(docs, text)
+    idf = np.maximum(inverse_frequencies(docs, text), np.float32(settings.floor))
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     benchmark = cut(benchmark, "benchmark")
     parts = max(1, -(-benchmark.count() // BLOCK_ITEMS))

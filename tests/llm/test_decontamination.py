@@ -85,3 +85,22 @@ def test_odd_rows(spark, world):
     assert sorted((r.doc_id is None, r.doc_id, [m.item_id for m in r.matches]) for r in out.where("doc_id is not null").collect()) == [(False, i, [1] if i > 2 else []) for i in range(6)]
     assert [len(r.matches) for r in out.where("doc_id is null").collect()] == [1]
     assert dc.clean(df, bench.limit(0)).count() == 7 and dc.annotate(df.limit(0), bench).count() == 0
+
+
+def test_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(8)) for _ in range(30_000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(n) for n in (16, 22, 35, 50)] + [prose(40) for _ in range(20)]
+    docs, want = [], set()
+    for d in range(600):
+        body = prose(rng.randrange(100, 300))
+        if d % 3 == 0:
+            k = d // 3 % 4 if d % 2 else 0
+            at = rng.randrange(len(body))
+            body[at:at] = items[k]
+            want.add((d, k))
+        docs.append((d, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == want
