@@ -358,24 +358,29 @@ def similar_links(sets: DataFrame, width: int, similarity: float) -> DataFrame:
     return stars.union(similar_pairs(prefix_pairs(cells, similarity), sets, width, similarity))
 
 
-def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id`` for every row: the smallest doc_id of the texts that are similar, directly or over others."""
+def similar_rows(docs: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, _text, label, component_id`` for every row: a hash of the text, and the component with its smallest doc_id."""
     rows = set_rows(docs, width, doc_id, text)
-    prints = cut(rows.select("doc_id", "id"), "sets")
+    prints = cut(rows.select("doc_id", F.xxhash64("text").alias("_text"), "id"), "sets")
     one = [F.first(c).alias(c) for c in ("text", "size", *PARITY)]
     distinct = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), *one), "sets")
     label = components(similar_links(distinct, width, similarity)).withColumnRenamed("id", "of")
     of = distinct.join(label, distinct.id == label.of, "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
     smallest = of.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    return prints.join(of.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return prints.join(of.join(smallest, "label").select("id", "label", "component_id"), "id").select("doc_id", "_text", "label", "component_id")
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id`` for every row: the smallest doc_id of the texts that are similar, directly or over others."""
+    return similar_rows(docs, width, similarity, doc_id, text).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class of similar texts: the one with the smallest doc_id, once if its row repeats.
 
-    A row with a null doc_id stays, as nothing tells it from another one.
+    Rows of one doc_id and different texts are decided each on its own. A row with a null doc_id stays, as nothing tells it from another one.
     """
-    group = similar_classes(docs, width, similarity)
-    gone = group.where("doc_id != component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return first.union(docs.where("doc_id is null"))
+    named = similar_rows(docs, width, similarity).where("doc_id is not null")
+    kept = named.groupBy("label").agg(F.min(F.struct("doc_id", "_text")).alias("k")).select("k.*")
+    first = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).join(kept, ["doc_id", "_text"], "left_semi")
+    return first.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).union(docs.where("doc_id is null"))

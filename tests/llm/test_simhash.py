@@ -162,3 +162,9 @@ def test_repeated_line_does_not_decide(spark):
         text = some(200)
         docs += [text, changed(rng, text, rng.randrange(3, 7), vocabulary)]
     assert check_similar(spark, [(k, " ".join(t)) for k, t in enumerate(docs)]) > 20
+
+
+def test_rows_of_one_id_are_decided_by_text(spark):
+    one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    docs = spark.createDataFrame([(1, one), (2, one), (2, other), (3, third), (3, other), (3, third)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, one), (2, other), (3, third)]
