@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import days_between, half_even, whole_days
-from ..functions.ranks import nearest_ranks, spread
+from ..functions.ranks import linear_percentiles, nearest_ranks, spread
 
 MIN_SAMPLE, CONCENTRATED = 5, 0.70
+#: Ranks in a block that sources and prices meet by.
+BLOCK = 64
 SHELF = {"low": 0.10, "median": 0.50, "high": 0.90}
 QUARTILES = {"low": 0.25, "median": 0.50, "high": 0.75}
 
@@ -54,7 +56,7 @@ def time_to_sell(listings: DataFrame, watching: DataFrame, dimension: str, least
     left = F.least("sold_at", "delisted_at")
     rows = listings.where(left.isNotNull()).join(watching, "source").where(F.col("first_seen") > F.col("since"))
     rows = rows.select(dimension, "source", days_between(left, F.col("first_seen")).alias("days")).where("days > 0")
-    ranks = nearest_ranks(rows, [dimension], "days", {"fast_days": 0.25, "median_days": 0.5, "slow_days": 0.75}).where(F.col("n") >= least)
+    ranks = nearest_ranks(rows, [dimension], "days", {"fast_days": 0.25, "median_days": 0.5, "slow_days": 0.75}, split=True).where(F.col("n") >= least)
     out = ranks.join(spread(rows, [dimension], "source"), dimension)
     return out.select(F.col(dimension).alias("value"), F.col("n").alias("sold"), *[half_even(F.col(c), 1).alias(c) for c in ("fast_days", "median_days", "slow_days")], "sources", "top_share")
 
@@ -113,7 +115,7 @@ def hot_deals(rows: DataFrame, group: list[str], cheaper_than: int = 80, low: fl
     Sold items are peers and never deals. Of the same offers (group, source, price) the first item stays with their number.
     """
     placed = price_position(rows, group)
-    medians = rows.groupBy(*group).agg(F.median("price").alias("median"))
+    medians = linear_percentiles(rows, group, "price", {"median": 0.5}).drop("n")
     shops = rows.select(*group, "source").distinct().groupBy(*group).agg(F.count("*").alias("vendors"))
     found = placed.where(F.col("cheaper_than") >= cheaper_than).join(medians, group).join(shops, group)
     found = found.withColumn("discount", 100 * (F.col("median") - F.col("price")) / F.col("median"))
@@ -125,23 +127,32 @@ def hot_deals(rows: DataFrame, group: list[str], cheaper_than: int = 80, low: fl
 def others_median(listings: DataFrame, least: int = 5) -> DataFrame:
     """``source, model, price, median``: each item on the shelf with the median of the model's other sources (two or more sources, enough rows).
 
-    The exact median without one source is found from counts by (model, source, price): the two middle ranks of the
-    others are looked up in the running totals, of which each source's own part is taken away.
+    The two middle ranks of the others lie among the ranks of all rows from the lower one to the higher one plus the
+    source's own rows. So a source meets only the prices within its own number of rows of the middle: all sources of a
+    model together meet about as many prices as the model has rows, and no source meets all prices. Ranks are cut into
+    blocks of BLOCK for that, which join by equality.
     """
     shelf = for_sale(listings).where(F.col("price") > 0)
     counts = shelf.groupBy("model", "source", "price").agg(F.count("*").alias("c"))
-    totals = counts.groupBy("model").agg(F.sum("c").alias("n"), F.count_distinct("source").alias("sources"))
-    own = counts.groupBy("model", "source").agg(F.sum("c").alias("own")).join(totals, "model").where("sources >= 2")
-    own = own.select("model", "source", (F.col("n") - F.col("own")).alias("m")).where(F.col("m") >= least)
-    # one row for each source and price of its model: bounded by sources x prices of a model
     prices = counts.groupBy("model", "price").agg(F.sum("c").alias("all"))
-    grid = own.join(prices, "model").join(counts.withColumnRenamed("c", "mine"), ["model", "source", "price"], "left")
-    rest = F.col("all") - F.coalesce("mine", F.lit(0))
-    upto = Window.partitionBy("model", "source").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.select("model", "source", "price", "m", rest.alias("rest"), F.sum(rest).over(upto).alias("upto"))
-    first, second = F.floor((F.col("m") - 1) / 2), F.floor(F.col("m") / 2)
-    at = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("rest") <= i), F.col("price")))
-    medians = grid.groupBy("model", "source").agg(((at(first) + at(second)) / 2).alias("median"))
+    upto = Window.partitionBy("model").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prices = prices.select("model", "price", "all", F.sum("all").over(upto).alias("upto"))
+    totals = counts.groupBy("model").agg(F.sum("c").alias("n"))
+    own = counts.groupBy("model", "source").agg(F.sum("c").alias("own")).join(totals, "model")
+    m = F.col("n") - F.col("own")
+    own = own.where(m >= least).select("model", "source", F.floor((m - 1) / 2).alias("first"), F.floor(m / 2).alias("second"), "own")
+    blocks = lambda low, high: F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("block")
+    asked = own.select("model", "source", "first", "second", "own", blocks(F.col("first"), F.col("second") + F.col("own")))
+    offered = prices.select("model", "price", "all", "upto", blocks(F.col("upto") - F.col("all"), F.col("upto") - 1))
+    met = asked.join(offered, ["model", "block"]).where((F.col("upto") > F.col("first")) & (F.col("upto") - F.col("all") <= F.col("second") + F.col("own")))
+    # a price may be met in several blocks; the source's own rows at and below it are taken away
+    none = F.lit(None).cast("long")
+    both = met.select("model", "source", "price", "all", "upto", "first", "second", F.lit(0).cast("long").alias("c")).unionByName(counts.select("model", "source", "price", none.alias("all"), none.alias("upto"), none.alias("first"), none.alias("second"), "c"))
+    cells = both.groupBy("model", "source", "price").agg(F.max("all").alias("all"), F.max("upto").alias("upto"), F.max("first").alias("first"), F.max("second").alias("second"), F.sum("c").alias("c"))
+    below = Window.partitionBy("model", "source").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumns({"end": F.col("upto") - F.sum("c").over(below), "rest": F.col("all") - F.col("c")}).where("upto is not null")
+    at = lambda i: F.max(F.when((F.col("end") > F.col(i)) & (F.col("end") - F.col("rest") <= F.col(i)), F.col("price")))
+    medians = cells.groupBy("model", "source").agg(((at("first") + at("second")) / 2).alias("median"))
     return shelf.join(medians, ["model", "source"]).select("source", "model", "item", "price", "median")
 
 
@@ -156,12 +167,14 @@ def scorecards(listings: DataFrame, watching: DataFrame, now: datetime, compared
         F.count_if(F.col("active") & ~F.col("sold")).alias("for_sale"),
         F.count_if(seen & (age < 7)).alias("new_this_week"),
         F.count_if(whole_days(at, left) < 30).alias("left_last_30_days"),
-        F.median(F.when(seen & (left > F.col("first_seen")), days_between(left, F.col("first_seen")))).alias("_days"),
         *weekdays,
     )
-    ratios = others_median(listings).groupBy("source").agg(F.count("*").alias("compared"), F.median(F.col("price") / F.col("median")).alias("_ratio")).where(F.col("compared") >= compared)
-    out = counts.join(ratios, "source", "left")
-    return out.select("source", "for_sale", "new_this_week", "left_last_30_days", half_even(F.col("_days"), 1).alias("sell_days"), *[f"arrivals_{d}" for d in range(7)], "compared", half_even(F.col("_ratio"), 3).alias("price_vs_market"))
+    stays = rows.where(seen & (left > F.col("first_seen"))).select("source", days_between(left, F.col("first_seen")).alias("days"))
+    stays = linear_percentiles(stays, ["source"], "days", {"_days": 0.5}, split=True).drop("n")
+    prices = others_median(listings).select("source", (F.col("price") / F.col("median")).alias("ratio"))
+    ratios = linear_percentiles(prices, ["source"], "ratio", {"_ratio": 0.5}, split=True).where(F.col("n") >= compared)
+    out = counts.join(stays, "source", "left").join(ratios, "source", "left")
+    return out.select("source", "for_sale", "new_this_week", "left_last_30_days", half_even(F.col("_days"), 1).alias("sell_days"), *[f"arrivals_{d}" for d in range(7)], F.col("n").alias("compared"), half_even(F.col("_ratio"), 3).alias("price_vs_market"))
 
 
 def first_drops(changes: DataFrame) -> DataFrame:
@@ -179,7 +192,9 @@ def cut_habit(changes: DataFrame, seen: DataFrame, now: datetime, least: int = 1
     """
     cuts = first_drops(changes).join(seen, "item").where(F.col("at") > F.col("first_seen"))
     cuts = cuts.select("source", days_between(F.col("at"), F.col("first_seen")).alias("days"), ((F.col("was") - F.col("price")) / F.col("was") * 100).alias("pct"))
-    habits = cuts.groupBy("source").agg(F.count("*").alias("drops"), F.median("days").alias("_day"), F.median("pct").alias("_pct")).where(F.col("drops") >= least)
+    days = linear_percentiles(cuts, ["source"], "days", {"_day": 0.5}, split=True)
+    sizes = linear_percentiles(cuts, ["source"], "pct", {"_pct": 0.5}, split=True).drop("n")
+    habits = days.withColumnRenamed("n", "drops").join(sizes, "source").where(F.col("drops") >= least)
     old = seen.join(habits, "source").where(whole_days(instant(now), F.col("first_seen")) >= F.col("_day")).groupBy("source").agg(F.count("*").alias("_old"))
     out = habits.join(old, "source", "left")
     share = F.when(F.col("_old") > 0, half_even(F.least(F.lit(1.0), F.col("drops") / F.col("_old")), 3)).otherwise(0.0)
