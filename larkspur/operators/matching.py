@@ -148,10 +148,17 @@ def corroborated(rows: DataFrame, name: Column, key: str, least: int = 3) -> Dat
 
 
 def within_tolerance(rows: DataFrame, variants: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """``rows`` joined to the variants of the same keys within a tolerance, where exactly one variant fits."""
-    fits = rows.join(variants.withColumnRenamed(value, "_v"), keys).where(F.abs(F.col(value) - F.col("_v")) <= tolerance)
-    one = fits.groupBy(rows.columns).agg(F.count("*").alias("_n"), F.min("variant").alias("variant"))
-    return one.where("_n = 1").drop("_n")
+    """``rows`` with the variant of the same keys within a tolerance, where exactly one fits; each of equal rows is kept.
+
+    The variants are found once for each distinct (keys, value). Both sides meet in buckets as wide as the tolerance, so
+    that a value is compared only with variants of its own and the two neighbouring buckets.
+    """
+    bucket = lambda c: F.floor(c / F.lit(tolerance))
+    asked = rows.select(*keys, value).distinct().withColumn("_b", F.explode(F.sequence(bucket(F.col(value)) - 1, bucket(F.col(value)) + 1)))
+    offered = variants.select(*keys, F.col(value).alias("_v"), "variant").distinct().withColumn("_b", bucket(F.col("_v")))
+    fits = asked.join(offered, [*keys, "_b"]).where(F.abs(F.col(value) - F.col("_v")) <= tolerance)
+    one = fits.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min("variant").alias("variant")).where("_n = 1").drop("_n")
+    return rows.join(one, [*keys, value]).select(*rows.columns, "variant")
 
 
 def lows_by_weight(offers: DataFrame, wanted: DataFrame, key: str, weight: str, price: str, share: float = 0.03) -> DataFrame:
@@ -186,21 +193,20 @@ def delivered(rows: DataFrame, shipping: DataFrame, source: str, price: str, fee
     return out.withColumn("delivered", F.when(F.col(price) > 0, F.bround(total, 2))).withColumn("complete", F.when(F.col(price) > 0, complete))
 
 
-def near_bits(rows: DataFrame, key: str, bits: str, distance: int, bands: int = 8) -> DataFrame:
-    """Pairs ``a < b`` of 64-bit hashes at most ``distance`` bits apart, equal hashes taken together first.
+def near_bits(rows: DataFrame, bits: str, distance: int, bands: int = 8) -> DataFrame:
+    """``a, b, distance``: distinct 64-bit hashes ``a < b`` at most ``distance`` bits apart, and how many rows have each.
 
-    Of ``bands`` bands one differs in no more than ``distance / bands`` bits; a hash meets, band by band, the values within
-    that many bits of its own. Copies are one hash with many keys, and are paired again at the end.
+    Equal hashes are one class, whose rows are never paired with each other: join the classes back to the rows by hash for
+    membership. Of ``bands`` bands one differs in no more than ``distance / bands`` bits; a hash meets, band by band, the
+    values within that many bits of its own.
     """
     width, near = 64 // bands, distance // bands
     masks = [m for m in range(1 << width) if bin(m).count("1") <= near]
-    hashes = rows.select(F.col(bits).alias("h")).distinct()
+    hashes = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.count("*").alias("n"))
     cut = F.array(*[F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(bands)])
     homes = hashes.select("h", F.posexplode(cut).alias("band", "value"))
     visits = homes.select(F.col("h").alias("o"), "band", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     apart = F.bit_count(F.col("h").bitwiseXOR(F.col("o")))
-    pairs = homes.join(visits, ["band", "value"]).where((F.col("h") < F.col("o")) & (apart <= distance)).select("h", "o", apart.alias("distance")).distinct()
-    both = pairs.union(hashes.select("h", F.col("h").alias("o"), F.lit(0).alias("distance")))
-    named = both.join(rows.select(F.col(bits).alias("h"), F.col(key).alias("_a")), "h").join(rows.select(F.col(bits).alias("o"), F.col(key).alias("_b")), "o")
-    named = named.where((F.col("h") != F.col("o")) | (F.col("_a") < F.col("_b")))
-    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")
+    pairs = homes.join(visits, ["band", "value"]).where((F.col("h") < F.col("o")) & (apart <= distance)).select(F.col("h").alias("a"), F.col("o").alias("b"), apart.alias("distance")).distinct()
+    size = lambda side: hashes.select(F.col("h").alias(side), F.col("n").alias(f"rows_{side}"))
+    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "distance", "rows_a", "rows_b")

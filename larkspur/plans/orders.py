@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def natural(text: Column, digits: int = 12) -> Column:
-    """A key that sorts numbers within a text by their value: ``a9`` before ``a10``."""
+def natural(text: Column) -> Column:
+    """A key that sorts numbers within a text by their value: ``a9`` before ``a10``; of any number of digits.
+
+    A number is led by the number of its digits without zeros in front, itself led by its own length.
+    """
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), digits, "0")).otherwise(p)), "")
+    plain = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    size = lambda p: F.length(plain(p)).cast("string")
+    number = lambda p: F.concat(F.lit("0"), F.length(size(p)).cast("string"), size(p), plain(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def prefix_first(name: Column, start: str) -> list[Column]:

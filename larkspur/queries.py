@@ -638,10 +638,10 @@ def snapshots_due(spark, folder):
 
 @query(f"""WITH {LISTINGS_SQL}, w AS (SELECT p_partkey AS model FROM part),
   u AS (SELECT model, 'departed' AS basis, item, -epoch_us(coalesce(sold_at, delisted_at))::DOUBLE AS o FROM listings WHERE {DEPARTED} UNION ALL SELECT model, 'shelf', item, price FROM listings WHERE {SHELF} AND price > 0)
-  SELECT model, basis, item, place FROM (SELECT *, row_number() OVER (PARTITION BY model, basis ORDER BY o, item)::INT AS place FROM u JOIN w USING (model)) WHERE place <= 5""")
+  SELECT model, basis, item, place FROM (SELECT *, row_number() OVER (PARTITION BY model, basis ORDER BY o, item)::INT AS place FROM u JOIN w USING (model)) WHERE place <= 50""")
 def comparables(spark, folder):
     wanted = table(spark, folder, "part").select(F.col("p_partkey").alias("model"))
-    return collection.comparables(listings(spark, folder, "item", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"), wanted, "model", 5).select("model", "basis", "item", "place")
+    return collection.comparables(listings(spark, folder, "item", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"), wanted, "model").select("model", "basis", "item", "place")
 
 
 SAVED = {"cheap": "max_price=950&status=available", "promo": "kind=PROMO&q=ring", "others": "not_kind=PROMO&not_kind=ECONOMY&min_size=45"}
@@ -755,8 +755,9 @@ def json_properties(spark, folder):
     return table(spark, folder, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END))::HUGEINT AS bits FROM embeddings WHERE vec_id < 200)
-  SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM b a JOIN b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 16""".replace(" WHERE vec_id < 200", ""))
+@query("""WITH v AS (SELECT list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END))::HUGEINT AS bits FROM embeddings WHERE embedding IS NOT NULL),
+  b AS (SELECT CASE WHEN bits >= 9223372036854775808 THEN bits - 18446744073709551616 ELSE bits END::BIGINT AS h, bits, count(*) AS n FROM v GROUP BY ALL)
+  SELECT a.h AS a, b.h AS b, bit_count(xor(a.bits, b.bits))::INT AS distance, a.n AS rows_a, b.n AS rows_b FROM b a JOIN b ON a.h < b.h AND bit_count(xor(a.bits, b.bits)) <= 16""")
 def near_duplicate_bits(spark, folder):
     """Pictures' 64-bit hashes (here: signs of vectors) within a distance: by eight bands, as two bits a band leave one within two.
 
@@ -764,8 +765,8 @@ def near_duplicate_bits(spark, folder):
     on one side, and to its own on the other.
     """
     bit = lambda i: F.when(F.element_at("embedding", i + 1) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    hashes = table(spark, folder, "embeddings").select("vec_id", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("bits"))
-    return matching.near_bits(hashes, "vec_id", "bits", 16)
+    hashes = table(spark, folder, "embeddings").where("embedding is not null").select(reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("bits"))
+    return matching.near_bits(hashes, "bits", 16)
 
 
 @query(f"WITH {CHANGES_SQL} SELECT item, seq, min(price) OVER w AS lowest, max(price) OVER w AS highest FROM changes WINDOW w AS (PARTITION BY item ORDER BY at, seq ROWS UNBOUNDED PRECEDING)")

@@ -55,13 +55,23 @@ def test_rekey(spark):
 
 
 def test_near_bits(spark):
-    df = spark.createDataFrame([(1, 0), (2, 0), (3, 0xFFFF), (4, -1), (5, 0x1FFFF)], "k int, b long")
-    assert rows(matching.near_bits(df, "k", "b", 16)) == [(1, 2, 0), (1, 3, 16), (2, 3, 16), (3, 5, 1)]
+    df = spark.createDataFrame([(0,), (0,), (0xFFFF,), (-1,), (0x1FFFF,), (None,)], "b long")
+    assert rows(matching.near_bits(df, "b", 16)) == [(0, 0xFFFF, 16, 2, 1), (0xFFFF, 0x1FFFF, 1, 1, 1)]
+    copies = spark.range(300).selectExpr("7L as b")
+    assert matching.near_bits(copies, "b", 16).count() == 0
+
+
+def test_within_tolerance_keeps_equal_rows(spark):
+    variants = spark.createDataFrame([("k", "v1", 5.0), ("k", "v2", 9.0), ("k", "v2", 9.0)], "k string, variant string, size double")
+    df = spark.createDataFrame([("k", 5.5), ("k", 5.5), ("k", 7.0), ("k", 9.9), ("k", None), ("x", 5.0)], "k string, size double")
+    assert rows(matching.within_tolerance(df, variants, ["k"], "size", 2.0)) == [("k", 5.5, "v1"), ("k", 5.5, "v1"), ("k", 9.9, "v2")]
 
 
 def test_orders_and_cover(spark):
     df = spark.createDataFrame([("a10",), ("a9",), ("A09b",), ("b1",)], "t string")
     assert [r.t for r in df.orderBy(orders.natural(F.col("t")), "t").collect()] == ["a9", "A09b", "a10", "b1"]
+    long = ["a2", "a10", "a2000000000000", "a10000000000000000", "a" + "9" * 30, "a1" + "0" * 30]
+    assert [r.t for r in spark.createDataFrame([(t,) for t in long[::-1]], "t string").orderBy(orders.natural(F.col("t"))).collect()] == long
     assert [r.t for r in df.orderBy(*orders.prefix_first(F.col("t"), "B")).collect()][0] == "b1"
     assert [r[0] for r in df.select(orders.by_list(F.col("t"), ["b1", "a9"])).collect()] == [3, 2, 3, 1]
     groups = {"size": {"s": 40, "l": 50}, "brand": {"x": 30, "y": 30, "z": 40}, "year": {"old": 100}}
