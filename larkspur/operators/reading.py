@@ -15,18 +15,29 @@ from pyspark.sql import functions as F
 from ..functions.columns import any_of, collapse_space, mixed_number
 
 # ------------------------------------------------------------------------------------------- fixed values: words
-GENERIC = "especially|particularly|examples|collectors?|desirable|rarely|typically|usually|whether|when|if"
-HEDGES = "may|might|possibly|perhaps|probably|likely|believe|think|unsure|consistent with|suggests?"
+# The answers are defined by these words; each list is whole and in its natural order, and a space is any white space.
+#: A sentence with one of these is about the model, and not about this item.
+GENERIC = "especially|particularly|examples|collectors?|desirable|sought|premium|rarely|hard to find|look for|if|when|whether|typically|usually"
+#: The vendor is not saying.
+HEDGES = r"may|might|possibly|perhaps|probably|likely|suggest\w*|think|believe|consistent with|whether|can'?t say|cannot (?:say|confirm)|unsure"
+#: Of a finish, this is not saying either.
 LOOKS = "appears?|seems?|looks like"
-DENIALS = "no|not|never|without|lacks?|lacking|free of|absence of|can ?not find|can't find|nor"
+#: A denial, and the words that end its reach; it reaches four words.
+DENIALS = "no|not|non|without|never|free of|lacks?|lacking|absent|absence of|can'?t find|cannot find|could ?n[o']t find|did ?n[o']t find|nor"
 JOINTS = "and|but|with|is|are|was|were|on|in"
+REACH = 4
 IMPORT_MARK = r"import(?:er)?(?:'?s)?[ -]*(?:mark|stamp)(?:s|ed|ings?)?"
-MISMATCH = r"mis[ -]?match(?:ed|ing)?|non[ -]?matching|not (?:all )?matching|(?:do|does) ?n[o']t match|force[ -]?matched|re-?numbered|electro[ -]?pencill?ed|mostly matching"
-MATCHING = r"all[ -]+matching|(?:serial )?numbers? (?:are |all )*match(?:ing)?|matching (?:serial )?numbers|all (?:numbers|parts|serials) match(?:ing)?"
+MISMATCH = r"mis[ -]*match(?:ed|ing)?|non[ -]*matching|not (?:all )?matching|(?:do|does) ?(?:not|n't) match|force[ -]*match(?:ed)?|re[ -]*numbered|electro[ -]*pencill?ed|mostly matching"
+MATCHING = (
+    r"all[ -]+matching|all (?:visible |main |primary |numbered |original )?(?:serial )?(?:numbers|parts|serials) (?:are |appear (?:to be )?|bear )?match(?:ing)?|(?:serial )?numbers?[ -]+(?:are |appear (?:to be )?)?matching"
+    r"|numbered parts (?:are )?matching|matching[ -]+(?:serial[ -]+)?(?:numbers?|serials)|(?:it|this one|the (?:gun|rifle|pistol|carbine|revolver)) is (?:all )?matching"
+)
 EXCEPTION = "except|minus|but (?:the|for)|other than|save for"
-REFINISH = r"re-?finish(?:ed)?|re-?blu(?:ed|ing|e)|re-?park(?:erized|ed)|re-?nickell?ed|refurbished|arsenal (?:rework(?:ed)?|rebuil[dt]|reconditioned)"
-ORIGINAL_FINISH = "original (?:factory |military )?(?:blued? |parkerized |nickel )?finish|factory finish"
-WOOD = "stocks?|grips?|handguards?|wood|forend|lacquer|varnish|shellac"
+#: What an exception to the condition, and not to the numbers, is about.
+CONDITION_WORDS = "bore|finish|wear|condition|pitting|rust|patina|bluing|dings?|scratch"
+REFINISH = r"re[ -]*finish(?:ed)?|re[ -]*blu(?:ed|ing|e)|re[ -]*park(?:erized|ed)|re[ -]*nickel(?:ed|led)|refurbished|arsenal (?:refurbish(?:ed|ment)|re[ -]*work(?:ed)?|rebuil[dt]|reconditioned)"
+ORIGINAL_FINISH = "original (?:factory )?(?:blued? |parkerized |nickel |military )?finish(?:es)?|factory (?:original )?finish"
+WOOD = r"stocks?|grips?|handguards?|wood|forend|fore-?end|butt ?stock|lacquer\w*|varnish\w*|shellac|cartouches?|panels?"
 GRADES = ["like new", "excellent", "very good", "good", "fair", "poor"]
 GRADE_SPELLINGS = {"new": "like new", "factory new": "like new", "as new": "like new", "unfired": "like new", "mint": "like new", "near mint": "like new"}
 CURIO_SAYS = r"c ?& ?r (?:eligible|ok|approved|firearm|qualified)|curio (?:and|&|or) relic|eligible for c ?& ?r"
@@ -46,8 +57,8 @@ def has(sentence: Column, words: str) -> Column:
 
 
 def denied(sentence: Column, claim: str) -> Column:
-    """A denial at most four words before the claim, with no joint between them."""
-    return sentence.rlike(rf"(?:(?<![a-z])(?:{DENIALS})|n't)(?:[ -]+(?!(?:{JOINTS})(?![a-z]))[\w']+){{0,4}}[ -]+(?:{claim})(?![a-z])")
+    """A denial at most REACH words before the claim, with no joint between them."""
+    return sentence.rlike(rf"(?:(?<![a-z])(?:{DENIALS})|n't)(?:[ -]+(?!(?:{JOINTS})(?![a-z]))[\w']+){{0,{REACH}}}[ -]+(?:{claim})(?![a-z])")
 
 
 def guess(sentence: Column, claim: str, hedges: str = HEDGES) -> Column:
@@ -75,7 +86,7 @@ class Rule:
             return has(s, pattern) & ~guess(s, pattern, self.hedges) & about
 
         def spoiled(s: Column) -> Column:
-            return s.rlike(rf"(?:{self.claim}).{{0,60}}?(?<![a-z])(?:{self.spoils})(?![a-z])") if self.spoils else F.lit(False)
+            return s.rlike(rf"(?:{self.claim}).{{0,60}}?(?<![a-z])(?:{self.spoils})(?! (?:for )?(?:the |some )?(?:{CONDITION_WORDS}))(?![a-z])") if self.spoils else F.lit(False)
 
         yes = F.filter(found, lambda s: say(s, self.claim) & ~denied(s, self.claim) & ~spoiled(s))
         no = F.filter(found, lambda s: say(s, self.claim) & (denied(s, self.claim) | spoiled(s)))
