@@ -338,6 +338,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     return found.select("doc_id", "m.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return annotate(docs, benchmark, settings).where(F.size("matches") == 0).select(*docs.columns)
+    return annotate(docs, benchmark, settings, text).where(F.size("matches") == 0).select(*docs.columns)

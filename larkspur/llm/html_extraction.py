@@ -7,9 +7,10 @@ it, its place among its siblings and their sizes. The trees give each node the o
 Decoding is hierarchical: a node that is left out takes its whole subtree along, so that no kept node is below one
 that was left out. Among all such choices the one with the highest total of log-odds is found from the leaves up.
 
-Training pages are written from a bounded sample of the table's own words (``sample`` pages, drawn by a hash of the id)
-in many layouts, with and without semantic tags, with menus, headers, footers, side bars, notices, adverts, forms and
-reader comments around and between the paragraphs; which node is which is known by construction.
+Training pages are written in a bounded sample of the table's own words (``vocabulary`` of the words of up to
+``longest_word`` characters of ``sample`` whole pages, both drawn by a hash) in many layouts, with and without semantic tags, with menus, headers, footers, side bars, notices, adverts, forms and
+reader comments around and between the paragraphs; which node is which is known by construction. They are written and
+read in tasks; the driver gets their nodes' features, whose number ``written`` bounds, and fits the trees.
 
 Defined cases: null and empty pages and pages without article text give the empty text; a page without tags is one
 block; script, style, head and other content that is not shown is never text; a comment or tag that never ends
@@ -173,7 +174,7 @@ def features(page: Page) -> np.ndarray:
     parents, ends = np.array(page.parents), np.array(page.ends)
     own = np.zeros((n, 5))  # characters, characters in links, words, full stops, digits
     for node, text, linked in page.blocks:
-        own[node] += (len(text), linked, text.count(" ") + 1, text.count(".") + text.count("!") + text.count("?"), sum(map(text.count, "0123456789")) if len(text) < 400 else 0)
+        own[node] += (len(text), linked, text.count(" ") + 1, text.count(".") + text.count("!") + text.count("?"), sum(map(text.count, "0123456789")))
     total = np.vstack([np.zeros((1, 5)), np.cumsum(own, axis=0)])
     sub = total[ends] - total[np.arange(n)]
     page_chars = max(total[-1, 0], 1)
@@ -388,21 +389,32 @@ def labelled(page: Page) -> np.ndarray:
     return (seen[np.array(page.ends)] > seen[:-1]).astype(float)
 
 
-def fit(pages: DataFrame, sample: int = 200, written: int = 900, seed: int = 7, page_id: str = "page_id", source: str = "html") -> Trees:
-    """The trees, from ``written`` pages in the words of ``sample`` pages (expected number) of the table."""
+def fit(pages: DataFrame, sample: int = 200, written: int = 900, vocabulary: int = 20_000, longest_word: int = 30, seed: int = 7, page_id: str = "page_id", source: str = "html") -> Trees:
+    """The trees, from ``written`` pages in the ``vocabulary`` of ``sample`` pages (expected number) of the table."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
     share = min(1.0, sample / max(pages.count(), 1))
-    drawn = pages.where(F.pmod(F.xxhash64(F.lit(seed), F.col(page_id)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring(F.col(source), 1, 20_000).alias("source"))
-    words: set[str] = set()
-    for row in drawn.collect():  # bounded by the sample; only the vocabulary of the written pages comes from it
-        words.update(w for _, text, _ in parse(row["source"]).blocks for w in text.split() if len(w) < 30)
-    writer = _Writer(sorted(words), seed)
-    xs, ys = [], []
-    for _ in range(written):
-        page = parse(writer.page())
-        y = labelled(page)
-        xs.append(features(page)[1:])
-        ys.append(y[1:])
-    return boost(np.vstack(xs), np.concatenate(ys))
+    drawn = pages.where(F.pmod(F.xxhash64(F.lit(seed), F.col(page_id)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(source).alias("source"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                words = {w for x in part.column(0).to_pylist() for _, text, _ in parse(x).blocks for w in text.split() if len(w) <= longest_word}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    known = drawn.mapInArrow(read, "word string").distinct().orderBy(F.xxhash64(F.lit(seed), "word")).limit(vocabulary)
+    words = sorted(r["word"] for r in known.collect())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                page = parse(_Writer(words, seed * 1_000_003 + number).page())
+                y = labelled(page)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([features(page)[1:].tobytes()], pa.binary()), pa.array([y[1:].tobytes()], pa.binary())], ["page", "x", "y"])
+
+    made = spark.range(0, written, 1, 16).mapInArrow(write, "page long, x binary, y binary").toArrow().sort_by("page")
+    xs, ys = ([np.frombuffer(b.as_py(), np.float64) for b in made.column(c)] for c in ("x", "y"))
+    return boost(np.concatenate(xs).reshape(-1, len(NAMES)), np.concatenate(ys))
 
 
 def main_text(pages: DataFrame, trees: Trees, source: str = "html", into: str = "text") -> DataFrame:

@@ -6,13 +6,13 @@ times a small number of observations. The language with the highest sum wins; th
 likelihoods, tempered by the number of words.
 
 The model is fitted on a bounded sample of the rows with a language (``sample`` rows a language, drawn by a hash
-of the id), so its size does not grow with the table; counting is a Spark aggregate. It is sent to the workers
-with the function. Every text is scored whole.
+of the id, so that rows of one id are drawn together), so its size does not grow with the table; counting is a Spark
+aggregate. It is sent to the workers by broadcast. Every text is scored whole.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; rows without text or language teach
 nothing; a text none of whose words or characters is known gets the language with the most training rows, score
 1/number of languages; ties go to the language first in order; repeated rows are scored each; with nothing to
-learn from, every text is ``und``; other columns are kept, but for the output names, which replace columns of the
+learn from, every text is ``und``; a null id is drawn like any other value, and no id is used beyond that; other columns are kept, but for the output names, which replace columns of the
 same name.
 """
 
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) ->
                         yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1]), pa.array(key.view(np.int64)), pa.array(times)], ["n", "lang", "key", "times"])
 
     counted = drawn.select("text", "lang").mapInArrow(count, "n int, lang int, key long, times long").groupBy("n", "lang", "key").agg(F.sum("times").alias("times"))
-    table = cut(counted.where(F.col("times") > 1), "langid").toArrow()  # bounded by the sample; once-seen strings say little
+    table = cut(counted, "langid").toArrow()  # bounded by the sample
     n, lang_of, key, times = (table.column(c).to_numpy() for c in ("n", "lang", "key", "times"))
     keys, logs = [], []
     for size in range(settings.longest + 1):
@@ -180,10 +180,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, keep = docs.columns.index(text), [docs.columns.index(c) for c in kept]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, at):
-                lang, score = predict(model, part.column(at))
+                lang, score = predict(sent.value, part.column(at))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, schema)

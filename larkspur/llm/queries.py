@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_extraction, langid, ngram_lm, repeats, simhash, topk, toxicity, warc
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_fold(parts: int, part: int) -> Column:
+    """Whether the row's id is in that fold; a null id is in none."""
+    return F.coalesce(fold("doc_id", parts) == part, F.lit(False))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -111,22 +116,22 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    held_out = in_fold(7, 2)
     out = ngram_lm.score(docs, ngram_lm.train(docs.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
-    return langid.fit(table(spark, sf_dir, "documents").where(fold("doc_id", 5) != 0))
+    return langid.fit(table(spark, sf_dir, "documents").where(~in_fold(5, 0)))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text"), language_model(spark, sf_dir))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", in_fold(5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").where(~in_fold(5, 0))
     return toxicity.fit(table(spark, sf_dir, "documents"), labels)
 
 
@@ -135,7 +140,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, toxicity_model(spark, sf_dir))
     return out.select(
         "doc_id",
-        (fold("doc_id", 5) == 0).alias("held_out"),
+        in_fold(5, 0).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").cast("long").alias("n_passages"),

@@ -18,7 +18,7 @@ The model is fitted on a bounded sample of the labelled rows (``sample``, drawn
 is bounded too; it is sent to the workers with the function. Every text is scored whole.
 
 Defined cases: null and empty texts have no passage and get the score of no evidence; an id with several labels is
-toxic if one of them says so; null labels teach nothing; without any labelled row every score is 0; repeated rows
+toxic if one of them says so; null labels and labels of a null id teach nothing; a document with a null id is scored; without any labelled row every score is 0; repeated rows
 are scored each; other columns are kept, but for the output names, which replace columns of the same name.
 """
 
@@ -150,12 +150,12 @@ def probability(model: Model, x: tuple[float, ...]) -> float:
 
 
 def _teaching(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> DataFrame:
-    """``text, label`` of the sampled labelled rows. The labels of the sample are bounded by it, so they may be broadcast."""
+    """``text, label`` of the sampled labelled rows."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     share = min(1.0, settings.sample / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
     drawn = drawn.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id")
     return rows.groupBy("text").agg(F.max("label").alias("label"))
 
 
