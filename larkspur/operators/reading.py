@@ -187,7 +187,7 @@ def barrel_inches(title: Column, description: Column) -> Column:
         number = r"(\d{1,2}(?:\.\d+)?(?:[ -]\d{1,2}/\d{1,2})?|\d{1,2}[½¼¾]?)"
         before = F.regexp_extract(low, rf"{number} ?-?(?:\"|”|''|in\.?|inch(?:es)?)[ -]*(?:\w+ ){{0,2}}?(?:barrel|bbl)", 1)
         after = F.regexp_extract(low, rf"(?:barrel|bbl)s?(?: length)?(?::| is| of|-)? ?{number} ?-?(?:\"|”|''|in\.?|inch)", 1)
-        metric = F.regexp_extract(low, r"(\d{2,3}) ?mm (?:barrel|bbl)|(?:barrel|bbl)(?: length)?(?::| of)? ?(\d{2,3}) ?mm", 1)
+        metric = F.concat(*[F.regexp_extract(low, r"(\d{2,3}) ?mm (?:barrel|bbl)|(?:barrel|bbl)(?: length)?(?::| of)? ?(\d{2,3}) ?mm", i) for i in (1, 2)])
         inches = F.coalesce(mixed_number(F.nullif(before, F.lit(""))), mixed_number(F.nullif(after, F.lit(""))))
         value = F.coalesce(inches, F.bround(F.nullif(metric, F.lit("")).cast("double") / 25.4, 1))
         return F.when(value.between(1.0, 50.0), value)
@@ -206,6 +206,21 @@ def capacity(title: Column, description: Column, most: int = 120) -> Column:
     return F.coalesce(one(title), one(description))
 
 
+def threaded(text: Column) -> Column:
+    """Whether the barrel is threaded, where a sentence says so or denies it; a thread protector says so too."""
+    found = sentences(text)
+    claim = r"threaded (?:barrel|muzzle|bbl)|(?:barrel|muzzle) is threaded|thread protector|threaded \d/\d+"
+    yes = F.exists(found, lambda s: has(s, claim) & ~denied(s, claim))
+    no = F.exists(found, lambda s: (has(s, claim) & denied(s, claim)) | has(s, "unthreaded|non-threaded"))
+    return F.when(yes, F.lit(True)).when(no, F.lit(False))
+
+
+def frame_size(title: Column) -> Column:
+    """``full``, ``compact``, ``subcompact`` or ``micro`` by a title's word; the smallest one named."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return F.when(has(low, "micro"), "micro").when(has(low, "sub-?compact"), "subcompact").when(has(low, "compact"), "compact").when(has(low, "full[ -]?size"), "full")
+
+
 def serial(text: Column) -> Column:
     """``struct(prefix, low, high)`` of a stated serial; hidden last digits (x or *) span all that they could be."""
     low = F.upper(F.coalesce(text, F.lit("")))

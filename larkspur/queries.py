@@ -775,9 +775,16 @@ def cumulative_extremes(spark, folder):
     return price_changes(spark, folder).select("item", "seq", F.min("price").over(upto).alias("lowest"), F.max("price").over(upto).alias("highest"))
 
 
+def _all() -> None:
+    """Registers the questions of the other modules as well."""
+    from . import reading_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)
