@@ -66,6 +66,11 @@ def percent_drop(was: Column, now: Column) -> Column:
     return F.when(was > 0, (was - now) / was * 100)
 
 
+def in_zone(moment: Column, zone: str) -> Column:
+    """A moment in UTC as a reader's clock shows it."""
+    return F.from_utc_timestamp(moment.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -75,3 +75,10 @@ def reaped(runs: DataFrame, now: datetime, hours: int) -> DataFrame:
     """Runs with those that have been running for too long marked as failed."""
     stale = (F.col("status") == "running") & (F.col("started_at") < instant(now) - F.make_dt_interval(hours=F.lit(hours)))
     return runs.withColumns({"finished_at": F.when(stale, instant(now)).otherwise(F.col("finished_at")), "status": F.when(stale, "failed").otherwise(F.col("status"))})
+
+
+def usage(reference: DataFrame, rows: DataFrame, key: str, group: str, kind: str) -> DataFrame:
+    """By group of a reference table: its entries, their kinds, how many of them have rows, and how many rows these are."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    joined = reference.select(key, group, kind).join(counts, key, "left")
+    return joined.groupBy(group).agg(F.count_distinct(key).alias("models"), F.count_distinct(kind).alias("kinds"), F.count_if(F.col("_n") > 0).alias("listed"), F.coalesce(F.sum("_n"), F.lit(0)).alias("listings"))

@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import all_of, any_of, holds, in_with_unknown, not_in_with_unknown
 
@@ -143,6 +144,25 @@ def page(rows: DataFrame, spec: FilterSpec, number: int, per_page: int = 50, **h
     return rows.where(spec.predicate(**how)).orderBy(*spec.order()).offset((number - 1) * per_page).limit(per_page)
 
 
+def answer(rows: DataFrame, spec: FilterSpec, number: int, facet_names: list[str], per_page: int = 50, histogram: str = "price", **how) -> DataFrame:
+    """A browse page as one long answer ``part, value, n``: the totals (rows, pages), the page's items with their places, each facet's counts and the price histogram.
+
+    A facet is counted over every clause but its own; all of them are one scan.
+    """
+    from .facets import exclusive, price_histogram
+
+    found = rows.where(spec.predicate(**how))
+    total = found.agg(F.count("*").alias("n"))
+    pages = F.ceil(F.col("n") / per_page).cast("long")
+    totals = total.select(F.explode(F.array(F.struct(F.lit("rows").alias("value"), F.col("n").alias("n")), F.struct(F.lit("pages").alias("value"), pages.alias("n")))).alias("x")).select(F.lit("total").alias("part"), "x.value", "x.n")
+    own = Window.orderBy(*spec.order())
+    shown = page(rows, spec, number, per_page, **how).select("item", F.row_number().over(own).cast("long").alias("n"))  # one page at most
+    items = shown.select(F.lit("page").alias("part"), F.col("item").cast("string").alias("value"), "n")
+    counts = exclusive(rows, spec.clauses(**how), facet_names).select(F.col("facet").alias("part"), "value", "n")
+    bars = price_histogram(found, histogram).select(F.lit(histogram).alias("part"), F.col("bucket").cast("string").alias("value"), "n")
+    return totals.union(items).union(counts).union(bars)
+
+
 def search_with_dimension(rows: DataFrame, text: str, searched: tuple[str, ...], dimension: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
     """Every term somewhere in the row's own text or in a name of the dimension entry that it belongs to.
 
