@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import collapse_space, money
+from ..functions.columns import collapse_space, money, registrable_domain
 
 _VARIANT = "id BIGINT, title STRING, price STRING, available BOOLEAN, sku STRING"
 #: The parts of each feed's JSON that a listing is made of.
@@ -90,3 +92,141 @@ def mail(files: DataFrame, text: str = "value") -> DataFrame:
         header("Subject").alias("subject"),
         F.array_distinct(F.regexp_extract_all(body, F.lit(r"(https?://[^\s\"'<>]+)"), 1)).alias("links"),
     )
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a shop's software writes its listing pages: where a card begins, and the patterns of its parts (group 1)."""
+
+    card: str
+    key: str
+    title: str
+    price: str
+    url: str = r"href=[\"']([^\"']+)"
+    sold: str = r"(?i)(sold ?out|out of stock|out-of-stock)"
+
+
+#: The marks that each software puts around a card.
+LAYOUTS = {
+    "bigcommerce": Layout(r'<(?:article|li)[^>]*class="[^"]*\bcard\b', r'data-(?:entity|product)-id="(\d+)', r'card-title[^>]*>\s*<a[^>]*>([^<]*)', r'price--withoutTax[^>]*>([^<]*)'),
+    "magento": Layout(r'<li[^>]*class="[^"]*\bproduct-item\b', r'data-product-id="(\d+)', r'product-item-link[^>]*>([^<]*)', r'data-price-amount="([\d.]+)'),
+    "prestashop": Layout(r'<article[^>]*class="[^"]*\bproduct-miniature\b', r'data-id-product="(\d+)', r'product-title[^>]*>\s*<a[^>]*>([^<]*)', r'class="price"[^>]*>([^<]*)'),
+    "wix": Layout(r'<li[^>]*data-hook="product-list-grid-item', r'data-slug="([^"]+)', r'data-hook="product-item-name"[^>]*>([^<]*)', r'data-hook="product-item-price-to-pay"[^>]*>([^<]*)'),
+    "woocommerce": Layout(r'<li[^>]*class="[^"]*\bproduct type-product\b', r'data-product_id="(\d+)', r'woocommerce-loop-product__title[^>]*>([^<]*)', r'woocommerce-Price-amount[^>]*>(?:<bdi>)?(?:<span[^>]*>[^<]*</span>)?([^<]*)'),
+}
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters: the common names, and all decimal numbers."""
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("ndash", "\u2013"), ("mdash", "\u2014")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,5});"), 1))
+    text = F.aggregate(numbers, text, lambda out, n: F.replace(out, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE")))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def html_text(html: Column) -> Column:
+    """The readable words of a piece of markup: no scripts or styles, references decoded, spaces collapsed; markup that was escaped twice is read twice."""
+
+    def once(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)</?[a-zA-Z][^<>]*>", " ")
+        return collapse_space(decoded(bare))
+
+    first = once(F.coalesce(html, F.lit("")))
+    return F.when(first.rlike(r"</[a-zA-Z][a-zA-Z0-9]*\s*>|<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>"), once(first)).otherwise(first)
+
+
+def is_prose(text: Column) -> Column:
+    """Whether a description reads as words and not as code: there is something, and no rule of a stylesheet, no function, no tag."""
+    code = text.rlike(r"\{[^{}]*:[^{}]*[;}]|function\s*\(|</?[a-z]+[ >]|[#.][\w-]+\s*\[[^\]]*\]")
+    return F.coalesce((F.trim(text) != "") & ~code, F.lit(False))
+
+
+def cards(pages: DataFrame, software: str, html: str = "html") -> DataFrame:
+    """``external_key, title, price, available, url`` of every card of listing pages written by a known software; cards without a key are none."""
+    layout = LAYOUTS[software]
+    part = F.col("_card")
+    pieces = F.split(F.coalesce(html, F.lit("")), layout.card)
+    found = pages.select(F.explode(F.filter(pieces, lambda x, i: i > 0)).alias("_card"))
+    take = lambda pattern: F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
+    out = found.select(take(layout.key).alias("external_key"), collapse_space(decoded(take(layout.title))).alias("title"), money(take(layout.price)).alias("price"), (~part.rlike(layout.sold)).alias("available"), take(layout.url).alias("url"))
+    return out.where("external_key is not null")
+
+
+def custom_fields(html: Column) -> Column:
+    """A page's table of named fields (definition lists and two-column rows) as a map; the first value of a name counts."""
+    names = F.regexp_extract_all(html, F.lit(r"(?is)<(?:dt|th)[^>]*>\s*([^<:]+):?\s*</(?:dt|th)>\s*<(?:dd|td)[^>]*>([^<]*)"), 1)
+    values = F.regexp_extract_all(html, F.lit(r"(?is)<(?:dt|th)[^>]*>\s*([^<:]+):?\s*</(?:dt|th)>\s*<(?:dd|td)[^>]*>([^<]*)"), 2)
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(collapse_space(n)).alias("key"), collapse_space(decoded(v)).alias("value")))
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def meta_price(html: Column) -> Column:
+    """The price that a page's head states, of the markup vocabularies that shops use."""
+    named = r"(?is)<meta[^>]*(?:property|name|itemprop)=[\"'](?:product:price:amount|og:price:amount|price)[\"'][^>]*content=[\"']([^\"']+)"
+    return money(F.nullif(F.regexp_extract(html, named, 1), F.lit("")))
+
+
+def reread(pages: DataFrame, software: str, keys: list[str]) -> DataFrame:
+    """The cards of a few known keys, as they are now: for checking single prices again."""
+    return cards(pages, software).where(F.col("external_key").isin(keys)).select("external_key", "price", "available")
+
+
+def infobox(text: Column) -> Column:
+    """The named parameters of an article's infobox as a map: templates in values are taken out, of links the shown words stay."""
+    flat = F.coalesce(text, F.lit(""))
+    body = F.regexp_extract(flat, r"(?is)\{\{\s*infobox[^|{}]*((?:[^{}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*)\}\}", 1)  # two levels of templates
+    for _ in range(2):
+        body = F.regexp_replace(body, r"\{\{[^{}]*\}\}", " ")
+    body = F.regexp_replace(F.regexp_replace(body, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), r"\[\[([^\[\]]*)\]\]", "$1")
+    parts = F.filter(F.split(body, r"\|"), lambda p: p.contains("="))
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(collapse_space(F.substring_index(p, "=", 1))).alias("key"), collapse_space(F.regexp_replace(p, "(?s)^[^=]*=", "")).alias("value")))
+    stated = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+    first = F.filter(stated, lambda p, i: F.array_position(F.transform(stated, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def mail_links(mails: DataFrame, shop: str, body: str) -> DataFrame:
+    """``url, label, rank`` of the links of letters: 1 a product's, 2 a section's, 3 the shop's front, 4 another host's, 9 what unsubscribes or shares."""
+    anchors = F.regexp_extract_all(body, F.lit(r"(?is)<a[^>]*href=[\"'](https?://[^\"']+)[\"'][^>]*>(.*?)</a>"), 0)
+    rows = mails.select("*", F.explode(anchors).alias("_a"))
+    url = F.regexp_extract("_a", r"(?is)href=[\"'](https?://[^\"']+)", 1)
+    path = F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
+    label = collapse_space(decoded(F.regexp_replace(F.regexp_extract("_a", r"(?is)<a[^>]*>(.*?)</a>", 1), r"<[^<>]*>", " ")))
+    rank = (
+        F.when(F.lower(F.concat_ws(" ", url, label)).rlike("unsubscribe|preferences|view in browser|facebook|twitter|instagram"), 9)
+        .when(~registrable_domain(url).eqNullSafe(F.col(shop)), 4)
+        .when(path.rlike("/(?:products?|items?|p)/[^/]+"), 1)
+        .when(path.rlike("^/?$"), 3)
+        .otherwise(2)
+    )
+    return rows.withColumns({"url": url, "label": label, "rank": rank}).drop("_a")
+
+
+def plain_url(url: Column, query: bool = True) -> Column:
+    """A URL as two shops' spellings of it share it: no scheme, ``www.``, fragment, tracking or slash at the end; without ``query`` no parameters at all."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.|:80$|:443$", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    kept = F.array_sort(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike("^(?:utm_[a-z]+|mc_[a-z]+|gclid|fbclid|ref)=")))
+    return F.when(F.lit(query) & (F.size(kept) > 0), F.concat(host, path, F.lit("?"), F.array_join(kept, "&"))).otherwise(F.concat(host, path))
+
+
+def url_match(links: DataFrame, items: DataFrame, key: str = "item") -> DataFrame:
+    """``links`` (url) with the item (``item, url``) that they lead to: the same URL, else the same without parameters; of several the first key."""
+    by = lambda q: items.groupBy(plain_url(F.col("url"), q).alias("_u")).agg(F.min(key).alias("_item"))
+    out = links.withColumns({"_a": plain_url(F.col("url")), "_b": plain_url(F.col("url"), False)})
+    out = out.join(by(True).toDF("_a", "_exact"), "_a", "left").join(by(False).toDF("_b", "_loose"), "_b", "left")
+    return out.withColumn(key, F.coalesce("_exact", "_loose")).drop("_a", "_b", "_exact", "_loose")
+
+
+def link_status(sources: DataFrame, mails: DataFrame, links: DataFrame) -> DataFrame:
+    """``source, state, emails, followed``: whether the links in a source's mail led anywhere; mails that ask to confirm say nothing.
+
+    ``mails``: mail, source, read, confirms; ``links``: mail, url (null: not resolved).
+    """
+    told = mails.where(F.col("read") & ~F.col("confirms"))
+    counts = told.groupBy("source").agg(F.count("*").alias("emails"))
+    led = links.where("url is not null").join(told.select("mail", "source"), "mail").groupBy("source").agg(F.count("*").alias("followed"))
+    out = sources.select("source").join(counts, "source", "left").join(led, "source", "left").na.fill(0, ["emails", "followed"])
+    return out.select("source", F.when(F.col("emails") == 0, "waiting").when(F.col("followed") > 0, "followed").otherwise("unresolved").alias("state"), "emails", "followed")
