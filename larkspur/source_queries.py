@@ -13,10 +13,32 @@ from .sources import feeds, sinks
 from .sources.tables import table
 from .streaming.flows import shared_folder
 
-html = F.col("html")
-_PRICE = F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")).otherwise(0.0)
 _PRICE_SQL = "CASE WHEN p_partkey % 11 <> 0 AND p_retailprice > 0 THEN p_retailprice END"
-_IN_STOCK = F.col("p_partkey") % 4 != 0
+
+
+def price() -> Column:
+    """Every eleventh row has none."""
+    return F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")).otherwise(0.0)
+
+
+def in_stock() -> Column:
+    return F.col("p_partkey") % 4 != 0
+
+
+def shown_price() -> Column:
+    return F.concat(F.lit("$"), F.format_number(price(), 2))
+
+
+def sold_mark() -> Column:
+    return F.when(~in_stock(), "<span>Sold out</span>").otherwise("")
+
+
+def key_text() -> Column:
+    return F.col("p_partkey").cast("string")
+
+
+def marked_name() -> Column:
+    return F.concat(F.regexp_replace("p_name", " ", "&nbsp;"), F.lit(" &amp; co"))
 
 
 def bodies(rows: DataFrame, part: Column, start: str = "", end: str = "", between: str = "") -> DataFrame:
@@ -27,21 +49,21 @@ def bodies(rows: DataFrame, part: Column, start: str = "", end: str = "", betwee
 
 @query(f"""SELECT p_partkey || '-' || v AS external_key, p_name || CASE v WHEN 1 THEN ' - S' ELSE ' - L' END AS title, {_PRICE_SQL} AS price, v = 1 AND p_partkey % 4 <> 0 AS available, '/products/h' || p_partkey AS url FROM part, (VALUES (1), (2)) t(v)""")
 def feed_products(spark, folder):
-    variant = lambda k, name, stock: F.struct(F.lit(k).alias("id"), F.lit(name).alias("title"), F.format_number(_PRICE, 2).alias("price"), stock.alias("available"))
-    product = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", " ", "  ").alias("title"), F.concat(F.lit("h"), "p_partkey").alias("handle"), F.array(variant(1, "S", _IN_STOCK), variant(2, "L", F.lit(None).cast("boolean"))).alias("variants")))
+    variant = lambda k, name, stock: F.struct(F.lit(k).alias("id"), F.lit(name).alias("title"), F.format_number(price(), 2).alias("price"), stock.alias("available"))
+    product = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", " ", "  ").alias("title"), F.concat(F.lit("h"), "p_partkey").alias("handle"), F.array(variant(1, "S", in_stock()), variant(2, "L", F.lit(None).cast("boolean"))).alias("variants")))
     return feeds.product_feed(bodies(table(spark, folder, "part"), product, '{"products": [', "]}", ","))
 
 
 @query(f"SELECT p_partkey::VARCHAR AS external_key, p_name AS title, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available, 'u' || p_partkey AS url FROM part")
 def feed_store(spark, folder):
-    minor = F.bround(_PRICE * 100).cast("long").cast("string")
-    product = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("u"), "p_partkey").alias("permalink"), F.when(_IN_STOCK, True).alias("is_in_stock"), F.struct(minor.alias("price"), F.lit("USD").alias("currency_code"), F.lit(2).alias("currency_minor_unit")).alias("prices")))
+    minor = F.bround(price() * 100).cast("long").cast("string")
+    product = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("u"), "p_partkey").alias("permalink"), F.when(in_stock(), True).alias("is_in_stock"), F.struct(minor.alias("price"), F.lit("USD").alias("currency_code"), F.lit(2).alias("currency_minor_unit")).alias("prices")))
     return feeds.store_feed(bodies(table(spark, folder, "part"), product, "[", "]", ","))
 
 
 @query(f"SELECT 'o' || p_partkey AS external_key, p_name AS title, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available, '/i/' || p_partkey AS url FROM part")
 def feed_search(spark, folder):
-    hit = F.to_json(F.struct(F.concat(F.lit("o"), "p_partkey").alias("objectID"), F.col("p_name").alias("name"), F.concat(F.lit("/i/"), "p_partkey").alias("url"), _PRICE.alias("price"), F.when(~_IN_STOCK, False).alias("in_stock")))
+    hit = F.to_json(F.struct(F.concat(F.lit("o"), "p_partkey").alias("objectID"), F.col("p_name").alias("name"), F.concat(F.lit("/i/"), "p_partkey").alias("url"), price().alias("price"), F.when(~in_stock(), False).alias("in_stock")))
     return feeds.search_feed(bodies(table(spark, folder, "part"), hit, '{"hits": [', "]}", ","))
 
 
@@ -53,44 +75,39 @@ def _card_sql(url: str) -> str:
     return f"SELECT p_partkey::VARCHAR AS external_key, p_name || ' & co' AS title, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available, '{url}' || p_partkey AS url FROM part"
 
 
-_money = F.concat(F.lit("$"), F.format_number(_PRICE, 2))
-_sold = F.when(~_IN_STOCK, "<span>Sold out</span>").otherwise("")
-_key, _name = F.col("p_partkey").cast("string"), F.concat(F.regexp_replace("p_name", " ", "&nbsp;"), F.lit(" &amp; co"))
-
-
 @query(_card_sql("/b/"))
 def cards_bigcommerce(spark, folder):
-    card = F.concat(F.lit('<li class="product"><article class="card" data-entity-id="'), _key, F.lit('"><h4 class="card-title"><a href="/b/'), _key, F.lit('">'), _name, F.lit('</a></h4><span class="price price--withoutTax">'), _money, F.lit("</span>"), _sold, F.lit("</article></li>"))
+    card = F.concat(F.lit('<li class="product"><article class="card" data-entity-id="'), key_text(), F.lit('"><h4 class="card-title"><a href="/b/'), key_text(), F.lit('">'), marked_name(), F.lit('</a></h4><span class="price price--withoutTax">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</article></li>"))
     return _cards(spark, folder, "bigcommerce", card)
 
 
 @query(_card_sql("/m/"))
 def cards_magento(spark, folder):
-    card = F.concat(F.lit('<li class="item product product-item"><a class="product-item-link" href="/m/'), _key, F.lit('">\n '), _name, F.lit(' </a><span data-price-amount="'), _PRICE.cast("string"), F.lit('"></span><div data-product-id="'), _key, F.lit('"></div>'), _sold, F.lit("</li>"))
+    card = F.concat(F.lit('<li class="item product product-item"><a class="product-item-link" href="/m/'), key_text(), F.lit('">\n '), marked_name(), F.lit(' </a><span data-price-amount="'), price().cast("string"), F.lit('"></span><div data-product-id="'), key_text(), F.lit('"></div>'), sold_mark(), F.lit("</li>"))
     return _cards(spark, folder, "magento", card)
 
 
 @query(_card_sql("/p/"))
 def cards_prestashop(spark, folder):
-    card = F.concat(F.lit('<article class="product-miniature js" data-id-product="'), _key, F.lit('"><h3 class="h3 product-title"><a href="/p/'), _key, F.lit('">'), _name, F.lit('</a></h3><span class="price">'), _money, F.lit("</span>"), F.when(~_IN_STOCK, "<i>Out-of-Stock</i>").otherwise(""), F.lit("</article>"))
+    card = F.concat(F.lit('<article class="product-miniature js" data-id-product="'), key_text(), F.lit('"><h3 class="h3 product-title"><a href="/p/'), key_text(), F.lit('">'), marked_name(), F.lit('</a></h3><span class="price">'), shown_price(), F.lit("</span>"), F.when(~in_stock(), "<i>Out-of-Stock</i>").otherwise(""), F.lit("</article>"))
     return _cards(spark, folder, "prestashop", card)
 
 
 @query(_card_sql("/w/"))
 def cards_wix(spark, folder):
-    card = F.concat(F.lit('<li data-hook="product-list-grid-item"><div data-slug="'), _key, F.lit('"><a href="/w/'), _key, F.lit('"></a><p data-hook="product-item-name">'), _name, F.lit('</p><span data-hook="product-item-price-to-pay">'), _money, F.lit("</span>"), _sold, F.lit("</div></li>"))
+    card = F.concat(F.lit('<li data-hook="product-list-grid-item"><div data-slug="'), key_text(), F.lit('"><a href="/w/'), key_text(), F.lit('"></a><p data-hook="product-item-name">'), marked_name(), F.lit('</p><span data-hook="product-item-price-to-pay">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</div></li>"))
     return _cards(spark, folder, "wix", card)
 
 
 @query(_card_sql("/wc/"))
 def cards_woocommerce(spark, folder):
-    card = F.concat(F.lit('<li class="product type-product post"><a href="/wc/'), _key, F.lit('"><h2 class="woocommerce-loop-product__title">'), _name, F.lit('</h2></a><span class="woocommerce-Price-amount amount"><bdi><span class="sym">&#36;</span>'), F.format_number(_PRICE, 2), F.lit('</bdi></span><a data-product_id="'), _key, F.lit('"></a>'), _sold, F.lit("</li>"))
+    card = F.concat(F.lit('<li class="product type-product post"><a href="/wc/'), key_text(), F.lit('"><h2 class="woocommerce-loop-product__title">'), marked_name(), F.lit('</h2></a><span class="woocommerce-Price-amount amount"><bdi><span class="sym">&#36;</span>'), F.format_number(price(), 2), F.lit('</bdi></span><a data-product_id="'), key_text(), F.lit('"></a>'), sold_mark(), F.lit("</li>"))
     return _cards(spark, folder, "woocommerce", card)
 
 
 @query(f"SELECT p_partkey::VARCHAR AS external_key, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available FROM part WHERE p_partkey IN (3, 44, 120)")
 def single_reread(spark, folder):
-    card = F.concat(F.lit('<article class="card" data-product-id="'), _key, F.lit('"><h4 class="card-title"><a href="/b">x</a></h4><span class="price--withoutTax">'), _money, F.lit("</span>"), _sold, F.lit("</article>"))
+    card = F.concat(F.lit('<article class="card" data-product-id="'), key_text(), F.lit('"><h4 class="card-title"><a href="/b">x</a></h4><span class="price--withoutTax">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</article>"))
     return feeds.reread(bodies(table(spark, folder, "part"), card).withColumnRenamed("body", "html"), "bigcommerce", ["3", "44", "120"])
 
 
@@ -98,24 +115,24 @@ def single_reread(spark, folder):
 def product_pages(spark, folder):
     """A product's page: the head's price, the table of named fields, and the linked data."""
     key = F.col("p_partkey")
-    head = F.concat(F.lit('<head><meta property="product:price:amount" content="'), F.format_number(_PRICE, 2), F.lit('"></head>'))
+    head = F.concat(F.lit('<head><meta property="product:price:amount" content="'), F.format_number(price(), 2), F.lit('"></head>'))
     fields = F.concat(F.lit("<dl><dt>Maker:</dt><dd>"), "p_brand", F.when(key % 2 == 0, "").otherwise(" &amp; sons"), F.lit("</dd><dt> Size </dt><dd>"), F.col("p_size").cast("string"), F.lit("</dd><dt>Size:</dt><dd>other</dd></dl>"))
     offer = F.concat(F.lit('{"price": "'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit('"}'))
     offers = F.when(key % 2 == 0, offer).otherwise(F.concat(F.lit("["), offer, F.lit(', {"price": "1"}]')))
     linked = F.when(key % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"name": "x", "offers": '), offers, F.lit("}</script>"))).otherwise("")
     page = table(spark, folder, "part").select("p_partkey", F.concat(head, fields, linked).alias("html"))
-    found = feeds.custom_fields(html)
-    return page.select("p_partkey", feeds.meta_price(html).alias("price"), found["maker"].alias("maker"), found["size"].alias("size"), feeds.linked_data(html)["price"].alias("linked"))
+    found = feeds.custom_fields(F.col("html"))
+    return page.select("p_partkey", feeds.meta_price(F.col("html")).alias("price"), found["maker"].alias("maker"), found["size"].alias("size"), feeds.linked_data(F.col("html"))["price"].alias("linked"))
 
 
 cases("html_to_text", "html string", "words, prose BOOLEAN", [
     ("<p>A <b>fine</b>&nbsp;rifle &amp; sling</p><script>var x='<p>no</p>'</script>", "A fine rifle & sling", False), ("plain &lt; words &#8364; &#36;5", "plain < words € $5", True), ("&lt;p&gt;twice &amp;amp; escaped&lt;/p&gt;", "twice & escaped", True), ("#html-body [data-pb]{justify:flex;align:x}", "#html-body [data-pb]{justify:flex;align:x}", False),
     ("<!-- hidden --><style>p{}</style>seen", "seen", False), ("", "", False), (None, "", False), ("words only", "words only", True),
-], lambda r: {"words": feeds.html_text(html), "prose": feeds.is_prose(html)})
+], lambda r: {"words": feeds.html_text(r.html), "prose": feeds.is_prose(r.html)})
 
 cases("infobox_fields", "t string", "bullet, length, land", [
     ("x {{Infobox firearm cartridge\n| name = A\n| bullet = 7.92 mm\n| length = {{convert|57|mm|in}} about 57\n| origin = [[Germany|German Empire]]\n}} text | bullet = no", "7.92 mm", "about 57", "German Empire"), ("{{infobox x|bullet=.45|origin=[[France]]|bullet=second}}", ".45", None, "France"), ("no box", None, None, None), (None, None, None, None),
-], lambda r: {"bullet": feeds.infobox(F.col("t"))["bullet"], "length": feeds.infobox(F.col("t"))["length"], "land": feeds.infobox(F.col("t"))["origin"]})
+], lambda r: {"bullet": feeds.infobox(r.t)["bullet"], "length": feeds.infobox(r.t)["length"], "land": feeds.infobox(r.t)["origin"]})
 
 
 @query("""SELECT c_custkey, 'shop' || (c_custkey % 9) || '.example' AS sender, 'News ' || c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS links FROM customer""")
