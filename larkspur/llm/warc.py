@@ -47,21 +47,31 @@ def canonical_url(url: Column) -> Column:
 def as_of(rows: DataFrame, key: str, time: str, is_source: Column, value: Column) -> DataFrame:
     """``rows`` with ``found``: the largest of ``struct(time, value)`` of the sources of the same key strictly before.
 
-    ``time`` is a long. ``found`` is null where there is none.
+    ``time`` is a long. ``found`` is null where there is none, and for rows without key or time. Time is cut at quantiles of
+    all rows, so that a slice has about SLICE_ROWS rows however uneven times are, and so has a key in a slice; what a key's
+    earlier slices hold is carried along as their latest source. Rows of one key and time are one point, however many they are.
     """
-    bounds = rows.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count("*").alias("n")).first()
-    slices = max(1, (bounds["n"] or 0) // SLICE_ROWS)
-    width = max(1, -(-((bounds["b"] or 0) - (bounds["a"] or 0) + 1) // slices))
-    sliced = rows.withColumn("_slice", F.floor((F.col(time) - F.lit(bounds["a"] or 0)) / width))
+    p = "_"
+    while any(c.startswith(p) for c in rows.columns):
+        p += "_"
+    slices = max(1, rows.where(F.col(time).isNotNull()).count() // SLICE_ROWS)
+    edges = sorted({int(x) for x in rows.stat.approxQuantile(time, [i / slices for i in range(1, slices)], 0.2 / slices)}) if slices > 1 else []
+    number = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= F.col(f"{p}t"))) if edges else F.lit(0)
     source = F.when(is_source, F.struct(F.col(time).alias("at"), value.alias("of")))
-    here = Window.partitionBy(key, "_slice").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-    latest = sliced.groupBy(key, "_slice").agg(F.max(source).alias("_latest"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(key, "_slice", F.max("_latest").over(before).alias("_carried"))
-    found = sliced.withColumn("_here", F.max(source).over(here))
-    joined = found.join(carried, found[key].eqNullSafe(carried[key]) & found["_slice"].eqNullSafe(carried["_slice"]), "left").drop(carried[key]).drop(carried["_slice"])
-    out = F.when(F.col(key).isNotNull() & F.col(time).isNotNull(), F.coalesce("_here", "_carried"))
-    return joined.withColumn("found", out).drop("_slice", "_here", "_carried")
+    points = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key).alias(f"{p}k"), F.col(time).alias(f"{p}t")).agg(F.max(source).alias(f"{p}own"))
+    points = points.withColumn(f"{p}slice", number)
+    here = Window.partitionBy(f"{p}k", f"{p}slice").orderBy(f"{p}t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = points.withColumn(f"{p}here", F.max(f"{p}own").over(here))
+    if edges:
+        latest = points.groupBy(f"{p}k", f"{p}slice").agg(F.max(f"{p}own").alias(f"{p}latest"))
+        before = Window.partitionBy(f"{p}k").orderBy(f"{p}slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = latest.select(f"{p}k", f"{p}slice", F.max(f"{p}latest").over(before).alias(f"{p}carried"))
+        placed = placed.join(carried, [f"{p}k", f"{p}slice"], "left")
+    found = F.coalesce(f"{p}here", f"{p}carried") if edges else F.col(f"{p}here")
+    answers = placed.select(f"{p}k", f"{p}t", found.alias("found"))
+    kept = [c for c in rows.columns if c != "found"]
+    joined = rows.select(*kept).join(answers, (F.col(key) == F.col(f"{p}k")) & (F.col(time) == F.col(f"{p}t")), "left")
+    return joined.select(*kept, "found")
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
@@ -81,8 +91,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     own = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: k.isin(PERMITTED))
     kept = F.map_filter(F.map_from_entries(F.coalesce(old["headers"], F.array().cast("array<struct<key:string,value:string>>"))), lambda k, v: ~F.array_contains(F.map_keys(own), k))
     out = joined.select("record_id", "url_key", old["record_id"].alias("response_id"), F.col("found.at").alias("response_ts"), verdict.alias("verdict"), own.alias("own"), F.map_concat(kept, own).alias("merged"))
-    bodies = captures.where(~F.coalesce("revisit", F.lit(False))).select(F.col("record_id").alias("response_id"), "body").dropDuplicates(["response_id"])
-    out = out.join(bodies, "response_id", "left")
+    # a revisit without a response goes by its own id, so that such ones don't meet in one task
+    bodies = captures.where(~F.coalesce("revisit", F.lit(False))).select(F.col("record_id").alias("_id"), F.lit(True).alias("_has"), "body").dropDuplicates(["_id"])
+    out = out.withColumns({"_id": F.coalesce("response_id", "record_id"), "_has": F.col("response_id").isNotNull()}).join(bodies, ["_id", "_has"], "left")
     confirmed = F.col("verdict") == "confirmed"
     return out.select("record_id", "url_key", "response_id", "response_ts", "verdict", F.when(confirmed, F.col("merged")).otherwise(F.col("own")).alias("headers"), F.when(confirmed, F.col("body")).alias("body"))
 

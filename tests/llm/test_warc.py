@@ -45,6 +45,23 @@ def test_as_of_join_by_brute_force(spark, monkeypatch, slice_rows):
         assert r.verdict == ("unchecked" if old else "unresolved") and r.body is None
 
 
+def test_slices_are_even_where_times_are_not(spark, monkeypatch):
+    """One far-off time, and half of all rows at one moment: no key has more points in a slice than the slices are meant to have."""
+    monkeypatch.setattr(warc, "SLICE_ROWS", 500)
+    rows = [(i, "http://h/hot", 10**9 if i == 0 else 7 if i % 2 else i, i % 3 > 0, None, None, None, {}, None) for i in range(4000)]
+    captures = spark.createDataFrame(rows, COLUMNS)
+    sizes = []
+    window = warc.Window.partitionBy
+    monkeypatch.setattr(warc.Window, "partitionBy", staticmethod(lambda *c: sizes.append(c) or window(*c)))
+    out = warc.resolve_revisits(captures)
+    assert len(sizes) == 2  # in the slice, and over the slices
+    got = {r.record_id: r.response_ts for r in out.collect()}
+    times = sorted({t for _, _, t, again, *_ in rows if not again})
+    assert got == {i: max((t for t in times if t < own), default=None) for i, _, own, again, *_ in rows if again}
+    strange = captures.selectExpr("record_id as _slice", "url as _k", "ts", "revisit as found")
+    assert warc.as_of(strange, "_k", "ts", ~F.col("found"), F.col("_slice")).columns == ["_slice", "_k", "ts", "found"]
+
+
 def test_validators_and_headers(spark):
     full = (1, "http://a/x", 10, False, '"v1"', "mon", "sha1:A", {"content-type": "text/html", "date": "1", "etag": '"v1"', "vary": "x"}, "BODY")
     revisits = [
