@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from ..operators.state import change_log
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/larkspur-{os.getuid()}/streams").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (folder or f"file:///tmp/larkspur-{os.getuid()}/streams").rstrip("/")
 
 
 def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
@@ -30,22 +34,45 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("item", F.col("w.start").alias("start"), "n", "most")
 
 
-def keep_changes(state_path: str, log_path: str) -> Callable[[DataFrame, int], None]:
+#: Batches after which the last prices are written as one table again.
+GENERATION = 16
+_LAST = "item long, seq long, at timestamp_ntz, price double, type string"
+
+
+def _remove(spark: SparkSession, *paths: str) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("item").agg(F.max_by(F.struct("seq", "at", "price", "type"), F.struct("at", "seq")).alias("x")).select("item", "x.*")
+
+
+def keep_changes(state_path: str, log_path: str, generation: int = GENERATION) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that appends an item's observations to the log when its price changed.
 
-    The last price of each item is kept as a table, one version for each batch; a batch that runs again overwrites its own
-    version and its own part of the log, so that each observation is logged once.
+    A batch writes the last prices of its own items only, beside a table of all of them that is made anew once a
+    ``generation``; the tables of the generation before the last one are removed. A batch that runs again finds what it
+    found before, overwrites its own prices and its own part of the log, and so logs each observation once.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = "item long, seq long, at timestamp_ntz, price double, type string"
-        last = spark.read.schema(schema).parquet(f"{state_path}/{number - 1}") if number else spark.createDataFrame([], schema)
+        begin = number // generation * generation
+
+        def known(start: int, end: int) -> DataFrame:
+            paths = [f"{state_path}/all-{start}"] * (start > 0) + [f"{state_path}/{k}" for k in range(start, end)]
+            return spark.read.schema(_LAST).parquet(*paths) if paths else spark.createDataFrame([], _LAST)
+
+        if number == begin and number:
+            _newest(known(begin - generation, begin)).write.mode("overwrite").parquet(f"{state_path}/all-{begin}")
+            _remove(spark, f"{state_path}/all-{begin - 2 * generation}", *[f"{state_path}/{k}" for k in range(begin - 2 * generation, begin - generation)]) if begin >= 2 * generation else None
         rows = batch.select("item", "seq", F.col("at").cast("timestamp_ntz").alias("at"), "price", "type")
+        last = _newest(known(begin, number).join(rows.select("item").distinct(), "item", "left_semi"))
         both = last.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
         change_log(both).where("_new").drop("_new").write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        newest = both.drop("_new").groupBy("item").agg(F.max_by(F.struct("seq", "at", "price", "type"), F.struct("at", "seq")).alias("x"))
-        newest.select("item", "x.*").write.mode("overwrite").parquet(f"{state_path}/{number}")
+        _newest(both.drop("_new")).write.mode("overwrite").parquet(f"{state_path}/{number}")
 
     return sink
 

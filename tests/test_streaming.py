@@ -46,6 +46,29 @@ def test_batch_again_logs_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == change_log(rows).count()
 
 
+def test_generations_of_last_prices(spark, tmp_path):
+    """Many batches, one run twice, with the state made anew every third one; old tables go."""
+    import os
+
+    rows = price_changes(spark, SF).toPandas().sort_values(["at", "seq"])
+    sink = flows.keep_changes(str(tmp_path / "state"), str(tmp_path / "log"), 3)
+    for k in range(11):
+        part = spark.createDataFrame(rows.iloc[len(rows) * k // 11 : len(rows) * (k + 1) // 11]).withColumn("at", F.col("at").cast("timestamp_ntz"))
+        for _ in range(2 if k in (3, 7, 9) else 1):
+            sink(part, k)
+    key = lambda r: (r.item, r.seq)
+    assert sorted(map(key, spark.read.parquet(str(tmp_path / "log")).collect())) == sorted(map(key, change_log(price_changes(spark, SF)).collect()))
+    assert sorted(os.listdir(tmp_path / "state")) == sorted(["all-6", "all-9", "6", "7", "8", "9", "10"])
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError):
+        flows.shared_folder(spark)
+
+
 def test_tumbling_windows_of_a_stream(spark, tmp_path):
     folder = split(spark, tmp_path)
     stream = read(spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)).withColumn("at", F.col("at").cast("timestamp"))
