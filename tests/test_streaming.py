@@ -61,12 +61,16 @@ def test_generations_of_last_prices(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "state")) == sorted(["all-6", "all-9", "6", "7", "8", "9", "10"])
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
     import pytest
 
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    session = lambda master, folder=None: Fake(conf=Fake(get=lambda key, default: folder), sparkContext=Fake(master=master))
     with pytest.raises(ValueError):
-        flows.shared_folder(spark)
+        flows.shared_folder(session("spark://host:7077"))
+    assert flows.shared_folder(session("spark://host:7077", "file:///shared/")) == "file:///shared"
+    assert flows.shared_folder(session("local[8]")).startswith("file:///tmp/")
 
 
 def test_tumbling_windows_of_a_stream(spark, tmp_path):
