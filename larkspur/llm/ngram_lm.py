@@ -23,8 +23,6 @@ rows are counted and scored each; a null id is in no fold but the training set;
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, chunks, cut, give_back, mixed, mounted, new_path, word_hashes
+from .shared import bounded_batches, chunks, cut, give_back, mapped_arrays, mixed, mounted, new_path, save_arrays, word_hashes
 
 START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -101,16 +99,6 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(u, n), tokens, np.frombuffer(data, np.uint32, nv, 16 + 12 * nu + 8 * nv)
 
 
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Each array as a file of its own; a retried or a second attempt at the task replaces them by the same ones."""
-    os.makedirs(folder, exist_ok=True)
-    for key, x in arrays.items():
-        part = f"{folder}/.{name}.{key}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, x)
-        os.replace(part, f"{folder}/{name}.{key}.npy")
-
-
 def _plan(texts: DataFrame) -> Buckets:
     """Number of buckets and the frequent contexts, from one text in 64."""
 
@@ -171,7 +159,7 @@ def _merge(runs: DataFrame, folder: str) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.add.reduceat(c[order].astype(np.int64), begin)
         keys, u, v = keys[begin], u[order][begin], v[order][begin]
-        _save(folder, f"pairs-{key[0].as_py()}", keys=keys, counts=np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        save_arrays(folder, f"pairs-{key[0].as_py()}", keys=keys, counts=np.minimum(counts, 2**32 - 1).astype(np.uint32))
         token, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         of_u, of_v = at[: len(u)], at[len(u) :]
         sums = [np.bincount(of_u, weights=w, minlength=len(token)) for w in (counts, counts > 0, counts == 1, counts == 2, counts == 3, counts == 4)]
@@ -226,29 +214,16 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         token = table.column("token").to_numpy().view(np.uint64)
         order = np.argsort(token)
         columns = {n: table.column(n).to_numpy()[order] for n in ("count", "total", "free", "p1")}
-        _save(folder, f"tokens-{key[0].as_py()}", keys=token[order], **columns)
+        save_arrays(folder, f"tokens-{key[0].as_py()}", keys=token[order], **columns)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
 
     rows.groupBy("part").applyInArrow(write, "part int").count()
     return Model(folder, buckets, parts, d, uniform, total, distinct)
 
 
-_open: dict[str, dict[str, np.ndarray]] = {}
-
-
-def _arrays(folder: str, name: str, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
-    if (path := f"{folder}/{name}") not in _open:
-        if not os.path.isdir(folder):
-            raise FileNotFoundError(f"the language model's folder {folder} is not mounted here")
-        # a bucket that got no rows has no file
-        there = os.path.exists(f"{path}.keys.npy")
-        _open[path] = {c: np.load(f"{path}.{c}.npy", mmap_mode="r") for c in columns} if there else {"keys": np.zeros(0, np.uint64)}
-    return _open[path]
-
-
 def _find(folder: str, name: str, columns: tuple[str, ...], wanted: np.ndarray, into: dict[str, np.ndarray], where: np.ndarray) -> None:
     """Puts the values of the ``wanted`` hashes (sorted) at ``where`` of the output columns; others stay as they are."""
-    arrays = _arrays(folder, name, columns)
+    arrays = mapped_arrays(folder, name, columns)
     keys = arrays["keys"]
     if len(keys):
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -19,8 +20,11 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/larkspur-{os.getuid()}/checkpoints").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (folder or f"file:///tmp/larkspur-{os.getuid()}/checkpoints").rstrip("/")
 
 
 _own: set[str] = set()
@@ -58,6 +62,29 @@ def mounted(uri: str) -> str:
     return unquote(parts.path)
 
 
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Each array as a file of its own; a retried or a second attempt at the task replaces them by the same ones."""
+    os.makedirs(folder, exist_ok=True)
+    for key, x in arrays.items():
+        part = f"{folder}/.{name}.{key}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            np.save(f, x)
+        os.replace(part, f"{folder}/{name}.{key}.npy")
+
+
+_open: dict[str, dict[str, np.ndarray]] = {}
+
+
+def mapped_arrays(folder: str, name: str, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Saved arrays, mapped into memory; the keys are empty where nothing was saved under that name."""
+    if (path := f"{folder}/{name}") not in _open:
+        if not os.path.isdir(folder):
+            raise FileNotFoundError(f"the folder {folder} is not mounted here")
+        there = os.path.exists(f"{path}.{columns[0]}.npy")
+        _open[path] = {c: np.load(f"{path}.{c}.npy", mmap_mode="r") for c in columns} if there else {columns[0]: np.zeros(0, np.uint64)}
+    return _open[path]
+
+
 #: Texts may be long: so many rows make an Arrow batch at most, which bounds the memory of both sides of a worker.
 BATCH_ROWS = 500
 
@@ -176,9 +203,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums: :func:`span_hashes` gets the hash of any span from two of them."""
+    """Polynomial prefix sums of bytes or of 64-bit hashes: :func:`span_hashes` gets the hash of any span from two of them."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum((_BYTE_CODES[data] if data.dtype == np.uint8 else data) * powers(len(data))[0], out=out[1:])
     return out
 
 

@@ -20,11 +20,14 @@ more, each pair decided on the sets themselves. Texts of one set are collapsed.
   lose pairs, but find groups of near copies in a number of comparisons that is linear in the group.
 * Prefixes, which lose none: with all shingles in one order, two sets of that similarity share one of the first
   n - ceil(0.8 n) + 1 shingles of each. Sets that share one are compared, unless stars have already put them into one
-  component, or their sizes or the shingle's places rule the similarity out. Shingles that a sample of the sets shows to
-  be frequent come last in the order, so boilerplate is hardly ever in a prefix. A cell of the prefixes is a join key.
+  component, or their sizes, the shingle's places or their parity bits rule the similarity out. The order is by the
+  number of sets that have a shingle, rare ones first, so boilerplate is hardly ever in a prefix, and a shingle that one
+  set has needs no place in a cell. All sets are counted (``shingle_table``). A cell of the prefixes is a join key.
 
-Before the sets are compared, 512 parity bits of each rule out most unlike ones: they differ in no more bits than the
-sets do in shingles.
+512 parity bits of each set rule out most unlike ones: they differ in no more bits than the sets do in shingles.
+
+The counts are sorted arrays in the shared folder, a file for each hash range, which workers map into memory, so that
+their size may grow with the input; the folder has to be mounted on the executors for that.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any other; a text with fewer words
 than a shingle is one shingle; repeated rows are returned each; a null doc_id keeps its row, but never names a
@@ -43,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, bounded_batches, chunks, cut, mixed, prefix_sums, span_hashes, text_bytes, word_spans
+from .shared import LOWER, bounded_batches, chunks, cut, drop, give_back, mapped_arrays, mixed, mounted, new_path, prefix_sums, save_arrays, span_hashes, text_bytes, word_spans
 
 BLOCK = 31
 #: Bit masks of the code's five parity checks: check j covers the positions 1..31 whose number has bit j set.
@@ -177,8 +180,8 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
 PARITY = [f"w{k}" for k in range(8)]
 #: Stars: so many anchors for each set, of so many minima each.
 ANCHORS, MINIMA = 6, 3
-#: Sets that show which shingles are frequent, and the number of them that a frequent one is in.
-SAMPLE, FREQUENT = 20_000, 3
+#: Shingles that a task sorts at once and that a range of the counts has on average, and the fewest ranges.
+RUN_SHINGLES, RANGE_SHINGLES, LEAST_RANGES = 2_000_000, 4_000_000, 16
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,40 +241,81 @@ def star_pairs(sets: DataFrame, width: int) -> DataFrame:
     return meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
-def frequent_shingles(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes that FREQUENT or more sets of a bounded sample have, in rising order, and the number of those sets."""
+def shingle_table(sets: DataFrame, width: int) -> tuple[str, int]:
+    """Counts the sets (``size, text``) that have each shingle; gives the folder of the sorted arrays and the number of ranges.
+
+    A range is the hash's remainder. Its 32 upper bits stand for the hash: two shingles that have them in common are
+    counted as one, which moves both in the order and loses nothing. Only counts of two and more are kept.
+    """
+    spark = sets.sparkSession
+    ranges = max(LEAST_RANGES, -(-(sets.agg(F.sum("size")).first()[0] or 0) // RANGE_SHINGLES))
+    folder = mounted(new_path(spark, "shingles"))
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(held)
+        where = hashes % np.uint64(ranges)
+        order = np.argsort(where, kind="stable")
+        own, begin = np.unique(where[order], return_index=True)
+        upper = (hashes[order] >> np.uint64(32)).astype(np.uint32)
+        bounds = [*begin.tolist(), len(upper)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([np.sort(upper[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["range", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in chunks(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part.column(0), width)[0].view(np.int64))], ["shingle"])
-
-    share = math.ceil((1 << 20) * min(1, SAMPLE / max(1, sets.count())))
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("text")
-    found = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
-    hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order].astype(np.int32)
+                held.append(shingle_sets(part.column(0), width)[0])
+                n += len(held[-1])
+                if n >= RUN_SHINGLES:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        upper = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("run")]))
+        begin = np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]]))
+        counts = np.diff(np.append(begin, len(upper)))
+        often = counts > 1
+        save_arrays(folder, str(key[0].as_py()), keys=upper[begin[often]], counts=np.minimum(counts[often], 2**31 - 1).astype(np.int32))
+        give_back()
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32())})
+
+    sets.select("text").mapInArrow(run, "range int, run binary").groupBy("range").applyInArrow(merge, "range int").count()
+    return folder, ranges
+
+
+def shingle_counts(folder: str, ranges: int, hashes: np.ndarray) -> np.ndarray:
+    """The number of sets that have each shingle; 1 for one that is not in the table."""
+    out = np.ones(len(hashes), np.int32)
+    where = hashes % np.uint64(ranges)
+    order = np.argsort(where, kind="stable")
+    own, begin = np.unique(where[order], return_index=True)
+    for k, a, b in zip(own.tolist(), begin.tolist(), [*begin.tolist()[1:], len(order)]):
+        arrays = mapped_arrays(folder, str(k), ("keys", "counts"))
+        keys, rows = arrays["keys"], order[a:b]
+        if len(keys):
+            wanted = (hashes[rows] >> np.uint64(32)).astype(np.uint32)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
+            out[rows[hit]] = arrays["counts"][at[hit]]
+    return out
 
 
 def prefix_rows(sets: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``shingle, id, label, size, place`` of the shingles in the prefix of each set (``id, label, text``)."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, width))
+    """``shingle, id, label, size, place`` of the shingles in the prefix of each set (``id, label, size, text``) that other sets have too."""
+    folder, ranges = shingle_table(sets, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, often = shared.value
         for batch in batches:
             for part in chunks(batch, 2):
                 hashes, number = shingle_sets(part.column(2), width)
-                n = np.zeros(len(hashes), np.int32)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                    n = np.where(frequent[at] == hashes, often[at], 0)
+                n = shingle_counts(folder, ranges, hashes)
                 text = np.repeat(np.arange(len(number)), number)
                 order = np.lexsort((hashes, n, text))
                 place = np.arange(len(hashes)) - np.repeat(np.cumsum(number) - number, number)
                 prefix = number - np.ceil(similarity * number - 1e-9).astype(np.int64) + 1
-                own = np.flatnonzero(place < prefix[text])
+                own = np.flatnonzero((place < prefix[text]) & (n[order] > 1))
                 at = pa.array(text[own])
                 made = [pa.array(hashes[order][own].view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(number[text[own]].astype(np.int32)), pa.array(place[own].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(made, ["shingle", "id", "label", "size", "place"])
@@ -312,26 +356,41 @@ def mixed_cells(rows: DataFrame) -> DataFrame:
     return rows.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(run, PREFIX)
 
 
-def prefix_pairs(cells: DataFrame, similarity: float) -> DataFrame:
+def _apart(other: str = "_") -> Column:
+    """The number of parity bits in which two sets differ."""
+    bits = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{other}{w}"))) for w in PARITY]
+    return sum(bits[1:], bits[0])
+
+
+def _may(similarity: float) -> Column:
+    return _apart() <= (F.col("size") + F.col("_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def prefix_pairs(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all sets of different labels that may have the similarity and share a shingle of their prefixes."""
     number = cells.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     main = number.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main"))
+    cells = cells.join(sets.select("id", *PARITY), "id")
     # the largest component of a cell is only met, so its own pairs are not made
-    others = cells.join(main, "shingle").where("label != main").select("shingle", "main", *[F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "place")])
+    others = cells.join(main, "shingle").where("label != main").select("shingle", "main", *[F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "place", *PARITY)])
     once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("_id"))
     sizes = F.least("size", "_size") >= F.greatest("size", "_size") * similarity - 1e-6
     most = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
     places = most >= (F.col("size") + F.col("_size")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = cells.join(others, "shingle").where((F.col("label") != F.col("_label")) & once & sizes & places)
+    pairs = cells.join(others, "shingle").where((F.col("label") != F.col("_label")) & once & sizes & places & _may(similarity))
     return pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets (``id, text, size, w0 .. w7``) have the similarity."""
+def star_candidates(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` that sizes and parity bits (``id, size, w0 .. w7``) don't rule out."""
     marks = sets.select("id", "size", *PARITY)
     both = pairs.join(marks.withColumnRenamed("id", "a"), "a").join(marks.select(F.col("id").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("size", *PARITY)]), "b")
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in PARITY[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
-    left = cut(both.where(apart <= (F.col("size") + F.col("_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"), "pairs")
+    return both.where(_may(similarity)).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets (``id, text``) have the similarity, by the sets themselves; a written table."""
+    left = cut(pairs, "pairs")
     wanted = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     texts = cut(sets.select("id", "text").join(wanted, "id", "left_semi"), "texts")
 
@@ -346,16 +405,18 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: flo
                     yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     rows = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = cut(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    drop(sets.sparkSession, left, texts)
+    return out
 
 
 def similar_links(sets: DataFrame, width: int, similarity: float) -> DataFrame:
     """``a, b``: pairs of sets (``id, text, size, w0 .. w7``) of that Jaccard similarity, enough to reach every such pair over them."""
-    stars = cut(similar_pairs(star_pairs(sets, width), sets, width, similarity), "stars")
+    stars = similar_pairs(star_candidates(star_pairs(sets, width), sets, similarity), sets, width, similarity)
     label = components(stars).withColumnRenamed("id", "of")
-    labelled = sets.join(label, sets.id == label.of, "left").select("id", F.coalesce("label", "id").alias("label"), "text")
+    labelled = sets.join(label, sets.id == label.of, "left").select("id", F.coalesce("label", "id").alias("label"), "size", "text")
     cells = cut(mixed_cells(prefix_rows(labelled, width, similarity)), "cells")
-    return stars.union(similar_pairs(prefix_pairs(cells, similarity), sets, width, similarity))
+    return stars.union(similar_pairs(prefix_pairs(cells, sets, similarity), sets, width, similarity))
 
 
 def similar_rows(docs: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,5 +443,6 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     """
     named = similar_rows(docs, width, similarity).where("doc_id is not null")
     kept = named.groupBy("label").agg(F.min(F.struct("doc_id", "_text")).alias("k")).select("k.*")
-    first = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).join(kept, ["doc_id", "_text"], "left_semi")
-    return first.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("_text"))  # columns of docs may have any name
+    first = rows.where("doc_id is not null").join(kept, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    return first.select("row").union(rows.where("doc_id is null").select("row")).select("row.*")
