@@ -1,10 +1,13 @@
-"""Long repeated passages by run-length indexes: every byte covered by a string of ``length`` bytes that also starts elsewhere.
+"""Long repeated passages by run-length indexes: everything covered by a string of ``length`` symbols that also starts elsewhere.
 
-Spreading the work. The anchor of a string of ``length`` bytes is the position of its smallest gram hash (grams of
-``GRAM`` bytes, leftmost of equal ones), which depends on the string only; equal strings have equal anchors at the
-same offset. So each start of a text belongs to one anchor, the starts of an anchor are a short range, and the bytes
-that they need (the anchor's context) are all that has to meet. Contexts are counted by their hashes first, with
-partial sums before the shuffle:
+Symbols are bytes (``BYTE``), or words of bytes but white space, A-Z in lower case (``WORD``). What is cut of a text
+are bytes either way: a run of words goes with the white space in it and after it.
+
+Spreading the work. The anchor of a string of ``length`` symbols is the position of its smallest gram hash (grams of
+``Unit.gram`` symbols, leftmost of equal ones), which depends on the string only; equal strings have equal anchors at
+the same offset. So each start of a text belongs to one anchor, the starts of an anchor are a short range, and the
+symbols that they need (the anchor's context) are all that has to meet. Contexts are counted by their hashes first,
+with partial sums before the shuffle:
 - an anchor hash seen once: nothing in the context repeats;
 - a context seen twice or more: all of it repeats (copies end here);
 - a context seen once whose anchor hash has other contexts: these, and one copy of each of the others, go to the index.
@@ -19,12 +22,14 @@ dealt by window instead: packed window hashes, spread evenly, are compared with
 
 Defined cases: null is the empty text; a text shorter than ``length`` loses nothing; overlapping and same-document
 repeats count; matches never cross documents; repeated rows are repeats of each other; an empty table gives an empty
-table; other columns are kept, but for the output names, which replace columns of the same name.
+table; other columns are kept whatever their names, but for the output names, which replace columns of the same name;
+a text of more than PIECE symbols is worked on in pieces that overlap, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +37,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, chunks, cut, give_back, mixed, powers, prefix_sums, span_hashes, text_bytes
+from .shared import LOWER, bounded_batches, chunks, cut, give_back, mixed, powers, prefix_sums, span_hashes, text_bytes, word_spans
 
-LENGTH, GRAM = 400, 32
-#: Bytes of contexts in a shard on average, and contexts of one anchor hash beyond which they are dealt by window.
-SHARD_BYTES, HOT_CONTEXTS = 1 << 20, 2048
+LENGTH = 400
+#: Bytes of contexts in a shard on average, contexts of one anchor hash beyond which they are dealt by window, and symbols of a text that are worked on at once.
+SHARD_BYTES, HOT_CONTEXTS, PIECE = 1 << 20, 2048, 1 << 22
+#: A position in a piece; the rest of 64 bits is of the gram's hash.
 _POSITION = np.uint64((1 << 28) - 1)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a sequence of."""
+
+    gram: int  # symbols of a gram
+    code: type  # of a symbol
+
+    def symbols(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts one after the other, and their offsets (nulls as empty)."""
+        data, offsets = text_bytes(column)
+        if self.code is np.uint8:
+            return data, offsets
+        starts, ends, counts = word_spans(data, offsets)
+        return span_hashes(prefix_sums(LOWER[data]), starts, ends), np.concatenate([[0], np.cumsum(counts)])
+
+    def gone_bytes(self, data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """Which bytes of a text go, given which symbols do."""
+        if self.code is np.uint8:
+            return gone
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+        change = np.zeros(len(data) + 1, np.int8)
+        for a, b in zip(*[iter(_ranges(gone))] * 2):
+            change[starts[a]] += 1
+            change[starts[b] if b < len(starts) else ends[b - 1]] -= 1
+        return np.cumsum(change[:-1]) > 0
+
+
+BYTE, WORD = Unit(32, np.uint8), Unit(8, np.uint64)
+
+
+def anchors(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """The anchors of a batch of texts: text, hash, context hash, first start, number of starts, all in order."""
+    parts = [x for x in _pieces(codes, offsets, length, gram) if len(x["text"])]
     none = {k: np.zeros(0, np.int64) for k in ("text", "start", "starts", "at")} | {k: np.zeros(0, np.uint64) for k in ("hash", "context")}
+    return {k: np.concatenate([x[k] for x in parts]) for k in none} if parts else none
+
+
+def _pieces(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    if len(codes) <= PIECE:
+        yield _anchors(codes, offsets, length, gram)
+        return
+    for text, (begin, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        for a in range(begin, end - length + 1, PIECE):
+            own = codes[a : min(a + PIECE + length - 1, end)]
+            x = _anchors(own, np.array([0, len(own)]), length, gram)
+            yield x | {"text": x["text"] + text, "start": x["start"] + a, "at": x["at"] + a}
+
+
+def _anchors(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     sizes = np.diff(offsets)
     if not (sizes >= length).any():
-        return none
-    if len(data) >= 1 << 28:
-        raise ValueError("a text of 256 MB or more")
-    sums = prefix_sums(data)
-    n = len(data) - GRAM + 1
-    grams = mixed((sums[GRAM:] - sums[:n]) * powers(len(sums))[1][:n])
-    width = length - GRAM + 1
+        return {"text": np.zeros(0, np.int64)}
+    sums = prefix_sums(codes)
+    n = len(codes) - gram + 1
+    grams = mixed((sums[gram:] - sums[:n]) * powers(len(sums))[1][:n])
+    width = length - gram + 1
     keyed = (grams & ~_POSITION) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
     padded[:n] = keyed
@@ -71,17 +121,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
 
 
 def suffix_order(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order, by doubling; and the ranks by the first 4, 8, ... bytes. ``left``: bytes up to the context's end.
+    """Suffixes in order, by doubling; and the ranks by the first few, twice as many, ... symbols. ``left``: symbols up to the context's end.
 
-    The end of a context comes before any byte; equal rests of contexts are in the order of their positions.
+    The end of a context comes before any symbol; equal rests of contexts are in the order of their positions.
     """
     n, place = len(codes), np.arange(len(codes), dtype=np.uint64)
     packed = n < 1 << 21  # then two ranks and a position fit into one integer, which sorts several times as fast
-    key, size = np.zeros(n, np.uint64), 4
-    for k in range(size):  # nine bits each; the end of a context is 0
+    bits = (int(codes.max()) + 1).bit_length()
+    key, size = np.zeros(n, np.uint64), 43 // bits  # of two symbols at least while packed, as there are fewer than places
+    for k in range(size):  # the end of a context is 0
         shifted = np.zeros(n, np.uint64)
         shifted[: n - k] = codes[k:].astype(np.uint64) + np.uint64(1)
-        key = (key << np.uint64(9)) | np.where(left > k, shifted, np.uint64(0))
+        key = (key << np.uint64(bits)) | np.where(left > k, shifted, np.uint64(0))
     levels, longest = [], int(left.max())
     while True:
         if packed:
@@ -114,7 +165,7 @@ def match_lengths(a: np.ndarray, b: np.ndarray, codes: np.ndarray, left: np.ndar
             same = ok.copy()
             same[ok] = rank[x[ok]] == rank[y[ok]]
             out[same] += size
-    for _ in range(3):
+    for _ in range(levels[0][0] - 1):
         ok = np.flatnonzero(out < most)
         ok = ok[codes[a[ok] + out[ok]] == codes[b[ok] + out[ok]]]
         out[ok] += 1
@@ -124,10 +175,10 @@ def match_lengths(a: np.ndarray, b: np.ndarray, codes: np.ndarray, left: np.ndar
 def matching_statistics(codes: np.ndarray, left: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each position the longest match with another position of the shard, from samples at the run ends of the transform.
 
-    ``first`` marks the first byte of each context.
+    ``first`` marks the first symbol of each context.
     """
     order, levels = suffix_order(codes, left)
-    before = np.where(first[order], -1 - np.arange(len(order)), codes[order - 1].astype(np.int64))  # the transform; a context's first byte has none before it
+    before = np.where(first[order], -1 - np.arange(len(order)), codes[order - 1].astype(np.int64))  # the transform; a context's first symbol has none before it
     edge = np.flatnonzero(before[1:] != before[:-1]) + 1  # first row of each run but the first
     heads, tails = order[np.concatenate([[0], edge])], order[np.concatenate([edge - 1, [len(order) - 1]])]
     up = np.zeros(len(heads), np.int64)
@@ -150,11 +201,13 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _index(length: int):
+def _index(length: int, unit: Unit):
     def shard(table: pa.Table) -> pa.Table:
-        texts = [x.as_py() for x in table.column("bytes")]
-        sizes = np.array([len(x) for x in texts])
-        codes = np.frombuffer(b"".join(texts), np.uint8)
+        texts = [x.as_py() for x in table.column("symbols")]
+        codes = np.frombuffer(b"".join(texts), unit.code)
+        sizes = np.array([len(x) for x in texts]) // codes.itemsize
+        if unit.code is not np.uint8:
+            codes = np.unique(codes, return_inverse=True)[1]
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(codes))
         first = np.zeros(len(codes), bool)
@@ -167,14 +220,16 @@ def _index(length: int):
     return shard
 
 
-def _windows(length: int, buckets: int):
+def _windows(length: int, buckets: int, unit: Unit):
     """Packed hashes of the windows of hot contexts, a row for each batch and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 3):
                 data, offsets = text_bytes(part.column(3))
-                sums = prefix_sums(data)
+                codes = data.view(unit.code)
+                offsets = offsets // codes.itemsize
+                sums = prefix_sums(codes)
                 number = np.diff(offsets) - length + 1
                 of = np.repeat(np.arange(part.num_rows), number)
                 start = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
@@ -206,47 +261,41 @@ def _same_windows(table: pa.Table) -> pa.Table:
     return pa.table({"hash": pa.array(rows[begin, 0].view(np.int64)), "context": pa.array(rows[begin, 2].view(np.int64)), "ranges": pa.array(ranges, pa.list_(pa.int32()))})
 
 
-def _keys(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with a 128-bit key of the text."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_k1": F.xxhash64(value), "_k2": F.xxhash64(F.lit(9), value)})
-
-
-def _all_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``_k1, _k2, hash, context, n`` for the distinct contexts of each row (n: 1, or 2 if it is there more often)."""
+def _all_anchors(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """``k1, k2, hash, context, n`` for the distinct contexts of each row (n: 1, or 2 if it is there more often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2):
-                x = anchors(*text_bytes(part.column(2)), length)
+                x = anchors(*unit.symbols(part.column(2)), length, unit.gram)
                 order = np.lexsort((x["context"], x["hash"], x["text"]))
                 t, h, c = (x[k][order] for k in ("text", "hash", "context"))
                 begin = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(t) else np.zeros(0, np.int64)
                 n = np.minimum(np.diff(np.append(begin, len(t))), 2)
                 columns = [part.column(k).take(pa.array(t[begin])) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[begin].view(np.int64)), pa.array(c[begin].view(np.int64)), pa.array(n)], ["_k1", "_k2", "hash", "context", "n"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[begin].view(np.int64)), pa.array(c[begin].view(np.int64)), pa.array(n)], ["k1", "k2", "hash", "context", "n"])
 
-    return docs.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, hash long, context long, n long")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, hash long, context long, n long")
 
 
-def _contexts(wanted: DataFrame, length: int) -> DataFrame:
-    """``hash, context, ask, bytes`` of the wanted contexts of each text."""
+def _contexts(wanted: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """``hash, context, ask, symbols`` of the wanted contexts of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 0):
-                data, offsets = text_bytes(part.column(0))
-                x = anchors(data, offsets, length)
+                codes, offsets = unit.symbols(part.column(0))
+                x = anchors(codes, offsets, length, unit.gram)
                 ask = {(i, w["hash"], w["context"]): w["ask"] for i, ws in enumerate(part.column(1).to_pylist()) for w in ws}
                 out = []
                 for t, h, c, s, n in zip(x["text"].tolist(), x["hash"].view(np.int64).tolist(), x["context"].view(np.int64).tolist(), x["start"].tolist(), x["starts"].tolist()):
                     if (flag := ask.pop((t, h, c), None)) is not None:
-                        out.append((h, c, flag, data[s : s + n + length - 1].tobytes()))
+                        out.append((h, c, flag, codes[s : s + n + length - 1].tobytes()))
                 columns = list(zip(*out)) or [[]] * 4
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["hash", "context", "ask", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["hash", "context", "ask", "symbols"])
 
-    return wanted.mapInArrow(run, "hash long, context long, ask boolean, bytes binary")
+    return wanted.mapInArrow(run, "hash long, context long, ask boolean, symbols binary")
 
 
 OUTPUT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.BinaryType()), ("kept_text", T.StringType()))
@@ -254,7 +303,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _marked(x: dict[str, np.ndarray], own: slice, offset: int, size: int, said: dict, length: int) -> np.ndarray:
-    """Which bytes of a text go."""
+    """Which symbols of a text go."""
     change = np.zeros(size + 1, np.int32)
     for h, c, s, n in zip(x["hash"][own].view(np.int64).tolist(), x["context"][own].view(np.int64).tolist(), (x["start"][own] - offset).tolist(), x["starts"][own].tolist()):
         ranges = said.get((h, c))
@@ -272,9 +321,9 @@ def _whole(own: np.ndarray, gone: np.ndarray) -> str:
     return "".join(own[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(edge[::2], edge[1::2]))
 
 
-def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
+def _apply(joined: DataFrame, kept: list[str], length: int, unit: Unit) -> DataFrame:
     schema = T.StructType([*[joined.schema[c] for c in kept], *[T.StructField(n, k) for n, k in OUTPUT]])
-    at, said_at, keep = joined.columns.index("_text"), joined.columns.index("_said"), [joined.columns.index(c) for c in kept]
+    at, said_at, keep = joined.columns.index("text"), joined.columns.index("said"), [joined.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,9 +331,9 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
                 data, offsets = text_bytes(part.column(at))
                 columns = [[] for _ in OUTPUT]
                 asked = np.flatnonzero(part.column(said_at).is_valid().to_numpy(zero_copy_only=False))
-                x = anchors(*text_bytes(part.column(at).take(pa.array(asked))), length)  # texts with decisions only
+                codes, places = unit.symbols(part.column(at).take(pa.array(asked)))
+                x = anchors(codes, places, length, unit.gram)  # texts with decisions only
                 place = np.searchsorted(x["text"], np.arange(len(asked) + 1))
-                shift = np.concatenate([[0], np.cumsum(np.diff(offsets)[asked])])
                 number = {int(i): k for k, i in enumerate(asked)}
                 for i, said in enumerate(part.column(said_at).to_pylist()):
                     own = data[offsets[i] : offsets[i + 1]]
@@ -295,7 +344,7 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
                             old = decided.get((s["hash"], s["context"]))
                             decided[s["hash"], s["context"]] = s["ranges"] if old is None else (old + s["ranges"] if old and s["ranges"] else [])
                         k = number[i]
-                        gone = _marked(x, slice(place[k], place[k + 1]), int(shift[k]), len(own), decided, length)
+                        gone = unit.gone_bytes(own, _marked(x, slice(place[k], place[k + 1]), int(places[k]), int(places[k + 1] - places[k]), decided, length))
                     edge = _ranges(gone)
                     spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2])]
                     for column, value in zip(columns, (len(own), int(gone.sum()), spans, own[~gone].tobytes(), _whole(own, gone))):
@@ -306,39 +355,44 @@ def _apply(joined: DataFrame, kept: list[str], length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", unit: Unit = BYTE) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, the removed ``spans`` of bytes, and the ``kept`` bytes of each text, as they are and as whole characters."""
     bounded_batches(docs.sparkSession)
-    keyed = _keys(docs, text)
-    rows = cut(_all_anchors(keyed.select("_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("text")), length), "anchors")
+    names, outputs = docs.columns, {n for n, _ in OUTPUT}
+    own = [f"c{i}" for i in range(len(names))]  # the given names may be anything
+    body, of_row = (own[names.index(c)] for c in (text, doc_id))
+    value = F.coalesce(F.col(body), F.lit(""))
+    keyed = docs.toDF(*own).withColumns({"text": value, "k1": F.xxhash64(value), "k2": F.xxhash64(F.lit(9), value)})
+    rows = cut(_all_anchors(keyed, length, unit), "anchors")
     counted = rows.groupBy("hash", "context").agg(F.sum("n").alias("n"))
     often = counted.groupBy("hash").agg(F.sum("n").alias("all"), F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("single")).where("all > 1")
     known = counted.join(often, "hash").select("hash", "context", "n", "contexts", "single")
-    here = cut(rows.join(known, ["hash", "context"]).groupBy("_k1", "_k2", "hash", "context").agg(F.first("contexts").alias("contexts"), F.first("single").alias("single"), F.max(rows["n"]).alias("in_row"), F.first(known["n"]).alias("n")), "anchors")
+    here = cut(rows.join(known, ["hash", "context"]).groupBy("k1", "k2", "hash", "context").agg(F.first("contexts").alias("contexts"), F.first("single").alias("single"), F.first(known["n"]).alias("n")), "anchors")
 
     # one text supplies each context that the index needs, and one row of that text
     needed = here.where("contexts > 1 and single > 0")
-    source = needed.groupBy("hash", "context").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
-    lists = source.groupBy("k._k1", "k._k2").agg(F.collect_list(F.struct("hash", "context", (F.col("n") == 1).alias("ask"))).alias("wanted"))
-    one = keyed.groupBy("_k1", "_k2").agg(F.min(F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"))).alias("row")).join(lists, ["_k1", "_k2"])
-    one = one.select("_k1", "_k2", "row.id", "wanted")
-    texts = keyed.select("_k1", "_k2", F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    fetched = texts.join(one, ["_k1", "_k2"]).where(F.col("_id").eqNullSafe(F.col("id"))).select("_text", "wanted")
-    contexts = cut(_contexts(fetched, length), "contexts")
-    contexts = contexts.join(source.select("hash", "context", "contexts"), ["hash", "context"]).select("hash", "context", "ask", "bytes", "contexts")
-
-    total = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    source = needed.groupBy("hash", "context").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
+    lists = source.groupBy("k.k1", "k.k2").agg(F.collect_list(F.struct("hash", "context", (F.col("n") == 1).alias("ask"))).alias("wanted"))
+    one = keyed.groupBy("k1", "k2").agg(F.min(F.struct(F.col(of_row).isNull().alias("no"), F.col(of_row).alias("id"))).alias("row")).join(lists, ["k1", "k2"])
+    one = one.select("k1", "k2", "row.id", "wanted")
+    texts = keyed.select("k1", "k2", F.col(of_row).alias("own_id"), "text")
+    fetched = texts.join(one, ["k1", "k2"]).where(F.col("own_id").eqNullSafe(F.col("id"))).select("text", "wanted")
+    contexts = cut(_contexts(fetched, length, unit), "contexts")
+    contexts = contexts.join(source.select("hash", "context", "contexts"), ["hash", "context"]).select("hash", "context", "ask", "symbols", "contexts")
+
+    total = contexts.agg(F.sum(F.length("symbols"))).first()[0] or 0
     shards = max(16, -(-total // SHARD_BYTES))
     kind = "hash long, context long, ranges array<int>"
     usual = contexts.where(F.col("contexts") <= HOT_CONTEXTS).dropDuplicates(["hash", "context"])
-    indexed = usual.groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length), kind)
-    hot = contexts.where(F.col("contexts") > HOT_CONTEXTS).select("hash", "context", "ask", "bytes").dropDuplicates(["hash", "context"])
-    windows = hot.mapInArrow(_windows(length, shards), "bucket int, rows binary").groupBy("bucket").applyInArrow(_same_windows, kind)
+    indexed = usual.groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length, unit), kind)
+    hot = contexts.where(F.col("contexts") > HOT_CONTEXTS).select("hash", "context", "ask", "symbols").dropDuplicates(["hash", "context"])
+    windows = hot.mapInArrow(_windows(length, shards, unit), "bucket int, rows binary").groupBy("bucket").applyInArrow(_same_windows, kind)
     answers = indexed.union(windows).where(F.size("ranges") > 0)
 
-    whole = here.where("n > 1").select("_k1", "_k2", "hash", "context", F.array().cast("array<int>").alias("ranges"))
-    partly = here.where("n = 1").join(answers, ["hash", "context"]).select("_k1", "_k2", "hash", "context", "ranges")
-    said = whole.union(partly).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("_said"))
-    kept = [c for c in docs.columns if c.lower() not in {n for n, _ in OUTPUT}]
-    joined = keyed.select(*kept, "_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("_text")).join(said, ["_k1", "_k2"], "left")
-    return _apply(joined, kept, length)
+    whole = here.where("n > 1").select("k1", "k2", "hash", "context", F.array().cast("array<int>").alias("ranges"))
+    partly = here.where("n = 1").join(answers, ["hash", "context"]).select("k1", "k2", "hash", "context", "ranges")
+    # written, so that the copies of one text can be split between tasks when they meet its decisions
+    said = cut(whole.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("said")), "decisions")
+    kept = [c for c, name in zip(own, names) if name.lower() not in outputs]
+    joined = keyed.select(*kept, "k1", "k2", "text").join(said, ["k1", "k2"], "left")
+    return _apply(joined, kept, length, unit).toDF(*[name for name in names if name.lower() not in outputs], *[n for n, _ in OUTPUT])

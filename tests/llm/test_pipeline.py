@@ -1,5 +1,6 @@
 """The pipeline's run against a chain of brute-force stages, and its stages on odd rows."""
 
+import random
 import re
 from collections import Counter
 
@@ -16,21 +17,17 @@ SF = "/root/testdata/sf0.001"
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def whole(data, gone):
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (~gone).astype(np.int8), [0]])))
-    return "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(edge[::2], edge[1::2]))
-
-
-def without_repeats(texts, length=400):
-    data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+def without_repeats(texts, length=50):
+    """Texts without the words that repeated strings of ``length`` words cover, and the white space in and after these."""
+    found = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer("[^\\x20\\x09-\\x0d]+", t or "")] for t in texts]
+    grams = [[tuple(w for _, _, w in f[i : i + length]) for i in range(len(f) - length + 1)] for f in found]
+    seen = Counter(g for own in grams for g in own)
     out = []
-    for d in data:
-        gone = np.zeros(len(d), bool)
-        for i in range(len(d) - length + 1):
-            if seen[d[i : i + length]] > 1:
-                gone[i : i + length] = True
-        out.append(whole(d, gone))
+    for t, f, own in zip(texts, found, grams):
+        gone = {k for i, g in enumerate(own) if seen[g] > 1 for k in range(i, i + length)}
+        begin = lambda k: f[k][0] if k < len(f) else f[-1][1]
+        cut = {x for k in gone for x in range(f[k][0], begin(k + 1))}
+        out.append("".join(c for x, c in enumerate(t or "") if x not in cut))
     return out
 
 
@@ -82,11 +79,30 @@ def test_run_against_brute_force(spark):
     assert got == want and 0 < len(got) < len(docs)
 
 
+def test_short_passages_over_fifty_words_go(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 7)))
+    passages = [" ".join(word() for _ in range(n)) for n in range(51, 71)]
+    assert min(map(len, passages)) < 300
+    rows = []
+    for k, passage in enumerate(passages):
+        for place in range(2 + k % 3):
+            before, after = (" ".join(word() for _ in range(rng.randrange(1, 90))) for _ in range(2))
+            rows.append((len(rows), f"{before}\n{passage if place else passage.upper()} {after}", "en", "hot", 7))
+    rows += [(len(rows), " ".join(word() for _ in range(200)), "en", "clean", 7), (len(rows) + 1, passages[0].rsplit(" ", 2)[0], "en", "49 words", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r for r in pipeline.repeat_stage(spark, docs, SF).collect()}
+    want = without_repeats([t for _, t, *_ in rows])
+    assert [got[i].text for i, *_ in rows] == want and len(got) == len(rows)
+    assert not any(p in r.text.lower() for r in got.values() for p in passages)
+    assert [got[i].text for i, *_ in rows[-2:]] == [t for _, t, *_ in rows[-2:]] and got[0].n_chars == len(got[0].text)
+
+
 def test_stages_keep_columns_and_odd_rows(spark):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, toxicity double"
-    text = "".join(chr(97 + i % 7) + ("é" if i % 5 == 0 else "z") for i in range(900)) + " end"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, _text string, said string, k1 int"
+    text = " ".join(chr(97 + i % 7) + ("é" if i % 5 == 0 else "z") for i in range(300)) + " end"
     odd = [(1, None, None, None, None, 1.0), (2, "", "en", "s", 0, None), (3, text, "en", "s", len(text), 0.5), (4, "x y z " + text, None, None, None, None), (None, "alone here", "en", "s", 10, 0.1), (3, text, "en", "s", len(text), 0.5)]
-    docs = spark.createDataFrame(odd, kind)
+    docs = spark.createDataFrame([(*row, "kept as it is", "", 9) for row in odd], kind)
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name

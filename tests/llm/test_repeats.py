@@ -87,6 +87,21 @@ def test_repeated_rows_and_null_ids(spark):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_names_and_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    a = prose(rng, 700)
+    names = ["doc_id", "text", "_text", "_said", "_k1", "k2", "hash", "said"]
+    rows = [(i, t, "x", "y", i, i, i, "z") for i, t in enumerate([a, "q" + a[:650], prose(rng, 500)])]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, names), 100)
+    assert out.columns[: len(names)] == names and sorted(tuple(r)[: len(names)] for r in out.collect()) == rows
+    whole = np.frombuffer(prose(rng, 5000).encode() * 2, np.uint8)
+    for size in (1 << 22, 700):  # the same starts are covered, by more anchors
+        monkeypatch.setattr(repeats, "PIECE", size)
+        x = repeats.anchors(whole, np.array([0, 3000, len(whole)]), 400, 32)
+        starts = [(t, s + k) for t, s, n in zip(x["text"].tolist(), x["start"].tolist(), x["starts"].tolist()) for k in range(n)]
+        assert starts == [(0, s) for s in range(3000 - 399)] + [(1, s) for s in range(3000, len(whole) - 399)]
+
+
 def test_query_table_against_brute_force(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     check(spark, docs.text.tolist(), 400, docs.doc_id.tolist())
