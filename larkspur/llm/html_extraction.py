@@ -235,7 +235,10 @@ class Trees:
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 24) -> Trees:
     """Gradient-boosted trees for the logistic loss, with splits at quantiles and second-order leaf values."""
     limits = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(limits, x.T)], axis=1)
+    n, wide = x.shape[1], max(map(len, limits)) + 1
+    # a cell for each feature and bin: one count of all rows' cells by node gives the sums of every split of a level
+    cells = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(limits, x.T)], axis=1) + np.arange(n) * wide
+    usable = np.arange(wide) < np.array([[len(q)] for q in limits])
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     f = np.full(len(y), base)
@@ -246,18 +249,14 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
         feature, limit = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
-            for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                rows = np.flatnonzero(node == k)
-                best = (1e-6, 0, np.inf)
-                if len(rows) >= 8:
-                    sg, sh = g[rows].sum(), h[rows].sum()
-                    for j, q in enumerate(limits):
-                        if len(q):
-                            cg, ch = (np.cumsum(np.bincount(binned[rows, j], weights=w[rows], minlength=len(q) + 1))[:-1] for w in (g, h))
-                            gain = cg**2 / (ch + 1) + (sg - cg) ** 2 / (sh - ch + 1) - sg**2 / (sh + 1)
-                            if gain.max() > best[0]:
-                                best = (float(gain.max()), j, float(q[int(gain.argmax())]))
-                feature[k], limit[k] = best[1:]
+            first, number = 2**level - 1, 2**level
+            at = (cells + (node - first)[:, None] * (n * wide)).ravel()
+            cg, ch = (np.cumsum(np.bincount(at, weights=np.repeat(w, n), minlength=number * n * wide).reshape(number, n, wide), axis=2) for w in (g, h))
+            sg, sh = cg[:, :1, -1:], ch[:, :1, -1:]
+            gain = np.where(usable, cg**2 / (ch + 1) + (sg - cg) ** 2 / (sh - ch + 1) - sg**2 / (sh + 1), 0.0).reshape(number, -1)
+            best = gain.argmax(axis=1)
+            for k in np.flatnonzero((gain.max(axis=1) > 1e-6) & (np.bincount(node - first, minlength=number) >= 8)).tolist():
+                feature[first + k], limit[first + k] = best[k] // wide, limits[best[k] // wide][best[k] % wide]
             node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > limit[node])
         leaf = node - (2**depth - 1)
         value = rate * np.bincount(leaf, weights=g, minlength=2**depth) / (np.bincount(leaf, weights=h, minlength=2**depth) + 1)
