@@ -1,11 +1,14 @@
 """Exact top-k search by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors become integers, floor(scale * x), so scores are exact. Candidates are dealt to shards by their id and
-queries to blocks; a cell is one shard with one block, and bounds the memory of a task. In a cell, nodes are
-visited in the order of the upper bound q.c + |q| r of the inner product with anything in the ball (centre c,
-radius r), until no node can beat the current k-th score. That score is shared between shards: each query first
-searches one pilot shard (spread evenly by its id), and takes the k-th score found there along to all others.
-Equal scores go to the smaller id, and a node that can only tie is skipped when all its ids are larger.
+Vectors become integers, floor(scale * x), so scores are exact. Candidates go to the nearest of at most PIVOTS vectors
+(drawn by a hash of the id, so their number and size do not grow with the table), and the candidates of a pivot to as
+many shards as their number asks for, by hash. In a shard, nodes are visited in the order of the upper bound
+q.c + |q| r of the inner product with anything in the ball (centre c, radius r), until no node can beat the current
+k-th score. That score is shared between shards: each query first searches one pilot shard, of the pivot that it has
+the highest product with, and then goes only to the shards of those pivots whose whole ball (the pivot and its
+farthest candidate) can beat the k-th score found there; it is taken along. The queries of a shard are dealt to
+blocks, if they are many; a cell is one shard with one block, and bounds the memory of a task. Equal scores go to the
+smaller id, and a node that can only tie is skipped when all its ids are larger.
 
 Defined cases: rows whose vector is null or holds null or non-finite components, and rows without an id, take no
 part; vectors of another length than the query's are no candidates of it; exact repeats of a row count once, and a
@@ -16,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,8 @@ from pyspark.sql.window import Window
 
 from .shared import cut
 
-#: Rows of a shard, and queries of a block, at most on average; a cell holds both.
-SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS, LEAF = 1 << 15, 1 << 11, 8, 128
+#: Rows of a shard, and queries of a block, at most on average; a cell holds both. Pivots at most and at least, and rows of a leaf.
+SHARD_ROWS, BLOCK_QUERIES, PIVOTS, LEAST_PIVOTS, LEAF = 1 << 15, 1 << 11, 1024, 8, 128
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: int = 256) -> DataFrame:
@@ -132,29 +136,108 @@ def _cells(candidates: DataFrame, queries: DataFrame, key: list[str], k: int) ->
     return candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
 
 
-def _pmod(column: str, parts: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(parts)).cast("int")
+def _pmod(column: str, parts: Column | int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+
+
+def _pivots(candidates: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by their length: one for each SHARD_ROWS candidates on average, PIVOTS at most."""
+    wanted = min(PIVOTS, max(LEAST_PIVOTS, -(-candidates.count() // SHARD_ROWS)))
+    drawn = candidates.orderBy(F.xxhash64(F.lit(4), "vec_id"), "vec_id").limit(wanted).select("v").toArrow().column("v").to_pylist()
+    out: dict[int, list] = {}
+    for v in drawn:
+        out.setdefault(len(v), []).append(v)
+    return {dim: np.unique(np.array(rows, np.float64).reshape(len(rows), dim), axis=0) for dim, rows in out.items()}
+
+
+def _by_length(part: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length of a batch's vectors, their rows, and the vectors as a matrix."""
+    vectors = part.column(column)
+    sizes = np.array([len(v) for v in vectors.to_pylist()], np.int64)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield dim, at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+
+
+def _of(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """The pivots of a length; the origin where none was drawn."""
+    return pivots.get(dim, np.zeros((1, dim)))
+
+
+def _dealt(candidates: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``vec_id, v, dim, pivot, away``: each candidate with its nearest pivot, and its distance."""
+    shared = candidates.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at, x in _by_length(batch, 1):
+                centres = _of(shared.value, dim)
+                pivot = ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+                away = np.sqrt(((x - centres[pivot]) ** 2).sum(axis=1))
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), dim, np.int32)), pa.array(pivot.astype(np.int32)), pa.array(away)], ["vec_id", "v", "dim", "pivot", "away"])
+
+    return candidates.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, dim int, pivot int, away double")
+
+
+def _asked(queries: DataFrame, pivots: dict[int, np.ndarray], radii: dict[tuple[int, int], float], pilot: bool) -> DataFrame:
+    """``query_id, q, dim, floor, floor_id, pivot``: each query with the pivot of its pilot, or with all whose ball can beat its floor."""
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, radii))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres_of, radius_of = shared.value
+        for batch in batches:
+            for dim, at, q in _by_length(batch, 1):
+                own = np.array(sorted(p for d, p in radius_of if d == dim), np.int64)
+                if not len(own):
+                    continue
+                product = q @ _of(centres_of, dim)[own].T
+                if pilot:
+                    row, pivot = np.arange(len(at)), own[product.argmax(axis=1)]
+                else:
+                    radius = np.array([radius_of[dim, p] for p in own.tolist()])
+                    bound = product + np.sqrt((q**2).sum(axis=1))[:, None] * (radius * (1 + 1e-9) + 1e-9)
+                    bound = np.floor(bound + 1e-9 * np.abs(bound) + 1e-6)
+                    floor = batch.column(2).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)[at]
+                    row, which = np.nonzero(bound >= floor[:, None])
+                    pivot = own[which]
+                rows = pa.array(at[row])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in (0, 1)], pa.array(np.full(len(row), dim, np.int32)), *[batch.column(i).take(rows) for i in (2, 3)], pa.array(pivot.astype(np.int32))], ["query_id", "q", "dim", "floor", "floor_id", "pivot"])
+
+    return queries.select("query_id", "q", "floor", "floor_id").mapInArrow(run, "query_id long, q array<long>, dim int, floor long, floor_id long, pivot int")
+
+
+def _searched(shards: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of every query in the shard (dim, pivot, part) that it asks, in blocks of queries."""
+    where = ["dim", "pivot", "part"]
+    blocks = asked.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    queries = asked.join(blocks, where).withColumn("block", _pmod("query_id", F.col("blocks"), 2)).drop("blocks")
+    copies = shards.join(blocks, where).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return _cells(copies, queries, [*where, "block"], k)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates of highest inner product of each query, both as :func:`quantised`."""
-    spark = candidates.sparkSession
-    shards = max(LEAST_SHARDS, -(-candidates.count() // SHARD_ROWS))
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    queries = queries.select("*", F.size("q").alias("dim"), _pmod("query_id", shards, 1).alias("pilot"), _pmod("query_id", blocks, 2).alias("block"))
-    sharded = candidates.select("vec_id", "v", F.size("v").alias("dim"), _pmod("vec_id", shards, 3).alias("shard"))
+    pivots = _pivots(candidates)
+    dealt = cut(_dealt(candidates, pivots), "candidates")
+    balls = dealt.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"), F.max("away").alias("radius"))
+    balls = cut(balls, "balls")
+    radii = {(r["dim"], r["pivot"]): r["radius"] for r in balls.collect()}  # PIVOTS rows for each length at most
+    parts = balls.select("dim", "pivot", "parts")
+    shards = dealt.join(parts, ["dim", "pivot"]).select("vec_id", "v", "dim", "pivot", _pmod("vec_id", F.col("parts"), 3).alias("part"))
 
     nothing = [F.lit(None).cast("long").alias("floor"), F.lit(None).cast("long").alias("floor_id")]
-    first = _cells(sharded, queries.select("query_id", "q", "dim", F.col("pilot").alias("shard"), *nothing), ["dim", "shard"], k)
-    first = cut(first, "pilot")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("last"))
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    first = _asked(queries.select("*", *nothing), pivots, radii, True).join(parts, ["dim", "pivot"])
+    first = cut(first.withColumn("part", _pmod("query_id", F.col("parts"), 1)).drop("parts"), "pilots")
+    found = cut(_searched(shards, first, k), "found")
+    kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("last"))
     kth = kth.where(F.col("n") >= k).select("query_id", (-F.col("last.s")).alias("floor"), F.col("last.i").alias("floor_id"))
-    armed = queries.join(kth, "query_id", "left")
-    armed = armed.select("query_id", "q", "dim", "block", "floor", "floor_id", "pilot", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard != pilot")
-    in_blocks = sharded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    rest = _cells(in_blocks, armed.drop("pilot"), ["dim", "shard", "block"], k)
+    armed = _asked(queries.join(kth, "query_id", "left"), pivots, radii, False).join(parts, ["dim", "pivot"])
+    armed = armed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    armed = cut(armed.join(first.select("query_id", "dim", "pivot", "part"), ["query_id", "dim", "pivot", "part"], "left_anti"), "asked")
+    rest = _searched(shards, armed, k)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = first.union(rest).select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
+    ranked = found.union(rest).select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
     return ranked.where(F.col("rank") <= k)

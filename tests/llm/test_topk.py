@@ -36,6 +36,24 @@ def test_ties_and_repeats(spark, leaf, monkeypatch):
     assert sorted(tree.ids.tolist()) == list(range(500))
 
 
+def test_small_shards_blocks_and_far_clusters(spark, monkeypatch):
+    """Hot pivots in several shards, hot shards in several blocks; queries go only where they can still win."""
+    for name, value in {"SHARD_ROWS": 16, "BLOCK_QUERIES": 4, "PIVOTS": 12, "LEAF": 4}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-900, 900, (4, 3))
+    rows = [(i, (centres[0 if i % 3 == 0 else i % 4] + rng.integers(-9, 9, 3)).tolist()) for i in range(400)] + [(400 + i, centres[1].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    asked = []
+    searched = topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda shards, queries, k: asked.append((shards, queries)) or searched(shards, queries, k))
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 10 = 0"), 5).collect()))
+    assert got == brute(rows, 5, 10)
+    shards = asked[0][0].select("dim", "pivot", "part").distinct().count()
+    pairs, queries = asked[1][1].count(), sum(i % 10 == 0 for i, _ in rows)
+    assert shards > 20 and pairs < queries * shards / 2
+
+
 def test_odd_rows(spark):
     rows = [(0, [0.5, 0.1]), (1, [0.5, 0.1]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, []), (50, [-0.001, 1.0]), (100, [1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
