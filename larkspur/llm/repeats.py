@@ -8,9 +8,9 @@ Spreading the work. The anchor of a string of ``length`` symbols is the position
 the same offset. So each start of a text belongs to one anchor, the starts of an anchor are a short range, and the
 symbols that they need (the anchor's context) are all that has to meet. Contexts are counted by their hashes first,
 with partial sums before the shuffle:
-- an anchor hash seen once: nothing in the context repeats;
-- a context seen twice or more: all of it repeats (copies end here);
-- a context seen once whose anchor hash has other contexts: these, and one copy of each of the others, go to the index.
+- an anchor hash seen once: nothing in the context repeats, and it goes no further;
+- all others go to the index: a context that is there once, and two copies of one that is there more often, taken from two
+  texts (or two places of one) where there are two; further copies get the answer of the first one.
 
 The index. Contexts are dealt by anchor hash to shards of bounded size. A shard's contexts are sorted by suffix, and
 its Burrows-Wheeler transform is compressed into runs. The suffix at the head of each run is sampled with the length
@@ -213,7 +213,7 @@ def _index(length: int, unit: Unit):
         first = np.zeros(len(codes), bool)
         first[ends - sizes] = True
         repeats = matching_statistics(codes, left, first) >= length
-        found = [_ranges(repeats[e - s : e]) if ask else [] for s, e, ask in zip(sizes.tolist(), ends.tolist(), table.column("ask").to_pylist())]
+        found = [_ranges(repeats[e - s : e]) if copy == 0 else [] for s, e, copy in zip(sizes.tolist(), ends.tolist(), table.column("copy").to_pylist())]
         give_back()
         return pa.table({"hash": table.column("hash"), "context": table.column("context"), "ranges": pa.array(found, pa.list_(pa.int32()))})
 
@@ -236,7 +236,7 @@ def _windows(length: int, buckets: int, unit: Unit):
                 at = offsets[of] + start
                 window = span_hashes(sums, at, at + length)
                 key = [part.column(k).to_numpy().view(np.uint64)[of] for k in (0, 1)]
-                ask = part.column(2).to_numpy(zero_copy_only=False)[of].astype(np.uint64)
+                ask = (part.column(2).to_numpy()[of] == 0).astype(np.uint64)
                 where = (window >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(where, kind="stable")
                 rows = np.stack([key[0], window, key[1], start.astype(np.uint64) << np.uint64(1) | ask], axis=1)[order]
@@ -279,23 +279,31 @@ def _all_anchors(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
 
 
 def _contexts(wanted: DataFrame, length: int, unit: Unit) -> DataFrame:
-    """``hash, context, ask, symbols`` of the wanted contexts of each text."""
+    """``hash, context, copy, hot, symbols`` of the wanted contexts of each text; a second copy from another place, if the text has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 0):
                 codes, offsets = unit.symbols(part.column(0))
                 x = anchors(codes, offsets, length, unit.gram)
-                ask = {(i, w["hash"], w["context"]): w["ask"] for i, ws in enumerate(part.column(1).to_pylist()) for w in ws}
-                out = []
+                ask: dict[tuple, list[int]] = {}
+                for i, ws in enumerate(part.column(1).to_pylist()):
+                    for w in ws:
+                        ask.setdefault((i, w["hash"], w["context"]), []).append((w["copy"], w["hot"]))
+                out, seen = [], {}
                 for t, h, c, s, n in zip(x["text"].tolist(), x["hash"].view(np.int64).tolist(), x["context"].view(np.int64).tolist(), x["start"].tolist(), x["starts"].tolist()):
-                    if (flag := ask.pop((t, h, c), None)) is not None:
-                        out.append((h, c, flag, codes[s : s + n + length - 1].tobytes()))
-                columns = list(zip(*out)) or [[]] * 4
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["hash", "context", "ask", "symbols"])
+                    if copies := ask.get((t, h, c)):
+                        seen[t, h, c] = s, s + n + length - 1
+                        out.append((h, c, *copies.pop(), codes[s : s + n + length - 1].tobytes()))
+                for (t, h, c), copies in ask.items():  # copies of the text as a whole
+                    if copies and (t, h, c) in seen:
+                        a, b = seen[t, h, c]
+                        out += [(h, c, *k, codes[a:b].tobytes()) for k in copies]
+                columns = list(zip(*out)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["hash", "context", "copy", "hot", "symbols"])
 
-    return wanted.mapInArrow(run, "hash long, context long, ask boolean, symbols binary")
+    return wanted.mapInArrow(run, "hash long, context long, copy int, hot boolean, symbols binary")
 
 
 OUTPUT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.BinaryType()), ("kept_text", T.StringType()))
@@ -303,13 +311,11 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _marked(x: dict[str, np.ndarray], own: slice, offset: int, size: int, said: dict, length: int) -> np.ndarray:
-    """Which symbols of a text go."""
+    """Which symbols of a text go, by the ranges of starts that were decided for its contexts."""
     change = np.zeros(size + 1, np.int32)
-    for h, c, s, n in zip(x["hash"][own].view(np.int64).tolist(), x["context"][own].view(np.int64).tolist(), (x["start"][own] - offset).tolist(), x["starts"][own].tolist()):
-        ranges = said.get((h, c))
-        if ranges is None:
-            continue
-        for a, b in zip(ranges[::2], ranges[1::2]) if ranges else ((0, n),):
+    for h, c, s in zip(x["hash"][own].view(np.int64).tolist(), x["context"][own].view(np.int64).tolist(), (x["start"][own] - offset).tolist()):
+        ranges = said.get((h, c), ())
+        for a, b in zip(ranges[::2], ranges[1::2]):
             change[s + a] += 1
             change[s + b - 1 + length] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -340,9 +346,8 @@ def _apply(joined: DataFrame, kept: list[str], length: int, unit: Unit) -> DataF
                     gone = np.zeros(len(own), bool)
                     if said:
                         decided: dict = {}
-                        for s in said:  # a context's windows may come in several parts; no ranges: all of it
-                            old = decided.get((s["hash"], s["context"]))
-                            decided[s["hash"], s["context"]] = s["ranges"] if old is None else (old + s["ranges"] if old and s["ranges"] else [])
+                        for s in said:  # a context's windows may come in several parts
+                            decided[s["hash"], s["context"]] = decided.get((s["hash"], s["context"]), []) + s["ranges"]
                         k = number[i]
                         gone = unit.gone_bytes(own, _marked(x, slice(place[k], place[k + 1]), int(places[k]), int(places[k + 1] - places[k]), decided, length))
                     edge = _ranges(gone)
@@ -365,34 +370,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     keyed = docs.toDF(*own).withColumns({"text": value, "k1": F.xxhash64(value), "k2": F.xxhash64(F.lit(9), value)})
     rows = cut(_all_anchors(keyed, length, unit), "anchors")
     counted = rows.groupBy("hash", "context").agg(F.sum("n").alias("n"))
-    often = counted.groupBy("hash").agg(F.sum("n").alias("all"), F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("single")).where("all > 1")
-    known = counted.join(often, "hash").select("hash", "context", "n", "contexts", "single")
-    here = cut(rows.join(known, ["hash", "context"]).groupBy("k1", "k2", "hash", "context").agg(F.first("contexts").alias("contexts"), F.first("single").alias("single"), F.first(known["n"]).alias("n")), "anchors")
-
-    # one text supplies each context that the index needs, and one row of that text
-    needed = here.where("contexts > 1 and single > 0")
-    source = needed.groupBy("hash", "context").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
-    lists = source.groupBy("k.k1", "k.k2").agg(F.collect_list(F.struct("hash", "context", (F.col("n") == 1).alias("ask"))).alias("wanted"))
+    often = counted.groupBy("hash").agg(F.sum("n").alias("all"), F.count("*").alias("contexts")).where("all > 1")
+    known = counted.join(often, "hash").select("hash", "context", "n", "contexts")
+    here = cut(rows.join(known, ["hash", "context"]).groupBy("k1", "k2", "hash", "context").agg(F.first("contexts").alias("contexts"), F.first(known["n"]).alias("n")), "anchors")
+
+    # one text, or two, supply each context, and one row of each such text
+    source = here.groupBy("hash", "context").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b"), F.max("n").alias("n"), (F.max("contexts") > HOT_CONTEXTS).alias("hot"))
+    copies = F.array_compact(F.array(F.struct(F.col("a").alias("k"), F.lit(0).alias("copy")), F.when(F.col("n") > 1, F.struct(F.col("b").alias("k"), F.lit(1).alias("copy")))))
+    lists = source.select("hash", "context", "hot", F.explode(copies).alias("x")).groupBy("x.k.k1", "x.k.k2").agg(F.collect_list(F.struct("hash", "context", "x.copy", "hot")).alias("wanted"))
     one = keyed.groupBy("k1", "k2").agg(F.min(F.struct(F.col(of_row).isNull().alias("no"), F.col(of_row).alias("id"))).alias("row")).join(lists, ["k1", "k2"])
     one = one.select("k1", "k2", "row.id", "wanted")
     texts = keyed.select("k1", "k2", F.col(of_row).alias("own_id"), "text")
     fetched = texts.join(one, ["k1", "k2"]).where(F.col("own_id").eqNullSafe(F.col("id"))).select("text", "wanted")
-    contexts = cut(_contexts(fetched, length, unit), "contexts")
-    contexts = contexts.join(source.select("hash", "context", "contexts"), ["hash", "context"]).select("hash", "context", "ask", "symbols", "contexts")
-
+    contexts = cut(_contexts(fetched, length, unit).dropDuplicates(["hash", "context", "copy"]), "contexts")
     total = contexts.agg(F.sum(F.length("symbols"))).first()[0] or 0
     shards = max(16, -(-total // SHARD_BYTES))
     kind = "hash long, context long, ranges array<int>"
-    usual = contexts.where(F.col("contexts") <= HOT_CONTEXTS).dropDuplicates(["hash", "context"])
-    indexed = usual.groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length, unit), kind)
-    hot = contexts.where(F.col("contexts") > HOT_CONTEXTS).select("hash", "context", "ask", "symbols").dropDuplicates(["hash", "context"])
-    windows = hot.mapInArrow(_windows(length, shards, unit), "bucket int, rows binary").groupBy("bucket").applyInArrow(_same_windows, kind)
+    indexed = contexts.where("not hot").groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length, unit), kind)
+    windows = contexts.where("hot").select("hash", "context", "copy", "symbols").mapInArrow(_windows(length, shards, unit), "bucket int, rows binary").groupBy("bucket").applyInArrow(_same_windows, kind)
     answers = indexed.union(windows).where(F.size("ranges") > 0)
-
-    whole = here.where("n > 1").select("k1", "k2", "hash", "context", F.array().cast("array<int>").alias("ranges"))
-    partly = here.where("n = 1").join(answers, ["hash", "context"]).select("k1", "k2", "hash", "context", "ranges")
+    partly = here.select("k1", "k2", "hash", "context").join(answers, ["hash", "context"])
     # written, so that the copies of one text can be split between tasks when they meet its decisions
-    said = cut(whole.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("said")), "decisions")
+    said = cut(partly.groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("said")), "decisions")
     kept = [c for c, name in zip(own, names) if name.lower() not in outputs]
     joined = keyed.select(*kept, "k1", "k2", "text").join(said, ["k1", "k2"], "left")
     return _apply(joined, kept, length, unit).toDF(*[name for name in names if name.lower() not in outputs], *[n for n, _ in OUTPUT])
