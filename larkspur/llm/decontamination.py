@@ -15,8 +15,8 @@
    and its answer (the last quarter of its words) is looked for in the same place. A document is contaminated by an
    item if the subsequence covers ``exact`` of the item, or ``paraphrase`` of it and the answer is there.
 
-Benchmarks are searched in blocks of at most ``BLOCK_ITEMS`` items; what a block sends to the workers is
-bounded. Documents are never shuffled.
+Benchmarks are searched in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters at most on average; what a
+block sends to the workers is bounded. Documents are never shuffled.
 
 Defined cases: null and empty texts match nothing; items without words take no part; repeated items count once;
 repeated documents are marked each; an empty benchmark marks nothing; other columns are kept, but for ``matches``,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, bounded_batches, chunks, cut, prefix_sums, span_hashes, text_bytes, word_spans
 
-BUCKETS, RANK, EXTRA, ROUNDS, BLOCK_ITEMS = 1 << 17, 256, 8, 2, 4096
+BUCKETS, RANK, EXTRA, ROUNDS, BLOCK_ITEMS, BLOCK_CHARS = 1 << 17, 256, 8, 2, 4096, 8 << 20
 #: Words are letters (capitals of ASCII and Latin-1 in lower case), digits and everything outside ASCII; punctuation separates.
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -296,7 +296,7 @@ _ARROW_MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float6
 
 
 def _items(benchmark: DataFrame, part: int, parts: int) -> list[tuple[int, np.ndarray]]:
-    """Item ids and words of one block (bounded by BLOCK_ITEMS on average), in the order of ids."""
+    """Item ids and words of one block (bounded by BLOCK_ITEMS and BLOCK_CHARS on average), in the order of ids."""
     own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
     hashes, counts = words_of(own.column("text").combine_chunks())
     bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -311,7 +311,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     idf = np.maximum(inverse_frequencies(docs, text), np.float32(settings.floor))
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     benchmark = cut(benchmark, "benchmark")
-    parts = max(1, -(-benchmark.count() // BLOCK_ITEMS))
+    size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     kept = [c for c in docs.columns if c.lower() != "matches"]
     out = docs.select(*kept, F.array().cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>").alias("matches"))
     for part in range(parts):
