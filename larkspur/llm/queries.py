@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, langid, ngram_lm, repeats, simhash, topk, toxicity, warc
+from . import bpe, decontamination, divergence, filter_audit, html_extraction, langid, ngram_lm, repeats, simhash, topk, toxicity, warc
 from .shared import fold
 
 
@@ -178,9 +178,96 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents
+), w AS (
+  SELECT lang, source, row, unnest(terms) AS term FROM d
+), l AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN l USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang
+), p AS (
+  SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (t.total + 2 * s.v) AS BIGINT) AS p,
+         CAST(1 + 1000000000 * (l.n + 2) // (s.total + 2 * s.v) AS BIGINT) AS q
+  FROM groups g JOIN l ON l.lang = g.lang JOIN sizes s ON s.lang = g.lang
+  JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), parts AS (
+  SELECT * FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), failed AS (
+  SELECT doc_id, part,
+         (len(words) < 50)::INT
+         + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+         + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM words
+), marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM failed LEFT JOIN marks USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0) AS applied FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+), s AS (
+  SELECT part, filter_order, step, bit,
+         count(*) FILTER (mask & (applied | bit) = 0) AS kept,
+         count(*) FILTER (mask & applied = 0 AND mask & bit > 0) AS removed,
+         count(*) FILTER (mask & applied > 0 AND mask & bit > 0) AS redundant,
+         count(*) FILTER (mask = bit) AS unique_fails,
+         count(*) FILTER (mask & applied = 0 AND mask & bit > 0 AND good = 1) AS good_lost,
+         count(*) FILTER (mask & applied = 0 AND mask & bit > 0 AND toxic = 1) AS toxic_lost
+  FROM d, (SELECT filter_order, step, bit, CAST(applied AS INTEGER) AS applied FROM steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_warc": op8_warc, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe}
+    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_warc": op8_warc, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe, "op11_divergence": op11_divergence, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op4_topk": OP4_SQL, "op8_warc": OP8_SQL, "op11_divergence": OP11_SQL, "op13_filter_audit": OP13_SQL}
