@@ -2,9 +2,10 @@
 
 Every round replaces each vertex's links by links to its smallest neighbour, first for the larger neighbours
 (large star), then for the smaller ones (small star); the number of rounds grows with the logarithm of the
-longest chain. Minima are pre-aggregated before the shuffle and joined back, so that a vertex with very many
-neighbours is split by Spark's skew-join handling and never gathered into one group. Each round is written to
-the shared folder, and only two numbers reach the driver.
+longest chain. Minima are pre-aggregated before the shuffle, written and joined back: both sides of the join are
+scans with a shuffle right above them, which is what Spark's skew-join handling splits, so a vertex with very many
+neighbours is never gathered into one group. Each round is written to the shared folder, and only two numbers reach
+the driver.
 """
 
 from __future__ import annotations
@@ -15,20 +16,28 @@ from pyspark.sql import functions as F
 from .shared import cut, drop
 
 
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+def _minima(edges: DataFrame) -> DataFrame:
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")), "links")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    out = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    return out.distinct()
+    """Links of the written table ``edges`` (``u, v``, u > v), each in both directions, led to the smallest neighbour."""
+    turned = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    minima = _minima(edges.select(F.explode(turned).alias("x")).select("x.*"))
+    # of the two directions only the one with v > u gives a link
+    met = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(minima, "u")
+    out = cut(met.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "links")
+    drop(edges.sparkSession, minima)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    out = _with_minimum(edges)
+    minima = _minima(edges)
     links = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-    return out.select(F.explode(links).alias("x")).select("x.u", "x.v").where("u != v").distinct()
+    out = edges.join(minima, "u").select(F.explode(links).alias("x")).select("x.u", "x.v").where("u != v").distinct()
+    out = cut(out, "links")
+    drop(edges.sparkSession, minima)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -44,8 +53,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct(), "links")
     state = _state(edges)
     while True:
-        larger = cut(_large_star(edges), "links")
-        smaller = cut(_small_star(larger), "links")
+        larger = _large_star(edges)
+        smaller = _small_star(larger)
         drop(links.sparkSession, edges, larger)
         edges, before = smaller, state
         state = _state(edges)

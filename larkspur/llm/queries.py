@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, divergence, filter_audit, html_extraction, langid, ngram_lm, repeats, simhash, topk, toxicity, warc
+from . import bpe, decontamination, divergence, filter_audit, html_extraction, langid, minhash, ngram_lm, repeats, simhash, topk, toxicity, warc
 from .shared import fold
 
 
@@ -223,6 +223,10 @@ FROM parts QUALIFY part = 'pair' OR rank <= 10
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -266,7 +270,7 @@ FROM s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_warc": op8_warc, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe, "op11_divergence": op11_divergence, "op13_filter_audit": op13_filter_audit}
+    return {"op1_lm_score": op1_lm_score, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_topk": op4_topk, "op5_decontamination": op5_decontamination, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_warc": op8_warc, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe, "op11_divergence": op11_divergence, "op12_minhash": op12_minhash, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,7 +38,7 @@ component (null if no other document is in it); an empty table gives an empty ta
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +180,8 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
 PARITY = [f"w{k}" for k in range(8)]
 #: Stars: so many anchors for each set, of so many minima each.
 ANCHORS, MINIMA = 6, 3
+#: Names of columns, and what makes them of the hashes of a batch's sets and their numbers.
+Marks = tuple[list[str], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]]
 #: Shingles that a task sorts at once and that a range of the counts has on average, and the fewest ranges.
 RUN_SHINGLES, RANGE_SHINGLES, LEAST_RANGES = 2_000_000, 4_000_000, 16
 
@@ -196,26 +198,33 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(text[new], minlength=len(number))
 
 
-def set_rows(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, id, size, w0 .. w7`` for every row of ``docs``: a hash of its shingle set, the set's size and parity bits."""
+def set_marks(hashes: np.ndarray, number: np.ndarray) -> list[pa.Array]:
+    """Of each set of a batch a hash, its size and its parity bits."""
     import xxhash
 
+    bits = 64 * len(PARITY)
+    edge = np.concatenate([[0], np.cumsum(number)])
+    ids = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), 42) for a, b in zip(edge, edge[1:])], np.uint64)
+    at = np.repeat(np.arange(len(number)), number) * bits + (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(number) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+    words = np.packbits(odd, axis=1, bitorder="little").copy().view("<i8")
+    return [pa.array(ids.view(np.int64)), pa.array(number.astype(np.int32)), *[pa.array(words[:, k].copy()) for k in range(len(PARITY))]]
+
+
+def set_rows(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text", more: Marks | None = None) -> DataFrame:
+    """``doc_id, text, id, size, w0 .. w7`` for every row of ``docs``: a hash of its shingle set, the set's size and parity bits; and columns of longs that ``more`` makes of the sets, by name."""
+    names, make = more or ([], lambda hashes, number: [])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = 64 * len(PARITY)
         for batch in batches:
             for part in chunks(batch, 1):
                 hashes, number = shingle_sets(part.column(1), width)
-                edge = np.concatenate([[0], np.cumsum(number)])
-                ids = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), 42) for a, b in zip(edge, edge[1:])], np.uint64)
-                at = np.repeat(np.arange(len(number)), number) * bits + (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
-                odd = (np.bincount(at, minlength=len(number) * bits) & 1).astype(np.uint8).reshape(-1, bits)
-                words = np.packbits(odd, axis=1, bitorder="little").copy().view("<i8")
-                made = [pa.array(ids.view(np.int64)), pa.array(number.astype(np.int32)), *[pa.array(words[:, k].copy()) for k in range(len(PARITY))]]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text", "id", "size", *PARITY])
+                made = [*set_marks(hashes, number), *[pa.array(x.view(np.int64)) for x in make(hashes, number)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text", "id", "size", *PARITY, *names])
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, id long, size int, " + ", ".join(f"{w} long" for w in PARITY))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, id long, size int, " + ", ".join(f"{w} long" for w in [*PARITY, *names]))
 
 
 def star_pairs(sets: DataFrame, width: int) -> DataFrame:
@@ -235,10 +244,21 @@ def star_pairs(sets: DataFrame, width: int) -> DataFrame:
                         anchor = mixed(anchor + np.minimum.reduceat(mixed(hashes + np.uint64((j + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))), begin))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64))], ["id", "anchor"])
 
-    rows = sets.select("id", "text").mapInArrow(run, "id long, anchor long")
+    return stars(sets.select("id", "text").mapInArrow(run, "id long, anchor long"))
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """``a, b``: each row (``id, anchor``) with one of those at its anchor; the centre is the same whenever a task runs again.
+
+    Both sides of the join are written tables, so that Spark can split an anchor at which very many meet.
+    """
+    rows = cut(rows, "anchors")
     centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    meet = rows.join(centres.select("anchor", F.col("c.id").alias("b")), "anchor").where(F.col("id") != F.col("b"))
-    return meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    centres = cut(centres.select("anchor", F.col("c.id").alias("b")), "anchors")
+    meet = rows.join(centres, "anchor").where(F.col("id") != F.col("b"))
+    out = cut(meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "anchors")
+    drop(rows.sparkSession, rows, centres)
+    return out
 
 
 def shingle_table(sets: DataFrame, width: int) -> tuple[str, int]:
@@ -327,33 +347,17 @@ PREFIX = "shingle long, id long, label long, size int, place int"
 
 
 def mixed_cells(rows: DataFrame) -> DataFrame:
-    """The rows of the shingles that sets of more than one label have; one pass over sorted rows, with one shingle's rows at a time in memory."""
+    """The rows (``shingle, id, label, size, place``) of the shingles that sets of more than one label have; a written table.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last shingle, while they have one label
-        own, one, mixed_before = None, None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shingle, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-            last = np.append(first[1:], len(shingle)) - 1
-            several = label[first] != label[last]
-            goes_on = own == int(shingle[0])
-            if goes_on and (mixed_before or one != int(label[last[0]])):
-                several[0] = True
-                yield from held
-                held = []
-            keep = np.repeat(several, last - first + 1)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-            if not goes_on or len(first) > 1:
-                own, one, held = int(shingle[first[-1]]), int(label[first[-1]]), []
-            mixed_before = bool(several[-1])
-            if not mixed_before:
-                held.append(batch.slice(int(first[-1])))
-
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(run, PREFIX)
+    The smallest and the largest label of a shingle tell, from partial sums; rows and shingles meet as written tables, so
+    that Spark can split a shingle that very many sets have.
+    """
+    rows = cut(rows, "prefixes")
+    several = rows.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    several = cut(several.select("shingle"), "prefixes")
+    out = cut(rows.join(several, "shingle", "left_semi"), "cells")
+    drop(rows.sparkSession, rows, several)
+    return out
 
 
 def _apart(other: str = "_") -> Column:
@@ -369,10 +373,10 @@ def _may(similarity: float) -> Column:
 def prefix_pairs(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all sets of different labels that may have the similarity and share a shingle of their prefixes."""
     number = cells.groupBy("shingle", "label").agg(F.count("*").alias("n"))
-    main = number.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main"))
-    cells = cells.join(sets.select("id", *PARITY), "id")
+    main = cut(number.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main")), "cells")
+    cells = cut(cells.join(main, "shingle").join(sets.select("id", *PARITY), "id"), "cells")
     # the largest component of a cell is only met, so its own pairs are not made
-    others = cells.join(main, "shingle").where("label != main").select("shingle", "main", *[F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "place", *PARITY)])
+    others = cells.where("label != main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "place", *PARITY)])
     once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("_id"))
     sizes = F.least("size", "_size") >= F.greatest("size", "_size") * similarity - 1e-6
     most = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
@@ -410,25 +414,41 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: flo
     return out
 
 
-def similar_links(sets: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``a, b``: pairs of sets (``id, text, size, w0 .. w7``) of that Jaccard similarity, enough to reach every such pair over them."""
-    stars = similar_pairs(star_candidates(star_pairs(sets, width), sets, similarity), sets, width, similarity)
-    label = components(stars).withColumnRenamed("id", "of")
+def similar_links(sets: DataFrame, width: int, similarity: float, found: Callable[[DataFrame, int], DataFrame] = star_pairs) -> DataFrame:
+    """``a, b``: pairs of sets (``id, text, size, w0 .. w7``) of that Jaccard similarity, enough to reach every such pair over them.
+
+    ``found`` gives the first candidates, which need not be all; prefixes find what they left between components.
+    """
+    first = similar_pairs(star_candidates(found(sets, width), sets, similarity), sets, width, similarity)
+    label = components(first).withColumnRenamed("id", "of")
     labelled = sets.join(label, sets.id == label.of, "left").select("id", F.coalesce("label", "id").alias("label"), "size", "text")
-    cells = cut(mixed_cells(prefix_rows(labelled, width, similarity)), "cells")
-    return stars.union(similar_pairs(prefix_pairs(cells, sets, similarity), sets, width, similarity))
+    cells = mixed_cells(prefix_rows(labelled, width, similarity))
+    return first.union(similar_pairs(prefix_pairs(cells, sets, similarity), sets, width, similarity))
+
+
+def named_sets(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, label, component_id`` of each set (``id, first_doc``): its component, and the smallest first_doc there. A written table."""
+    label = components(links).withColumnRenamed("id", "of")
+    of = cut(sets.join(label, sets.id == label.of, "left").select("id", "first_doc", F.coalesce("label", "id").alias("label")), "labels")
+    smallest = cut(of.groupBy("label").agg(F.min("first_doc").alias("component_id")), "labels")
+    out = cut(of.join(smallest, "label").select("id", "label", "component_id"), "labels")
+    drop(sets.sparkSession, of, smallest)
+    return out
 
 
 def similar_rows(docs: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, _text, label, component_id`` for every row: a hash of the text, and the component with its smallest doc_id."""
     rows = set_rows(docs, width, doc_id, text)
     prints = cut(rows.select("doc_id", F.xxhash64("text").alias("_text"), "id"), "sets")
-    one = [F.first(c).alias(c) for c in ("text", "size", *PARITY)]
-    distinct = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), *one), "sets")
-    label = components(similar_links(distinct, width, similarity)).withColumnRenamed("id", "of")
-    of = distinct.join(label, distinct.id == label.of, "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
-    smallest = of.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    return prints.join(of.join(smallest, "label").select("id", "label", "component_id"), "id").select("doc_id", "_text", "label", "component_id")
+    distinct = distinct_sets(rows)
+    named = named_sets(distinct, similar_links(distinct, width, similarity))
+    return prints.join(named, "id").select("doc_id", "_text", "label", "component_id")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """Each set of ``rows`` once, with the smallest doc_id of those that have it as ``first_doc``; a written table."""
+    one = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "id")]
+    return cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), *one), "sets")
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
