@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .queries import query
 from .reading_queries import cases
-from .sources import feeds, sinks
+from .sources import feeds, shops, sinks
 from .sources.tables import table
 from .streaming.flows import shared_folder
 
@@ -29,10 +29,6 @@ def shown_price() -> Column:
     return F.concat(F.lit("$"), F.format_number(price(), 2))
 
 
-def sold_mark() -> Column:
-    return F.when(~in_stock(), "<span>Sold out</span>").otherwise("")
-
-
 def key_text() -> Column:
     return F.col("p_partkey").cast("string")
 
@@ -67,48 +63,183 @@ def feed_search(spark, folder):
     return feeds.search_feed(bodies(table(spark, folder, "part"), hit, '{"hits": [', "]}", ","))
 
 
-def _cards(spark, folder, software: str, card: Column) -> DataFrame:
-    return feeds.cards(bodies(table(spark, folder, "part"), card).withColumnRenamed("body", "html"), software)
+def text(*parts) -> Column:
+    """Columns and literal pieces, one after the other."""
+    return F.concat(*[x if isinstance(x, Column) else F.lit(str(x)) for x in parts])
+
+
+def tag(name: str, *attributes: tuple[str, object], inside: Column | str = "", close: bool = True) -> Column:
+    """An element with its attributes in one of two orders and one of three ways of quoting, by the row's key."""
+
+    def made(order: list, quote: str) -> Column:
+        return text(f"<{name}", *[piece for k, v in order for piece in (f" {k}={quote}", v, quote)], ">")
+
+    listed, key = list(attributes), F.col("p_partkey")
+    opened = F.when(key % 3 == 0, made(listed, '"')).when(key % 3 == 1, made(listed[::-1], "'")).otherwise(made(listed[::-1], '"'))
+    return text(opened, inside, f"</{name}>" if close else "")
+
+
+def pages_of(spark, folder, part: Column, each: int = 20) -> DataFrame:
+    """Listing pages of a shop, ``each`` cards on a page: navigation around them, and the way to the next page."""
+    found = table(spark, folder, "part").groupBy(F.floor(F.col("p_partkey") / each).alias("page")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("x")))).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda p: p["x"]), "\n")
+    number = (F.col("page") + 2).cast("string")
+    # a title like "sold out of" is no mark, and neither is one outside of the cards
+    html = text("<html><body><nav><a href='/none'>Sold out</a></nav><ul class='products productGrid'>", body, "</ul><!-- <article class='card'>old</article> --><a rel='next' href='/list?page=", number, "'>Next</a></body></html>")
+    return found.select(text("https://shop.example/list?page=", (F.col("page") + 1).cast("string")).alias("url"), html.alias("html"))
 
 
-def _card_sql(url: str) -> str:
-    return f"SELECT p_partkey::VARCHAR AS external_key, p_name || ' & co' AS title, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available, '{url}' || p_partkey AS url FROM part"
+def name_in_words() -> Column:
+    return text("Sold out of ", marked_name())
 
 
-@query(_card_sql("/b/"))
+def unless_in_stock(*parts) -> Column:
+    return F.when(~in_stock(), text(*parts)).otherwise("")
+
+
+CARDS_SQL = f"""SELECT p_partkey::VARCHAR AS external_key, 'Sold out of ' || p_name || ' & co' AS title, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available,
+  'https://shop.example/list?page=' || (p_partkey // 20 + 1) AS page, 'https://shop.example@' || p_partkey AS url FROM part"""
+
+
+def card_rows(spark, folder, software: str, card: Column) -> DataFrame:
+    return shops.cards(pages_of(spark, folder, card), software).select("external_key", "title", "price", "available", "page", "url")
+
+
+@query(CARDS_SQL.replace("@", "/b/"))
 def cards_bigcommerce(spark, folder):
-    card = F.concat(F.lit('<li class="product"><article class="card" data-entity-id="'), key_text(), F.lit('"><h4 class="card-title"><a href="/b/'), key_text(), F.lit('">'), marked_name(), F.lit('</a></h4><span class="price price--withoutTax">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</article></li>"))
-    return _cards(spark, folder, "bigcommerce", card)
+    title = text("<h4 class='card-title'>", tag("a", ("href", text("/b/", key_text())), ("class", "x"), inside=name_in_words()), "</h4>")
+    asked = text("<span class='price price--non-sale'>$9,999.00</span>", tag("span", ("class", "price price--withoutTax"), ("data-x", "1"), inside=shown_price()))
+    sold = unless_in_stock("<a class='button card-figcaption-button'>Out of stock</a>")
+    # the number on the card, or on the one button inside
+    inner = tag("button", ("type", "button"), ("data-product-id", key_text()), inside="Quick view")
+    body = text(title, asked, sold)
+    card = F.when(F.col("p_partkey") % 2 == 0, tag("article", ("class", "card"), ("data-entity-id", key_text()), inside=body)).otherwise(tag("article", ("class", "card"), ("id", "c"), inside=text(body, inner)))
+    return card_rows(spark, folder, "bigcommerce", text("<li class='product'>", card, "</li>"))
 
 
-@query(_card_sql("/m/"))
+@query(CARDS_SQL.replace("@", "/m/"))
 def cards_magento(spark, folder):
-    card = F.concat(F.lit('<li class="item product product-item"><a class="product-item-link" href="/m/'), key_text(), F.lit('">\n '), marked_name(), F.lit(' </a><span data-price-amount="'), price().cast("string"), F.lit('"></span><div data-product-id="'), key_text(), F.lit('"></div>'), sold_mark(), F.lit("</li>"))
-    return _cards(spark, folder, "magento", card)
+    amount = F.when(F.col("p_partkey") % 2 == 0, tag("span", ("data-price-amount", price().cast("decimal(12,2)").cast("string")), ("class", "price-wrapper"))).otherwise(text("<span class='price'>$", F.format_number(F.floor(price()), 0), "<sup>", F.lpad((F.bround(price() * 100) % 100).cast("int").cast("string"), 2, "0"), "</sup></span>"))
+    card = tag("li", ("class", "item product product-item"), ("id", "x"), inside=text(tag("a", ("class", "product-item-link"), ("href", text("/m/", key_text())), inside=text("\n ", name_in_words(), " ")), amount, tag("div", ("data-product-id", key_text()), ("class", "price-box")), unless_in_stock("<div class='stock unavailable'><span>Out of stock</span></div>")))
+    return card_rows(spark, folder, "magento", card)
 
 
-@query(_card_sql("/p/"))
+@query(CARDS_SQL.replace("@", "/p/"))
 def cards_prestashop(spark, folder):
-    card = F.concat(F.lit('<article class="product-miniature js" data-id-product="'), key_text(), F.lit('"><h3 class="h3 product-title"><a href="/p/'), key_text(), F.lit('">'), marked_name(), F.lit('</a></h3><span class="price">'), shown_price(), F.lit("</span>"), F.when(~in_stock(), "<i>Out-of-Stock</i>").otherwise(""), F.lit("</article>"))
-    return _cards(spark, folder, "prestashop", card)
+    card = tag("article", ("class", "product-miniature js"), ("data-id-product", key_text()), inside=text("<h3 class='h3 product-title'>", tag("a", ("href", text("/p/", key_text())), ("title", "x"), inside=name_in_words()), "</h3><span class=price>", shown_price(), "</span>", unless_in_stock("<ul class='product-flags'><li class='product-flag out_of_stock'>Out-of-Stock</ul>")))
+    return card_rows(spark, folder, "prestashop", card)
 
 
-@query(_card_sql("/w/"))
+@query(CARDS_SQL.replace("@", "/product-page/"))
 def cards_wix(spark, folder):
-    card = F.concat(F.lit('<li data-hook="product-list-grid-item"><div data-slug="'), key_text(), F.lit('"><a href="/w/'), key_text(), F.lit('"></a><p data-hook="product-item-name">'), marked_name(), F.lit('</p><span data-hook="product-item-price-to-pay">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</div></li>"))
-    return _cards(spark, folder, "wix", card)
+    asked = F.when(F.col("p_partkey") % 2 == 0, text("<span data-hook='product-item-price-before-discount'>$1</span>", tag("span", ("data-hook", "product-item-price-to-pay"), ("class", "z"), inside=shown_price()))).otherwise(text("<p>", tag("span", ("data-hook", "product-item-price-to-pay"), ("data-wix-price", "x"), inside=shown_price())))
+    card = tag("li", ("data-hook", "product-list-grid-item"), ("class", "s"), inside=text(tag("a", ("href", text("/product-page/", key_text())), ("data-hook", "product-item-product-details-link"), inside="see"), tag("p", ("class", "n"), ("data-hook", "product-item-name"), inside=name_in_words()), asked, unless_in_stock("<span data-hook='product-item-out-of-stock'>Out of stock</span>")))
+    return card_rows(spark, folder, "wix", card)
 
 
-@query(_card_sql("/wc/"))
+@query(CARDS_SQL.replace("@", "/wc/"))
 def cards_woocommerce(spark, folder):
-    card = F.concat(F.lit('<li class="product type-product post"><a href="/wc/'), key_text(), F.lit('"><h2 class="woocommerce-loop-product__title">'), marked_name(), F.lit('</h2></a><span class="woocommerce-Price-amount amount"><bdi><span class="sym">&#36;</span>'), F.format_number(price(), 2), F.lit('</bdi></span><a data-product_id="'), key_text(), F.lit('"></a>'), sold_mark(), F.lit("</li>"))
-    return _cards(spark, folder, "woocommerce", card)
+    symbol = text('<span class="woocommerce-Price-currencySymbol">&#36;</span>', F.format_number(price(), 2))
+    amount = tag("span", ("class", "woocommerce-Price-amount amount"), ("data-a", "1"), inside=text("<bdi>", symbol, "</bdi>"))
+    asked = text("<span class='price'>", F.when(F.col("p_partkey") % 2 == 0, text("<del><span class='woocommerce-Price-amount'>$9999</span></del> <ins>", amount, "</ins>")).otherwise(amount), "</span>")
+    card = tag("li", ("class", "product type-product post"), ("id", "p"), inside=text(tag("a", ("class", "woocommerce-LoopProduct-link"), ("href", text("/wc/", key_text())), inside=tag("h2", ("class", "woocommerce-loop-product__title"), ("title", "t"), inside=name_in_words())), asked, tag("a", ("data-product_id", key_text()), ("class", "button")), unless_in_stock("<span class='outofstock'>Sold out</span>")))
+    return card_rows(spark, folder, "woocommerce", card)
+
+
+@query("SELECT DISTINCT 'https://shop.example/list?page=' || (p_partkey // 20 + 1) AS url, 'https://shop.example/list?page=' || (p_partkey // 20 + 2) AS next_url FROM part")
+def listing_next_pages(spark, folder):
+    return shops.next_pages(pages_of(spark, folder, F.lit("<li>x")), "prestashop")
 
 
 @query(f"SELECT p_partkey::VARCHAR AS external_key, {_PRICE_SQL} AS price, p_partkey % 4 <> 0 AS available FROM part WHERE p_partkey IN (3, 44, 120)")
 def single_reread(spark, folder):
-    card = F.concat(F.lit('<article class="card" data-product-id="'), key_text(), F.lit('"><h4 class="card-title"><a href="/b">x</a></h4><span class="price--withoutTax">'), shown_price(), F.lit("</span>"), sold_mark(), F.lit("</article>"))
-    return feeds.reread(bodies(table(spark, folder, "part"), card).withColumnRenamed("body", "html"), "bigcommerce", ["3", "44", "120"])
+    card = text('<article class="card" data-product-id="', key_text(), '"><h4 class="card-title"><a href="/b">x</a></h4><span class="price--withoutTax">', shown_price(), "</span>", unless_in_stock("<a class='card-figcaption-button'>Sold out</a>"), "</article>")
+    return shops.reread(pages_of(spark, folder, card), "bigcommerce", ["3", "44", "120"])
+
+
+# ------------------------------------------------------------------------------------------------------ product pages
+#: Software, its marks for title, text, sold notice and picture, and what its pictures are called in full and small.
+_VIEWS = {
+    "bigcommerce": ('<h1 class="productView-title">', '<div id="tab-description">', '<div class="alertBox--error">', '<div class="productView-thumbnails">', "https://cdn.example/stencil/%s/", "100x100", "original"),
+    "magento": ('<h1 class="page-title">', '<div class="product attribute description"><div class="value">', '<div class="stock unavailable">', '<div class="more-views">', "https://cdn.example/media%s", "/cache/1/0123456789abcdef0123456789abcdef/", "/"),
+    "prestashop": ('<h1 itemprop="name">', '<div class="product-description">', '<span id="product-availability">', '<div class="product-images">', "https://cdn.example/7%s/", "-small_default", ""),
+    "wix": ('<h1 data-hook="product-title">', '<pre data-hook="description">', '<div data-hook="product-out-of-stock">', '<div data-hook="product-image">', "https://cdn.example/media/", "", ""),
+    "woocommerce": ('<h1 class="product_title entry-title">', '<div id="tab-description">', '<p class="stock out-of-stock">', '<div class="woocommerce-product-gallery">', "https://cdn.example/up/", "", ""),
+}
+
+
+def _facts_in(software: str) -> Column:
+    """Two named facts as each software writes them, one of them twice."""
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    row = {
+        "bigcommerce": lambda n, v: text("<tr><td class='custom-field-label'>", n, ":</td><td class='custom-field-value'>", v, "</td></tr>"),
+        "prestashop": lambda n, v: text("<dt class=name>", n, "<dd class=value>", v),
+        "wix": lambda n, v: text("<div data-hook='info-section'><h2 data-hook='info-section-title'>", n, "</h2><div data-hook='info-section-description'>", v, "</div></div>"),
+    }.get(software, lambda n, v: text("<tr><th scope=row>", n, "<td data-th='x'>", v, "</tr>"))
+    around = {"bigcommerce": ("<table class='productView-custom-fields'>", "</table>"), "magento": ("<table id='product-attribute-specs-table'>", "</table>"), "prestashop": ("<dl class='data-sheet'>", "</dl>"), "wix": ("<section>", "</section>"), "woocommerce": ("<table class='woocommerce-product-attributes shop'>", "</table>")}[software]
+    return text(around[0], row("Maker", text(brand, " &amp; sons")), row("Size", size), row("size:", "other"), around[1])
+
+
+def _choices_in(software: str) -> Column:
+    """Every third product has two numbered choices, the second one dearer by five and sold; BigCommerce's menus have no prices."""
+    key = key_text()
+    dearer = (F.col("p_retailprice") + 5).cast("decimal(12,2)").cast("string")
+    plain = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    if software == "woocommerce":
+        variation = lambda k, v, p, stock: text('{"variation_id": ', k, ', "attributes": {"attribute_item": "', v, '"}, "display_price": ', p, ', "is_in_stock": ', stock, ', "image": {"src": "/i/', v, '-300x200.jpg"}}')
+        both = text("[", variation(1, "a", plain, "true"), ", ", variation(2, "b", dearer, "false"), "]")
+        return text("<form class='variations_form' data-product_variations='", both, "'><label for='m'>Item</label><select id='m' data-attribute_name='attribute_item'><option value=''>Choose<option value='a'>#1<option value='b'>#2</select></form>")
+    if software == "magento":
+        both = text('{"7": {"1": {"title": "#1", "price": ', plain, '}, "2": {"title": "#2", "price": ', dearer, "}}}")
+        return text("<dl><dt><label for='options_7_2'>Item *</label></dt><dd><input type=radio id='o1' name='options[7]' value='1'><label for=o1>first</label><input type=radio disabled id='o2' name='options[7]' value='2'><label for=o2>second</label></dd></dl><script>var o = new Product.Options(", both, ");</script>")
+    if software == "bigcommerce":
+        return text("<div data-product-attribute='set-select'><label>Item:</label><select><option value=''>Choose<option value='1'>#1</option><option value='2'>#2</option></select></div>")
+    return F.lit("")
+
+
+def product_views(spark, folder, software: str) -> DataFrame:
+    title, told, gone, strip, cdn, small, _ = _VIEWS[software]
+    picture = cdn % small if "%s" in cdn else cdn
+    end = {"woocommerce": "-600x400.jpg", "wix": ".jpg/v1/fill/w_100/a.jpg"}.get(software, ".jpg")
+    image = lambda name: tag("img", ("src", text(picture, key_text(), name, end)), ("alt", "x"), close=False)
+    offer = text('<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": ["Product"], "offers": [{"price": "', price().cast("decimal(12,2)").cast("string"), '", "availability": "https://schema.org/', F.when(F.col("p_partkey") % 8 == 0, "OutOfStock").otherwise("InStock"), '"}]}]}</script>')
+    # of the products that are sold, every second one says so in its linked data, the others on the page
+    notice = F.when((F.col("p_partkey") % 4 == 0) & (F.col("p_partkey") % 8 != 0), text(gone, "Sold out</div></p></span>")).otherwise("")
+    close = {"magento": "</div></div>", "wix": "</pre>"}.get(software, "</div>")
+    html = text("<html><head>", offer, "</head><body>", title, marked_name(), "</h1>", notice, "<div class='related'>Out of stock</div>", told, "<p>A <b>fine</b> ", F.col("p_type"), "</p><script>no()</script>", close, strip, image("a"), image("b"), image("a"), "</div>", _facts_in(software), F.when(F.col("p_partkey") % 3 == 0, _choices_in(software)).otherwise(""), "</body></html>")
+    return table(spark, folder, "part").select(text("https://shop.example/v/", key_text()).alias("url"), html.alias("html"))
+
+
+def _view_sql(software: str) -> str:
+    cdn, full = _VIEWS[software][4], _VIEWS[software][6]
+    cdn = cdn % full if "%s" in cdn else cdn
+    priced = software in ("woocommerce", "magento")
+    keys = {"woocommerce": "['1', '2']", "magento": "['7-1', '7-2']", "bigcommerce": "['1', '2']"}.get(software)
+    labels = "['#1', '#2']"
+    image = "p_partkey || 'a.jpg'"
+    split = f"p_partkey % 3 = 0 AND {'true' if keys else 'false'}"
+    own = "CASE WHEN k = 2 THEN round(p_retailprice + 5, 2) ELSE p_retailprice END" if priced else _PRICE_SQL
+    pictured = "'https://shop.example/i/' || CASE WHEN k = 2 THEN 'b' ELSE 'a' END || '.jpg'" if software == "woocommerce" else f"'{cdn}' || {image}"
+    return f"""WITH n AS (SELECT *, unnest(CASE WHEN {split} THEN [1, 2] ELSE [0] END) AS k FROM part)
+      SELECT p_partkey || CASE WHEN k > 0 THEN '#' || ({keys or "['', '']"})[k] ELSE '' END AS external_key, CASE WHEN k > 0 THEN p_partkey::VARCHAR END AS split_from,
+             p_name || ' & co' || CASE WHEN k > 0 THEN ' ' || ({labels})[k] ELSE '' END AS title, CASE WHEN k > 0 THEN {own} ELSE {_PRICE_SQL} END AS price,
+             CASE WHEN k > 0 THEN {"k = 1" if priced else "true"} ELSE p_partkey % 4 <> 0 END AS available, CASE WHEN k > 0 THEN {pictured} ELSE '{cdn}' || {image} END AS image,
+             'A fine ' || p_type AS description, p_brand || ' & sons' AS maker, p_size::VARCHAR AS size, 2 AS pictures FROM n"""
+
+
+def _views(software: str) -> None:
+    def run(spark, folder):
+        found = shops.details(product_views(spark, folder, software), software).withColumn("external_key", F.regexp_extract("url", r"(\d+)$", 1))
+        told = found.select(F.col("external_key").alias("_k"), "description", F.col("facts")["maker"].alias("maker"), F.col("facts")["size"].alias("size"), F.size("images").alias("pictures"))
+        one = shops.items(found)
+        return one.join(told, F.coalesce("split_from", "external_key") == F.col("_k")).drop("_k")
+
+    run.__name__ = run.__qualname__ = f"views_{software}"
+    query(_view_sql(software))(run)
+
+
+for _software in _VIEWS:
+    _views(_software)
 
 
 @query(f"""SELECT p_partkey, {_PRICE_SQL} AS price, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || ' & sons' END AS maker, p_size::VARCHAR AS size, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice::DECIMAL(12,2)::VARCHAR END AS linked FROM part""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,28 +92,6 @@ def mail(files: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Layout:
-    """How a shop's software writes its listing pages: where a card begins, and the patterns of its parts (group 1)."""
-
-    card: str
-    key: str
-    title: str
-    price: str
-    url: str = r"href=[\"']([^\"']+)"
-    sold: str = r"(?i)(sold ?out|out of stock|out-of-stock)"
-
-
-#: The marks that each software puts around a card.
-LAYOUTS = {
-    "bigcommerce": Layout(r'<(?:article|li)[^>]*class="[^"]*\bcard\b', r'data-(?:entity|product)-id="(\d+)', r'card-title[^>]*>\s*<a[^>]*>([^<]*)', r'price--withoutTax[^>]*>([^<]*)'),
-    "magento": Layout(r'<li[^>]*class="[^"]*\bproduct-item\b', r'data-product-id="(\d+)', r'product-item-link[^>]*>([^<]*)', r'data-price-amount="([\d.]+)'),
-    "prestashop": Layout(r'<article[^>]*class="[^"]*\bproduct-miniature\b', r'data-id-product="(\d+)', r'product-title[^>]*>\s*<a[^>]*>([^<]*)', r'class="price"[^>]*>([^<]*)'),
-    "wix": Layout(r'<li[^>]*data-hook="product-list-grid-item', r'data-slug="([^"]+)', r'data-hook="product-item-name"[^>]*>([^<]*)', r'data-hook="product-item-price-to-pay"[^>]*>([^<]*)'),
-    "woocommerce": Layout(r'<li[^>]*class="[^"]*\bproduct type-product\b', r'data-product_id="(\d+)', r'woocommerce-loop-product__title[^>]*>([^<]*)', r'woocommerce-Price-amount[^>]*>(?:<bdi>)?(?:<span[^>]*>[^<]*</span>)?([^<]*)'),
-}
-
-
 def decoded(text: Column) -> Column:
     """Character references as characters: the common names, and all decimal numbers."""
     for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("ndash", "\u2013"), ("mdash", "\u2014")):
@@ -142,17 +118,6 @@ def is_prose(text: Column) -> Column:
     return F.coalesce((F.trim(text) != "") & ~code, F.lit(False))
 
 
-def cards(pages: DataFrame, software: str, html: str = "html") -> DataFrame:
-    """``external_key, title, price, available, url`` of every card of listing pages written by a known software; cards without a key are none."""
-    layout = LAYOUTS[software]
-    part = F.col("_card")
-    pieces = F.split(F.coalesce(html, F.lit("")), layout.card)
-    found = pages.select(F.explode(F.filter(pieces, lambda x, i: i > 0)).alias("_card"))
-    take = lambda pattern: F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
-    out = found.select(take(layout.key).alias("external_key"), collapse_space(decoded(take(layout.title))).alias("title"), money(take(layout.price)).alias("price"), (~part.rlike(layout.sold)).alias("available"), take(layout.url).alias("url"))
-    return out.where("external_key is not null")
-
-
 def custom_fields(html: Column) -> Column:
     """A page's table of named fields (definition lists and two-column rows) as a map; the first value of a name counts."""
     names = F.regexp_extract_all(html, F.lit(r"(?is)<(?:dt|th)[^>]*>\s*([^<:]+):?\s*</(?:dt|th)>\s*<(?:dd|td)[^>]*>([^<]*)"), 1)
@@ -168,11 +133,6 @@ def meta_price(html: Column) -> Column:
     return money(F.nullif(F.regexp_extract(html, named, 1), F.lit("")))
 
 
-def reread(pages: DataFrame, software: str, keys: list[str]) -> DataFrame:
-    """The cards of a few known keys, as they are now: for checking single prices again."""
-    return cards(pages, software).where(F.col("external_key").isin(keys)).select("external_key", "price", "available")
-
-
 def infobox(text: Column) -> Column:
     """The named parameters of an article's infobox as a map: templates in values are taken out, of links the shown words stay."""
     flat = F.coalesce(text, F.lit(""))
