@@ -38,6 +38,7 @@ component (null if no other document is in it); an empty table gives an empty ta
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,8 +179,8 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
 
 #: Parity bits of a set of shingles.
 PARITY = [f"w{k}" for k in range(8)]
-#: Stars: so many anchors for each set, of so many minima each.
-ANCHORS, MINIMA = 6, 3
+#: Stars: so many anchors for each set, of so many minima each; orders of which centres are the first.
+ANCHORS, MINIMA, ORDERS = 6, 3, 4
 #: Names of columns, and what makes them of the hashes of a batch's sets and their numbers.
 Marks = tuple[list[str], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]]
 #: Shingles that a task sorts at once and that a range of the counts has on average, and the fewest ranges.
@@ -250,10 +251,11 @@ def star_pairs(sets: DataFrame, width: int) -> DataFrame:
 def stars(rows: DataFrame) -> DataFrame:
     """``a, b``: each row (``id, anchor``) with one of those at its anchor; the centre is the same whenever a task runs again.
 
+    Centres are the first of ORDERS orders of all sets, so that a group meets few different ones over all its anchors.
     Both sides of the join are written tables, so that Spark can split an anchor at which very many meet.
     """
     rows = cut(rows, "anchors")
-    centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64(F.pmod("anchor", F.lit(ORDERS)), "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
     centres = cut(centres.select("anchor", F.col("c.id").alias("b")), "anchors")
     meet = rows.join(centres, "anchor").where(F.col("id") != F.col("b"))
     out = cut(meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "anchors")
@@ -323,13 +325,13 @@ def shingle_counts(folder: str, ranges: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(sets: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``shingle, id, label, size, place`` of the shingles in the prefix of each set (``id, label, size, text``) that other sets have too."""
+    """``shingle, id, size, place`` of the shingles in the prefix of each set (``id, text``) that other sets have too."""
     folder, ranges = shingle_table(sets, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 2):
-                hashes, number = shingle_sets(part.column(2), width)
+            for part in chunks(batch, 1):
+                hashes, number = shingle_sets(part.column(1), width)
                 n = shingle_counts(folder, ranges, hashes)
                 text = np.repeat(np.arange(len(number)), number)
                 order = np.lexsort((hashes, n, text))
@@ -337,17 +339,14 @@ def prefix_rows(sets: DataFrame, width: int, similarity: float) -> DataFrame:
                 prefix = number - np.ceil(similarity * number - 1e-9).astype(np.int64) + 1
                 own = np.flatnonzero((place < prefix[text]) & (n[order] > 1))
                 at = pa.array(text[own])
-                made = [pa.array(hashes[order][own].view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(number[text[own]].astype(np.int32)), pa.array(place[own].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(made, ["shingle", "id", "label", "size", "place"])
-
-    return sets.select("id", "label", "text").mapInArrow(run, PREFIX)
-
+                made = [pa.array(hashes[order][own].view(np.int64)), part.column(0).take(at), pa.array(number[text[own]].astype(np.int32)), pa.array(place[own].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, ["shingle", "id", "size", "place"])
 
-PREFIX = "shingle long, id long, label long, size int, place int"
+    return sets.select("id", "text").mapInArrow(run, "shingle long, id long, size int, place int")
 
 
 def mixed_cells(rows: DataFrame) -> DataFrame:
-    """The rows (``shingle, id, label, size, place``) of the shingles that sets of more than one label have; a written table.
+    """Those of the rows (``shingle, id, label, size, place``) of the shingles that sets of more than one label have; a written table.
 
     The smallest and the largest label of a shingle tell, from partial sums; rows and shingles meet as written tables, so
     that Spark can split a shingle that very many sets have.
@@ -392,11 +391,36 @@ def star_candidates(pairs: DataFrame, sets: DataFrame, similarity: float) -> Dat
     return both.where(_may(similarity)).select("a", "b")
 
 
+def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of the ``rows`` (``id`` first) whose id is one of ``ids``, without moving the rows: sorted arrays of ids, which workers map into memory."""
+    ranges = max(LEAST_RANGES, -(-ids.count() // RANGE_SHINGLES))
+    folder = mounted(new_path(rows.sparkSession, "chosen"))
+
+    def save(key: tuple, table: pa.Table) -> pa.Table:
+        save_arrays(folder, str(key[0].as_py()), keys=np.sort(table.column("id").to_numpy()))
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32())})
+
+    os.makedirs(folder, exist_ok=True)  # there may be no ids
+    ids.select(F.pmod("id", F.lit(ranges)).cast("int").alias("range"), "id").groupBy("range").applyInArrow(save, "range int").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            has = np.zeros(len(own), bool)
+            where = own % ranges
+            for k in np.unique(where).tolist():
+                keys, at = mapped_arrays(folder, str(k), ("keys",))["keys"], np.flatnonzero(where == k)
+                if len(keys):
+                    has[at] = keys[np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)] == own[at]
+            yield batch.filter(pa.array(has))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets (``id, text``) have the similarity, by the sets themselves; a written table."""
     left = cut(pairs, "pairs")
-    wanted = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    texts = cut(sets.select("id", "text").join(wanted, "id", "left_semi"), "texts")
+    texts = cut(chosen(sets.select("id", "text"), left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,9 +444,9 @@ def similar_links(sets: DataFrame, width: int, similarity: float, found: Callabl
     ``found`` gives the first candidates, which need not be all; prefixes find what they left between components.
     """
     first = similar_pairs(star_candidates(found(sets, width), sets, similarity), sets, width, similarity)
-    label = components(first).withColumnRenamed("id", "of")
-    labelled = sets.join(label, sets.id == label.of, "left").select("id", F.coalesce("label", "id").alias("label"), "size", "text")
-    cells = mixed_cells(prefix_rows(labelled, width, similarity))
+    label = components(first)
+    rows = prefix_rows(sets, width, similarity).join(label, "id", "left")  # texts are not moved for their labels
+    cells = mixed_cells(rows.select("shingle", "id", F.coalesce("label", "id").alias("label"), "size", "place"))
     return first.union(similar_pairs(prefix_pairs(cells, sets, similarity), sets, width, similarity))
 
 
