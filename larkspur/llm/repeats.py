@@ -62,14 +62,16 @@ class Unit:
         return span_hashes(prefix_sums(LOWER[data]), starts, ends), np.concatenate([[0], np.cumsum(counts)])
 
     def gone_bytes(self, data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-        """Which bytes of a text go, given which symbols do."""
+        """Which bytes of a text go, given which symbols do: words with the white space in and after them, and all of a text without other words."""
         if self.code is np.uint8:
             return gone
-        starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+        if len(gone) and gone.all():
+            return np.ones(len(data), bool)
+        starts, _, _ = word_spans(data, np.array([0, len(data)]))
         change = np.zeros(len(data) + 1, np.int8)
         for a, b in zip(*[iter(_ranges(gone))] * 2):
             change[starts[a]] += 1
-            change[starts[b] if b < len(starts) else ends[b - 1]] -= 1
+            change[starts[b] if b < len(starts) else len(data)] -= 1
         return np.cumsum(change[:-1]) > 0
 
 

@@ -18,16 +18,16 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def without_repeats(texts, length=50):
-    """Texts without the words that repeated strings of ``length`` words cover, and the white space in and after these."""
+    """Texts without the words that repeated strings of ``length`` words cover, and the white space in and after these; nothing is left of a text without other words."""
     found = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer("[^\\x20\\x09-\\x0d]+", t or "")] for t in texts]
     grams = [[tuple(w for _, _, w in f[i : i + length]) for i in range(len(f) - length + 1)] for f in found]
     seen = Counter(g for own in grams for g in own)
     out = []
     for t, f, own in zip(texts, found, grams):
         gone = {k for i, g in enumerate(own) if seen[g] > 1 for k in range(i, i + length)}
-        begin = lambda k: f[k][0] if k < len(f) else f[-1][1]
+        begin = lambda k: f[k][0] if k < len(f) else len(t)
         cut = {x for k in gone for x in range(f[k][0], begin(k + 1))}
-        out.append("".join(c for x, c in enumerate(t or "") if x not in cut))
+        out.append("" if f and len(gone) == len(f) else "".join(c for x, c in enumerate(t or "") if x not in cut))
     return out
 
 
