@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import cut
+
 SLICE_ROWS = 200_000
 #: Fixed value: header fields that a 304 answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -47,27 +49,28 @@ def canonical_url(url: Column) -> Column:
 def as_of(rows: DataFrame, key: str, time: str, is_source: Column, value: Column) -> DataFrame:
     """``rows`` with ``found``: the largest of ``struct(time, value)`` of the sources of the same key strictly before.
 
-    ``time`` is a long. ``found`` is null where there is none, and for rows without key or time. Time is cut at quantiles of
-    all rows, so that a slice has about SLICE_ROWS rows however uneven times are, and so has a key in a slice; what a key's
-    earlier slices hold is carried along as their latest source. Rows of one key and time are one point, however many they are.
+    ``time`` is a long. ``found`` is null where there is none, and for rows without key or time. Time is cut into the ranges
+    that Spark's range partitioning samples, so that a slice has about SLICE_ROWS rows however uneven times are, and so has a key in
+    a slice; what a key's earlier slices hold is carried along as their latest source. Rows of one key and time are one point, however many they are.
     """
     p = "_"
     while any(c.startswith(p) for c in rows.columns):
         p += "_"
     slices = max(1, rows.where(F.col(time).isNotNull()).count() // SLICE_ROWS)
-    edges = sorted({int(x) for x in rows.stat.approxQuantile(time, [i / slices for i in range(1, slices)], 0.2 / slices)}) if slices > 1 else []
-    number = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= F.col(f"{p}t"))) if edges else F.lit(0)
     source = F.when(is_source, F.struct(F.col(time).alias("at"), value.alias("of")))
     points = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key).alias(f"{p}k"), F.col(time).alias(f"{p}t")).agg(F.max(source).alias(f"{p}own"))
-    points = points.withColumn(f"{p}slice", number)
+    if slices > 1:  # Spark samples the ranges; a time is in one of them, and what is written stays where it is
+        points = cut(points.repartitionByRange(slices, f"{p}t").withColumn(f"{p}slice", F.spark_partition_id()), "slices")
+    else:
+        points = points.withColumn(f"{p}slice", F.lit(0))
     here = Window.partitionBy(f"{p}k", f"{p}slice").orderBy(f"{p}t").rowsBetween(Window.unboundedPreceding, -1)
     placed = points.withColumn(f"{p}here", F.max(f"{p}own").over(here))
-    if edges:
+    if slices > 1:
         latest = points.groupBy(f"{p}k", f"{p}slice").agg(F.max(f"{p}own").alias(f"{p}latest"))
         before = Window.partitionBy(f"{p}k").orderBy(f"{p}slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = latest.select(f"{p}k", f"{p}slice", F.max(f"{p}latest").over(before).alias(f"{p}carried"))
         placed = placed.join(carried, [f"{p}k", f"{p}slice"], "left")
-    found = F.coalesce(f"{p}here", f"{p}carried") if edges else F.col(f"{p}here")
+    found = F.coalesce(f"{p}here", f"{p}carried") if slices > 1 else F.col(f"{p}here")
     answers = placed.select(f"{p}k", f"{p}t", found.alias("found"))
     kept = [c for c in rows.columns if c != "found"]
     joined = rows.select(*kept).join(answers, (F.col(key) == F.col(f"{p}k")) & (F.col(time) == F.col(f"{p}t")), "left")
