@@ -27,14 +27,21 @@ count each; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import LOWER, bounded_batches, chunks, cut, mixed, prefix_sums, span_hashes, text_bytes, word_spans
 
-#: What stands between two terms: all of ASCII but its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between two terms: all of ASCII but its letters. Bytes of other characters belong to terms.
+BETWEEN = np.ones(256, bool)
+BETWEEN[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Occurrences that a task counts at once, and bytes that it hashes at once.
+HELD, HASHED = 1_500_000, 1 << 20
+TERMS = ["lang", "source", "term", "n", "docs"]
 #: Documents of its language that have a kept term; probabilities are in parts of SCALE; terms reported for each group.
 LEAST_DOCUMENTS, SCALE, LEADING = 10, 1_000_000_000, 10
 #: The rows that meet every group of a language are dealt over so many parts of it.
@@ -53,16 +60,81 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def spans_by_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the terms of a buffer, about HASHED bytes at a time, so that a very long text needs no more memory for it."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASHED, side="right")))
+        out[a:b] = span_hashes(prefix_sums(data[starts[a] : ends[b - 1]]), starts[a:b] - starts[a], ends[a:b] - starts[a])
+        a = b
+    return out
+
+
+def counted(groups: pa.RecordBatch, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """``lang, source, term, n, docs`` of the terms held (bytes, starts, ends, group, row); ``groups`` has lang and source by number.
+
+    Terms are sorted by a hash of group and term and stay in the order of rows, so the documents of a term are the changes of row.
+    """
+    data = np.concatenate([h[0] for h in held])
+    base = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+    starts, ends = (np.concatenate([h[k] + at for h, at in zip(held, base)]) for k in (1, 2))
+    hashes, group, row = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+    order = np.argsort(mixed(hashes + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+    hashes, group, row = hashes[order], group[order], row[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    new_row = new.copy()
+    new_row[1:] |= row[1:] != row[:-1]
+    n = np.diff(np.append(first, len(order)))
+    docs = np.add.reduceat(new_row, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    starts, sizes = starts[order[first]], (ends - starts)[order[first]]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    letters = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)]
+    terms = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(letters)).cast(pa.string())
+    of = pa.array(group[first])
+    return pa.RecordBatch.from_arrays([groups.column(0).take(of), groups.column(1).take(of), terms, pa.array(n.astype(np.int64)), pa.array(docs)], TERMS)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents of each term of each group; and a row with the term '' for each group."""
+    """``lang, source, term, n, docs``: occurrences and documents of each term of each group; and a row with the term '' for each group.
+
+    Tasks count the terms of HELD occurrences at a time before they give them to Spark, which sums these counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple[str, str], int] = {}
+        held, size, rows = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            groups = pa.RecordBatch.from_arrays([pa.array([k[i] for k in names], pa.string()) for i in (0, 1)], TERMS[:2])
+            return counted(groups, held)
+
+        for batch in batches:
+            for part in chunks(batch, 2):
+                own = [names.setdefault(k, len(names)) for k in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                data, offsets = text_bytes(part.column(2))
+                data = LOWER[data]
+                starts, ends, number = word_spans(data, offsets, BETWEEN)
+                row = np.repeat(np.arange(rows, rows + part.num_rows), number)
+                held.append((data, starts, ends, spans_by_hash(data, starts, ends), np.repeat(np.array(own, np.int64), number), row))
+                rows += part.num_rows
+                size += len(starts)
+                if size >= HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+        if names:
+            nothing = [0] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names]), pa.array([k[1] for k in names]), pa.array([""] * len(names)), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64())], TERMS)
+
+    bounded_batches(docs.sparkSession)
     none = F.lit("")
-    rows = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), F.split(F.translate(F.coalesce("text", none), UPPER, LOWER), BETWEEN).alias("terms"))
-    # each occurrence, then each term of the document once; '' stands for the document itself
-    said = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    itself = F.array(F.struct(none.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    words = rows.select("lang", "source", F.explode(F.concat(said, once, itself)).alias("x"))
-    return words.groupBy("lang", "source", "x.term").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    rows = docs.select(*[F.coalesce(c, none).alias(c) for c in ("lang", "source", "text")])
+    words = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return words.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class Counts:
