@@ -79,15 +79,6 @@ def bracket(points: DataFrame, evidence: DataFrame, key: str, at: str, value: st
     return out.select(key, at, "point", F.col("_low.at").alias("below_at"), F.col("_low.value").alias("below"), F.col("_high.at").alias("above_at"), F.col("_high.value").alias("above"))
 
 
-def steady(evidence: DataFrame, key: str, at: str, value: str, slack: float) -> DataFrame:
-    """Evidence without the points that lie outside both neighbours by more than ``slack``."""
-    own = Window.partitionBy(key).orderBy(at)
-    low, high = F.lag(value).over(own), F.lead(value).over(own)
-    inside = F.col("_v").between(F.least("_l", "_h") - slack, F.greatest("_l", "_h") + slack)
-    marked = evidence.withColumns({"_v": F.col(value), "_l": low, "_h": high})
-    return marked.where(F.col("_l").isNull() | F.col("_h").isNull() | inside).drop("_v", "_l", "_h")
-
-
 def unanimous(rows: DataFrame, key: str, value: str, source: str, least: int = 5, sources: int = 2) -> DataFrame:
     """Keys whose rows all agree on one value, with enough rows from enough sources."""
     stated = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())

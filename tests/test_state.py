@@ -86,7 +86,6 @@ def test_ranges_and_brackets(spark):
     ranges = spark.createDataFrame([("k", 0, 5, 1), ("k", 90, 250, 2), ("j", 6, 7, 3)], "k string, low int, high int, id int")
     assert {(r.k, r.v, r.id) for r in matching.in_ranges(points, ranges, ["k"], "v", 16).collect()} == {("k", 5, 1), ("k", 99, 2), ("k", 100, 2)}
     marks = spark.createDataFrame([("k", 1, 1900), ("k", 5, 1910), ("k", 9, 1899), ("k", 12, 1920)], "k string, n int, y int")
-    assert [r.n for r in matching.steady(marks, "k", "n", "y", 1).orderBy("n").collect()] == [1, 12]
     out = matching.bracket(spark.createDataFrame([("k", 5, 50), ("k", 0, 51)], "k string, n int, point int"), marks, "k", "n", "y").collect()
     assert {(r.point, r.below_at, r.below, r.above_at, r.above) for r in out} == {(50, 1, 1900, 9, 1899), (51, None, None, 1, 1900)}
 

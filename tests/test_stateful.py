@@ -65,8 +65,8 @@ def test_outbox_tells_once(spark, tmp_path):
     sink(two, 1)
     got = {(r.batch, r.reader): (r.subject, r.body) for r in O.messages(spark, folder).collect()}
     assert got == {
-        (0, 1): ("2 pieces of news", "CHEAPER: Ring at $5.00\nSOLD: (no title)"), (0, 2): ("1 piece of news", "CHEAPER: Ring at $5.00"),
-        (1, 1): ("3 pieces of news", "SOLD: Ring\nNEW: A at $1.00\nand 1 more"), (1, 3): ("1 piece of news", "NEW: A at $1.00"),
+        (0, 1): ("2 pieces of news", "CHEAPER: Ring for $5.00\nSOLD: (no title)"), (0, 2): ("1 piece of news", "CHEAPER: Ring for $5.00"),
+        (1, 1): ("3 pieces of news", "SOLD: Ring\nNEW: A for $1.00\nand 1 more"), (1, 3): ("1 piece of news", "NEW: A for $1.00"),
     }
     sink(two, 1)  # again after its commit: nothing of its own counts as told before
     assert {(r.batch, r.reader): (r.subject, r.body) for r in O.messages(spark, folder).collect()} == got
