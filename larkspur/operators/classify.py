@@ -7,30 +7,19 @@ is null. Words are matched as whole words, A-Z in lower case.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import collapse_space
+from .cartridges import CARTRIDGES, cartridge_table, listed, maker_table, normal
+from .phrases import tagged
 from .reading import provenance
 
 Rules = list[tuple[str, str]]
 
 # -------------------------------------------------------------------------- rule tables (parameters with defaults)
-#: Cartridges as a listing spells them.
-CARTRIDGES: Rules = [
-    (".22 LR", r"\.?22 ?(?:lr|long rifle)"),
-    (".30-06", r"\.?30[- ]?06"),
-    (".30 Carbine", r"\.?30 carbine"),
-    (".303 British", r"\.?303(?: british)?"),
-    (".308 Winchester", r"\.?308(?: win(?:chester)?)?"),
-    (".357 Magnum", r"\.?357 ?(?:mag(?:num)?)"),
-    (".38 Special", r"\.?38 ?(?:special|spl)"),
-    (".45 ACP", r"\.?45 ?(?:acp|auto)"),
-    ("7.62x39mm", r"7\.62 ?[x×] ?39(?: ?mm)?"),
-    ("7.62x54mmR", r"7\.62 ?[x×] ?54(?: ?mm)? ?r"),
-    ("8mm Mauser", r"8 ?mm mauser|7\.92 ?[x×] ?57(?: ?mm)?|8 ?[x×] ?57"),
-    ("9mm Luger", r"9 ?mm(?: luger| para(?:bellum)?)?|9 ?[x×] ?19"),
-]
 #: Names that imply a cartridge.
 DESIGNATIONS: Rules = [("8mm Mauser", "k98k?|kar ?98k?"), (".30-06", "m1 garand|garand|m1903"), ("7.62x54mmR", "mosin(?:[- ]nagant)?|svt[- ]?40"), ("7.62x39mm", "sks|akm?"), (".45 ACP", "m?1911(?:a1)?"), (".303 British", "lee[- ]enfield|smle")]
 #: What a maker's long guns usually shoot; never asked of a handgun.
@@ -83,11 +72,30 @@ def group(text: Column, pattern: str, i: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
+#: A measure: a word for caliber before it, the number, and its unit.
+_MEASURE = r"(?<![\w./-])(?:(cal|caliber|calibre)\.? ?)?(\.?\d{1,3}(?:\.\d{1,2})?)(?: ?-?(mm|cal|caliber|calibre|ga|gauge|bore))?(?![\w/-]|\.\d)"
+#: Units by what they measure. A bore is a gauge from 4 to 32; a diameter in millimetres is from 4 to 20.
+CALIBER_WORDS, GAUGE_WORDS = ["cal", "caliber", "calibre"], ["ga", "gauge"]
+
+
+def measures(text: Column) -> Column:
+    """All measures of a lower-case text in order: ``array<struct<before, number, unit>>``, empty strings where a part is not there."""
+    parts = [F.regexp_extract_all(text, F.lit(_MEASURE), i) for i in (1, 2, 3)]
+    return F.arrays_zip(*[c.alias(n) for c, n in zip(parts, ("before", "number", "unit"))])
+
+
 def worded_bore(text: Column) -> Column:
     """A bore in words: ``.69 caliber``, ``10 gauge``, ``18 bore`` (the same measure as gauge)."""
-    caliber = F.coalesce(group(text, r"(?<![\w.])\.?([1-9]\d{1,2}) ?-?cal(?:iber|ibre)?\b\.?"), group(text, r"\bcal(?:iber|ibre|\.)? ?\.?([1-9]\d{1,2})(?![\d.\-/x])"))
-    gauge = F.coalesce(group(text, r"(?<![\w./\-])([1-9]\d?) ?-?(?:ga|gauge)\b"), group(text, r"(?<![\w./\-])([4-9]|[12]\d|3[0-2]) ?-?bore\b"))
-    return F.coalesce(F.concat(F.lit("."), caliber), F.concat(gauge, F.lit(" Gauge")))
+
+    def read(m: Column) -> Column:
+        digits, whole = F.regexp_replace(m["number"], r"^\.", ""), m["number"].cast("double")
+        caliber = (m["unit"].isin(CALIBER_WORDS) | ((m["before"] != "") & (m["unit"] == ""))) & digits.rlike(r"^\d{2,3}$")
+        gauge = ~m["number"].contains(".") & (m["unit"].isin(GAUGE_WORDS) & whole.between(1, 99) | (m["unit"] == "bore") & whole.between(4, 32))
+        return F.when(caliber, F.concat(F.lit("."), digits)).when(gauge, F.concat(m["number"], F.lit(" Gauge")))
+
+    found = F.filter(F.transform(measures(text), read), lambda x: x.isNotNull())
+    # a caliber before a gauge, as a shotgun's listing may name a rifled barrel
+    return F.coalesce(F.get(F.filter(found, lambda x: x.startswith(".")), F.lit(0)), F.get(found, F.lit(0)))
 
 
 def metric_caliber(text: Column) -> Column:
@@ -99,8 +107,10 @@ def metric_caliber(text: Column) -> Column:
 
 def bare_bore(text: Column) -> Column:
     """A bore by itself: ``.45`` or ``11mm``."""
-    metric = group(text, r"(?<![\w.])(\d{1,2}(?:\.\d{1,2})?) ?mm\b")
-    return F.coalesce(group(text, r"(?<![\w.])(\.\d{2,3})(?![\d-])"), F.when(metric.cast("double").between(4.0, 20.0), F.concat(metric, F.lit("mm"))))
+    found = measures(text)
+    pointed = F.filter(found, lambda m: m["number"].rlike(r"^\.\d{2,3}$"))
+    metric = F.filter(found, lambda m: (m["unit"] == "mm") & m["number"].cast("double").between(4.0, 20.0))
+    return F.coalesce(F.get(pointed, F.lit(0))["number"], F.concat(F.get(metric, F.lit(0))["number"], F.lit("mm")))
 
 
 def is_accessory(title: Column, price: Column, floor: float = 60.0) -> Column:
@@ -108,26 +118,32 @@ def is_accessory(title: Column, price: Column, floor: float = 60.0) -> Column:
 
     The head is what stands before ``for``, ``with``, a comma or a dash.
     """
-    text = low(title)
+    text = F.regexp_replace(low(title), r"(?<![\w.])(\.?\d{2,3}) ?(?:[a-z&]+ )?mag(?![a-z])", "$1 magnum")  # a cartridge, not a magazine
     head = F.trim(F.regexp_extract(text, r"^(.*?)(?: for | with | w/|,| - |$)", 1))
     named = head.rlike(rf"(?<![a-z])(?:{ACCESSORIES})$")
     cheap = F.coalesce(price < floor, F.lit(False)) & says(text, ACCESSORIES)
     return named | cheap
 
 
-def caliber(title: Column, description: Column, price: Column | None = None) -> Column:
-    """The caliber: what the title states, then the description; then what a name implies, a metric or worded or bare bore, the maker's."""
-    t, both = low(title), low(F.concat_ws(" ", title, description))
+def calibered(rows: DataFrame, cartridges: DataFrame | None = None, makers: DataFrame | None = None) -> DataFrame:
+    """``rows`` (title, description, price) with ``caliber`` and ``maker``.
+
+    The caliber is what the title states, then the description: the longest spelling of the cartridge table decides. Then
+    what a name implies, a metric or worded or bare bore, and what the maker's long guns shoot. The maker is the one that
+    the title names first, else the description. Both tables (``phrase, value``) are matched by an automaton each.
+    """
+    spark = rows.sparkSession
+    cartridges = cartridge_table(spark) if cartridges is None else cartridges
+    makers = maker_table(spark) if makers is None else makers
+    title, text = normal(F.col("title")), normal(F.col("description"))
+    out = rows
+    for into, where, names, first in (("_ct", title, cartridges, False), ("_cd", text, cartridges, False), ("_mt", title, makers, True), ("_md", text, makers, True)):
+        out = tagged(out, where, names, into, first=first)
+    t, both = low(F.col("title")), low(F.concat_ws(" ", "title", "description"))
     either = lambda rule: F.coalesce(rule(t), rule(both))
-    found = F.coalesce(
-        either(lambda x: first_rule(x, CARTRIDGES)),
-        first_rule(both, DESIGNATIONS),
-        metric_caliber(both),
-        either(worded_bore),
-        bare_bore(both),
-        F.when(~says(t, HANDGUN), first_rule(both, MAKER_CALIBERS)),
-    )
-    return F.when(~is_accessory(title, F.lit(None).cast("double") if price is None else price), found)
+    found = F.coalesce("_ct", "_cd", first_rule(both, DESIGNATIONS), metric_caliber(both), either(worded_bore), bare_bore(both), F.when(~says(t, HANDGUN), first_rule(both, MAKER_CALIBERS)))
+    price = F.col("price") if "price" in rows.columns else F.lit(None).cast("double")
+    return out.withColumns({"caliber": F.when(~is_accessory(F.col("title"), price), found), "maker": F.coalesce("_mt", "_md")}).drop("_ct", "_cd", "_mt", "_md")
 
 
 def finer_kind(model_kind: Column, stated: Column, title: Column, section: Column) -> Column:
@@ -160,9 +176,14 @@ def gun_kind(title: Column, section: Column, description: Column, price: Column)
     return F.when(~none, F.coalesce(side(low(title)), side(low(section))))
 
 
+def says_land(spelling: str) -> bool:
+    """Whether a cartridge's spelling has the name of a land in it."""
+    return any(re.search(rf"(?<![a-z0-9.])(?:{p})(?![a-z0-9])", spelling) for _, p in COUNTRIES)
+
+
 def country(title: Column, description: Column) -> Column:
     """The land that a title names first, else the description; words that are part of a cartridge's name don't count."""
-    cartridges = "|".join(p for _, p in CARTRIDGES) + "|7\\.62 russian"
+    cartridges = "|".join(sorted((re.escape(p) for p, name in listed(CARTRIDGES) if says_land(p)), key=len, reverse=True)) + "|7\\.62 russian"
     masked = lambda c: F.regexp_replace(low(c), rf"(?<![a-z0-9.])(?:{cartridges})(?![a-z0-9])", " ")
     return F.coalesce(earliest_rule(masked(title), COUNTRIES), earliest_rule(masked(description), COUNTRIES))
 
@@ -231,10 +252,10 @@ def can_key(title: Column, makers: Rules) -> Column:
 
 
 def enrich(rows: DataFrame) -> DataFrame:
-    """``rows`` (title, description, section, price) with everything read at once: ``caliber, gun, kind, country`` and the flags."""
+    """``rows`` (title, description, section, price) with everything read at once: ``caliber, maker, gun, kind, country`` and the flags."""
     title, description, section, price = map(F.col, ("title", "description", "section", "price"))
     none = F.lit(None).cast("string")
-    out = rows.withColumns({"is_parts_kit": is_parts_kit(title, section, description), "is_bayonet": is_bayonet(title, description), "is_reproduction": is_reproduction(title), "gun": gun_kind(title, section, description, price), "caliber": caliber(title, description, price), "country": country(title, description)})
+    out = calibered(rows).withColumns({"is_parts_kit": is_parts_kit(title, section, description), "is_bayonet": is_bayonet(title, description), "is_reproduction": is_reproduction(title), "gun": gun_kind(title, section, description, price), "country": country(title, description)})
     out = out.withColumn("kind", F.when(F.col("gun").isNotNull(), finer_kind(none, none, title, section)))
     return out.withColumns({"is_police": is_police(title, section, F.col("gun")), "is_black_powder": is_black_powder(title, section, F.col("gun"), F.col("is_parts_kit")), "is_suppressor": is_suppressor(title, section, F.col("is_parts_kit"), F.col("is_bayonet"))})
 

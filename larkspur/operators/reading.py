@@ -27,14 +27,6 @@ DENIALS = "no|not|non|without|never|free of|lacks?|lacking|absent|absence of|can
 JOINTS = "and|but|with|is|are|was|were|on|in"
 REACH = 4
 IMPORT_MARK = r"import(?:er)?(?:'?s)?[ -]*(?:mark|stamp)(?:s|ed|ings?)?"
-MISMATCH = r"mis[ -]*match(?:ed|ing)?|non[ -]*matching|not (?:all )?matching|(?:do|does) ?(?:not|n't) match|force[ -]*match(?:ed)?|re[ -]*numbered|electro[ -]*pencill?ed|mostly matching"
-MATCHING = (
-    r"all[ -]+matching|all (?:visible |main |primary |numbered |original )?(?:serial )?(?:numbers|parts|serials) (?:are |appear (?:to be )?|bear )?match(?:ing)?|(?:serial )?numbers?[ -]+(?:are |appear (?:to be )?)?matching"
-    r"|numbered parts (?:are )?matching|matching[ -]+(?:serial[ -]+)?(?:numbers?|serials)|(?:it|this one|the (?:gun|rifle|pistol|carbine|revolver)) is (?:all )?matching"
-)
-EXCEPTION = "except|minus|but (?:the|for)|other than|save for"
-#: What an exception to the condition, and not to the numbers, is about.
-CONDITION_WORDS = "bore|finish|wear|condition|pitting|rust|patina|bluing|dings?|scratch"
 REFINISH = r"re[ -]*finish(?:ed)?|re[ -]*blu(?:ed|ing|e)|re[ -]*park(?:erized|ed)|re[ -]*nickel(?:ed|led)|refurbished|arsenal (?:refurbish(?:ed|ment)|re[ -]*work(?:ed)?|rebuil[dt]|reconditioned)"
 ORIGINAL_FINISH = "original (?:factory )?(?:blued? |parkerized |nickel |military )?finish(?:es)?|factory (?:original )?finish"
 WOOD = r"stocks?|grips?|handguards?|wood|forend|fore-?end|butt ?stock|lacquer\w*|varnish\w*|shellac|cartouches?|panels?"
@@ -74,7 +66,6 @@ class Rule:
     against: str = ""
     true_first: bool = True
     hedges: str = HEDGES
-    spoils: str = ""  # words after a claim that turn it into its opposite
     ignores: str = ""  # words near the claim that make it about something else
 
     def read(self, text: Column) -> Column:
@@ -85,11 +76,8 @@ class Rule:
             about = ~s.rlike(rf"(?<![a-z])(?:{self.ignores})(?![a-z])[^,;:]*(?:{pattern})|(?:{pattern})[^,;:]*?(?<![a-z])(?:{self.ignores})(?![a-z])") if self.ignores else F.lit(True)
             return has(s, pattern) & ~guess(s, pattern, self.hedges) & about
 
-        def spoiled(s: Column) -> Column:
-            return s.rlike(rf"(?:{self.claim}).{{0,60}}?(?<![a-z])(?:{self.spoils})(?! (?:for )?(?:the |some )?(?:{CONDITION_WORDS}))(?![a-z])") if self.spoils else F.lit(False)
-
-        yes = F.filter(found, lambda s: say(s, self.claim) & ~denied(s, self.claim) & ~spoiled(s))
-        no = F.filter(found, lambda s: say(s, self.claim) & (denied(s, self.claim) | spoiled(s)))
+        yes = F.filter(found, lambda s: say(s, self.claim) & ~denied(s, self.claim))
+        no = F.filter(found, lambda s: say(s, self.claim) & denied(s, self.claim))
         if self.against:
             no = F.concat(F.filter(found, lambda s: say(s, self.against)), no)
             yes = F.filter(yes, lambda s: ~has(s, self.against))
@@ -100,10 +88,63 @@ class Rule:
         return F.coalesce(out, F.struct(F.lit(None).cast("boolean").alias("value"), F.lit(None).cast("string").alias("quote")))
 
 
+#: Words by the part that they play in what is said of a gun's numbers.
+ROLES = {
+    "a": ["all"], "q": ["visible", "main", "primary", "numbered", "original", "serial"], "s": ["number", "numbers", "parts", "serials"],
+    "v": ["are", "is", "appear", "appears", "to", "be", "bear"], "i": ["it", "one", "gun", "rifle", "pistol", "carbine", "revolver"], "m": ["match", "matches", "matched", "matching"],
+    "n": ["non", "mis"], "k": ["not", "doesn't", "don't", "isn't", "aren't"], "f": ["force", "mostly"], "r": ["re"], "e": ["electro"], "p": ["pencil", "pencilled", "penciled"],
+    "d": ["mismatch", "mismatched", "mismatching", "nonmatching"], "w": ["renumbered", "electropencilled", "electropenciled", "forcematched"],
+    "x": ["bayonet", "bayonets", "holster", "holsters", "sling", "slings", "scabbard", "scabbards", "case", "cases", "box", "boxes", "target", "targets", "pouch", "pouches"], "h": ["shoulder", "cleaning"], "t": ["stock", "stocks", "rod", "rods"],
+    "z": ["except", "minus"], "b": ["but"], "g": ["save"], "u": ["other"], "y": ["than"], "l": ["the", "for", "some"], "c": ["bore", "finish", "wear", "condition", "pitting", "rust", "patina", "bluing", "ding", "dings", "scratch"],
+}
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """Whether a gun's numbers match, read from the parts that words play in a sentence.
+
+    Every word becomes a letter (ROLES; any other is o, and what ends a clause a comma), so that the rules are short
+    patterns over roles: a subject, perhaps a verb, and the complement. One mismatch wins over all matches. A mismatch of what came with
+    the gun (its box, holster or bayonet) says nothing, whether the thing is named after or before it. An exception
+    after a match spoils it, unless it is one to the condition.
+    """
+
+    match: str = "aq*s?v*m|q*sv*m|mq*s|iva?m"
+    mismatch: str = "d|nm|ka?m|fm|rq|ep|w"
+    #: Of the mismatches those that may be about what came with the gun, and such a thing up to two words later.
+    loose: str = "d|nm"
+    thing: str = "x|ht"
+    exception: str = "(?:z|b(?=l)|gl|uy)l*+(?!c)"
+
+    def roles(self, sentence: Column) -> Column:
+        words = F.split(F.regexp_replace(F.regexp_replace(sentence, r"[,:()]", " , "), r"[\s-]+", " "), " ")
+        known = F.create_map(*[F.lit(x) for role, listed in ROLES.items() for word in listed for x in (word, role)], F.lit(","), F.lit(","))
+        return F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.coalesce(known[w], F.lit("o"))), "")
+
+    def verdict(self, sentence: Column) -> Column:
+        """True, false or null for one sentence."""
+        roles = self.roles(sentence)
+        # gone with a thing that came along: one that stands up to two words later, or before it in its clause or brackets
+        rest = F.regexp_replace(roles, rf"(?:{self.loose})(?=[^,]{{0,2}}?(?:{self.thing}))", "")
+        rest = F.regexp_replace(rest, rf"(?:{self.thing})[^,]{{0,4}},?[^,]{{0,2}}(?:{self.mismatch})", ",")
+        against = rest.rlike(self.mismatch)
+        claimed = roles.rlike(rf"(?<![nkf])(?:{self.match})")
+        spoiled = roles.rlike(rf"(?:{self.match})[^,]{{0,10}}?{self.exception}")
+        about = guess(sentence, "[a-z-]*match[a-z]*")
+        refused = denied(sentence, "(?:all )?(?:serial )?(?:numbers? )?match(?:ing)?")
+        return F.when(~about, F.when(against | claimed & (spoiled | refused), False).when(claimed, True))
+
+    def read(self, text: Column) -> Column:
+        """``struct(value, quote)``; null and null if nothing is said."""
+        told = F.transform(sentences(text), lambda s: F.struct(self.verdict(s).alias("value"), F.substring(s, 1, 140).alias("quote")))
+        first = lambda value: F.get(F.filter(told, lambda x: x["value"] == value), F.lit(0))
+        return F.coalesce(first(False), first(True), F.struct(F.lit(None).cast("boolean").alias("value"), F.lit(None).cast("string").alias("quote")))
+
+
 #: A mark anywhere wins over a denial; any mismatch wins over a match; refinishing wins over its denial.
 TRAITS = {
     "import_marked": Rule(IMPORT_MARK),
-    "numbers_match": Rule(MATCHING, MISMATCH, true_first=False, spoils=EXCEPTION),
+    "numbers_match": Numbers(),
     "refinished": Rule(REFINISH, ORIGINAL_FINISH, hedges=f"{HEDGES}|{LOOKS}", ignores=WOOD),
 }
 

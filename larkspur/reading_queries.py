@@ -33,7 +33,7 @@ def literal(x: object) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
-def cases(name: str, takes: str, gives: str, listed: list[tuple], read: Callable[[DataFrame], dict[str, Column]]) -> None:
+def cases(name: str, takes: str, gives: str, listed: list[tuple], read: Callable[[DataFrame], dict[str, Column]], prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Registers a query ``name``: the columns that ``read`` makes of the cases; the SQL has the listed answers (after the inputs)."""
     n = len(takes.split(","))
     answers = [x.rsplit(" ", 1) if " " in x.strip() else (x, "VARCHAR") for x in gives.split(", ")]
@@ -41,7 +41,7 @@ def cases(name: str, takes: str, gives: str, listed: list[tuple], read: Callable
     sql = f"WITH c(k, {', '.join(a for a, _ in answers)}) AS (VALUES {values}) SELECT p_partkey, {', '.join(f'CAST({a} AS {t}) AS {a}' for a, t in answers)} FROM part JOIN c ON p_partkey % {len(listed)} = k"
 
     def run(spark, folder):
-        rows = case_rows(table(spark, folder, "part"), takes, [row[:n] for row in listed])
+        rows = prepare(case_rows(table(spark, folder, "part"), takes, [row[:n] for row in listed]))
         return rows.select("p_partkey", *[c.alias(a) for a, c in read(rows).items()])
 
     run.__name__ = run.__qualname__ = name
@@ -59,6 +59,7 @@ cases("read_import_marks", "t string", "value BOOLEAN, quote", [
 cases("read_matching_numbers", "t string", "value BOOLEAN", [
     ("All matching numbers.", True), ("Matching numbers except the bolt.", False), ("All matching. Mismatched magazine.", False), ("The bolt does not match.", False), ("Numbers are not matching", False),
     ("All matching numbers in excellent condition except for the bore", True), ("All visible serial numbers match", True), ("Electro-penciled bolt", False), ("Force matched in the arsenal", False), ("A nice one", None), (None, None),
+    ("All matching numbers. Non-matching bayonet included.", True), ("Comes in a non-matching plastic box with a non-matching test target", None), ("All numbers appear matching", True), ("The numbered parts are matching", True), ("Matching numbers other than the magazine", False), ("Original box (mismatched serial number)", None), ("Non-matching bolt", False), ("It is all matching, with a holster", True),
 ], lambda r: {"value": R.TRAITS["numbers_match"].read(r.t)["value"]})
 
 cases("read_finish", "t string", "refinished BOOLEAN, left_percent INTEGER", [
@@ -133,7 +134,8 @@ cases("extract_calibers", "title string, description string", "caliber", [
     ("Zastava M83 .357 Magnum Revolver", "also chambers .38 Special", ".357 Magnum"), ("Mauser K98k rifle", "", "8mm Mauser"), ("Walther PP .22 LR", None, ".22 LR"), ("SKS 7.62x39 carbine", None, "7.62x39mm"), ("Swedish rifle 6.5x55", None, "6.5x55mm"),
     ("Brown Bess musket .69 caliber", None, ".69"), ("Parker 10 gauge shotgun", None, "10 Gauge"), ("Holster pistol 22-bore", None, "22 Gauge"), ("Dutch revolver 9.4mm", None, "9.4mm"), ("Mauser sporter", None, "8mm Mauser"), ("Mauser pistol", None, None),
     ("Rifle sling for K98k", None, None), ("Old rifle", "chambered in .303 British", ".303 British"), ("Scope 3-9x40", None, None), (None, None, None), ("Colt 1911 pistol", "", ".45 ACP"),
-], lambda r: {"caliber": K.caliber(r.title, r.description)})
+    ("Uberti .45 Colt revolver", None, ".45 Colt"), ("Ruger 6.5 Creedmoor rifle", None, "6.5 Creedmoor"), ("Savage .243 Win. rifle", None, ".243 Winchester"), ("Marlin 30-30 Win rifle", None, ".30-30 Winchester"), ("VZ 24 in 7.92 x 57 mm", None, "8mm Mauser"), ("Taurus .44 mag", None, ".44 Magnum"),
+], lambda r: {"caliber": F.col("caliber")}, K.calibered)
 
 cases("bore_words", "t string", "worded, metric, bare", [
     (".69 caliber musket", ".69", None, ".69"), ("18 bore fowler", "18 Gauge", None, None), ("10 ga double", "10 Gauge", None, None), ("6.5x55 carbine", None, "6.5x55mm", None), ("7x57r single shot", None, "7x57mmR", None), ("11mm revolver", None, None, "11mm"), ("cal. 45 pistol", ".45", None, None), ("9/10 bore condition", None, None, None), ("nothing", None, None, None),
