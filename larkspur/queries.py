@@ -777,7 +777,7 @@ def cumulative_extremes(spark, folder):
 
 def _all() -> None:
     """Registers the questions of the other modules as well."""
-    from . import curation_queries, reading_queries, review_queries, source_queries  # noqa: F401
+    from . import reading_queries, curation_queries, review_queries, source_queries, composed_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

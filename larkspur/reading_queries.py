@@ -1,4 +1,4 @@
-"""The readers of text and the classifier as queries: each row of ``part`` carries one of a list of listings, whose right answers are the checking SQL."""
+"""Lists of listings with their right answers, for the readers of text and the classifier. Most queries of these names are over composed listings (``composed_queries``); the lists are read by the tests."""
 
 from __future__ import annotations
 
@@ -33,10 +33,15 @@ def literal(x: object) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
+#: By name: the types of the inputs, the listed rows, what is read, what prepares it, and the names of the answers. The tests read them all.
+CASES: dict[str, tuple] = {}
+
+
 def cases(name: str, takes: str, gives: str, listed: list[tuple], read: Callable[[DataFrame], dict[str, Column]], prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Registers a query ``name``: the columns that ``read`` makes of the cases; the SQL has the listed answers (after the inputs)."""
     n = len(takes.split(","))
     answers = [x.rsplit(" ", 1) if " " in x.strip() else (x, "VARCHAR") for x in gives.split(", ")]
+    CASES[name] = (takes, listed, read, prepare, [a for a, _ in answers])
     values = ", ".join("(" + ", ".join([str(k), *[literal(x) for x in row[n:]]]) + ")" for k, row in enumerate(listed))
     sql = f"WITH c(k, {', '.join(a for a, _ in answers)}) AS (VALUES {values}) SELECT p_partkey, {', '.join(f'CAST({a} AS {t}) AS {a}' for a, t in answers)} FROM part JOIN c ON p_partkey % {len(listed)} = k"
 
