@@ -241,6 +241,20 @@ def moves(listings: DataFrame, dimension: str, since: datetime, now: datetime, l
     return out.select(F.col(dimension).alias("value"), "then_n", "now_n", "then_median", "now_median", half_even(change, 1).alias("change"), kind.alias("move"))
 
 
+def monthly_report(listings: DataFrame, watching: DataFrame, dimension: str, since: datetime, now: datetime, each: int = 5) -> DataFrame:
+    """``part, place, value, figure``: the values that moved most since a moment, and those that sell fastest, ``each`` of a kind.
+
+    Cheaper and dearer ones by the change in percent, scarcer ones by what is left of their number in percent, the
+    fastest by their median days on the shelf; the value decides between equals. Only these heads are sorted.
+    """
+    moved = moves(listings, dimension, since, now)
+    left = half_even(100 * F.col("now_n") / F.col("then_n"), 1)
+    lines = moved.where("move <> 'same'").select(F.col("move").alias("part"), F.col("value").cast("string").alias("value"), F.when(F.col("move") == "scarcer", left).otherwise(F.col("change")).alias("figure"))
+    fast = time_to_sell(listings, watching, dimension).select(F.lit("fastest").alias("part"), F.col("value").cast("string").alias("value"), F.col("median_days").alias("figure"))
+    first = Window.partitionBy("part").orderBy(F.when(F.col("part") == "dearer", -F.col("figure")).otherwise(F.col("figure")), "value")
+    return lines.union(fast).withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("part", "place", "value", "figure")
+
+
 def similar(queries: DataFrame, listings: DataFrame, limit: int = 8, reserve: int = 2) -> DataFrame:
     """Items like each query item: the same model and kind, the model alone, the kind and country, the kind alone.
 

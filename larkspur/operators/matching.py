@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,9 +155,17 @@ def within_tolerance(rows: DataFrame, variants: DataFrame, keys: list[str], valu
 
 
 def lows_by_weight(offers: DataFrame, wanted: DataFrame, key: str, weight: str, price: str, share: float = 0.03) -> DataFrame:
-    """The lowest price within 3 % of each wanted weight of a key."""
-    near = wanted.withColumnRenamed(weight, "_w").join(offers, key).where(F.abs(F.col(weight) - F.col("_w")) <= share * F.col("_w"))
-    return near.groupBy(key, F.col("_w").alias(weight)).agg(F.bround(F.min(price), 4).alias("low"), F.count("*").alias("offers"))
+    """The lowest price within 3 % of each wanted weight of a key, and how many offers there are.
+
+    Offers are summed up by weight first. Weights meet in buckets of their logarithm that are as wide as the share, so that
+    a wanted weight is compared with its own and the two neighbouring buckets only. Weights of nothing and below meet none.
+    """
+    width = -math.log(1 - share)
+    bucket = lambda w: F.floor(F.log(w) / F.lit(width))
+    found = offers.where(F.col(weight) > 0).groupBy(key, weight).agg(F.min(price).alias("_low"), F.count("*").alias("_n")).withColumn("_b", bucket(F.col(weight)))
+    asked = wanted.where(F.col(weight) > 0).select(key, F.col(weight).alias("_w")).distinct().withColumn("_b", F.explode(F.sequence(bucket(F.col("_w")) - 1, bucket(F.col("_w")) + 1)))
+    near = asked.join(found, [key, "_b"]).where(F.abs(F.col(weight) - F.col("_w")) <= share * F.col("_w"))
+    return near.groupBy(key, F.col("_w").alias(weight)).agg(F.bround(F.min("_low"), 4).alias("low"), F.sum("_n").alias("offers"))
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

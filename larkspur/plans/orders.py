@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def natural(text: Column) -> Column:
@@ -29,17 +30,16 @@ def by_list(value: Column, order: list[str]) -> Column:
     return F.when(place > 0, place).otherwise(len(order) + 1).cast("int")
 
 
-def cover(groups: dict[str, dict[str, int]], page: int, total: int, fine: float = 0.9) -> tuple[list[tuple[str, str]], bool]:
-    """Which facet values to read a category by, when it is larger than its source shows at once.
+def cover(counts: DataFrame, page: int, fine: float = 0.9) -> DataFrame:
+    """Which facet values to read a category by, when it is larger than its source shows at once: ``facet, value, n, enough``.
 
-    ``groups``: counts by value of each facet (a small aggregate). Of the facets whose values all fit one page, the one that
-    covers most, with the fewest values; without one, all values that fit. Says too whether enough is covered.
+    ``counts``: facet, value, n. Of the facets whose values all fit one page, the one that covers most, with the fewest
+    values; without one, all values that fit. ``enough`` says whether the choice covers that share of the largest facet's
+    rows. Facets are few, their values may be many: only the facets are ranked in one place.
     """
-    whole = {g: v for g, v in groups.items() if v and max(v.values()) <= page}
-    if whole:
-        best = min(whole, key=lambda g: (-sum(whole[g].values()), len(whole[g]), g))
-        chosen, covered = [(best, v) for v in sorted(whole[best])], sum(whole[best].values())
-    else:
-        chosen = [(g, v) for g in sorted(groups) for v in sorted(groups[g]) if groups[g][v] <= page]
-        covered = max([0, *(sum(n for n in v.values() if n <= page) for v in groups.values())])
-    return chosen, total > 0 and covered >= fine * total
+    sums = counts.groupBy("facet").agg((F.max("n") <= page).alias("_fits"), F.sum("n").alias("_all"), F.sum(F.when(F.col("n") <= page, F.col("n")).otherwise(0)).alias("_covered"), F.count("*").alias("_parts"))
+    every = Window.partitionBy(F.lit(0))
+    ranked = sums.withColumns({"_place": F.row_number().over(every.orderBy(F.desc("_fits"), F.desc("_all"), "_parts", "facet")), "_some": F.max("_fits").over(every), "_total": F.max("_all").over(every)})
+    ranked = ranked.withColumn("_best", F.when(F.col("_some"), F.col("_covered")).otherwise(F.max("_covered").over(every)))
+    chosen = ranked.where(~F.col("_some") | (F.col("_place") == 1)).select("facet", (F.col("_best") >= fine * F.col("_total")).alias("enough"))
+    return counts.join(chosen, "facet").where(F.col("n") <= page).select("facet", "value", "n", "enough")

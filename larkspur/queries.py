@@ -682,10 +682,12 @@ def targeted_rematch(spark, folder):
     return reference.mentions(table(spark, folder, "part"), "p_partkey", "p_name", spellings)
 
 
-@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_size > 25), c AS (SELECT p_name, count(*) AS sightings FROM part WHERE p_size <= 25 GROUP BY 1) SELECT p_name, sightings FROM c WHERE sightings >= 2 AND lower(p_name) NOT IN (SELECT n FROM k)""".replace("p_size > 25", "p_size > 25 AND p_brand = 'Brand#1'"))
+@query("""WITH k AS (SELECT DISTINCT lower(p_name || p_size % 4) AS n FROM part), c AS (SELECT p_name || p_size % 5 AS name, count(*) AS sightings FROM part GROUP BY 1) SELECT name, sightings FROM c WHERE sightings >= 2 AND lower(name) NOT IN (SELECT n FROM k)""")
 def proposed_names(spark, folder):
+    """Names with a number from 0 to 4 are seen; those with 0 to 3 are known, in capitals."""
     part = table(spark, folder, "part")
-    return reference.propose(part.where("p_size <= 25"), part.where("p_size > 25 and p_brand = 'Brand#1'"), "p_name", 2)
+    known = part.select(F.upper(F.concat("p_name", F.lit("-"), (F.col("p_size") % 4).cast("string"))).alias("name"))
+    return reference.propose(part.select(F.concat("p_name", (F.col("p_size") % 5).cast("string")).alias("name")), known, "name", 2)
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'LAND ' || n_nationkey ELSE n_name END AS name, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ',old' ELSE 'old' END AS aliases FROM nation""")

@@ -12,7 +12,7 @@ from .functions.ranks import linear_percentiles
 from .operators import collection, market, matching, reference, review
 from .plans import filters, orders
 from .plans.filters import FilterSpec
-from .queries import EVENTS_NOW, NOW, nearest, query
+from .queries import EVENTS_NOW, NOW, ORACLES, POSITION_SQL, nearest, query, watching
 from .reading_queries import case_rows
 from .sources.tables import CHANGES_SQL, LISTINGS_SQL, listings, price_changes, table
 
@@ -62,10 +62,8 @@ def enumerated_order(spark, folder):
   SELECT facet, value FROM g JOIN b USING (facet)""")
 def facet_cover_plan(spark, folder):
     part = table(spark, folder, "part")
-    counts = {name: {r["v"]: r["n"] for r in part.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).collect()} for name, c in (("brand", "p_brand"), ("type", "p_type"))}  # a row for each value of a facet
-    total = sum(counts["brand"].values())
-    chosen, _ = orders.cover(counts, round(total * 0.15), total)
-    return spark.createDataFrame(chosen, "facet string, value string")
+    facets = [part.groupBy(F.lit(name).alias("facet"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for name, c in (("brand", "p_brand"), ("type", "p_type"))]
+    return orders.cover(facets[0].union(facets[1]), round(part.count() * 0.15)).select("facet", "value")
 
 
 @query(f"WITH {CHANGES_SQL}, s AS (SELECT *, lag(price) OVER (PARTITION BY item ORDER BY at, seq) AS was FROM changes) SELECT item, seq FROM s WHERE round_even(price * 100, 0) < round_even(was * 100, 0)")
@@ -103,15 +101,33 @@ def deals_under_new(spark, folder):
     return _under_new(spark, folder).select("item", "variant", "price", "new_price", F.round("under_new", 6).alias("under_new"))
 
 
-@query(f"""{_NEW}, a AS (SELECT 'discount' AS ordering, item, row_number() OVER (ORDER BY under_new DESC, item) AS place FROM u UNION ALL SELECT 'saving', item, row_number() OVER (ORDER BY new_price - price DESC, item) FROM u
-    UNION ALL SELECT 'price_asc', item, row_number() OVER (ORDER BY price, item) FROM u UNION ALL SELECT 'price_desc', item, row_number() OVER (ORDER BY price DESC, item) FROM u UNION ALL SELECT 'newest', item, row_number() OVER (ORDER BY first_seen DESC, item) FROM u)
+_ALL = f"""WITH {LISTINGS_SQL}, {POSITION_SQL}, g AS (SELECT model, median(price) AS median, count(DISTINCT source) AS vendors FROM listings WHERE active AND price IS NOT NULL GROUP BY 1),
+  d AS (SELECT p.*, g.median, vendors, 100 * (g.median - price) / g.median AS discount FROM p JOIN g USING (model)),
+  h AS (SELECT min(item) AS item, price, max(median) AS median, max(discount) AS discount FROM d WHERE cheaper_than >= 80 AND NOT sold AND discount BETWEEN 20 AND 65 AND vendors >= 2 GROUP BY model, source, price),
+  {_NEW.removeprefix("WITH " + LISTINGS_SQL + ", ")}, o AS (SELECT coalesce(h.item, u.item) AS item, coalesce(h.price, u.price) AS price, h.median, h.discount, u.new_price, u.under_new FROM h FULL JOIN u ON h.item = u.item),
+  z AS (SELECT o.*, l.first_seen FROM o JOIN listings l USING (item))"""
+
+
+def _all_deals(spark, folder):
+    rows = listings(spark, folder, "item", "source", "model", "price", "sold", "active").where("active and price is not null")
+    return review.all_deals(market.hot_deals(rows, ["model"]), _under_new(spark, folder))
+
+
+@query(f"{_ALL} SELECT item, price, median, round(discount, 6) AS discount, new_price, round(under_new, 6) AS under_new FROM o")
+def deals_by_both_rules(spark, folder):
+    """Offers under their peers' median or under the new price, one row each with both signals."""
+    return _all_deals(spark, folder).withColumns({"discount": F.round("discount", 6), "under_new": F.round("under_new", 6)})
+
+
+@query(f"""{_ALL}, a AS (SELECT 'discount' AS ordering, item, row_number() OVER (ORDER BY coalesce(discount, under_new) DESC, item) AS place FROM z UNION ALL SELECT 'saving', item, row_number() OVER (ORDER BY coalesce(median, new_price) - price DESC, item) FROM z
+    UNION ALL SELECT 'price_asc', item, row_number() OVER (ORDER BY price, item) FROM z UNION ALL SELECT 'price_desc', item, row_number() OVER (ORDER BY price DESC, item) FROM z UNION ALL SELECT 'newest', item, row_number() OVER (ORDER BY first_seen DESC, item) FROM z)
   SELECT ordering, item FROM a WHERE place <= 10""")
 def deal_orders(spark, folder):
-    deals = _under_new(spark, folder).select("item", "price", "new_price", "under_new", "first_seen", *[F.lit(None).cast("double").alias(c) for c in ("median", "discount")])
+    deals = _all_deals(spark, folder).join(listings(spark, folder, "item", "first_seen"), "item")
     parts = [review.deals_in_order(deals, name, 10).select(F.lit(name).alias("ordering"), "item") for name in review.DEAL_ORDERS]
     out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    for part in parts[1:]:
+        out = out.union(part)
     return out
 
 
@@ -251,9 +267,9 @@ def photo_backlog(spark, folder):
     return review.backlog(items.select("item", F.explode(F.slice(states, 1, (F.col("item") % 4).cast("int"))).alias("state")), items)
 
 
-@query("""WITH b AS (SELECT DISTINCT l_partkey % 300 AS model, l_suppkey % 7 AS maker FROM lineitem WHERE l_partkey % 300 < 150 AND l_suppkey % 7 < 2 AND l_quantity > 47) SELECT model, min(maker) AS maker FROM b GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS model, l_suppkey % 7 AS maker FROM lineitem) SELECT model, min(maker) AS maker FROM b GROUP BY 1 HAVING count(*) = 1""")
 def sole_makers(spark, folder):
-    bridge = table(spark, folder, "lineitem").where("l_partkey % 300 < 150 and l_suppkey % 7 < 2 and l_quantity > 47").select((F.col("l_partkey") % 300).alias("model"), (F.col("l_suppkey") % 7).alias("maker"))
+    bridge = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("model"), (F.col("l_suppkey") % 7).alias("maker"))
     return review.sole_makers(bridge)
 
 
@@ -265,10 +281,10 @@ def serials_run_straight(spark, folder):
     return review.runs_straight(evidence)
 
 
-@query("SELECT DISTINCT source FROM (SELECT user_id % 40 AS source FROM events WHERE event_type = 'error' UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey < 60)")
+@query("SELECT DISTINCT source FROM (SELECT user_id % 40 AS source FROM events WHERE event_type = 'error' UNION ALL SELECT s_suppkey FROM supplier)")
 def mentioned_sources(spark, folder):
     errors = table(spark, folder, "events").where("event_type = 'error'").select((F.col("user_id") % 40).alias("source"))
-    return review.mentioned(errors, table(spark, folder, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("source")))
+    return review.mentioned(errors, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 7 <> 0 AND p_size % 5 <> 0 THEN round_even((CASE WHEN p_size % 3 = 0 THEN 0.25 ELSE 0.1 END + p_size * 0.01 + 0.03 + 0.05)::DOUBLE, 4) END::DOUBLE AS cost FROM part""")
@@ -316,9 +332,9 @@ def product_dimension_match(spark, folder):
     return review.product_matches(products, entries)
 
 
-@query("""SELECT p_brand, count(DISTINCT p_partkey) AS models, count(DISTINCT p_type) AS kinds, count(*) FILTER (l.n > 0) AS listed, coalesce(sum(l.n), 0)::BIGINT AS listings FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) l ON l_partkey = p_partkey GROUP BY 1""")
+@query("""SELECT p_brand, count(DISTINCT p_partkey) AS models, count(DISTINCT p_type) AS kinds, count(*) FILTER (l.n > 0) AS listed, coalesce(sum(l.n), 0)::BIGINT AS listings FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_partkey = p_partkey GROUP BY 1""")
 def reference_tables(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     return reference.usage(table(spark, folder, "part"), rows, "p_partkey", "p_brand", "p_type")
 
 
@@ -338,3 +354,14 @@ def contested_spellings(spark, folder):
 def snapshot_series(spark, folder):
     rows = table(spark, folder, "events").select("ts", C.cents(F.col("value")).alias("cents"))
     return collection.series(rows, F.date_trunc("day", "ts").cast("timestamp_ntz"), "cents")
+
+
+# ------------------------------------------------------------------------------------------------------- monthly report
+
+@query(f"""WITH m AS ({ORACLES["monthly_moves"]}), t AS ({ORACLES["time_to_sell"]}),
+  r AS (SELECT move AS part, value, CASE WHEN move = 'scarcer' THEN round_even(100 * now_n / then_n, 1) ELSE change END::DOUBLE AS figure FROM m WHERE move <> 'same' UNION ALL SELECT 'fastest', value, median_days::DOUBLE FROM t),
+  p AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY CASE WHEN part = 'dearer' THEN -figure ELSE figure END, value)::INTEGER AS place FROM r) SELECT part, place, value, figure FROM p WHERE place <= 5""")
+def monthly_report(spark, folder):
+    """Five lines each of what got cheaper, dearer and scarcer, and of what sells fastest."""
+    rows = listings(spark, folder)
+    return market.monthly_report(rows, watching(rows), "brand", datetime(1997, 1, 1), NOW)

@@ -74,7 +74,9 @@ def test_orders_and_cover(spark):
     assert [r.t for r in spark.createDataFrame([(t,) for t in long[::-1]], "t string").orderBy(orders.natural(F.col("t"))).collect()] == long
     assert [r.t for r in df.orderBy(*orders.prefix_first(F.col("t"), "B")).collect()][0] == "b1"
     assert [r[0] for r in df.select(orders.by_list(F.col("t"), ["b1", "a9"])).collect()] == [3, 2, 3, 1]
-    groups = {"size": {"s": 40, "l": 50}, "brand": {"x": 30, "y": 30, "z": 40}, "year": {"old": 100}}
-    assert orders.cover(groups, 50, 100) == ([("brand", "x"), ("brand", "y"), ("brand", "z")], True)
-    assert orders.cover({"year": {"old": 100, "new": 20}}, 50, 120) == ([("year", "new")], False)
-    assert orders.cover({}, 50, 100) == ([], False)
+    rows = lambda groups: spark.createDataFrame([(g, v, n) for g, x in groups.items() for v, n in x.items()], "facet string, value string, n long")
+    cover = lambda groups: {(r.facet, r.value, r.enough) for r in orders.cover(rows(groups), 50).collect()}
+    assert cover({"size": {"s": 40, "l": 50}, "brand": {"x": 30, "y": 30, "z": 40}, "year": {"old": 100}}) == {("brand", "x", True), ("brand", "y", True), ("brand", "z", True)}
+    assert cover({"year": {"old": 100, "new": 20}}) == {("year", "new", False)}
+    assert cover({"a": {"x": 51, "y": 49}, "b": {"p": 60, "q": 10}}) == {("a", "y", False), ("b", "q", False)}
+    assert cover({"a": {}}) == set()
