@@ -13,11 +13,7 @@ from .queries import EVENTS_NOW, MERGE_SQL, query
 from .sources import recorded
 from .sources.tables import price_changes, table
 from .streaming import outbox, stateful
-from .streaming.flows import shared_folder
-
-
-def own_path(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+from .written import cut, own_path
 
 
 # ------------------------------------------------------------------------------------------------------ pages, phrases
@@ -81,7 +77,7 @@ def merge_chains(spark, folder):
     """Chains of merges: each row takes what was merged into it, and every row's end is found by pointer doubling."""
     start = makers(spark, folder)
     after, _ = curation.merged(start, chains(spark, folder), 1)
-    after = curation._cut(after, "makers")
+    after = cut(after, "makers")
     ends = curation.resolved(after.select("key", F.col("key").alias("root")), after, "root")
     return after.join(ends, "key").select("key", "status", "merged_into", "root", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
 
@@ -139,7 +135,7 @@ def sync_plan(spark, folder):
 @query(f"WITH {_SYNC_SQL} SELECT key, cn AS name, cl::INTEGER AS land FROM j WHERE here")
 def sync_undone(spark, folder):
     """A sync and its undo by the events: the edited table again."""
-    plan = curation._cut(curation.reconciled(*_three(spark, folder), prune=True), "plan")
+    plan = cut(curation.reconciled(*_three(spark, folder), prune=True), "plan")
     return curation.undone(curation.synced(plan), curation.sync_events(plan, 1))
 
 

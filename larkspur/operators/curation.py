@@ -7,34 +7,26 @@ Nothing is gathered: every step is a join by key, and each round of doubling is
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.flows import shared_folder
+from ..written import cut
 
 MERGED = "merged"
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def roots(pointers: DataFrame) -> DataFrame:
     """``key, root, steps`` of every row that points somewhere (``key, into``, one row a key); a null root is that of a row on the way into a cycle.
 
     Each round jumps twice as far, so a chain of n rows takes log2(n) rounds; after as many as there could be, whoever
     has not arrived goes in circles.
     """
-    at = _cut(pointers.where("key is not null and into is not null").select("key", F.col("into").alias("root"), F.lit(1).cast("long").alias("steps")), "roots")
+    at = cut(pointers.where("key is not null and into is not null").select("key", F.col("into").alias("root"), F.lit(1).cast("long").alias("steps")), "roots")
     rounds = max(at.count(), 1).bit_length() + 1
     far = at.select(F.col("key").alias("_k"), F.col("root").alias("_r"), F.col("steps").alias("_s"))
     for _ in range(rounds):
         moving = at.join(far, F.col("root") == F.col("_k"), "left")
-        moved = _cut(moving.select("key", F.coalesce("_r", "root").alias("root"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.col("_k").isNotNull().alias("_on")), "roots")
+        moved = cut(moving.select("key", F.coalesce("_r", "root").alias("root"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.col("_k").isNotNull().alias("_on")), "roots")
         at = moved.drop("_on")
         far = at.select(F.col("key").alias("_k"), F.col("root").alias("_r"), F.col("steps").alias("_s"))
         if not moved.where("_on").limit(1).count():
@@ -69,15 +61,15 @@ def _spellings(name: str = "name", aliases: str = "aliases") -> Column:
 
 def _ancestors(pointers: DataFrame) -> DataFrame:
     """``key, above`` for everybody that a row's chain passes, by doubling; ``pointers`` (key, into) have no cycle."""
-    reach = _cut(pointers.select("key", F.col("into").alias("above")), "ancestors")
+    reach = cut(pointers.select("key", F.col("into").alias("above")), "ancestors")
     jump = reach
     while True:
         further = jump.select("key", F.col("above").alias("_m")).join(jump.select(F.col("key").alias("_m"), "above"), "_m").select("key", "above")
-        new = _cut(further, "ancestors")
+        new = cut(further, "ancestors")
         if not new.limit(1).count():
             return reach
         beyond = reach.select("key", F.col("above").alias("_m")).join(new.select(F.col("key").alias("_m"), "above"), "_m").select("key", "above")
-        reach, jump = _cut(reach.union(new).union(beyond).distinct(), "ancestors"), new
+        reach, jump = cut(reach.union(new).union(beyond).distinct(), "ancestors"), new
 
 
 def merged(table: DataFrame, merges: DataFrame, seq: int) -> tuple[DataFrame, DataFrame]:
@@ -87,13 +79,13 @@ def merged(table: DataFrame, merges: DataFrame, seq: int) -> tuple[DataFrame, Da
     itself. ``took`` are the spellings that the target had not; the loser keeps its own. What the target has when the call
     ends does not depend on the order of rows.
     """
-    ok = _cut(judged(table, merges).where("verdict = 'ok'").select(F.col("loser").alias("key"), F.col("winner").alias("into")), "merges")
+    ok = cut(judged(table, merges).where("verdict = 'ok'").select(F.col("loser").alias("key"), F.col("winner").alias("into")), "merges")
     rows = table.join(ok.withColumnRenamed("into", "_into"), "key", "left")
     # of every row the spellings of all that are merged into it, directly or over others
     given = _ancestors(ok).join(table.select("key", F.explode(_spellings()).alias("s")), "key").select(F.col("above").alias("key"), "s").distinct()
     gets = given.groupBy("key").agg(F.collect_set("s").alias("_gets"))
     after = rows.join(gets, "key", "left").withColumn("_all", F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array_except(F.coalesce("_gets", F.array().cast("array<string>")), F.array("name"))))))
-    after = _cut(after, "merged")
+    after = cut(after, "merged")
     had = table.select(F.col("key").alias("_into"), _spellings().alias("_had"))
     record = after.where("_into is not null").join(had, "_into").select(F.lit(seq).alias("seq"), F.col("key").alias("loser"), F.col("_into").alias("target"), "status", F.array_sort(F.array_except(F.array_distinct(_spellings("name", "_all")), "_had")).alias("took"))
     lost = F.col("_into").isNotNull()

@@ -8,30 +8,22 @@ a round leaves uncut in both directions is done, and written tables end the line
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..streaming.flows import shared_folder
+from ..written import cut
 
 #: Rounds after which a page is taken as it is: each halves a region at least, so only boxes one in another's gap could go on.
 ROUNDS = 32
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/layout-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _split(rows: DataFrame, low: str, high: str, gap: float) -> DataFrame:
     """``rows`` with ``part``, the number of gaps of one direction before a box in its region."""
     region = Window.partitionBy("page", "region").orderBy(low, high, "box")
     reach = F.max(high).over(region.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce(F.col(low) - reach >= gap, F.lit(False)).cast("int")
-    return rows.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(region.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_cut")
+    gaps = F.coalesce(F.col(low) - reach >= gap, F.lit(False)).cast("int")
+    return rows.withColumn("_cut", gaps).withColumn("part", F.sum("_cut").over(region.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_cut")
 
 
 def panels(boxes: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
@@ -41,17 +33,17 @@ def panels(boxes: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
     """
     placed = F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull()
     rows = boxes.where(placed).select("page", "box", F.least("x0", "x1").alias("a0"), F.greatest("x0", "x1").alias("a1"), F.least("y0", "y1").alias("b0"), F.greatest("y0", "y1").alias("b1"), F.lit("").alias("region"))
-    live, done = _cut(rows), None
+    live, done = cut(rows, "layout"), None
     for _ in range(ROUNDS):
         down = _split(live, "b0", "b1", gap_y).withColumn("region", F.concat_ws(".", "region", F.lpad(F.col("part").cast("string"), 4, "0"))).drop("part")
         across = _split(down, "a0", "a1", gap_x)
         name = Window.partitionBy("page", "region")
         both = across.withColumn("_n", F.max("part").over(name)).withColumn("region", F.when(F.col("_n") > 0, F.concat_ws(".", "region", F.lpad(F.col("part").cast("string"), 4, "0"))).otherwise(F.col("region")))
         # cut again where a column appeared: its parts may have gaps of their own; a region without columns has none left
-        cut = _cut(both.withColumn("_live", F.col("_n") > 0).drop("part", "_n"))
-        ended = cut.where("not _live").drop("_live")
+        parts = cut(both.withColumn("_live", F.col("_n") > 0).drop("part", "_n"), "layout")
+        ended = parts.where("not _live").drop("_live")
         done = ended if done is None else done.union(ended)
-        live = cut.where("_live").drop("_live")
+        live = parts.where("_live").drop("_live")
         if not live.limit(1).count():
             break
     else:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import days_between, half_even, whole_days
 from ..functions.ranks import linear_percentiles, nearest_ranks, spread
+from ..written import cut
 
 MIN_SAMPLE, CONCENTRATED = 5, 0.70
 #: Ranks in a block that sources and prices meet by.
@@ -55,7 +56,7 @@ def time_to_sell(listings: DataFrame, watching: DataFrame, dimension: str, least
     """
     left = F.least("sold_at", "delisted_at")
     rows = listings.where(left.isNotNull()).join(watching, "source").where(F.col("first_seen") > F.col("since"))
-    rows = rows.select(dimension, "source", days_between(left, F.col("first_seen")).alias("days")).where("days > 0")
+    rows = cut(rows.select(dimension, "source", days_between(left, F.col("first_seen")).alias("days")).where("days > 0"), "days")  # read three times
     ranks = nearest_ranks(rows, [dimension], "days", {"fast_days": 0.25, "median_days": 0.5, "slow_days": 0.75}, split=True).where(F.col("n") >= least)
     out = ranks.join(spread(rows, [dimension], "source"), dimension)
     return out.select(F.col(dimension).alias("value"), F.col("n").alias("sold"), *[half_even(F.col(c), 1).alias(c) for c in ("fast_days", "median_days", "slow_days")], "sources", "top_share")
@@ -159,7 +160,8 @@ def others_median(listings: DataFrame, least: int = 5) -> DataFrame:
 def scorecards(listings: DataFrame, watching: DataFrame, now: datetime, compared: int = 5) -> DataFrame:
     """A row for each source: items for sale, prices against others' medians, days to sell, arrivals and departures."""
     at = instant(now)
-    rows = listings.join(watching, "source", "left")
+    shown = ["source", "model", "item", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"]
+    rows = cut(listings.select(*shown).join(watching, "source", "left"), "scorecards")  # read by all that follows
     seen = F.coalesce(F.col("first_seen") > F.col("since"), F.lit(False))
     age, left = whole_days(at, F.col("first_seen")), F.least("sold_at", "delisted_at")
     weekdays = [F.count_if(seen & (age >= 0) & (age < 28) & (F.weekday("first_seen") == d)).alias(f"arrivals_{d}") for d in range(7)]
@@ -171,7 +173,7 @@ def scorecards(listings: DataFrame, watching: DataFrame, now: datetime, compared
     )
     stays = rows.where(seen & (left > F.col("first_seen"))).select("source", days_between(left, F.col("first_seen")).alias("days"))
     stays = linear_percentiles(stays, ["source"], "days", {"_days": 0.5}, split=True).drop("n")
-    prices = others_median(listings).select("source", (F.col("price") / F.col("median")).alias("ratio"))
+    prices = cut(others_median(rows.select(*shown)).select("source", (F.col("price") / F.col("median")).alias("ratio")), "ratios")
     ratios = linear_percentiles(prices, ["source"], "ratio", {"_ratio": 0.5}, split=True).where(F.col("n") >= compared)
     out = counts.join(stays, "source", "left").join(ratios, "source", "left")
     return out.select("source", "for_sale", "new_this_week", "left_last_30_days", half_even(F.col("_days"), 1).alias("sell_days"), *[f"arrivals_{d}" for d in range(7)], F.col("n").alias("compared"), half_even(F.col("_ratio"), 3).alias("price_vs_market"))

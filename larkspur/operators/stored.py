@@ -8,13 +8,12 @@ begun is not disturbed and a merge that fails changes nothing.
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming.flows import shared_folder
+from ..written import own_path
 from .state import merge
 
 
@@ -31,7 +30,7 @@ class StateTable:
     def write(self, rows: DataFrame) -> None:
         """Makes ``rows`` (one for each key) the next generation; the one before the last goes."""
         now = self._generation() + 1
-        path = f"{shared_folder(self.spark)}/{self.spark.sparkContext.applicationId}/{self.name}-{now}-{uuid.uuid4().hex[:12]}"
+        path = own_path(self.spark, f"{self.name}-{now}")
         # one task for each bucket, so that a bucket is one file
         (rows.repartition(self.buckets, self.key).sortWithinPartitions(self.key).write.bucketBy(self.buckets, self.key).sortBy(self.key)
              .option("path", path).format("parquet").saveAsTable(f"{self.name}_g{now}"))

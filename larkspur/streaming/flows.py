@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cents
 from ..operators.state import change_log
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return (folder or f"file:///tmp/larkspur-{os.getuid()}/streams").rstrip("/")
+from ..written import shared_folder  # noqa: F401
 
 
 def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from larkspur.operators import curation as C
+from larkspur.written import cut
 
 TABLE = "key long, name string, aliases array<string>, status string, merged_into long"
 
@@ -65,7 +66,7 @@ def test_merges_on_merges(spark):
         rng.shuffle(alive)
         merges = [(alive[2 * i], alive[2 * i + 1]) for i in range(4)]
         state, record = C.merged(state, spark.createDataFrame(merges, "loser long, winner long"), seq)
-        state, record = C._cut(state, "t"), C._cut(record, "t")
+        state, record = cut(state, "t"), cut(record, "t")
         plain, records = one_by_one(plain, merges), [record, *records]
         assert rows(state) == plain
     links = spark.createDataFrame([(k, f"i{k}") for k in range(30)], "key long, item string")
@@ -85,7 +86,7 @@ def test_reconcile(spark):
     new = [(0, "n0", ["t"], 0), (1, "file", ["t"], 1), (2, "n2", ["t"], 2), (3, "file", ["t"], 3), (4, "same", ["t"], 4), (5, "file", ["u"], 5), (8, "n8", ["t"], 8), (9, "file", ["t"], 9), (20, "fresh", [], 1), (21, "both", ["t"], 1), (22, "both", ["t"], 2)]
     here = [(0, "n0", ["t"], 0), (1, "n1", ["t"], 1), (2, "mine", ["t"], 2), (3, "mine", ["t"], 3), (4, "same", ["t"], 4), (5, "n5", ["t"], 99), (6, "n6", ["t"], 6), (7, "mine", ["t"], 7), (21, "both", ["t"], 1), (22, "mine", None, None), (30, "own", None, None)]
     frames = [spark.createDataFrame(x, ROW) for x in (last, new, here)]
-    plan = C._cut(C.reconciled(*frames), "plan")
+    plan = cut(C.reconciled(*frames), "plan")
     got = {r.key: (r.action, sorted(r.changed), sorted(r.conflicts)) for r in plan.collect()}
     none: list = []
     assert got == {
@@ -101,8 +102,8 @@ def test_reconcile(spark):
 def test_undo_of_a_sync(spark):
     rng = random.Random(3)
     make = lambda: spark.createDataFrame([(k, rng.choice("ab"), [rng.choice("xy")], rng.randrange(2)) for k in range(400) if rng.random() < 0.8], ROW)
-    frames = [C._cut(make(), "f") for _ in range(3)]
-    plan = C._cut(C.reconciled(*frames, prune=True), "plan")
+    frames = [cut(make(), "f") for _ in range(3)]
+    plan = cut(C.reconciled(*frames, prune=True), "plan")
     events, table = C.sync_events(plan, 4), C.synced(plan)
     assert {r.action for r in events.collect()} == {"added", "updated", "deleted"}
     plain = lambda df: sorted((r.key, r.name, tuple(r.tags), r.size) for r in df.collect())
