@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .simhash import distinct_sets, named_sets, set_rows, similar_links, stars
 
-#: Collections of each set, minima of each collection.
-COLLECTIONS, MINIMA = 8, 2
+#: Collections of each set, minima of each collection; orders of which the centres of all tables are the first.
+COLLECTIONS, MINIMA, ORDERS = 8, 2, 4
 NAMES = [f"g{k}" for k in range(COLLECTIONS)]
 #: An odd factor for each minimum: one more order of the 64-bit hashes.
 FACTORS = np.random.default_rng(20240512).integers(1, 1 << 63, size=COLLECTIONS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +54,7 @@ def collections(hashes: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
 def tensored(sets: DataFrame, width: int) -> DataFrame:
     """``a, b``: sets (``id, g0 .. g7``) that share the key of some table, each with one centre there."""
     keys = [F.xxhash64(F.lit(i), F.lit(j), f"g{i}", f"g{j}") for i, j in combinations(range(COLLECTIONS), 2)]
-    return stars(sets.select("id", F.explode(F.array(*keys)).alias("anchor")))
+    return stars(sets.select("id", F.explode(F.array(*keys)).alias("anchor")), ORDERS)
 
 
 def classes(docs: DataFrame, width: int = 4, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

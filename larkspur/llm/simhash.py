@@ -179,8 +179,8 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
 
 #: Parity bits of a set of shingles.
 PARITY = [f"w{k}" for k in range(8)]
-#: Stars: so many anchors for each set, of so many minima each; orders of which centres are the first.
-ANCHORS, MINIMA, ORDERS = 6, 3, 4
+#: Stars: so many anchors for each set, of so many minima each.
+ANCHORS, MINIMA = 6, 3
 #: Names of columns, and what makes them of the hashes of a batch's sets and their numbers.
 Marks = tuple[list[str], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]]
 #: Shingles that a task sorts at once and that a range of the counts has on average, and the fewest ranges.
@@ -248,14 +248,14 @@ def star_pairs(sets: DataFrame, width: int) -> DataFrame:
     return stars(sets.select("id", "text").mapInArrow(run, "id long, anchor long"))
 
 
-def stars(rows: DataFrame) -> DataFrame:
+def stars(rows: DataFrame, orders: int = 0) -> DataFrame:
     """``a, b``: each row (``id, anchor``) with one of those at its anchor; the centre is the same whenever a task runs again.
 
-    Centres are the first of ORDERS orders of all sets, so that a group meets few different ones over all its anchors.
-    Both sides of the join are written tables, so that Spark can split an anchor at which very many meet.
+    Every anchor has an order of its own, whose first set is the centre; or there are so many ``orders`` in all, and a
+    group meets few different centres over its anchors. Both sides of the join are written tables, so that Spark can split an anchor at which very many meet.
     """
     rows = cut(rows, "anchors")
-    centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64(F.pmod("anchor", F.lit(ORDERS)), "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    centres = rows.groupBy("anchor").agg(F.min(F.struct(F.xxhash64(F.pmod("anchor", F.lit(orders)) if orders else "anchor", "id").alias("o"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1")
     centres = cut(centres.select("anchor", F.col("c.id").alias("b")), "anchors")
     meet = rows.join(centres, "anchor").where(F.col("id") != F.col("b"))
     out = cut(meet.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "anchors")
@@ -420,7 +420,7 @@ def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets (``id, text``) have the similarity, by the sets themselves; a written table."""
     left = cut(pairs, "pairs")
-    texts = cut(chosen(sets.select("id", "text"), left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
+    texts = cut(chosen(sets.select("id", "text"), left.select(F.col("a").alias("id")).distinct().union(left.select("b").distinct()).distinct()), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
