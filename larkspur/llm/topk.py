@@ -11,8 +11,8 @@ blocks, if they are many; a cell is one shard with one block, and bounds the mem
 smaller id, and a node that can only tie is skipped when all its ids are larger.
 
 Defined cases: rows whose vector is null or holds null or non-finite components, and rows without an id, take no
-part; vectors of another length than the query's are no candidates of it; exact repeats of a row count once, and a
-query never finds its own id; fewer than k candidates are all returned; empty tables give an empty table; other
+part; vectors of another length than the query's are no candidates of it; exact repeats of a row count once, rows of one id
+with different vectors are a candidate each (and may both be found), and a query never finds its own id; fewer than k candidates are all returned; empty tables give an empty table; other
 columns are ignored.
 """
 
