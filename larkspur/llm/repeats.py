@@ -17,8 +17,11 @@ its Burrows-Wheeler transform is compressed into runs. The suffix at the head of
 of its match with the suffix before it. Matching statistics are streamed over the contexts in text order from these
 samples: while the transform stays in a run, the match of the next suffix is one shorter, so that a position's match
 is its last sample's, less the distance; the samples of run tails give the match with the suffix after it likewise.
-A start whose match is ``length`` or longer repeats. An anchor hash with more contexts than a shard should hold is
-dealt by window instead: packed window hashes, spread evenly, are compared with their anchor hashes (128 bits).
+A start whose match is ``length`` or longer repeats. An anchor hash with more contexts than a shard should hold is cut:
+the starts of its contexts go by their distance to the anchor into ranges of a twelfth of ``length``, and what all
+windows of a range have in common, eleven twelfths of a string, is the anchor hash of the pieces. The pieces are counted, and
+go to the index, as the contexts do; those that are still too many under one hash are cut into single starts, of which
+each hash has one only. So every answer is the index's, and no shard grows with an anchor.
 
 Defined cases: null is the empty text; a text shorter than ``length`` loses nothing; overlapping and same-document
 repeats count; matches never cross documents; repeated rows are repeats of each other; an empty table gives an empty
@@ -40,8 +43,8 @@ from pyspark.sql import types as T
 from .shared import LOWER, bounded_batches, chunks, cut, give_back, mixed, powers, prefix_sums, span_hashes, text_bytes, word_spans
 
 LENGTH = 400
-#: Bytes of contexts in a shard on average, contexts of one anchor hash beyond which they are dealt by window, and symbols of a text that are worked on at once.
-SHARD_BYTES, HOT_CONTEXTS, PIECE = 1 << 20, 2048, 1 << 22
+#: Bytes of contexts in a shard on average, contexts of one anchor hash beyond which they are cut, ranges that they are cut into, and symbols of a text that are worked on at once.
+SHARD_BYTES, HOT_CONTEXTS, PARTS, PIECE = 1 << 20, 2048, 12, 1 << 22
 #: A position in a piece; the rest of 64 bits is of the gram's hash.
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -222,8 +225,11 @@ def _index(length: int, unit: Unit):
     return shard
 
 
-def _windows(length: int, buckets: int, unit: Unit):
-    """Packed hashes of the windows of hot contexts, a row for each batch and bucket."""
+def _cut_contexts(length: int, width: int, unit: Unit):
+    """The starts of contexts, in ranges of ``width`` distances to the anchor: what all windows of a range have in common is the new anchor hash.
+
+    A range's windows have ``length - width + 1`` symbols in common, whatever the context has of the range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,38 +237,22 @@ def _windows(length: int, buckets: int, unit: Unit):
                 data, offsets = text_bytes(part.column(3))
                 codes = data.view(unit.code)
                 offsets = offsets // codes.itemsize
-                sums = prefix_sums(codes)
-                number = np.diff(offsets) - length + 1
-                of = np.repeat(np.arange(part.num_rows), number)
-                start = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
-                at = offsets[of] + start
-                window = span_hashes(sums, at, at + length)
-                key = [part.column(k).to_numpy().view(np.uint64)[of] for k in (0, 1)]
-                ask = (part.column(2).to_numpy()[of] == 0).astype(np.uint64)
-                where = (window >> np.uint64(33)) % np.uint64(buckets)
-                order = np.argsort(where, kind="stable")
-                rows = np.stack([key[0], window, key[1], start.astype(np.uint64) << np.uint64(1) | ask], axis=1)[order]
-                own, begin = np.unique(where[order], return_index=True)
-                bounds = [*begin.tolist(), len(order)]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["bucket", "rows"])
+                x = _anchors(codes, offsets, length, unit.gram)  # one for each context
+                sums, at, first, last = prefix_sums(codes), x["at"], x["start"], x["start"] + x["starts"] - 1
+                near, far = (at - last) // width, (at - first) // width
+                of = np.repeat(np.arange(len(at)), far - near + 1)
+                group = np.arange(len(of)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1) + near[of]
+                begin, end = np.maximum(first[of], at[of] - (group + 1) * width + 1), np.minimum(last[of], at[of] - group * width)
+                common = span_hashes(sums, at[of] - group * width, at[of] - (group + 1) * width + 1 + length)
+                piece = mixed(common ^ mixed(group.astype(np.uint64) ^ x["hash"][of]))
+                content = span_hashes(sums, begin, end + length) ^ mixed((at[of] - begin).astype(np.uint64))
+                own = [part.column(k).take(pa.array(x["text"][of])) for k in range(3)]
+                made = [pa.array(v) for v in (piece.view(np.int64), content.view(np.int64), (begin - first[of]).astype(np.int32), (end - begin + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*own, *made], ["hash", "context", "copy", "piece", "content", "at", "starts"])
 
     return run
 
 
-def _same_windows(table: pa.Table) -> pa.Table:
-    rows = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4) for x in table.column("rows")])
-    _, at, n = np.unique(rows[:, :2], axis=0, return_inverse=True, return_counts=True)
-    rows = rows[(n[at.ravel()] > 1) & (rows[:, 3] & np.uint64(1) == 1)]
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 0]))]
-    new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])]) if len(rows) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    ranges = []
-    for a, b in zip(begin, np.append(begin[1:], len(rows))):
-        start = (rows[a:b, 3] >> np.uint64(1)).astype(np.int64)
-        ranges.append([x for s in start.tolist() for x in (s, s + 1)])
-    return pa.table({"hash": pa.array(rows[begin, 0].view(np.int64)), "context": pa.array(rows[begin, 2].view(np.int64)), "ranges": pa.array(ranges, pa.list_(pa.int32()))})
-
-
 def _all_anchors(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
     """``k1, k2, hash, context, n`` for the distinct contexts of each row (n: 1, or 2 if it is there more often)."""
 
@@ -362,6 +352,33 @@ def _apply(joined: DataFrame, kept: list[str], length: int, unit: Unit) -> DataF
     return joined.mapInArrow(run, schema)
 
 
+def _decided(contexts: DataFrame, length: int, unit: Unit, widths: tuple[int, ...]) -> DataFrame:
+    """``hash, context, ranges``: the starts that repeat, of each context with a copy 0; hot ones are cut into ``widths`` of starts in turn.
+
+    A piece of one start is all in its anchor hash, so that none of these is hot.
+    """
+    total = contexts.agg(F.sum(F.length("symbols"))).first()[0] or 0
+    shards = max(16, -(-total // SHARD_BYTES))
+    indexed = contexts.where("not hot").groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length, unit), "hash long, context long, ranges array<int>")
+    hot = contexts.where("hot").select("hash", "context", "copy", "symbols")
+    if not widths or hot.isEmpty():
+        return indexed
+    made = hot.mapInArrow(_cut_contexts(length, widths[0], unit), "hash long, context long, copy int, piece long, content long, at int, starts int")
+    pieces = cut(made, "pieces")
+    place = F.struct("hash", "context", "copy", "at", "starts")
+    counted = pieces.groupBy("piece", "content").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    often = counted.groupBy("piece").agg(F.sum("n").alias("all"), F.count("*").alias("contents")).where("all > 1")
+    copies = F.array_compact(F.array(F.struct(F.col("a").alias("of"), F.lit(0).alias("copy")), F.when(F.col("n") > 1, F.struct(F.col("b").alias("of"), F.lit(1).alias("copy")))))
+    again = (F.col("contents") > HOT_CONTEXTS) & F.lit(len(widths) > 1)
+    source = counted.join(often, "piece").select("piece", "content", again.alias("again"), F.explode(copies).alias("x")).select("piece", "content", "again", F.col("x.copy").alias("_copy"), "x.of.*")
+    size = np.dtype(unit.code).itemsize
+    symbols = F.substring("symbols", F.col("at") * size + 1, (F.col("starts") + length - 1) * size)
+    inner = cut(source.join(hot, ["hash", "context", "copy"]).select(F.col("piece").alias("hash"), F.col("content").alias("context"), F.col("_copy").alias("copy"), F.col("again").alias("hot"), symbols.alias("symbols")), "contexts")
+    told = _decided(inner, length, unit, widths[1:]).where(F.size("ranges") > 0).withColumnsRenamed({"hash": "piece", "context": "content"})
+    back = pieces.where("copy = 0").join(told, ["piece", "content"]).select("hash", "context", F.transform("ranges", lambda r: r + F.col("at")).alias("ranges"))
+    return indexed.union(back)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", unit: Unit = BYTE) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, the removed ``spans`` of bytes, and the ``kept`` bytes of each text, as they are and as whole characters."""
     bounded_batches(docs.sparkSession)
@@ -385,12 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     texts = keyed.select("k1", "k2", F.col(of_row).alias("own_id"), "text")
     fetched = texts.join(one, ["k1", "k2"]).where(F.col("own_id").eqNullSafe(F.col("id"))).select("text", "wanted")
     contexts = cut(_contexts(fetched, length, unit).dropDuplicates(["hash", "context", "copy"]), "contexts")
-    total = contexts.agg(F.sum(F.length("symbols"))).first()[0] or 0
-    shards = max(16, -(-total // SHARD_BYTES))
-    kind = "hash long, context long, ranges array<int>"
-    indexed = contexts.where("not hot").groupBy(F.pmod(F.xxhash64("hash"), F.lit(shards))).applyInArrow(_index(length, unit), kind)
-    windows = contexts.where("hot").select("hash", "context", "copy", "symbols").mapInArrow(_windows(length, shards, unit), "bucket int, rows binary").groupBy("bucket").applyInArrow(_same_windows, kind)
-    answers = indexed.union(windows).where(F.size("ranges") > 0)
+    answers = _decided(contexts, length, unit, (max(1, length // PARTS), 1)).where(F.size("ranges") > 0)
     partly = here.select("k1", "k2", "hash", "context").join(answers, ["hash", "context"])
     # written, so that the copies of one text can be split between tasks when they meet its decisions
     said = cut(partly.groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "context", "ranges")).alias("said")), "decisions")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import repeats
@@ -79,6 +80,34 @@ def test_planted_repeats(spark, monkeypatch, hot):
     check(spark, texts, 64)
 
 
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_an_anchor_of_many_contexts(spark, monkeypatch, hot):
+    """Ten thousand texts with one passage, most of them unlike around it: their anchor's contexts are cut, once or twice, and answered by the index."""
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    rng = random.Random(11)
+    passage, edges = prose(rng, 60), [prose(rng, 40) for _ in range(40)]
+    texts = [prose(rng, 30) + passage + prose(rng, 30) for _ in range(10_000 if hot > 3 else 300)]
+    texts += [rng.choice(edges)[rng.randrange(8) :] + passage + rng.choice(edges)[: 30 + rng.randrange(10)] for _ in range(400)]
+    at = repeats.anchors(*repeats.BYTE.symbols(pa.array(texts)), 64, 32)
+    assert max(Counter(at["hash"].tolist()).values()) > hot
+    check(spark, texts, 64)
+
+
+def test_words_of_a_hot_anchor(spark, monkeypatch):
+    """Cutting hot anchors of words changes no answer."""
+    rng = random.Random(12)
+    words = [prose(rng, 5).replace(" ", "x").replace("\n", "y") for _ in range(300)]
+    said = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = said(18)
+    texts = [" ".join([*said(rng.randrange(12)), *passage[rng.randrange(3) :], *said(12)]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for hot in (4096, 2):
+        monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+        found.append(sorted((r.doc_id, r.n_removed, r.kept_text) for r in repeats.remove_repeats(df, 16, unit=repeats.WORD).collect()))
+    assert found[0] == found[1] and sum(n > 0 for _, n, _ in found[0]) > 100
+
+
 def test_repeated_rows_and_null_ids(spark):
     rng = random.Random(1)
     a, b = prose(rng, 900), prose(rng, 900)
