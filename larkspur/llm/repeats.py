@@ -44,7 +44,7 @@ from .shared import LOWER, bounded_batches, chunks, cut, give_back, mixed, power
 
 LENGTH = 400
 #: Bytes of contexts in a shard on average, contexts of one anchor hash beyond which they are cut, ranges that they are cut into, and symbols of a text that are worked on at once.
-SHARD_BYTES, HOT_CONTEXTS, PARTS, PIECE = 1 << 20, 2048, 12, 1 << 22
+SHARD_BYTES, HOT_CONTEXTS, PARTS, PIECE = 1 << 18, 2048, 12, 1 << 22
 #: A position in a piece; the rest of 64 bits is of the gram's hash.
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -142,13 +142,14 @@ def suffix_order(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[
     while True:
         if packed:
             ordered = np.sort(key << np.uint64(21) | place)
-            order, ordered = (ordered & np.uint64((1 << 21) - 1)).astype(np.int64), ordered >> np.uint64(21)
+            order, ordered = (ordered & np.uint64((1 << 21) - 1)).view(np.int64), ordered >> np.uint64(21)
         else:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
-        change = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        change = np.ones(n, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=change[1:])
         rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(change)
+        rank[order] = np.cumsum(change, dtype=np.int32)
         levels.append((size, rank))
         if size >= longest or change.all():
             return order, levels
@@ -211,16 +212,24 @@ def _index(length: int, unit: Unit):
         texts = [x.as_py() for x in table.column("symbols")]
         codes = np.frombuffer(b"".join(texts), unit.code)
         sizes = np.array([len(x) for x in texts]) // codes.itemsize
-        if unit.code is not np.uint8:
+        if unit.code is np.uint8:  # few symbols take few bits, so that more of them go into a key
+            codes = (np.cumsum(np.bincount(codes, minlength=256) > 0) - 1).astype(np.uint8)[codes]
+        else:
             codes = np.unique(codes, return_inverse=True)[1]
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(codes))
         first = np.zeros(len(codes), bool)
         first[ends - sizes] = True
         repeats = matching_statistics(codes, left, first) >= length
-        found = [_ranges(repeats[e - s : e]) if copy == 0 else [] for s, e, copy in zip(sizes.tolist(), ends.tolist(), table.column("copy").to_pylist())]
+        repeats &= np.repeat(table.column("copy").to_numpy() == 0, sizes)
+        begins = np.flatnonzero(repeats & (first | ~np.roll(repeats, 1)))
+        stops = np.flatnonzero(repeats & (np.roll(first, -1) | ~np.roll(repeats, -1))) + 1
+        of = np.searchsorted(ends, begins, "right")
+        edges = (np.stack([begins, stops], axis=1) - (ends - sizes)[of][:, None]).ravel().astype(np.int32)
+        offsets = 2 * np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(edges))
         give_back()
-        return pa.table({"hash": table.column("hash"), "context": table.column("context"), "ranges": pa.array(found, pa.list_(pa.int32()))})
+        return pa.table({"hash": table.column("hash"), "context": table.column("context"), "ranges": found})
 
     return shard
 
