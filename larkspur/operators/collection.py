@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,37 @@ def untold(matches: DataFrame, told: DataFrame) -> DataFrame:
     return matches.join(told.select("search", "item").distinct(), ["search", "item"], "left_anti")
 
 
+def want_hits(rows: DataFrame, specs: Mapping[str, FilterSpec], since: Mapping[str, datetime], told: DataFrame, searched: tuple[str, ...] = ("title",)) -> DataFrame:
+    """``rows`` that a search has to announce, with ``search``: available ones that match, are new, cheaper or back since the search's moment, and were not told.
+
+    A search without a moment announces nothing. What a search says of availability doesn't count. One scan over the rows for all searches.
+    """
+    live = {k: replace(s, availability="available") for k, s in specs.items() if since.get(k) is not None}
+
+    def news(moment: datetime) -> Column:
+        from_then = lambda c: F.coalesce(F.col(c) >= instant(moment), F.lit(False))
+        cheaper = F.coalesce(F.col("price") < F.col("previous_price"), F.lit(False))
+        return from_then("first_seen") | (from_then("price_changed_at") & cheaper) | from_then("restocked_at")
+
+    hits = [F.when(s.predicate(searched=searched) & news(since[k]), F.lit(k)) for k, s in live.items()]
+    found = rows.select("*", F.explode(F.array_compact(F.array(*hits).cast("array<string>"))).alias("search"))
+    return found.join(told.select("search", "item").distinct(), ["search", "item"], "left_anti")
+
+
+def want_news(hits: DataFrame, specs: Mapping[str, FilterSpec], most: int = 10) -> DataFrame:
+    """``search, item, place, fresh``: the first ``most`` hits of each search in the search's own order, and how many it has in all.
+
+    Searches of one order are ranked together; Spark keeps the first of each search before it shuffles.
+    """
+    total = hits.groupBy("search").agg(F.count("*").alias("fresh"))
+    shown = hits.select("search", "item").withColumn("place", F.lit(0)).limit(0)
+    for sort in sorted({s.sort for s in specs.values()}):
+        own = [k for k, s in specs.items() if s.sort == sort]
+        place = F.row_number().over(Window.partitionBy("search").orderBy(*FilterSpec(sort=sort).order()))
+        shown = shown.union(hits.where(F.col("search").isin(own)).select("search", "item", place.alias("place")).where(F.col("place") <= most))
+    return shown.join(total, "search").select("search", "item", "place", "fresh")
+
+
 def wish_totals(wishes: DataFrame, listings: DataFrame, shipping: DataFrame, fee: float, waived_from: float) -> DataFrame:
     """By reader: what the wished items cost at the door. A source's fee is due once an order, and not from a sum on; a wish counts once."""
     rows = wishes.select("reader", "item").distinct().join(listings.select("item", "source", "price", "active", "sold"), "item").join(shipping, "source", "left")

@@ -655,6 +655,28 @@ def saved_search_news(spark, folder):
     return collection.untold(matches, rows.where("quantity > 25").select(F.lit("promo").alias("search"), "item"))
 
 
+#: Searches with their orders, and the moment since which each announces.
+WANTED = {"cheap": ("max_price=1200&sort=price_asc&status=sold", datetime(1997, 6, 1)), "promo": ("kind=PROMO&sort=price_drop", datetime(1998, 1, 1)), "large": ("min_size=40&sort=price_asc", datetime(1998, 6, 1))}
+
+
+@query(f"""WITH {LISTINGS_SQL}, w AS (SELECT *, CASE size % 3 WHEN 0 THEN price + size WHEN 1 THEN price - 10 END AS previous_price, CASE WHEN quantity % 2 = 0 THEN first_seen + INTERVAL 365 DAYS END AS changed,
+    CASE WHEN size % 7 = 0 THEN first_seen + INTERVAL 700 DAYS END AS back FROM listings WHERE active AND NOT sold),
+  h AS (SELECT search, w.* FROM w JOIN (VALUES ('cheap', TIMESTAMP '1997-06-01'), ('promo', TIMESTAMP '1998-01-01'), ('large', TIMESTAMP '1998-06-01')) s(search, since)
+    ON CASE search WHEN 'cheap' THEN price <= 1200 WHEN 'promo' THEN kind = 'PROMO' ELSE size >= 40 END AND (first_seen >= since OR (changed >= since AND price < previous_price) OR back >= since) AND NOT (search = 'promo' AND quantity > 40)),
+  o AS (SELECT search, item, count(*) OVER (PARTITION BY search) AS fresh, row_number() OVER (PARTITION BY search ORDER BY CASE WHEN search = 'promo' THEN price - previous_price ELSE price END NULLS LAST, item)::INT AS place FROM h)
+  SELECT search, item, place, fresh FROM o WHERE place <= 10""")
+def want_list_news(spark, folder):
+    size, price = F.col("size"), F.col("price")
+    rows = listings(spark, folder).withColumns({
+        "previous_price": F.when(size % 3 == 0, price + size).when(size % 3 == 1, price - 10),
+        "price_changed_at": F.when(F.col("quantity") % 2 == 0, F.col("first_seen") + F.make_dt_interval(days=F.lit(365))),
+        "restocked_at": F.when(size % 7 == 0, F.col("first_seen") + F.make_dt_interval(days=F.lit(700))),
+    })
+    specs = {k: FilterSpec.from_query_string(q) for k, (q, _) in WANTED.items()}
+    told = rows.where("quantity > 40").select(F.lit("promo").alias("search"), "item")
+    return collection.want_news(collection.want_hits(rows, specs, {k: since for k, (_, since) in WANTED.items()}, told), specs)
+
+
 @query(f"""WITH {LISTINGS_SQL}, o AS (SELECT size % 10 AS reader, source, sum(CAST(price AS DECIMAL(18, 2))) AS goods, sum(CASE WHEN source % 4 > 0 THEN source + 1.0 ELSE 0.0 END) AS sent, count(*) AS n, bool_or(source % 4 = 0) AS open
     FROM listings WHERE active AND NOT sold AND price > 0 GROUP BY ALL)
   SELECT reader, sum(n)::BIGINT AS items, sum(goods)::DOUBLE AS goods, round_even(sum(goods)::DOUBLE + sum(sent + CASE WHEN goods >= 50000 THEN 0 ELSE 20 END), 2)::DOUBLE AS delivered, NOT bool_or(open) AS complete FROM o GROUP BY 1""")

@@ -24,6 +24,22 @@ def test_paired_totals_and_series(spark):
     assert [r.k for r in due.orderBy("k").collect()] == ["b", "c"]
 
 
+def test_want_list_news(spark):
+    old, new = T0 - timedelta(days=9), T0 + timedelta(days=1)
+    made = [
+        ("new", 5.0, None, new, None, None, True), ("old", 4.0, None, old, None, None, True), ("cheaper", 3.0, 4.0, old, new, None, True), ("dearer", 5.0, 4.0, old, new, None, True),
+        ("cut long ago", 3.0, 4.0, old, old, None, True), ("back", 6.0, None, old, None, new, True), ("gone", 5.0, None, new, None, None, False), ("told", 5.0, None, new, None, None, True), ("no price", None, 4.0, old, new, None, True),
+    ]
+    df = spark.createDataFrame([(i, "ring", p, q, f, c, b, a, False) for i, p, q, f, c, b, a in made], "item string, title string, price double, previous_price double, first_seen timestamp_ntz, price_changed_at timestamp_ntz, restocked_at timestamp_ntz, active boolean, sold boolean")
+    specs = {"up": FilterSpec.from_query_string("q=ring&sort=price_asc&status=sold"), "down": FilterSpec.from_query_string("sort=price_desc"), "silent": FilterSpec()}
+    told = spark.createDataFrame([("up", "told"), ("up", "told"), ("down", "new")], "search string, item string")
+    hits = collection.want_hits(df, specs, {"up": T0, "down": T0, "silent": None}, told)
+    assert sorted((r.search, r.item) for r in hits.collect()) == [("down", "back"), ("down", "cheaper"), ("down", "told"), ("up", "back"), ("up", "cheaper"), ("up", "new")]
+    got = sorted(tuple(r) for r in collection.want_news(hits, specs, 2).select("search", "place", "item", "fresh").collect())
+    assert got == [("down", 1, "back", 3), ("down", 2, "told", 3), ("up", 1, "cheaper", 3), ("up", 2, "new", 3)]
+    assert collection.want_news(hits.limit(0), specs).count() == 0 and collection.want_hits(df, {}, {}, told).count() == 0
+
+
 def test_saved_searches(spark):
     df = spark.createDataFrame([("i1", "red ring", 5.0), ("i2", "blue ring", None)], "item string, title string, price double")
     specs = {"rings": FilterSpec(text="ring"), "cheap": FilterSpec.from_query_string("max_price=6"), "none": FilterSpec(text="anvil")}
