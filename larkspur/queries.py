@@ -19,6 +19,7 @@ from .plans import facets, orders
 from .plans.filters import FilterSpec, page, search_with_dimension
 from .sources import feeds
 from .sources.tables import CHANGES_SQL, DOCS_SQL, LISTINGS_SQL, labelled_documents, listings, price_changes, table
+from .written import cut
 from .streaming import flows
 
 #: The moment that the questions are asked at: results must not depend on the clock.
@@ -674,7 +675,8 @@ def want_list_news(spark, folder):
     })
     specs = {k: FilterSpec.from_query_string(q) for k, (q, _) in WANTED.items()}
     told = rows.where("quantity > 40").select(F.lit("promo").alias("search"), "item")
-    return collection.want_news(collection.want_hits(rows, specs, {k: since for k, (_, since) in WANTED.items()}, told), specs)
+    hits = collection.want_hits(rows, specs, {k: since for k, (_, since) in WANTED.items()}, told)
+    return collection.want_news(cut(hits.select("search", "item", "price", "previous_price"), "hits"), specs)  # read by each order and the count
 
 
 @query(f"""WITH {LISTINGS_SQL}, o AS (SELECT size % 10 AS reader, source, sum(CAST(price AS DECIMAL(18, 2))) AS goods, sum(CASE WHEN source % 4 > 0 THEN source + 1.0 ELSE 0.0 END) AS sent, count(*) AS n, bool_or(source % 4 = 0) AS open
