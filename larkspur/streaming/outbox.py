@@ -25,11 +25,11 @@ MESSAGES = "message string, reader long, subject string, body string, items long
 def rendered(news: DataFrame, batch: int, most: int = 20) -> DataFrame:
     """``message, reader, subject, body, items, batch``: one message for each reader; the first ``most`` items are lines, the rest a number.
 
-    ``news``: reader, item, told, title, price. Lines are in the order of items; a message is small, however much there is to tell.
+    ``news``: reader, item, told, title, price. Lines are in the order of items, prices plain (``1234.50``); a message is small, however much there is to tell.
     """
     place = Window.partitionBy("reader").orderBy("item", "told")
     lines = news.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= most)
-    line = F.concat(F.col("told"), F.lit(": "), F.coalesce("title", F.lit("(no title)")), F.when(F.col("price").isNotNull(), F.concat(F.lit(" for $"), F.format_number("price", 2))).otherwise(""))
+    line = F.concat(F.col("told"), F.lit(": "), F.coalesce("title", F.lit("(no title)")), F.when(F.col("price").isNotNull(), F.concat(F.lit(" for $"), F.expr("format_number(price, '0.00')"))).otherwise(""))
     shown = lines.groupBy("reader").agg(F.array_sort(F.collect_list(F.struct("_k", line.alias("line")))).alias("_lines"))
     counts = news.groupBy("reader").agg(F.count("*").alias("items"))
     body = F.concat(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), F.when(F.col("items") > most, F.concat(F.lit("\nand "), (F.col("items") - most).cast("string"), F.lit(" more"))).otherwise(""))

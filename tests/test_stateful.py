@@ -94,3 +94,8 @@ def test_outbox_of_a_stream(spark, tmp_path):
     O.stream_outbox(stream(), str(tmp_path / "out"), str(tmp_path / "c"))
     O.stream_outbox(stream(), str(tmp_path / "out"), str(tmp_path / "c"))
     assert O.messages(spark, str(tmp_path / "out")).agg(F.sum("items")).first()[0] == 9
+
+
+def test_prices_in_messages_are_plain(spark):
+    rows = news(spark, [(1, 10, "NEW", "A", 1234.5), (1, 11, "NEW", "B", 0.5), (1, 12, "NEW", "C", 1234567.0)])
+    assert O.rendered(rows, 0).first().body == "NEW: A for $1234.50\nNEW: B for $0.50\nNEW: C for $1234567.00"
