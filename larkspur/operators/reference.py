@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -48,16 +49,19 @@ def reverted(table: DataFrame, log: DataFrame, key: str, seq: int) -> DataFrame:
     return both.select(key, *[F.when(F.col("_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in rest])
 
 
-def rekeyed(known: DataFrame, read: DataFrame, key: str) -> DataFrame:
+def rekeyed(known: DataFrame, read: DataFrame, key: str, within: Sequence[str] = ()) -> DataFrame:
     """``known`` with the keys that a run's rows replace (read: key, replaces) taken over; a key that is read itself stays.
 
+    Keys are unique ``within`` the named columns of both tables (a shop's keys are its own), and so is what they replace; a null there is a value.
     Of several new keys that claim an old one, the smallest has it; of several old ones that a new key claims, the first seen.
     """
-    claims = read.select(F.col(key).alias("_new"), F.explode("replaces").alias(key)).join(read.select(key).distinct(), key, "left_anti")
-    claims = claims.join(known.select(F.col(key).alias("_new")).distinct(), "_new", "left_anti").groupBy(key).agg(F.min("_new").alias("_new"))
-    first = Window.partitionBy("_new").orderBy("first_seen", key)
-    held = known.select(key, "first_seen").join(claims, key).withColumn("_k", F.row_number().over(first)).where("_k = 1").select(key, "_new")
-    return known.join(held, key, "left").withColumn(key, F.coalesce("_new", key)).drop("_new")
+    scope = F.struct(*within) if within else F.lit(0)  # a struct with nulls in it is no null
+    known, read = known.withColumn("_w", scope), read.withColumn("_w", scope)
+    claims = read.select("_w", F.col(key).alias("_new"), F.explode("replaces").alias(key)).join(read.select("_w", key).distinct(), ["_w", key], "left_anti")
+    claims = claims.join(known.select("_w", F.col(key).alias("_new")).distinct(), ["_w", "_new"], "left_anti").groupBy("_w", key).agg(F.min("_new").alias("_new"))
+    first = Window.partitionBy("_w", "_new").orderBy("first_seen", key)
+    held = known.select("_w", key, "first_seen").join(claims, ["_w", key]).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("_w", key, "_new")
+    return known.join(held, ["_w", key], "left").withColumn(key, F.coalesce("_new", key)).drop("_new", "_w")
 
 
 def inherit_first_seen(rows: DataFrame, key: str, parent: str) -> DataFrame:

@@ -731,11 +731,13 @@ def undo_restores(spark, folder):
 
 @query("""SELECT CASE WHEN s_suppkey % 10 = 3 THEN 's' || (s_suppkey + 1000) ELSE 's' || s_suppkey END AS k, s_acctbal FROM supplier""")
 def rekey_adoption(spark, folder):
+    """Suppliers as rows of shops of a thousand each: a shop's keys are its own, so that its new key may be another shop's old one."""
+    shop = F.floor(F.col("s_suppkey") / 1000).alias("shop")
     rows = table(spark, folder, "supplier")
-    known = rows.select(F.concat(F.lit("s"), "s_suppkey").alias("k"), "s_acctbal", F.col("s_suppkey").alias("first_seen"))
-    gone = rows.where("s_suppkey % 10 = 3").select(F.concat(F.lit("s"), (F.col("s_suppkey") + 1000).cast("string")).alias("k"), F.array(F.concat(F.lit("s"), "s_suppkey")).alias("replaces"))
-    here = rows.where("s_suppkey % 10 <> 3").select(F.concat(F.lit("s"), "s_suppkey").alias("k"), F.array(F.lit("s1"), F.lit("s4")).alias("replaces"))
-    return reference.rekeyed(known, gone.union(here), "k").select("k", "s_acctbal")
+    known = rows.select(shop, F.concat(F.lit("s"), "s_suppkey").alias("k"), "s_acctbal", F.col("s_suppkey").alias("first_seen"))
+    gone = rows.where("s_suppkey % 10 = 3").select(shop, F.concat(F.lit("s"), (F.col("s_suppkey") + 1000).cast("string")).alias("k"), F.array(F.concat(F.lit("s"), "s_suppkey")).alias("replaces"))
+    here = rows.where("s_suppkey % 10 <> 3").select(shop, F.concat(F.lit("s"), "s_suppkey").alias("k"), F.array(F.lit("s1"), F.lit("s4")).alias("replaces"))
+    return reference.rekeyed(known, gone.union(here), "k", ["shop"]).select("k", "s_acctbal")
 
 
 @query("SELECT o.o_orderkey, least(o.o_orderdate, p.o_orderdate) AS first_seen FROM orders o LEFT JOIN orders p ON o.o_orderkey // 10 * 10 = p.o_orderkey AND o.o_orderkey % 10 <> 0")

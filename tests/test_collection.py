@@ -70,6 +70,12 @@ def test_rekey(spark):
     assert sorted(r.k for r in reference.rekeyed(known, read, "k").collect()) == ["also", "here", "new", "stays"]
 
 
+def test_rekey_within_a_shop(spark):
+    known = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (None, "a", 3)], "shop int, k string, first_seen int")
+    read = spark.createDataFrame([(0, "b", ["a"]), (1, "c", ["b"]), (None, "d", ["a"])], "shop int, k string, replaces array<string>")
+    assert rows(reference.rekeyed(known, read, "k", ["shop"]).select("first_seen", "k")) == [(1, "b"), (2, "c"), (3, "d")]
+
+
 def test_near_bits(spark):
     df = spark.createDataFrame([(0,), (0,), (0xFFFF,), (-1,), (0x1FFFF,), (None,)], "b long")
     assert rows(matching.near_bits(df, "b", 16)) == [(0, 0xFFFF, 16, 2, 1), (0xFFFF, 0x1FFFF, 1, 1, 1)]
