@@ -92,8 +92,14 @@ def wish_totals(wishes: DataFrame, listings: DataFrame, shipping: DataFrame, fee
 
 
 def fits(owned: DataFrame, accessories: DataFrame, most: int = 12) -> DataFrame:
-    """For each owned item the accessories with a line that names its model, in stock first, then by price."""
+    """For each owned item the accessories with a line that names its model, in stock first, then by price.
+
+    Items of the same models have the same accessories: these are ranked once for each set of models, and only the first ``most`` meet the items.
+    """
     lines = accessories.select("accessory", "price", "in_stock", F.explode("lines").alias("model"))
-    found = owned.join(lines, "model").groupBy("owned", "accessory").agg(F.min("price").alias("price"), F.max("in_stock").alias("in_stock"))
-    order = Window.partitionBy("owned").orderBy(F.desc("in_stock"), F.col("price").asc_nulls_last(), "accessory")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    items = owned.groupBy("owned").agg(F.sort_array(F.collect_set("model")).alias("_models"))
+    found = items.select("_models").distinct().select("_models", F.explode("_models").alias("model")).join(lines, "model")
+    found = found.groupBy("_models", "accessory").agg(F.min("price").alias("price"), F.max("in_stock").alias("in_stock"))
+    order = Window.partitionBy("_models").orderBy(F.desc("in_stock"), F.col("price").asc_nulls_last(), "accessory")
+    first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return items.join(first, "_models").select("owned", "accessory", "price", "in_stock", "place")

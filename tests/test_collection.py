@@ -55,6 +55,23 @@ def test_wish_totals(spark):
     assert rows(collection.wish_totals(wishes, listings, shipping, 20.0, 120.0)) == [("r", 3, 160.0, 190.0, False), ("s", 1, 10.0, 30.0, False)]
 
 
+def test_fits_of_several_models(spark):
+    owned = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "a"), (4, "b"), (5, None)], "owned int, model string")
+    accessories = spark.createDataFrame([(10, 100.0, True, ["a"]), (10, 1.0, False, ["b"]), (11, 50.0, True, ["a"]), (12, 60.0, True, ["a", "b"]), (13, None, True, ["b"])], "accessory int, price double, in_stock boolean, lines array<string>")
+    both = [(1, 10, 1.0, True, 1), (1, 11, 50.0, True, 2)]
+    want = [*both, (2, 11, 50.0, True, 1), (2, 12, 60.0, True, 2), (3, 12, 60.0, True, 1), (3, 13, None, True, 2), *[(4, *x[1:]) for x in both]]
+    assert rows(collection.fits(owned, accessories, 2)) == sorted(want, key=str)
+
+
+def test_fits_ranks_each_set_of_models_once(spark):
+    owned = spark.range(3000).selectExpr("id AS owned", "id % 2 AS model")
+    accessories = spark.range(3000).selectExpr("id AS accessory", "cast(id AS double) AS price", "true AS in_stock", "array(id % 2) AS lines")
+    out = collection.fits(owned, accessories, 4)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join") < plan.index("Window")  # ranked below the join with the items: a plan lists what is below later
+    assert out.count() == 12000
+
+
 def test_rename_and_undo(spark):
     table = spark.createDataFrame([(1, "Old", ["o", "New"]), (2, "Same", [])], "id int, name string, aliases array<string>")
     names = spark.createDataFrame([(1, "New"), (2, "Same")], "id int, new string")
