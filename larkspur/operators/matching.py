@@ -66,7 +66,7 @@ def in_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], value: str,
 
 
 def bracket(points: DataFrame, evidence: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """For each point the nearest evidence below and above (strictly), in one pass over the sorted union.
+    """For each point the nearest evidence below and above (strictly), in one pass over the sorted union from each end.
 
     ``below_at, below, above_at, above``: null where there is none.
     """
@@ -74,9 +74,9 @@ def bracket(points: DataFrame, evidence: DataFrame, key: str, at: str, value: st
     both = points.select(key, at, "point", F.lit(None).alias("_e").cast(evidence.select(known.alias("x")).schema["x"].dataType)).unionByName(
         evidence.select(key, at, F.lit(None).cast(points.schema["point"].dataType).alias("point"), known.alias("_e"))
     )
-    order = Window.partitionBy(key).orderBy(at)
-    low = F.max("_e").over(order.rangeBetween(Window.unboundedPreceding, -1))
-    high = F.min("_e").over(order.rangeBetween(1, Window.unboundedFollowing))
+    upto = lambda order: Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    low = F.max("_e").over(upto(F.col(at).asc()))
+    high = F.min("_e").over(upto(F.col(at).desc()))  # from the other end: a frame that only grows is summed up once, one that shrinks anew for each row
     out = both.withColumn("_low", low).withColumn("_high", high).where("point is not null")
     return out.select(key, at, "point", F.col("_low.at").alias("below_at"), F.col("_low.value").alias("below"), F.col("_high.at").alias("above_at"), F.col("_high.value").alias("above"))
 

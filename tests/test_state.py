@@ -94,3 +94,13 @@ def test_reference_tables(spark):
     table = spark.createDataFrame([(1, ["a"]), (2, ["b", "a"]), (3, ["c"])], "id int, aliases array<string>")
     merges = spark.createDataFrame([(2, 1)], "loser int, winner int")
     assert {(r.id, r.into, tuple(r.aliases)) for r in matching.merge_rows(table, merges, "id", "aliases").collect()} == {(1, 1, ("a", "b")), (2, 1, ()), (3, 3, ("c",))}
+
+
+def test_brackets_sum_up_frames_that_grow(spark):
+    points = spark.range(0, 1000, 3).selectExpr("'k' AS k", "id AS n", "id AS point")
+    marks = spark.range(0, 1000, 2).selectExpr("'k' AS k", "id AS n", "id * 10 AS y")
+    out = matching.bracket(points, marks, "k", "n", "y")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    below, above = (lambda n: n - 1 if n % 2 else n - 2), (lambda n: n + 1 if n % 2 else n + 2)
+    clip = lambda n: n if 0 <= n <= 998 else None
+    assert sorted((r.point, r.below_at, r.above_at, r.above) for r in out.collect()) == [(n, clip(below(n)), clip(above(n)), None if clip(above(n)) is None else above(n) * 10) for n in range(0, 1000, 3)]
