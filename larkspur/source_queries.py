@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .queries import query
 from .reading_queries import cases
 from .sources import feeds, shops, sinks
-from .sources.tables import table
+from .sources.tables import dealt, table
 from .streaming.flows import shared_folder
 
 _PRICE_SQL = "CASE WHEN p_partkey % 11 <> 0 AND p_retailprice > 0 THEN p_retailprice END"
@@ -207,7 +207,7 @@ def product_views(spark, folder, software: str) -> DataFrame:
     notice = F.when((F.col("p_partkey") % 4 == 0) & (F.col("p_partkey") % 8 != 0), text(gone, "Sold out</div></p></span>")).otherwise("")
     close = {"magento": "</div></div>", "wix": "</pre>"}.get(software, "</div>")
     html = text("<html><head>", offer, "</head><body>", title, marked_name(), "</h1>", notice, "<div class='related'>Out of stock</div>", told, "<p>A <b>fine</b> ", F.col("p_type"), "</p><script>no()</script>", close, strip, image("a"), image("b"), image("a"), "</div>", _facts_in(software), F.when(F.col("p_partkey") % 3 == 0, _choices_in(software)).otherwise(""), "</body></html>")
-    return table(spark, folder, "part").select(text("https://shop.example/v/", key_text()).alias("url"), html.alias("html"))
+    return dealt(table(spark, folder, "part")).select(text("https://shop.example/v/", key_text()).alias("url"), html.alias("html"))
 
 
 def _view_sql(software: str) -> str:
@@ -230,9 +230,8 @@ def _view_sql(software: str) -> str:
 def _views(software: str) -> None:
     def run(spark, folder):
         found = shops.details(product_views(spark, folder, software), software).withColumn("external_key", F.regexp_extract("url", r"(\d+)$", 1))
-        told = found.select(F.col("external_key").alias("_k"), "description", F.col("facts")["maker"].alias("maker"), F.col("facts")["size"].alias("size"), F.size("images").alias("pictures"))
-        one = shops.items(found)
-        return one.join(told, F.coalesce("split_from", "external_key") == F.col("_k")).drop("_k")
+        told = found.withColumns({"maker": F.col("facts")["maker"], "size": F.col("facts")["size"], "pictures": F.size("images")})
+        return shops.items(told, also=["description", "maker", "size", "pictures"])
 
     run.__name__ = run.__qualname__ = f"views_{software}"
     query(_view_sql(software))(run)

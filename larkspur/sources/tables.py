@@ -10,6 +10,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes that much is made of, dealt over all cores: by its files alone, a small table is a few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def listings(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """A line item as an item for sale: its source, model, facets, unit price, and when it came and went.
 

@@ -116,3 +116,21 @@ def test_next_page_stays_on_the_host(spark):
     pages = [("https://s.example/a", "<a rel=next href='?page=2'>"), ("https://s.example/b", "<a rel=next href='https://o.example/'>"), ("https://s.example/c", "<a rel=next href='/c'>"), ("https://s.example/d", "<li class='pagination-item--next'><a href='/d/2'></a>"), ("https://s.example/e", None)]
     out = shops.next_pages(spark.createDataFrame(pages, "url string, html string"), "bigcommerce")
     assert sorted(map(tuple, out.collect())) == [("https://s.example/a", "https://s.example/a?page=2"), ("https://s.example/d", "https://s.example/d/2")]
+
+
+def test_pages_are_read_once_and_by_all_cores(spark):
+    from larkspur import queries
+
+    out = queries.queries()["views_wix"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_selectors_find_what_a_walk_finds():
+    from larkspur.sources.dom import matches, parse
+
+    page = parse("<div id=a class='x y'><p class=x><b data-k=1>1</b></p><div class=y><p id=q class='y x'>2</p><b>3</b></div></div><p class=x>4<b>5</b></p>")
+    for scope in [page, *page.walk()]:
+        for s in ("p, b", ".x", ".x.y", "#q", "div p", "div > b, p.x", "[data-k]", "*", "b, [data-k], .y p", "[class~=y]", "u"):
+            found = [x for x in scope.walk() if matches(x, s, scope)]
+            assert scope.select(s) == found and scope.first(s) is next(iter(found), None), s
