@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import tokens
+from ..written import cut
 
 
 def rule_hits(rows: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
@@ -194,20 +198,48 @@ def delivered(rows: DataFrame, shipping: DataFrame, source: str, price: str, fee
     return out.withColumn("delivered", F.when(F.col(price) > 0, F.bround(total, 2))).withColumn("complete", F.when(F.col(price) > 0, complete))
 
 
-def near_bits(rows: DataFrame, bits: str, distance: int, bands: int = 8) -> DataFrame:
-    """``a, b, distance``: distinct 64-bit hashes ``a < b`` at most ``distance`` bits apart, and how many rows have each.
+#: Hashes of a block that is compared with another one, and at least so many blocks.
+BLOCK_HASHES, LEAST_BLOCKS = 16_384, 16
+#: Distances that are held at once.
+STRIP = 2_000_000
+
+
+def near_bits(rows: DataFrame, bits: str, distance: int) -> DataFrame:
+    """``a, b, distance, rows_a, rows_b``: distinct 64-bit hashes ``a < b`` at most ``distance`` bits apart, and how many rows have each.
 
     Equal hashes are one class, whose rows are never paired with each other: join the classes back to the rows by hash for
-    membership. Of ``bands`` bands one differs in no more than ``distance / bands`` bits; a hash meets, band by band, the
-    values within that many bits of its own.
+    membership. At a distance like 16 of 64 no key of bits keeps a hash from meeting most others, so all distinct hashes are
+    compared, in packed blocks: every two blocks are a row of a shuffled join, and a task holds two blocks and a strip of
+    their distances. Time is the square of the number of distinct hashes (a few nanoseconds a pair), memory is not.
     """
-    width, near = 64 // bands, distance // bands
-    masks = [m for m in range(1 << width) if bin(m).count("1") <= near]
-    hashes = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.count("*").alias("n"))
-    cut = F.array(*[F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(bands)])
-    homes = hashes.select("h", F.posexplode(cut).alias("band", "value"))
-    visits = homes.select(F.col("h").alias("o"), "band", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    apart = F.bit_count(F.col("h").bitwiseXOR(F.col("o")))
-    pairs = homes.join(visits, ["band", "value"]).where((F.col("h") < F.col("o")) & (apart <= distance)).select(F.col("h").alias("a"), F.col("o").alias("b"), apart.alias("distance")).distinct()
-    size = lambda side: hashes.select(F.col("h").alias(side), F.col("n").alias(f"rows_{side}"))
-    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "distance", "rows_a", "rows_b")
+    spark = rows.sparkSession
+    hashes = cut(rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).cast("long").alias("h")).agg(F.count("*").alias("n")), "hashes")
+    number = max(LEAST_BLOCKS, -(-hashes.count() // BLOCK_HASHES))
+    tasks = min(number * (number + 1) // 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "h": [table.column("h").to_numpy().tobytes()], "n": [table.column("n").to_numpy().tobytes()]})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j = batch.column("i")[k].as_py(), batch.column("j")[k].as_py()
+                (x, m), (y, n) = [[np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in names] for names in (("h", "n"), ("_h", "_n"))]
+                strip = max(1, STRIP // max(len(y), 1))
+                for start in range(0, len(x), strip):
+                    apart = np.bitwise_count((x[start : start + strip, None] ^ y[None, :]).view(np.uint64))  # of a signed number the size is counted
+                    p, q = np.nonzero(apart <= distance)
+                    p, d = p + start, apart[p, q]
+                    if i == j:  # each two once
+                        own = p < q
+                        p, q, d = p[own], q[own], d[own]
+                    if len(p):
+                        turned = x[p] > y[q]
+                        made = [np.where(turned, y[q], x[p]), np.where(turned, x[p], y[q]), d.astype(np.int32), np.where(turned, n[q], m[p]), np.where(turned, m[p], n[q])]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["a", "b", "distance", "rows_a", "rows_b"])
+
+    packed = cut(hashes.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(number)).cast("int")).groupBy("block").applyInArrow(pack, "block int, h binary, n binary"), "blocks")
+    first = packed.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(number - 1))).alias("j"), "h", "n")
+    second = packed.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("h").alias("_h"), F.col("n").alias("_n"))
+    cells = first.repartition(tasks, "i", "j").join(second.repartition(tasks, "i", "j").hint("merge"), ["i", "j"])
+    return cells.mapInArrow(compare, "a long, b long, distance int, rows_a long, rows_b long")

@@ -787,11 +787,7 @@ def json_properties(spark, folder):
   b AS (SELECT CASE WHEN bits >= 9223372036854775808 THEN bits - 18446744073709551616 ELSE bits END::BIGINT AS h, bits, count(*) AS n FROM v GROUP BY ALL)
   SELECT a.h AS a, b.h AS b, bit_count(xor(a.bits, b.bits))::INT AS distance, a.n AS rows_a, b.n AS rows_b FROM b a JOIN b ON a.h < b.h AND bit_count(xor(a.bits, b.bits)) <= 16""")
 def near_duplicate_bits(spark, folder):
-    """Pictures' 64-bit hashes (here: signs of vectors) within a distance: by eight bands, as two bits a band leave one within two.
-
-    16 differing bits over 8 bands leave a band with at most 2: each hash goes to all band values within two bits of its own
-    on one side, and to its own on the other.
-    """
+    """Pictures' 64-bit hashes (here: signs of vectors) within a distance, by comparing packed blocks of them."""
     bit = lambda i: F.when(F.element_at("embedding", i + 1) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     hashes = table(spark, folder, "embeddings").where("embedding is not null").select(reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("bits"))
     return matching.near_bits(hashes, "bits", 16)

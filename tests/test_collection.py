@@ -119,3 +119,14 @@ def test_orders_and_cover(spark):
     assert cover({"year": {"old": 100, "new": 20}}) == {("year", "new", False)}
     assert cover({"a": {"x": 51, "y": 49}, "b": {"p": 60, "q": 10}}) == {("a", "y", False), ("b", "q", False)}
     assert cover({"a": {}}) == set()
+
+
+def test_near_bits_of_many_hashes(spark):
+    hashes = [(k * 0x9E3779B97F4A7C15 + (k % 7 << 60)) % 2**64 - 2**63 for k in range(400)] + [k * 3 for k in range(60)] + [-1, -1, None]
+    df = spark.createDataFrame([(h,) for h in hashes], "b long")
+    n = {h: hashes.count(h) for h in hashes if h is not None}
+    apart = lambda a, b: bin((a ^ b) % 2**64).count("1")
+    out = matching.near_bits(df, "b", 16)
+    assert rows(out) == sorted(((a, b, apart(a, b), n[a], n[b]) for a in n for b in n if a < b and apart(a, b) <= 16), key=str)
+    assert "broadcast" not in out._jdf.queryExecution().executedPlan().toString().lower()  # nothing of the hashes goes by the driver
+    assert matching.near_bits(df.limit(0), "b", 16).count() == 0
