@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import collapse_space
+from ..sources.tables import dealt
+from ..written import cut
 
 #: The most phrases, and characters of phrases, of a block on average; a block beyond LARGEST times that is an error of the hash.
 BLOCK_PHRASES, BLOCK_CHARS, LARGEST = 50_000, 4_000_000, 4
@@ -100,11 +102,12 @@ def hits(rows: DataFrame, key: str, texts: list[str], phrases: DataFrame, phrase
 def mention_counts(rows: DataFrame, texts: list[str], phrases: DataFrame, phrase: str = "phrase", value: str = "value", whole: bool = False, most: int = BLOCK_PHRASES) -> DataFrame:
     """``value, mentions`` for every value of the table: the rows that have one of its spellings, zeros included.
 
-    Tasks count; what they shuffle is one row for each value that they have seen.
+    Equal texts are searched once. Tasks count; what they shuffle is one row for each value that they have seen.
     """
     spark = rows.sparkSession
     kind = f"value {phrases.schema[value].dataType.simpleString()}, mentions long"
     source = rows.select(F.concat_ws(APART, *[plain(F.col(t)) for t in texts]).alias("_text"))
+    source = dealt(cut(source.groupBy("_text").agg(F.count("*").alias("_n")), "texts"))  # read once for each block
     every = phrases.select(F.col(value).alias("value")).where("value is not null").distinct().select("value", F.lit(0).cast("long").alias("mentions"))
     for spellings in blocks(phrases, phrase, value, most, "value"):
         sent = spark.sparkContext.broadcast(spellings)
@@ -112,9 +115,9 @@ def mention_counts(rows: DataFrame, texts: list[str], phrases: DataFrame, phrase
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             made, n = automaton(sent.value), {}
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for v in {v for _, p in found_in(made, text, whole) for v in sent.value[p]}:
-                        n[v] = n.get(v, 0) + 1
+                        n[v] = n.get(v, 0) + times
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["value", "mentions"])
 

@@ -49,3 +49,15 @@ def test_no_phrases(spark):
     rows, none = spark.createDataFrame([(1, "x")], "k long, t string"), spark.createDataFrame([], "phrase string, value string")
     assert phrases.hits(rows, "k", ["t"], none).count() == 0 and phrases.mention_counts(rows, ["t"], none).count() == 0
     assert phrases.tagged(rows, F.col("t"), none, "v").first().v is None
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    from larkspur.operators import phrases as P
+
+    written = []
+    monkeypatch.setattr(P, "cut", lambda df, name: written.append(df.count()) or df, raising=False)
+    texts = spark.range(3000).selectExpr("if(id % 3 = 0, 'A red  ring', 'a red ring') AS t").union(spark.createDataFrame([(None,), ("Ring",)], "t string"))
+    names = spark.createDataFrame([("ring", 1), ("red ring", 2), ("blue", 3)], "phrase string, value long")
+    out = P.mention_counts(texts, ["t"], names, most=1)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 3001), (2, 3000), (3, 0)]
+    assert written == [3]
