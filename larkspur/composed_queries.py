@@ -14,7 +14,7 @@ from .operators import classify as K
 from .operators import reading as R
 from .queries import query
 from .sources import feeds
-from .sources.tables import table
+from .sources.tables import dealt, table
 
 SENT = datetime(2024, 12, 20, 12)
 _GRADES = "['like new', 'excellent', 'very good', 'good', 'fair', 'poor']"
@@ -24,7 +24,8 @@ def composed(name: str, made: dict[str, str], sql: str, read: Callable[[DataFram
     """Registers a query ``name``: columns composed of a table's row (expressions ``made``), what is read of them, and the SQL for the answers."""
 
     def run(spark, folder):
-        rows = table(spark, folder, source).select("*", *[F.expr(e).alias(f"_{c}") for c, e in made.items()])
+        rows = table(spark, folder, source)
+        rows = (dealt(rows) if source == "part" else rows).select("*", *[F.expr(e).alias(f"_{c}") for c, e in made.items()])
         rows = prepare(rows.select(key, *[F.col(f"_{c}").alias(c) for c in made]))
         return rows.select(key, *[c.alias(a) for a, c in read(rows).items()])
 

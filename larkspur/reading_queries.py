@@ -12,7 +12,7 @@ from .functions import columns as C
 from .operators import classify as K
 from .operators import reading as R
 from .queries import query
-from .sources.tables import table
+from .sources.tables import dealt, table
 
 
 def case_rows(part: DataFrame, names: str, inputs: list[tuple]) -> DataFrame:
@@ -20,7 +20,7 @@ def case_rows(part: DataFrame, names: str, inputs: list[tuple]) -> DataFrame:
     kinds = [x.split() for x in names.split(",")]
     case = F.pmod("p_partkey", F.lit(len(inputs))).cast("int") + 1
     made = [F.element_at(F.array(*[F.lit(row[i]).cast(kind) for row in inputs]), case).alias(name) for i, (name, kind) in enumerate(kinds)]
-    return part.select("p_partkey", *made)
+    return dealt(part.select("p_partkey")).select("p_partkey", *made)
 
 
 def literal(x: object) -> str:

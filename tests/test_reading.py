@@ -118,3 +118,10 @@ def test_trait_filter_and_table(spark):
     out = R.read_traits(df)
     assert {r.title: (r.import_marked, r.numbers_match) for r in out.collect()} == {"r1": (False, True), "r2": (True, None), "r3": (None, None)}
     assert [r.title for r in out.where(R.trait_filter({"import_marked": [False], "numbers_match": [True, False]})).collect()] == ["r1"]
+
+
+@pytest.mark.parametrize("name", ["read_measures", "enrich_listings", "reclassify_listings"])
+def test_rows_are_dealt_over_all_cores(spark, name):
+    from larkspur import queries
+
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
