@@ -16,10 +16,12 @@ so links stay linear in the number of distinct fingerprints.
 Similar texts (``similar_classes``) are those whose sets of distinct shingle hashes have a Jaccard similarity of 0.8 or
 more, each pair decided on the sets themselves. Texts of one set are collapsed. Pairs come from two sources:
 
-* Stars: minima of the hashes, three at a time, are anchors, and every set is compared with one centre at each. They
-  lose pairs, but find groups of near copies in a number of comparisons that is linear in the group.
+* Anchors: each set has a sketch of two fingerprints, of its distinct hashes mixed anew, with two families of anchors each.
+  Every fingerprint goes home and visits as above, and a visitor is compared with one centre of those that are at home at
+  the anchor. Pairs of 0.8 differ in 15 % of the bits, so anchors lose some, but find groups of near copies in a number of
+  comparisons that is linear in the group.
 * Prefixes, which lose none: with all shingles in one order, two sets of that similarity share one of the first
-  n - ceil(0.8 n) + 1 shingles of each. Sets that share one are compared, unless stars have already put them into one
+  n - ceil(0.8 n) + 1 shingles of each. Sets that share one are compared, unless anchors have already put them into one
   component, or their sizes, the shingle's places or their parity bits rule the similarity out. The order is by the
   number of sets that have a shingle, rare ones first, so boilerplate is hardly ever in a prefix, and a shingle that one
   set has needs no place in a cell. All sets are counted (``shingle_table``). A cell of the prefixes is a join key.
@@ -128,15 +130,15 @@ def _flip(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int") - 1)
 
 
-def homes(fps: DataFrame) -> DataFrame:
-    """``anchor, fingerprint``: the one anchor within the covering radius, per family."""
+def homes(fps: DataFrame, *more: str) -> DataFrame:
+    """``anchor, fingerprint`` and ``more`` columns: the one anchor within the covering radius, per family."""
     rows = []
     for family in FAMILIES:
         block = _block(F.col("fingerprint"), family)
         s = _syndrome(block)
         anchor = F.when(s == 0, block).otherwise(block.bitwiseXOR(_flip(s)))
         rows.append(anchor + F.lit(family << BLOCK))
-    return fps.select(F.explode(F.array(*rows)).alias("anchor"), "fingerprint")
+    return fps.select(F.explode(F.array(*rows)).alias("anchor"), "fingerprint", *more)
 
 
 def _near_anchors(block: Column, s: Column, family: int) -> Column:
@@ -151,12 +153,12 @@ def _near_anchors(block: Column, s: Column, family: int) -> Column:
     return F.transform(F.filter(near, lambda x: x.isNotNull()), lambda x: x + F.lit(family << BLOCK))
 
 
-def visits(fps: DataFrame) -> DataFrame:
-    """``anchor, fingerprint``: every anchor within covering radius plus threshold, per family."""
+def visits(fps: DataFrame, *more: str) -> DataFrame:
+    """``anchor, other`` (the fingerprint) and ``more`` columns: every anchor within covering radius plus threshold, per family."""
     found = [_near_anchors(F.col(f"block{f}"), F.col(f"s{f}"), f) for f in FAMILIES]
-    parts = fps.select("fingerprint", *[_block(F.col("fingerprint"), f).alias(f"block{f}") for f in FAMILIES])
+    parts = fps.select("fingerprint", *more, *[_block(F.col("fingerprint"), f).alias(f"block{f}") for f in FAMILIES])
     parts = parts.select("*", *[_syndrome(F.col(f"block{f}")).alias(f"s{f}") for f in FAMILIES])
-    return parts.select(F.explode(F.concat(*found)).alias("anchor"), F.col("fingerprint").alias("other"))
+    return parts.select(F.explode(F.concat(*found)).alias("anchor"), F.col("fingerprint").alias("other"), *more)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -179,8 +181,8 @@ def classes(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str =
 
 #: Parity bits of a set of shingles.
 PARITY = [f"w{k}" for k in range(8)]
-#: Stars: so many anchors for each set, of so many minima each.
-ANCHORS, MINIMA = 6, 3
+#: The fingerprints of a set's sketch; what two that meet by one may differ in the other (32 of unlike sets, 10 of similar ones).
+SKETCH, REST_BITS = ["f0", "f1"], 24
 #: Names of columns, and what makes them of the hashes of a batch's sets and their numbers.
 Marks = tuple[list[str], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]]
 #: Shingles that a task sorts at once and that a range of the counts has on average, and the fewest ranges.
@@ -228,24 +230,36 @@ def set_rows(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, id long, size int, " + ", ".join(f"{w} long" for w in [*PARITY, *names]))
 
 
-def star_pairs(sets: DataFrame, width: int) -> DataFrame:
-    """``a, b``: each set (``id, text``) with one centre at each of its anchors."""
+def set_sketches(hashes: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+    """The fingerprints of each set's sketch: bits that over half of its shingle hashes have, mixed anew for each. Zero for an empty set."""
+    has = number > 0
+    begin, out = (np.cumsum(number) - number)[has], []
+    for k in range(len(SKETCH)):
+        prints = np.zeros(len(number), np.uint64)
+        if len(begin):
+            bits = np.unpackbits(mixed(hashes + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+            prints[has] = np.packbits(votes * 2 > number[has, None], axis=1, bitorder="little").copy().view("<u8").ravel()
+        out.append(prints)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, 1):
-                hashes, number = shingle_sets(part.column(1), width)
-                has = number > 0
-                if not has.any():
-                    continue
-                begin, ids = (np.cumsum(number) - number)[has], part.column(0).filter(pa.array(has))
-                for k in range(ANCHORS):
-                    anchor = np.full(len(begin), k, np.uint64)
-                    for j in range(k * MINIMA, (k + 1) * MINIMA):
-                        anchor = mixed(anchor + np.minimum.reduceat(mixed(hashes + np.uint64((j + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))), begin))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64))], ["id", "anchor"])
 
-    return stars(sets.select("id", "text").mapInArrow(run, "id long, anchor long"))
+def anchor_pairs(sets: DataFrame, width: int) -> DataFrame:
+    """``a, b``: each set (``id, size, f0, f1``) with one centre at each anchor that it visits: the first in the anchor's own order of those at home there.
+
+    The fingerprint that did not lead them there rules out most unlike sets. A written table.
+    """
+    both = [F.struct(F.lit(k << 32).alias("part"), F.col(name).alias("fingerprint"), F.col(SKETCH[1 - k]).alias("rest")) for k, name in enumerate(SKETCH)]
+    fps = cut(sets.where("size > 0").select("id", F.inline(F.array(*both))), "anchors")
+    own = ("id", "part", "rest")
+    at = (F.col("anchor") + F.col("part")).alias("anchor")
+    centres = homes(fps, *own).select(at, "id", "rest").groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "id").alias("o"), "id", "rest")).alias("c"))
+    centres = cut(centres.select("anchor", F.col("c.id").alias("b"), F.col("c.rest").alias("_rest")), "anchors")
+    meet = visits(fps, *own).select(at, "id", "rest").join(centres, "anchor")
+    near = F.bit_count(F.col("rest").bitwiseXOR(F.col("_rest"))) <= REST_BITS
+    out = cut(meet.where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "anchors")
+    drop(sets.sparkSession, fps, centres)
+    return out
 
 
 def stars(rows: DataFrame, orders: int = 0) -> DataFrame:
@@ -438,8 +452,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: flo
     return out
 
 
-def similar_links(sets: DataFrame, width: int, similarity: float, found: Callable[[DataFrame, int], DataFrame] = star_pairs) -> DataFrame:
-    """``a, b``: pairs of sets (``id, text, size, w0 .. w7``) of that Jaccard similarity, enough to reach every such pair over them.
+def similar_links(sets: DataFrame, width: int, similarity: float, found: Callable[[DataFrame, int], DataFrame] = anchor_pairs) -> DataFrame:
+    """``a, b``: pairs of sets (``id, text, size, w0 .. w7``, and what ``found`` needs) of that Jaccard similarity, enough to reach every such pair over them.
 
     ``found`` gives the first candidates, which need not be all; prefixes find what they left between components.
     """
@@ -462,7 +476,7 @@ def named_sets(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def similar_rows(docs: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, _text, label, component_id`` for every row: a hash of the text, and the component with its smallest doc_id."""
-    rows = set_rows(docs, width, doc_id, text)
+    rows = set_rows(docs, width, doc_id, text, (SKETCH, set_sketches))
     prints = cut(rows.select("doc_id", F.xxhash64("text").alias("_text"), "id"), "sets")
     distinct = distinct_sets(rows)
     named = named_sets(distinct, similar_links(distinct, width, similarity))

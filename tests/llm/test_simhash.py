@@ -168,3 +168,29 @@ def test_rows_of_one_id_are_decided_by_text(spark):
     one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
     docs = spark.createDataFrame([(1, one), (2, one), (2, other), (3, third), (3, other), (3, third)], "doc_id long, text string")
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, one), (2, other), (3, third)]
+
+
+def test_similar_sets_meet_by_simhash_anchors(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(3000)]
+    docs = []
+    for g in range(100):  # pairs of about 0.95
+        text = [rng.choice(vocabulary) for _ in range(400)]
+        docs += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(changed(rng, text, 2, vocabulary)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = simhash.distinct_sets(simhash.set_rows(frame, 5, more=(simhash.SKETCH, simhash.set_sketches)))
+    rows = {r.id: r for r in sets.collect()}
+
+    def apart(a, b, word):
+        return bin((rows[a][word] ^ rows[b][word]) & (2**64 - 1)).count("1")
+
+    met = {(r.a, r.b) for r in simhash.anchor_pairs(sets, 5).collect()}
+    assert all(min(apart(a, b, "f0"), apart(a, b, "f1")) <= simhash.REST_BITS for a, b in met)
+    pair = {}
+    for r in rows.values():
+        pair.setdefault(r.first_doc // 2, []).append(r.id)
+    pairs = [tuple(sorted(p)) for p in pair.values()]
+    # in one block at most one bit apart: one is at home where the other one visits, and nobody else is there
+    sure = [p for p in pairs if any(bin((rows[p[0]][w] ^ rows[p[1]][w]) >> 31 * f & 2**31 - 1).count("1") <= 1 for w in simhash.SKETCH for f in (0, 1))]
+    assert len(sure) > 50 and sum(p in met for p in sure) >= 0.9 * len(sure)
+    assert simhash.anchor_pairs(sets.limit(0), 5).count() == 0
