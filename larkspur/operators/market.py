@@ -30,7 +30,7 @@ def for_sale(listings: DataFrame) -> DataFrame:
 def bands(rows: DataFrame, dimension: str, fractions: dict[str, float] = SHELF, least: int = MIN_SAMPLE) -> DataFrame:
     """Price band of each value of a dimension: size, percentiles, number of sources, the largest source's share."""
     rows = rows.where(F.col(dimension).isNotNull() & (F.col(dimension).cast("string") != "") & F.col("price").isNotNull())
-    counts = rows.groupBy(dimension, "source", "price").agg(F.count("*").alias("_n"))  # one pass over the rows feeds both
+    counts = cut(rows.groupBy(dimension, "source", "price").agg(F.count("*").alias("_n")), "bands")  # one pass over the rows feeds both
     ranks = nearest_ranks(counts, [dimension], "price", fractions, "_n").where(F.col("n") >= least)
     shares = spread(counts, [dimension], "source", "_n")
     out = ranks.join(shares, dimension)
@@ -46,7 +46,8 @@ def thin_groups(rows: DataFrame, dimension: str, least: int = MIN_SAMPLE) -> Dat
 
 def departed(listings: DataFrame) -> DataFrame:
     """Listings that left the shelf at a known price after being seen on it."""
-    return listings.where((F.col("price") > 0) & (F.coalesce("sold_at", "delisted_at") > F.col("first_seen")))
+    left = F.coalesce("sold_at", "delisted_at")
+    return listings.where((F.col("price") > 0) & left.isNotNull() & (left > F.col("first_seen")))  # the second needs no join
 
 
 def time_to_sell(listings: DataFrame, watching: DataFrame, dimension: str, least: int = MIN_SAMPLE) -> DataFrame:

@@ -23,7 +23,13 @@ def listings(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """
     line, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
     orders, supplier, nation = (table(spark, folder, n) for n in ("orders", "supplier", "nation"))
-    sold, delisted = F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"
+    # made before the joins, so that these move a price and two flags instead of what they are made of
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
+    line = line.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", price.alias("_price"),
+        (F.col("l_linestatus") == "F").alias("_sold"), (F.col("l_returnflag") == "R").alias("_delisted"),
+    )
+    sold, delisted = F.col("_sold"), F.col("_delisted")
     views = {
         "item": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         "source": F.col("l_suppkey"),
@@ -33,7 +39,7 @@ def listings(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "kind": F.col("p_type"),
         "size": F.col("p_size"),
         "country": F.col("n_name"),
-        "price": F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100,
+        "price": F.col("_price"),
         "first_seen": F.col("o_orderdate"),
         "sold": sold,
         "active": ~delisted,

@@ -51,3 +51,17 @@ def test_median_of_the_others(spark):
         if len(others) >= 5:
             want[model, source] = median(others)
     assert got == want
+
+
+def test_bands_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("kind"), (F.col("id") % 7).alias("source"), (F.col("id") % 11).cast("double").alias("price"))
+    found = market.bands(rows.mapInArrow(count, rows.schema), "kind").collect()
+    assert seen.value == 1000
+    assert sorted((r.value, r.listings, r.sources) for r in found) == [(0, 334, 7), (1, 333, 7), (2, 333, 7)]
