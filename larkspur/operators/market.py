@@ -263,7 +263,9 @@ def similar(queries: DataFrame, listings: DataFrame, limit: int = 8, reserve: in
 
     The cheapest rows of each group are found once, before any query meets them: a few for each (kind, model, country), of
     these for each (model, kind), and twice as many for each (kind, country), so that enough are left when the query's own
-    model is taken out. The closest band leaves up to ``reserve`` places to wider ones that have rows.
+    model is taken out. Of these, five times as many for each kind, with twice as many for each model, are enough when the
+    query's own country is taken out as well. A query meets the two short lists as arrays, and only what it takes of them
+    becomes rows. The closest band leaves up to ``reserve`` places to wider ones that have rows.
     """
     q = queries.select(F.col("item").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ("model", "kind", "country")])
     pool = listings.where(F.col("active") & ~F.col("sold")).select("item", "model", "kind", "country", "price")
@@ -277,9 +279,18 @@ def similar(queries: DataFrame, listings: DataFrame, limit: int = 8, reserve: in
     by_model = cheapest(capped, ["model", "kind"], few)
     by_place = cheapest(capped, ["kind", "country"], 2 * few)
     own = by_model.join(q, F.col("model") == F.col("q_model")).withColumn("rung", F.when(F.col("kind").eqNullSafe(F.col("q_kind")), 1).otherwise(2))
-    other = by_place.join(q, F.col("kind") == F.col("q_kind")).where(~F.col("model").eqNullSafe(F.col("q_model")) | F.col("q_model").isNull())
-    other = other.withColumn("rung", F.when(F.col("country") == F.col("q_country"), 3).otherwise(4))
-    rows = own.unionByName(other).where("item != query").select("query", "item", "rung", "price")
+    by_kind = cheapest(cheapest(by_place, ["kind", "model"], 2 * few), ["kind"], 5 * few)
+
+    def listed(rows: DataFrame, *keys: str) -> DataFrame:
+        entry = F.struct(F.col("price").isNull().alias("none"), "price", "item", "model", "country")
+        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sort_array(F.collect_list(entry)).alias("near"))
+
+    apart = lambda x: F.col("q_model").isNull() | ~x["model"].eqNullSafe(F.col("q_model"))
+    abroad = lambda x: ~F.coalesce(x["country"] == F.col("q_country"), F.lit(False))
+    taken = lambda fits, rung: F.transform(F.slice(F.filter("near", fits), 1, few), lambda x: F.struct(x["item"].alias("item"), F.lit(rung).alias("rung"), x["price"].alias("price")))
+    same = q.join(listed(by_place, "kind", "country"), (F.col("_kind") == F.col("q_kind")) & (F.col("_country") == F.col("q_country"))).select("query", F.inline(taken(apart, 3)))
+    other = q.join(listed(by_kind, "kind"), F.col("_kind") == F.col("q_kind")).select("query", F.inline(taken(lambda x: apart(x) & abroad(x), 4)))
+    rows = own.select("query", "item", "rung", "price").union(same.select("query", "item", "rung", "price")).union(other.select("query", "item", "rung", "price")).where("item != query")
     order = Window.partitionBy("query", "rung").orderBy(F.col("price").asc_nulls_last(), "item")
     rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit + reserve)
     whole = Window.partitionBy("query")

@@ -65,3 +65,27 @@ def test_bands_read_their_rows_once(spark):
     found = market.bands(rows.mapInArrow(count, rows.schema), "kind").collect()
     assert seen.value == 1000
     assert sorted((r.value, r.listings, r.sources) for r in found) == [(0, 334, 7), (1, 333, 7), (2, 333, 7)]
+
+
+def test_similar_lists_are_short_and_lose_nothing(spark):
+    rng = random.Random(5)
+    pool = [(f"i{k:04}", rng.choice([None, *range(4)]), rng.choice([None, "a", "b"]), rng.choice([None, *"uvwxyz"]), rng.choice([None, *map(float, range(30))]), True, False) for k in range(900)]
+    pool += [(f"m{k:04}", 0, "a", "uvwxyz"[k % 6], 0.5, True, False) for k in range(200)]  # the cheapest of a kind are one model's
+    asked = pool[::90] + pool[900:903]
+    frame = spark.createDataFrame(pool, "item string, model long, kind string, country string, price double, active boolean, sold boolean")
+    found = market.similar(frame.where(F.col("item").isin([r[0] for r in asked])), frame)
+    got = {(r.query, r.place): (r["item"], r.rung) for r in found.collect()}
+    want = {}
+    for item, model, kind, country, *_ in asked:
+        rungs = {}
+        for other, m, k, c, price, *_ in pool:
+            mine, alike = model is not None and m == model, kind is not None and k == kind
+            rung = (1 if k == kind else 2) if mine else 0 if not alike else 3 if country is not None and c == country else 4
+            if rung and other != item:
+                rungs.setdefault(rung, []).append((price is None, price or 0.0, other))
+        first = min(rungs, default=0)
+        ranked = [(r, k, o) for r, rows in rungs.items() for k, (_, _, o) in enumerate(sorted(rows)[:10], 1)]
+        wider = sum(r > first for r, _, _ in ranked)
+        order = sorted((r == first and k > 8 - min(2, wider), r, k, o) for r, k, o in ranked)
+        want |= {(item, place): (o, r) for place, (_, r, _, o) in enumerate(order[:8], 1)}
+    assert got == want
