@@ -135,7 +135,17 @@ def others_median(listings: DataFrame, least: int = 5) -> DataFrame:
     blocks of BLOCK for that, which join by equality.
     """
     shelf = for_sale(listings).where(F.col("price") > 0)
-    counts = shelf.groupBy("model", "source", "price").agg(F.count("*").alias("c"))
+    medians = medians_of_others(shelf_counts(shelf), least)
+    return shelf.join(medians, ["model", "source"]).select("source", "model", "item", "price", "median")
+
+
+def shelf_counts(shelf: DataFrame) -> DataFrame:
+    """``model, source, price, c``: rows of each price; a written table, as much is made of it."""
+    return cut(shelf.groupBy("model", "source", "price").agg(F.count("*").alias("c")), "counts")
+
+
+def medians_of_others(counts: DataFrame, least: int = 5) -> DataFrame:
+    """``model, source, median`` of what :func:`others_median` tells, by the counts of prices (``model, source, price, c``)."""
     prices = counts.groupBy("model", "price").agg(F.sum("c").alias("all"))
     upto = Window.partitionBy("model").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prices = prices.select("model", "price", "all", F.sum("all").over(upto).alias("upto"))
@@ -154,15 +164,16 @@ def others_median(listings: DataFrame, least: int = 5) -> DataFrame:
     below = Window.partitionBy("model", "source").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumns({"end": F.col("upto") - F.sum("c").over(below), "rest": F.col("all") - F.col("c")}).where("upto is not null")
     at = lambda i: F.max(F.when((F.col("end") > F.col(i)) & (F.col("end") - F.col("rest") <= F.col(i)), F.col("price")))
-    medians = cells.groupBy("model", "source").agg(((at("first") + at("second")) / 2).alias("median"))
-    return shelf.join(medians, ["model", "source"]).select("source", "model", "item", "price", "median")
+    return cells.groupBy("model", "source").agg(((at("first") + at("second")) / 2).alias("median"))
 
 
 def scorecards(listings: DataFrame, watching: DataFrame, now: datetime, compared: int = 5) -> DataFrame:
-    """A row for each source: items for sale, prices against others' medians, days to sell, arrivals and departures."""
+    """A row for each source: items for sale, prices against others' medians, days to sell, arrivals and departures.
+
+    ``listings`` is read by all parts of it, so it should be a written table.
+    """
     at = instant(now)
-    shown = ["source", "model", "item", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"]
-    rows = cut(listings.select(*shown).join(watching, "source", "left"), "scorecards")  # read by all that follows
+    rows = listings.join(watching, "source", "left")
     seen = F.coalesce(F.col("first_seen") > F.col("since"), F.lit(False))
     age, left = whole_days(at, F.col("first_seen")), F.least("sold_at", "delisted_at")
     weekdays = [F.count_if(seen & (age >= 0) & (age < 28) & (F.weekday("first_seen") == d)).alias(f"arrivals_{d}") for d in range(7)]
@@ -174,8 +185,10 @@ def scorecards(listings: DataFrame, watching: DataFrame, now: datetime, compared
     )
     stays = rows.where(seen & (left > F.col("first_seen"))).select("source", days_between(left, F.col("first_seen")).alias("days"))
     stays = linear_percentiles(stays, ["source"], "days", {"_days": 0.5}, split=True).drop("n")
-    prices = cut(others_median(rows.select(*shown)).select("source", (F.col("price") / F.col("median")).alias("ratio")), "ratios")
-    ratios = linear_percentiles(prices, ["source"], "ratio", {"_ratio": 0.5}, split=True).where(F.col("n") >= compared)
+    prices = shelf_counts(for_sale(listings).where(F.col("price") > 0))
+    prices = prices.join(medians_of_others(prices), ["model", "source"])
+    prices = cut(prices.groupBy("source", (F.col("price") / F.col("median")).alias("ratio")).agg(F.sum("c").alias("c")), "ratios")
+    ratios = linear_percentiles(prices, ["source"], "ratio", {"_ratio": 0.5}, "c", split=True).where(F.col("n") >= compared)
     out = counts.join(stays, "source", "left").join(ratios, "source", "left")
     return out.select("source", "for_sale", "new_this_week", "left_last_30_days", half_even(F.col("_days"), 1).alias("sell_days"), *[f"arrivals_{d}" for d in range(7)], F.col("n").alias("compared"), half_even(F.col("_ratio"), 3).alias("price_vs_market"))
 

@@ -161,7 +161,7 @@ _ARRIVALS = ", ".join(f"count(*) FILTER (seen AND age >= 0 AND age < 28 AND isod
     round_even(median({DAYS.format("gone", "first_seen")}) FILTER (seen AND gone > first_seen), 1) AS sell_days, {_ARRIVALS} FROM x GROUP BY 1)
   SELECT c.*, compared, price_vs_market FROM c LEFT JOIN q USING (source)""")
 def shop_scorecard(spark, folder):
-    rows = listings(spark, folder, "item", "source", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at")
+    rows = cut(listings(spark, folder, "source", "model", "price", "first_seen", "sold", "active", "sold_at", "delisted_at"), "scorecards")
     return market.scorecards(rows, watching(rows), NOW)
 
 

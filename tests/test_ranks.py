@@ -89,3 +89,16 @@ def test_similar_lists_are_short_and_lose_nothing(spark):
         order = sorted((r == first and k > 8 - min(2, wider), r, k, o) for r, k, o in ranked)
         want |= {(item, place): (o, r) for place, (_, r, _, o) in enumerate(order[:8], 1)}
     assert got == want
+
+
+def test_scorecards_count_prices_and_need_no_item(spark):
+    from datetime import datetime
+
+    day = datetime(1999, 12, 1)
+    rows = [(s, 1, float(10 * s + k % 3), day, False, True, None, None) for s in (1, 2, 3) for k in range(6)]
+    kinds = "source long, model long, price double, first_seen timestamp_ntz, sold boolean, active boolean, sold_at timestamp_ntz, delisted_at timestamp_ntz"
+    frame = spark.createDataFrame(rows, kinds)
+    since = spark.createDataFrame([(s, datetime(1999, 1, 1)) for s in (1, 2, 3)], "source long, since timestamp_ntz")
+    got = {r.source: (r.for_sale, r.compared, r.price_vs_market) for r in market.scorecards(frame, since, datetime(2000, 1, 1)).collect()}
+    # the others' middle: 22 and 30 of 20 .. 32; 12 and 30; 12 and 20
+    assert got == {1: (6, 6, round(11 / 26, 3)), 2: (6, 6, 1.0), 3: (6, 6, round(31 / 16, 3))}
