@@ -233,5 +233,5 @@ def boxes(spark, folder) -> DataFrame:
 @query()
 def page_panels(spark, folder):
     """Every order's boxes cut into panels along the gaps of the page, with the line and the heading of each box. Tested against cutting by hand."""
-    placed = layout.lines(layout.panels(boxes(spark, folder), 8.0, 5.0))
-    return placed.join(layout.headed(placed, "heading"), ["page", "box"], "left").select("page", "box", "panel", "line", "under")
+    placed = cut(layout.lines(layout.panels(cut(boxes(spark, folder), "boxes"), 8.0, 5.0)), "panels")  # both are read several times
+    return placed.join(layout.heading_above(placed, "heading"), ["page", "box"], "left").select("page", "box", "panel", "line", "under")

@@ -52,19 +52,24 @@ def panels(boxes: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
     return boxes.join(named, ["page", "box"], "left")
 
 
+def heading_above(boxes: DataFrame, heading: str) -> DataFrame:
+    """``page, box, under`` of the boxes that :func:`headed` finds a heading for, and no others."""
+    held = boxes.where(F.col("panel").isNotNull())
+    top = held.where(F.col(heading)).select("page", "panel", F.col("box").alias("under"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"))
+    rest = held.where(~F.coalesce(F.col(heading), F.lit(False))).select("page", "panel", "box", "x0", "x1", "y0")
+    overlap = F.least("x1", "_x1") - F.greatest("x0", "_x0")
+    met = rest.join(top, ["page", "panel"]).where((F.col("_y1") <= F.col("y0")) & (overlap > 0))
+    return met.groupBy("page", "box").agg(F.max_by("under", F.struct("_y1", overlap.alias("o"), (-F.col("under")).alias("k"))).alias("under"))
+
+
 def headed(boxes: DataFrame, heading: str) -> DataFrame:
     """Each box that is no heading, with the heading it stands under: ``page, box, under``; null where none is above it.
 
     ``boxes``: as :func:`panels` gives them, and a boolean column ``heading``. Of the headings of its panel that end above
     the box and overlap it sideways, the lowest counts; of equally low ones that with the larger overlap, then the smaller number.
     """
-    held = boxes.where(F.col("panel").isNotNull())
-    top = held.where(F.col(heading)).select("page", "panel", F.col("box").alias("under"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"))
-    rest = held.where(~F.coalesce(F.col(heading), F.lit(False)))
-    overlap = F.least("x1", "_x1") - F.greatest("x0", "_x0")
-    met = rest.join(top, ["page", "panel"]).where((F.col("_y1") <= F.col("y0")) & (overlap > 0))
-    best = met.groupBy("page", "box").agg(F.max_by("under", F.struct("_y1", overlap.alias("o"), (-F.col("under")).alias("k"))).alias("under"))
-    return rest.select("page", "box").join(best, ["page", "box"], "left")
+    rest = boxes.where(F.col("panel").isNotNull() & ~F.coalesce(F.col(heading), F.lit(False)))
+    return rest.select("page", "box").join(heading_above(boxes, heading), ["page", "box"], "left")
 
 
 def lines(boxes: DataFrame, share: float = 0.5) -> DataFrame:

@@ -88,3 +88,10 @@ def test_boxes_come_under_headings(spark):
     frame = spark.createDataFrame([(p, b, *map(float, xs), h, "p") for p, b, *xs, h in rows], "page long, box long, x0 double, y0 double, x1 double, y1 double, heading boolean, panel string")
     assert {r.box: r.under for r in layout.headed(frame, "heading").collect()} == {3: 1, 4: 2, 6: 5, 7: None}
     assert {r.box: r.line for r in layout.lines(frame).collect()} == {1: 1, 2: 1, 7: 1, 3: 2, 4: 3, 5: 4, 6: 5}
+
+
+def test_only_boxes_under_a_heading_are_made_for_the_page(spark):
+    rows = [(1, 1, 0.0, 0.0, 9.0, 1.0, "a", True), (1, 2, 0.0, 2.0, 9.0, 3.0, "a", False), (1, 3, 20.0, 2.0, 29.0, 3.0, "a", False), (1, 4, 0.0, 2.0, 9.0, 3.0, None, False)]
+    frame = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double, panel string, heading boolean")
+    assert [tuple(r) for r in layout.heading_above(frame, "heading").collect()] == [(1, 2, 1)]
+    assert sorted(map(tuple, layout.headed(frame, "heading").collect())) == [(1, 2, 1), (1, 3, None)]
