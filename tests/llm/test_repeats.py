@@ -61,6 +61,28 @@ def test_matching_statistics_by_all_pairs():
         assert got.tolist() == want
 
 
+@pytest.mark.parametrize("unit", [repeats.BYTE, repeats.WORD])
+def test_shards_sort_each_symbol_once(monkeypatch, unit):
+    """A shard's answers by all pairs of strings under the same anchor, without sorting its symbols again for each doubling."""
+    monkeypatch.setattr(repeats, "suffix_order", None)
+    rng, length = random.Random(4), 6
+    for _ in range(40):
+        rows = []
+        for i in range(rng.randrange(1, 30)):
+            lead, starts = rng.randrange(4), rng.randrange(1, 4)
+            symbols = [rng.choice([7, 7, 7, 8, 255]) for _ in range(max(lead + 1, starts + length - 1))]
+            rows += [(rng.choice([-5, 3, 9]), i, k, lead, symbols) for k in range(rng.choice([1, 1, 2]))]
+        rng.shuffle(rows)
+        hashes, contexts, copies, leads, symbols = zip(*rows)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        values = (hashes, contexts, copies, leads, [np.array(s, unit.code).tobytes() for s in symbols])
+        got = repeats._index(length, unit)(pa.table([pa.array(v, k) for v, k in zip(values, kinds)], ["hash", "context", "copy", "lead", "symbols"]))
+        seen = Counter((h, lead - s, *x[s : s + length]) for h, _, _, lead, x in rows for s in range(min(lead, len(x) - length) + 1))
+        for (h, c, copy, lead, x), ranges in zip(rows, got.column("ranges").to_pylist()):
+            want = [s for s in range(min(lead, len(x) - length) + 1) if seen[(h, lead - s, *x[s : s + length])] > 1]
+            assert [s for a, b in zip(ranges[::2], ranges[1::2]) for s in range(a, b)] == (want if copy == 0 else [])
+
+
 def prose(rng, n):
     return "".join(rng.choice("abcdefgh éß\n") for _ in range(n))
 
